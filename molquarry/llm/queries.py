@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing
+from . import decontaminate, packing, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("base_spans"), i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.named(F.col("base_spans")), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -30,6 +36,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES = {
+    "op8_secret_scans": op8_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
