@@ -9,12 +9,16 @@ Every document is the set of its word n-grams (64-bit hashes). Two documents lin
    have (a bitmap of 2**CELL_BITS bits, whatever the corpus); the order sets the cost only, never the result. Each
    n-gram sends its documents to the tree of the smallest doc_id among them: linear in the number of leading n-grams,
    and every linking pair meets in a tree.
-3. A tree holds its documents' sets in leaves; nodes hold OR-ed bitmaps and size ranges. The dual traversal goes down
-   pairs of nodes and drops those whose greatest possible overlap is below what their least sizes need. Leaves that are
-   joined by earlier links already are not compared again; the rest is compared exactly, on whole sets.
-4. Trees of over BLOCK documents are cut into blocks with the tree's first document in each. When the links so found
-   leave a cut tree in several components, its blocks meet pairwise, and pairs inside one component are passed over.
-5. Links go to connected components.
+3. A tree's leaves are the documents' bitmaps (4 to 8 bits an n-gram); nodes hold OR-ed bitmaps and size ranges. The
+   dual traversal goes down pairs of nodes and drops those whose greatest possible overlap is below what their least
+   sizes need. What is left of all trees forms clusters (connected components of possible links).
+4. Inside a cluster the traversal runs again on bitmaps, and what it leaves is compared exactly, on whole sets. Each
+   document's set is sent once, and only if its cluster has another document.
+5. Trees and clusters of over BLOCK documents are cut into blocks by a hash of doc_id, so that no task holds more than two
+   blocks. Blocks of a tree meet pairwise (bitmaps only). A cluster's blocks are first linked inside, with the cluster's
+   first document in each; if that leaves it in several components, its blocks meet pairwise, and pairs of nodes
+   inside one component are passed over.
+6. Links go to connected components.
 
 Defined cases: null or empty text, or no word: the set is empty, n_shingles 0, linked with nothing. Fewer words than n:
 the whole sequence is the one n-gram. Rows with one doc_id are one node, linked through any of their texts. A null doc_id
@@ -71,42 +75,46 @@ def leading(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1
 
 
-class SignatureTree:
-    """Sets as leaves; each node has the OR of its sets' bitmaps, their sizes' range and most bits lost to collisions."""
+def width_of(size: np.ndarray | int) -> np.ndarray | int:
+    """Bits of a signature: a power of two, 4 to 8 times the size, 256 at least."""
+    return 1 << np.maximum(8, np.ceil(np.log2(np.maximum(size, 1) * 4)).astype(int))
 
-    def __init__(self, sets: list[np.ndarray]):
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.size = np.array([len(s) for s in sets], np.int64)
-        # like sets stand together: in the order of their smallest hash, then the next ones
-        order = sorted(range(len(sets)), key=lambda i: sets[i][:4].tolist())
-        self.order = np.array(order, np.int64)
-        width = 1 << min(16, max(9, int(8 * self.size.max(initial=1)).bit_length()))
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        slot = (flat & np.uint64(width - 1)).astype(np.int64)
-        np.bitwise_or.at(bits, (owner, slot >> 6), np.uint64(1) << (slot & 63).astype(np.uint64))
-        self.values, local = np.unique(flat, return_inverse=True)
-        self.starts = np.concatenate(([0], np.cumsum(self.size)))
-        self.local = local
-        lost = self.size - np.bitwise_count(bits).sum(1).astype(np.int64)
-        # levels from the leaves up: (bitmaps, least size, greatest size, most lost)
-        self.levels = [(bits[self.order], self.size[self.order], self.size[self.order], lost[self.order])]
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set as 64-bit words; an n-gram's place is given by its lowest bits, so that halves fold."""
+    w = int(width_of(len(s)))
+    bits = np.zeros(w, bool)
+    bits[(s & np.uint64(w - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+class SignatureTree:
+    """Signatures as leaves; each node has the OR of its bitmaps, its sizes' range, its labels' range, and the most
+    n-grams that a set of it loses to collisions in the bitmap."""
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, order: np.ndarray, labels: np.ndarray):
+        self.order = order
+        lost = size - np.bitwise_count(bits).sum(1).astype(np.int64)
+        # levels from the leaves up: (bitmaps, least size, greatest size, most lost, least label, greatest label)
+        self.levels = [(bits[order], size[order], size[order], lost[order], labels[order], labels[order])]
         while len(self.levels[-1][0]) > 1:
-            b, lo, hi, lost_ = self.levels[-1]
+            b, lo, hi, lost_, low, high = self.levels[-1]
             cut = np.arange(0, len(b), LEAF)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(lost_, cut)))
-
-    def tokens(self, i: int) -> np.ndarray:
-        return self.local[self.starts[i] : self.starts[i + 1]]
+            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(lost_, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Node pairs whose greatest possible overlap reaches what their least sizes need."""
-        bits, lo, hi, lost = self.levels[level]
+        """Node pairs not joined by labels, whose greatest possible overlap reaches what their least sizes need."""
+        bits, lo, hi, lost, low, high = self.levels[level]
         keep = np.zeros(len(a), bool)
-        step = max(1, (1 << 22) // max(1, bits.shape[1]))
+        step = max(1, (1 << 20) // max(1, bits.shape[1]))
         for k in range(0, len(a), step):
             x, y = a[k : k + step], b[k : k + step]
             ok = (hi[x] * den >= num * lo[y]) & (hi[y] * den >= num * lo[x])  # sizes
+            ok &= np.maximum(high[x], high[y]) > np.minimum(low[x], low[y])  # labels
             x, y = x[ok], y[ok]
             most = np.bitwise_count(bits[x] & bits[y]).sum(1).astype(np.int64) + np.minimum(lost[x], lost[y])
             most = np.minimum(most, np.minimum(hi[x], hi[y]))
@@ -115,7 +123,7 @@ class SignatureTree:
         return keep
 
     def candidates(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of sets (a, b) that the traversal could not drop; a stands before b in the tree's order."""
+        """Pairs of leaves that the traversal could not drop."""
         a = b = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             keep = self._possible(level, a, b, num, den)
@@ -131,107 +139,149 @@ class SignatureTree:
         return self.order[a[ok]], self.order[b[ok]]
 
 
-class Forest:
-    """Union-find over a group's members, by label arrays: groups are bounded by two blocks."""
+class Group:
+    """A bounded group of signatures with labels; links are given out as a spanning forest beyond the labels."""
 
-    def __init__(self, labels: np.ndarray):
-        self.label = np.unique(labels, return_inverse=True)[1]
+    def __init__(self, bits: list[np.ndarray], size: np.ndarray, labels: np.ndarray, num: int, den: int):
+        self.bits, self.size, self.num, self.den = bits, size, num, den
+        self.label = np.unique(labels, return_inverse=True)[1].astype(np.int64)
+        self.links: list[tuple[int, int]] = []
+        # pairs that can link have widths at most so many doublings apart
+        self.reach = 1 + int(np.floor(np.log2(den / num)))
 
     def join(self, a: int, b: int) -> None:
         x, y = self.label[a], self.label[b]
-        self.label[self.label == max(x, y)] = min(x, y)
-
-
-def link(sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join all members which linking pairs join: a spanning forest beyond what labels join already."""
-    forest, out = Forest(labels), []
-    if len(sets) < 2 or forest.label.max(initial=0) == 0:
-        return out
-    tree = SignatureTree(sets)
-    a, b = tree.candidates(num, den)
-    mark = np.zeros(len(tree.values), bool)
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    edges = np.flatnonzero(np.diff(a)) + 1
-    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(a)], strict=True):
-        if lo == hi:
-            continue
-        i, others = int(a[lo]), b[lo:hi]
-        others = others[forest.label[others] != forest.label[i]]
-        if not len(others):
-            continue
-        mine = tree.tokens(i)
-        mark[mine] = True
+        if x != y:
+            self.label[self.label == max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of others link with i; here: may link."""
+        return others
+
+    def run(self, pivots: int = 4) -> list[tuple[int, int]]:
+        n = len(self.size)
+        if n < 2 or not self.label.max():
+            return self.links
+        words = np.array([len(b) for b in self.bits])
+        for w in np.unique(words):
+            at = np.flatnonzero((words >= w) & (words <= w << self.reach))
+            if len(at) < 2:
+                continue
+            bits = np.stack([folded(self.bits[i], int(w)) for i in at])
+            # like signatures stand together
+            order = np.lexsort((bits[:, 1], bits[:, 0], self.size[at]))
+            for p in order[:: max(1, len(order) // pivots)][:pivots].tolist() if len(at) > 8 else []:
+                self._meet(int(at[p]), at[self._near(bits, self.size[at], p)])
+            if len(set(self.label[at].tolist())) > 1:
+                a, b = SignatureTree(bits, self.size[at], order, self.label[at]).candidates(self.num, self.den)
+                self._pairs(at[a], at[b])
+        return self.links
+
+    def _near(self, bits: np.ndarray, size: np.ndarray, p: int) -> np.ndarray:
+        lost = size - np.bitwise_count(bits).sum(1)
+        most = np.minimum(np.bitwise_count(bits & bits[p]).sum(1) + np.minimum(lost, lost[p]), np.minimum(size, size[p]))
+        near = (self.den + self.num) * most >= self.num * (size + size[p])
+        near[p] = False
+        return np.flatnonzero(near)
+
+    def _meet(self, i: int, others: np.ndarray) -> None:
         for k in range(0, len(others), 64):
             part = others[k : k + 64]
-            part = part[forest.label[part] != forest.label[i]]
-            if not len(part):
-                continue
-            n = tree.size[part]
-            at = np.repeat(tree.starts[part] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
-            both = np.add.reduceat(mark[tree.local[at]].astype(np.int64), np.concatenate(([0], np.cumsum(n)))[:-1])
-            for j in part[(den + num) * both >= num * (n + len(mine))].tolist():
-                if forest.label[i] != forest.label[j]:
-                    forest.join(i, j)
-                    out.append((i, j))
-        mark[mine] = False
-    return out
-
-
-def _groups(batches, keys: int) -> Iterator[tuple[tuple, list, list, list]]:
-    """Rows of sorted batches by equal first `keys` columns: (key, docs, labels, sets)."""
-    key, docs, labels, sets = None, [], [], []
+            part = part[self.label[part] != self.label[i]]
+            if len(part):
+                for j in self.linked(i, part).tolist():
+                    self.join(i, j)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        edges = np.flatnonzero(np.diff(a)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(a)], strict=True):
+            if lo < hi:
+                self._meet(int(a[lo]), b[lo:hi])
+
+
+class ExactGroup(Group):
+    """Compares whole sets."""
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int):
+        super().__init__([signature(s) for s in sets], np.array([len(s) for s in sets], np.int64), labels, num, den)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.values, self.local = np.unique(flat, return_inverse=True)
+        self.starts = np.concatenate(([0], np.cumsum(self.size)))
+        self.mark, self.marked = np.zeros(len(self.values), bool), -1
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        if self.marked != i:
+            if self.marked >= 0:
+                self.mark[self.tokens(self.marked)] = False
+            self.mark[self.tokens(i)] = True
+            self.marked = i
+        n = self.size[others]
+        first = np.concatenate(([0], np.cumsum(n)))[:-1]
+        at = np.repeat(self.starts[others] - first, n) + np.arange(n.sum())
+        both = np.add.reduceat(self.mark[self.local[at]].astype(np.int64), first)
+        return others[(self.den + self.num) * both >= self.num * (n + self.size[i])]
+
+    def tokens(self, i: int) -> np.ndarray:
+        return self.local[self.starts[i] : self.starts[i + 1]]
+
+
+def _groups(batches, keys: int) -> Iterator[tuple[list, list, list, list]]:
+    """Rows of sorted batches by equal first `keys` columns: (docs, labels, payloads, sizes)."""
+    key, held = None, ([], [], [], [])
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(keys)]
-        for r, (d, c, s) in enumerate(zip(b.column(keys).to_pylist(), b.column(keys + 1).to_pylist(), b.column(keys + 2), strict=True)):
-            now = tuple(c_[r] for c_ in cols)
+        rows = zip(b.column(keys).to_pylist(), b.column(keys + 1).to_pylist(), b.column(keys + 2).to_pylist(), b.column(keys + 3).to_pylist(), strict=True)
+        for now, row in zip(zip(*cols, strict=True), rows, strict=True):
             if now != key:
-                if docs:
-                    yield key, docs, labels, sets
-                key, docs, labels, sets = now, [], [], []
-            docs.append(d)
-            labels.append(c)
-            sets.append(np.frombuffer(s.as_py(), np.uint64))
-    if docs:
-        yield key, docs, labels, sets
+                if len(held[0]) > 1:
+                    yield held
+                key, held = now, ([], [], [], [])
+            for h, x in zip(held, row, strict=True):
+                h.append(x)
+    if len(held[0]) > 1:
+        yield held
 
 
-def _linked(groups: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Edges (a, b) of groups(keys..., doc_id, label, set)."""
+def _linked(groups: DataFrame, keys: list[str], payload: str, num: int, den: int) -> DataFrame:
+    """Edges (a, b) of groups(keys..., doc_id, label, payload, n_shingles); payload is `set` or `bits`."""
+    exact = payload == "set"
 
     def run(batches):
-        a, b = [], []
-        for _, docs, labels, sets in _groups(batches, len(keys)):
-            for i, j in link(sets, np.array(labels), num, den):
-                a.append(docs[i])
-                b.append(docs[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt = groups.select(*keys, "doc_id", "label", "set").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+        for docs, labels, data, sizes in _groups(batches, len(keys)):
+            arrays = [np.frombuffer(x, np.uint64) for x in data]
+            group = ExactGroup(arrays, np.array(labels), num, den) if exact else Group(arrays, np.array(sizes, np.int64), np.array(labels), num, den)
+            if links := group.run():
+                yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in links], pa.int64()), pa.array([docs[j] for _, j in links], pa.int64())], ["a", "b"])
+
+    dealt = groups.select(*keys, "doc_id", "label", payload, "n_shingles").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set; and for each part of the input one row with its frequent cells."""
+    """doc_id, n_shingles, digest and signature of the set; and for each part of the input one row with its frequent cells."""
 
     def run(batches):
         hashes, counts = word_hashes(), np.zeros(1 << CELL_BITS, np.uint16)
         for b in slices(batches):
-            size, one, two = [], [], []
+            size, one, two, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(text_words(t), n, hashes)
                 size.append(len(s))
+                bits.append(signature(s).tobytes() if len(s) else None)
                 one.append(int(np.bitwise_xor.reduce(mix(s), initial=0)))
                 two.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), initial=np.uint64(0))))
                 cells = np.unique(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
                 counts[cells] = np.minimum(counts[cells], 60000) + 1
             rows = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.nulls(rows, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.nulls(rows, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "bits", "cells"])
         often = np.flatnonzero(counts >= OFTEN + 2 * int(counts.mean())).astype(np.int32)
         if len(often):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([often], pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "cells"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([often], pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "bits", "cells"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, cells array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, cells array<int>")
 
 
 def _bitmap(profile: DataFrame) -> np.ndarray:
@@ -303,10 +353,10 @@ def join_ngrams(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, itself included)."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     profile = written(_profile(narrow, n), "profile")
-    rows = profile.filter("cells is null")
+    rows = profile.filter("cells is null").drop("bits", "cells")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("leader"))
     classes = written(classes, "classes")
-    links = _links(narrow, n, num, den, classes.select(F.col("leader").alias("doc_id")), _bitmap(profile))
+    links = _links(narrow, n, num, den, profile, classes.select(F.col("leader").alias("doc_id")), _bitmap(profile))
     # rows with one doc_id and different texts are one node
     same = rows.filter("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).filter("a > b")
     twice = same.join(classes.select(F.col("leader").alias("a")), "a", "left_semi")
@@ -315,38 +365,48 @@ def join_ngrams(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "leader", "doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, n: int, num: int, den: int, leaders: DataFrame, often: np.ndarray) -> DataFrame:
+def _blocked(members: DataFrame, group: str) -> DataFrame:
+    """members with _blocks and a block for each row."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1")
+    sized = members.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n")
+    return sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+
+
+def _meetings(blocked: DataFrame) -> DataFrame:
+    """Each row once for each meeting (i, j) of its block: i < j, or the one block of an uncut group with itself."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    pairs = F.filter(pairs, lambda p: (p["i"] < p["j"]) | (F.col("_blocks") == 1))
+    return blocked.withColumn("_p", F.explode(pairs)).withColumn("i", F.col("_p.i")).withColumn("j", F.col("_p.j")).drop("_p", "_blocks", "block")
+
+
+def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, leaders: DataFrame, often: np.ndarray) -> DataFrame:
     first = _leading_ngrams(docs, n, num, den, often).filter("doc_id is not null").join(leaders.distinct(), "doc_id", "left_semi")
     meet = first.select(F.explode("first").alias("g"), "doc_id")
     # the tree of an n-gram is that of its smallest document; an n-gram of one document makes none
     least = meet.groupBy("g").agg(F.min("doc_id").alias("tree"), F.max("doc_id").alias("_max")).filter("_max > tree").drop("_max")
-    members = meet.join(least, "g").select("tree", "doc_id").distinct()
-    members = written(members, "members")
-    sizes = members.groupBy("tree").agg(F.count("*").alias("_n"))
-    sets = _sets(docs, n, _id_bitmap(members.select("doc_id")))
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    sized = members.join(sizes, "tree").withColumn("_blocks", blocks)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
-    # the first document of a cut tree stands in each of its blocks
-    every = F.when(F.col("doc_id") == F.col("tree"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(block))
-    placed = sized.select("tree", "_blocks", "doc_id", F.explode(every).alias("block"))
-    near = written(_linked(placed.join(sets, "doc_id").withColumn("label", F.col("doc_id")), ["tree", "block"], num, den), "links")
-    cut = placed.filter("_blocks > 1")
+    members = written(meet.join(least, "g").select("tree", "doc_id").distinct(), "members")
+    # possible links, by signatures
+    signs = profile.filter("cells is null and n_shingles > 0").select("doc_id", "bits", "n_shingles")
+    trees = _meetings(_blocked(members, "tree")).join(signs, "doc_id").withColumn("label", F.col("doc_id"))
+    clusters = written(components(_linked(trees, ["tree", "i", "j"], "bits", num, den)), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    # links, by whole sets
+    sets = _sets(docs, n, _id_bitmap(clusters.select("doc_id"))).withColumn("n_shingles", F.lit(0).cast("long"))
+    blocked = _blocked(clusters, "cluster")
+    every = F.when(F.col("doc_id") == F.col("cluster"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
+    inside = blocked.withColumn("block", F.explode(every)).withColumn("label", F.col("doc_id"))
+    near = written(_linked(inside.join(sets, "doc_id"), ["cluster", "block"], "set", num, den), "links")
+    cut = blocked.filter("_blocks > 1")
     if cut.isEmpty():
         return near
-    labels = components(near)
-    known = cut.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    split = known.groupBy("tree").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("tree")
-    known = written(known.join(split, "tree"), "split")
+    found = components(near).withColumnRenamed("node", "doc_id")
+    known = cut.join(found, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    split = known.groupBy("cluster").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("cluster")
+    known = written(known.join(split, "cluster"), "split")
     if known.isEmpty():
         return near
-    # blocks i < j meet in the group (tree, i, j); pairs inside one component are passed over there
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    pairs = F.filter(pairs, lambda p: p["i"] < p["j"])
-    met = known.select("tree", "doc_id", "label", F.explode(pairs).alias("p")).select("tree", "p.i", "p.j", "doc_id", "label").distinct()
-    mixed = met.groupBy("tree", "i", "j").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("tree", "i", "j")
-    met = met.join(mixed, ["tree", "i", "j"]).join(sets, "doc_id")
-    return near.unionByName(_linked(met, ["tree", "i", "j"], num, den))
+    met = _meetings(known)
+    mixed = met.groupBy("cluster", "i", "j").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("cluster", "i", "j")
+    return near.unionByName(_linked(met.join(mixed, ["cluster", "i", "j"]).join(sets, "doc_id"), ["cluster", "i", "j"], "set", num, den))
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
