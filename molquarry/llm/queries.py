@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, toxicity
+from . import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, shards, toxicity
+from .common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,13 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.named(F.col("base_spans")), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the shards, reads them again and returns what each record holds."""
+    path = f"{shared_dir(spark)}/molquarry/shards-{uuid.uuid4().hex}"
+    shards.write_shards(_read(spark, sf_dir, "documents"), path, _tokenizer())
+    return shards.digests(shards.read_from(spark, path))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -68,6 +78,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scans": op8_secret_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_training_order": op9_training_order,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
