@@ -412,4 +412,4 @@ def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, lead
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, of each group of linked documents the one with the smallest doc_id (rows with a null doc_id stay)."""
     found = join_ngrams(docs, n, num, den, doc_id, text).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_anti")
+    return docs.join(found, doc_id, "left_anti").select(*docs.columns)

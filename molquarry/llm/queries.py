@@ -15,7 +15,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -46,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pieces_of(_read(spark, sf_dir, "documents"), _tokenizer())
+    pieces = packing.pieces_of(_read(spark, sf_dir, "documents"), tokenizer_path())
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -64,7 +64,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards, reads them again and returns what each record holds."""
     path = f"{shared_dir(spark)}/molquarry/shards-{uuid.uuid4().hex}"
-    shards.write_shards(_read(spark, sf_dir, "documents"), path, _tokenizer())
+    shards.write_shards(_read(spark, sf_dir, "documents"), path, tokenizer_path())
     return shards.digests(shards.read_from(spark, path))
 
 
