@@ -8,7 +8,7 @@ Every document is the set of its word n-grams (64-bit hashes). Two documents lin
    documents meet at their leading n-grams. The order puts n-grams behind that many documents of some part of the input
    have (a bitmap of 2**CELL_BITS bits, whatever the corpus); the order sets the cost only, never the result. Each
    n-gram sends its documents to the tree of the smallest doc_id among them: linear in the number of leading n-grams,
-   and every linking pair meets in a tree.
+   and every linking pair meets in a tree. A tree has a part for each class of sizes, and only sizes that can link meet.
 3. A tree's leaves are the documents' bitmaps (4 to 8 bits an n-gram); nodes hold OR-ed bitmaps and size ranges. The
    dual traversal goes down pairs of nodes and drops those whose greatest possible overlap is below what their least
    sizes need. What is left of all trees forms clusters (connected components of possible links).
@@ -27,6 +27,7 @@ is returned with its n_shingles and a null component. Empty tables give empty re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -365,13 +366,19 @@ def join_ngrams(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "leader", "doc_id")).alias("component_id"))
 
 
-def _blocked(members: DataFrame, group: str) -> DataFrame:
-    """members with _blocks and a block for each row."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n")).filter("_n > 1")
+def _blocked(members: DataFrame, group: list[str]) -> DataFrame:
+    """members of groups of two or more, with _blocks and a block for each row."""
+    sizes = members.groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1")
     sized = members.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n")
     return sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
 
 
+def _size_classes(n: str, num: int, den: int):
+    """The class of a size and the next one: sizes that can link are in one class or in two neighbouring ones."""
+    c = F.floor(F.log(F.col(n).cast("double")) / (math.log(den / num) * 1.0001 + 1e-9)).cast("int")
+    return F.explode(F.array(c, c + 1))
+
+
 def _meetings(blocked: DataFrame) -> DataFrame:
     """Each row once for each meeting (i, j) of its block: i < j, or the one block of an uncut group with itself."""
     pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -387,11 +394,12 @@ def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, lead
     members = written(meet.join(least, "g").select("tree", "doc_id").distinct(), "members")
     # possible links, by signatures
     signs = profile.filter("cells is null and n_shingles > 0").select("doc_id", "bits", "n_shingles")
-    trees = _meetings(_blocked(members, "tree")).join(signs, "doc_id").withColumn("label", F.col("doc_id"))
-    clusters = written(components(_linked(trees, ["tree", "i", "j"], "bits", num, den)), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    near_sizes = members.join(signs.select("doc_id", "n_shingles"), "doc_id").select("tree", "doc_id", _size_classes("n_shingles", num, den).alias("size"))
+    trees = _meetings(_blocked(near_sizes, ["tree", "size"])).join(signs, "doc_id").withColumn("label", F.col("doc_id"))
+    clusters = written(components(_linked(trees, ["tree", "size", "i", "j"], "bits", num, den)), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     # links, by whole sets
     sets = _sets(docs, n, _id_bitmap(clusters.select("doc_id"))).withColumn("n_shingles", F.lit(0).cast("long"))
-    blocked = _blocked(clusters, "cluster")
+    blocked = _blocked(clusters, ["cluster"])
     every = F.when(F.col("doc_id") == F.col("cluster"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
     inside = blocked.withColumn("block", F.explode(every)).withColumn("label", F.col("doc_id"))
     near = written(_linked(inside.join(sets, "doc_id"), ["cluster", "block"], "set", num, den), "links")
