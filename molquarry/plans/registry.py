@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import patterns
+from . import database, patterns
 
-QUERIES = {**patterns.QUERIES}
-ORACLE = {**patterns.ORACLE}
+QUERIES = {**patterns.QUERIES, **database.QUERIES}
+ORACLE = {**patterns.ORACLE, **database.ORACLE}
