@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import database, patterns
+from . import analysis, database, patterns
 
-QUERIES = {**patterns.QUERIES, **database.QUERIES}
-ORACLE = {**patterns.ORACLE, **database.ORACLE}
+QUERIES = {**patterns.QUERIES, **database.QUERIES, **analysis.QUERIES}
+ORACLE = {**patterns.ORACLE, **database.ORACLE, **analysis.ORACLE}
