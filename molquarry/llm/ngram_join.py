@@ -5,8 +5,9 @@ Every document is the set of its word n-grams (64-bit hashes). Two documents lin
 
 1. Equal sets are one class, led by the smallest doc_id.
 2. Trees: in one fixed order of all n-grams, linked sets of size n share one of the first n - ceil(t * n) + 1, so
-   documents meet at their leading n-grams. The order puts n-grams behind that many documents of some part of the input
-   have (a bitmap of 2**CELL_BITS bits, whatever the corpus); the order sets the cost only, never the result. Each
+   documents meet at their leading n-grams. The order puts behind the n-grams that many documents of some part of the
+   input have, then those with common words (two bitmaps of 2**CELL_BITS bits, whatever the corpus): what leads is rare
+   but for copies. The order sets the cost only, never the result. Each
    n-gram sends its documents to the tree of the smallest doc_id among them: linear in the number of leading n-grams,
    and every linking pair meets in a tree. A tree has a part for each class of sizes, and only sizes that can link meet.
 3. A tree's leaves are the documents' bitmaps (4 to 8 bits an n-gram); nodes hold OR-ed bitmaps and size ranges. The
@@ -39,7 +40,7 @@ from .common import WordHashes, mix, slices, written
 from .components import components
 
 CELL_BITS = 21
-#: An n-gram goes behind when so many documents of one input partition have it.
+#: An n-gram goes behind when so many documents of one input partition have it; a word is common from so many places on.
 OFTEN = 8
 BLOCK = 768
 LEAF = 4
@@ -55,16 +56,20 @@ def word_hashes() -> WordHashes:
     return _HASHES
 
 
-def shingles(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams."""
-    if not words:
+def ngrams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of word hashes, in their order; fewer words make one."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
+    k = min(n, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    return out
+
+
+def shingles(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams."""
+    return np.unique(ngrams(hashes.of(words), n))
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -261,51 +266,69 @@ def _linked(groups: DataFrame, keys: list[str], payload: str, num: int, den: int
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest and signature of the set; and for each part of the input one row with its frequent cells."""
+    """doc_id, n_shingles, digest and signature of the set; and for each part of the input two rows (kind 0: n-grams,
+    1: words) with the cells that are frequent in it."""
+    names = ["doc_id", "n_shingles", "d1", "d2", "bits", "kind", "cells"]
 
     def run(batches):
-        hashes, counts = word_hashes(), np.zeros(1 << CELL_BITS, np.uint16)
+        hashes, counts, words, total = word_hashes(), np.zeros(1 << CELL_BITS, np.uint16), np.zeros(1 << CELL_BITS, np.int64), 0
         for b in slices(batches):
-            size, one, two, bits = [], [], [], []
+            size, one, two, bits, all_words = [], [], [], [], []
             for t in b.column(1).to_pylist():
-                s = shingles(text_words(t), n, hashes)
+                h = hashes.of(text_words(t))
+                s = np.unique(ngrams(h, n))
+                all_words.append(h)
                 size.append(len(s))
                 bits.append(signature(s).tobytes() if len(s) else None)
                 one.append(int(np.bitwise_xor.reduce(mix(s), initial=0)))
                 two.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), initial=np.uint64(0))))
-                cells = np.unique(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                cells = np.unique(_cells(s))
                 counts[cells] = np.minimum(counts[cells], 60000) + 1
+            h = np.concatenate(all_words)
+            words += np.bincount(_cells(h), minlength=1 << CELL_BITS)
+            total += len(h)
             rows = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.nulls(rows, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "bits", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.list_(pa.int32()))], names)
         often = np.flatnonzero(counts >= OFTEN + 2 * int(counts.mean())).astype(np.int32)
-        if len(often):
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([often], pa.list_(pa.int32()))], ["doc_id", "n_shingles", "d1", "d2", "bits", "cells"])
+        common = np.flatnonzero(words >= OFTEN + (total >> 18)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(2, pa.int64())] * 4, pa.nulls(2, pa.binary()), pa.array([0, 1], pa.int32()), pa.array([often, common], pa.list_(pa.int32()))], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, cells array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, kind int, cells array<int>")
 
 
-def _bitmap(profile: DataFrame) -> np.ndarray:
+def _bitmap(profile: DataFrame, kind: int) -> np.ndarray:
     """The frequent cells of all parts: 2**CELL_BITS bits at most."""
-    words = profile.filter("cells is not null").select(F.explode("cells").alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits")).collect()
+    words = profile.filter(F.col("kind") == kind).select(F.explode("cells").alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits")).collect()
     out = np.zeros(1 << CELL_BITS >> 6, np.uint64)
     for r in words:
         out[r["w"]] = r["bits"] & ((1 << 64) - 1)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _leading_ngrams(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(often))
+def _leading_ngrams(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame) -> DataFrame:
+    """The first n-grams of each document in the order (frequent or not, number of common words, hash)."""
+    sent = docs.sparkSession.sparkContext.broadcast([np.packbits(_bitmap(profile, kind)) for kind in (0, 1)])
 
     def run(batches):
-        hashes, behind = word_hashes(), np.unpackbits(sent.value).astype(bool)
+        hashes = word_hashes()
+        often, common = (np.unpackbits(x) for x in sent.value)
         for b in slices(batches):
             first, size = [], []
             for t in b.column(1).to_pylist():
-                s = shingles(text_words(t), n, hashes)
-                late = behind[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                first.append(np.concatenate((s[~late], s[late]))[: leading(len(s), num, den) if len(s) else 0].view(np.int64))
-                size.append(len(s))
+                h = hashes.of(text_words(t))
+                s, at = np.unique(ngrams(h, n), return_index=True)
+                if len(s):
+                    k = min(n, len(h))
+                    sums = np.concatenate(([0], np.cumsum(common[_cells(h)], dtype=np.int64)))
+                    rank = often[_cells(s)] * (n + 1) + sums[at + k] - sums[at]
+                    s = s[np.argsort(rank, kind="stable")[: leading(len(s), num, den)]]
+                first.append(s.view(np.int64))
+                size.append(len(at))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "first"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, first array<long>")
@@ -354,10 +377,10 @@ def join_ngrams(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id that links lead to, itself included)."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     profile = written(_profile(narrow, n), "profile")
-    rows = profile.filter("cells is null").drop("bits", "cells")
+    rows = profile.filter("kind is null").drop("bits", "kind", "cells")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("leader"))
     classes = written(classes, "classes")
-    links = _links(narrow, n, num, den, profile, classes.select(F.col("leader").alias("doc_id")), _bitmap(profile))
+    links = _links(narrow, n, num, den, profile, classes.select(F.col("leader").alias("doc_id")))
     # rows with one doc_id and different texts are one node
     same = rows.filter("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).filter("a > b")
     twice = same.join(classes.select(F.col("leader").alias("a")), "a", "left_semi")
@@ -386,14 +409,14 @@ def _meetings(blocked: DataFrame) -> DataFrame:
     return blocked.withColumn("_p", F.explode(pairs)).withColumn("i", F.col("_p.i")).withColumn("j", F.col("_p.j")).drop("_p", "_blocks", "block")
 
 
-def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, leaders: DataFrame, often: np.ndarray) -> DataFrame:
-    first = _leading_ngrams(docs, n, num, den, often).filter("doc_id is not null").join(leaders.distinct(), "doc_id", "left_semi")
+def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, leaders: DataFrame) -> DataFrame:
+    first = _leading_ngrams(docs, n, num, den, profile).filter("doc_id is not null").join(leaders.distinct(), "doc_id", "left_semi")
     meet = first.select(F.explode("first").alias("g"), "doc_id")
     # the tree of an n-gram is that of its smallest document; an n-gram of one document makes none
     least = meet.groupBy("g").agg(F.min("doc_id").alias("tree"), F.max("doc_id").alias("_max")).filter("_max > tree").drop("_max")
     members = written(meet.join(least, "g").select("tree", "doc_id").distinct(), "members")
     # possible links, by signatures
-    signs = profile.filter("cells is null and n_shingles > 0").select("doc_id", "bits", "n_shingles")
+    signs = profile.filter("kind is null and n_shingles > 0").select("doc_id", "bits", "n_shingles")
     near_sizes = members.join(signs.select("doc_id", "n_shingles"), "doc_id").select("tree", "doc_id", _size_classes("n_shingles", num, den).alias("size"))
     trees = _meetings(_blocked(near_sizes, ["tree", "size"])).join(signs, "doc_id").withColumn("label", F.col("doc_id"))
     clusters = written(components(_linked(trees, ["tree", "size", "i", "j"], "bits", num, den)), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
