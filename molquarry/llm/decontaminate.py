@@ -24,7 +24,8 @@ from .common import slices
 
 #: Every ASCII character but letters and digits becomes a space, A-Z become a-z; bytes from 0x80 stay.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text that is not lower-cased.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Benchmarks of up to so many words make one automaton; larger ones are cut into several, each sent on its own.
 SHARD_WORDS = 500_000
 BITS = 22
@@ -197,16 +198,16 @@ def scan(automaton: ItemAutomaton, texts: list[str | None]) -> list[tuple[int, l
 
 
 def _shards(benchmark: DataFrame, item_id: str, text: str, window: int) -> Iterator[ItemAutomaton]:
-    """Items read one after another, at most SHARD_WORDS words held at a time."""
-    held, size = [], 0
+    """Items read one after another, at most SHARD_WORDS words held at a time; one automaton at least."""
+    held, size, first = [], 0, True
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
     for r in rows.toLocalIterator():
         held.append((r["i"], r["t"]))
         size += len(words_of(r["t"]))
         if size >= SHARD_WORDS:
             yield ItemAutomaton(held, window)
-            held, size = [], 0
-    if held:
+            held, size, first = [], 0, False
+    if held or first:
         yield ItemAutomaton(held, window)
 
 
@@ -216,33 +217,24 @@ SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<str
 def match_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, spans (merged hit spans in words), items (sorted ids of items found)."""
     key = docs.schema[doc_id].dataType.simpleString()
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    parts = []
+    none = F.array().cast("array<struct<start:long,end:long>>")
+    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    # a benchmark of several automata goes through them one after another, in one pass over the documents
     for automaton in _shards(benchmark, item_id, item_text, window):
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def run(batches, sent=sent):
             for b in slices(batches):
-                got = scan(sent.value, b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([[{"start": a, "end": e} for a, e in merged(s)] for _, s, _ in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x for x in i if x is not None) for _, _, i in got], pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
-
-        parts.append(narrow.mapInArrow(run, f"doc_id {key}, {SPANS}"))
-    if not parts:
-        return match_items(docs, docs.sparkSession.createDataFrame([("", "")], "item_id string, text string"), window, doc_id, text)
-    if len(parts) == 1:
-        return parts[0]
-    # several automata: the spans of each document are put together; rows with one doc_id and number of words are one
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    both = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def join(batches):
-        for b in batches:
-            spans = [[{"start": a, "end": e} for a, e in merged([(x["start"], x["end"]) for x in s])] for s in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, b.schema.field(2).type), b.column(3)], ["doc_id", "n_words", "spans", "items"])
-
-    return both.mapInArrow(join, f"doc_id {key}, {SPANS}")
+                spans, items, n = [], [], []
+                for (words, s, i), s0, i0 in zip(scan(sent.value, b.column(1).to_pylist()), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    n.append(words)
+                    spans.append([{"start": x, "end": y} for x, y in merged([*s, *((z["start"], z["end"]) for z in s0)])])
+                    items.append(sorted({*i0, *(x for x in i if x is not None)}))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+
+        out = out.mapInArrow(run, f"doc_id {key}, text string, {SPANS}")
+    return out.drop("text")
 
 
 def remove_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
