@@ -27,6 +27,7 @@ from .tokens import word_ids
 
 SEQUENCE, PER_SHARD, END_ID, PAD_ID = 1024, 8192, 1, 0
 ROUNDS = 6
+MOST_SENT = 200_000
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -80,8 +81,9 @@ def slotted(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
     # one row for each part of the input
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = per.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    n = per.agg(F.sum("_n")).first()[0] or 0
-    indexed = kept.join(firsts, "_part").withColumn("index", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    parts, n = per.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    # a row for each part of the input: sent to all as long as that is a few megabytes
+    indexed = kept.join(F.broadcast(firsts) if parts <= MOST_SENT else firsts, "_part").withColumn("index", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
     def run(batches):
         for b in batches:
