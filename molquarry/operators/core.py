@@ -627,3 +627,27 @@ def _joined(df: DataFrame, new: DataFrame) -> DataFrame:
     on = (F.col("scope_id") == F.col("_s")) & (F.col("atom_ids") == F.col("_a")) & F.col("name").eqNullSafe(F.col("_m"))
     both = F.array_sort(F.array_union("atom_ids", F.coalesce("_x", F.array().cast("array<int>"))))
     return df.join(n, on, "left").select("scope_id", "atom_ids", "name", both.alias("_new"))
+
+
+def group_graph(groups: PatternSeq, most_rounds: int = 64) -> DataFrame:
+    """Pairs (scope_id, first, second: atom_ids) of groups that are bonded, directly or through unlabelled atoms only.
+
+    Unlabelled atoms take the least label that reaches them, and the least label of their stretch joins its groups.
+    """
+    scope = groups.scope
+    labelled = groups.long.select("scope_id", "atom_id", "atom_ids")
+    bonds = scope.both_ways.select("scope_id", "a", "b").distinct()
+    free = cut(scope.atoms.select("scope_id", "atom_id").join(labelled.select("scope_id", "atom_id").distinct(), ["scope_id", "atom_id"], "left_anti").withColumn("l", F.col("atom_id")))
+    inner = cut(bonds.join(free.select("scope_id", F.col("atom_id").alias("a")), ["scope_id", "a"]).join(free.select("scope_id", F.col("atom_id").alias("b")), ["scope_id", "b"]))
+    for _ in range(most_rounds):
+        low = inner.join(free.select("scope_id", F.col("atom_id").alias("b"), "l"), ["scope_id", "b"]).groupBy("scope_id", F.col("a").alias("atom_id")).agg(F.min("l").alias("m"))
+        new = cut(free.join(low, ["scope_id", "atom_id"], "left").select("scope_id", "atom_id", F.least("l", "m").alias("n"), "l"))
+        free = new.select("scope_id", "atom_id", F.col("n").alias("l"))
+        if new.filter("n <> l").isEmpty():
+            break
+    side = labelled.withColumnRenamed("atom_id", "a").join(bonds, ["scope_id", "a"])
+    direct = side.join(labelled.select("scope_id", F.col("atom_id").alias("b"), F.col("atom_ids").alias("other")), ["scope_id", "b"]).select("scope_id", "atom_ids", "other")
+    touch = side.join(free.select("scope_id", F.col("atom_id").alias("b"), "l"), ["scope_id", "b"]).select("scope_id", "atom_ids", "l").distinct()
+    through = touch.join(touch.withColumnRenamed("atom_ids", "other"), ["scope_id", "l"]).select("scope_id", "atom_ids", "other")
+    both = direct.unionByName(through).filter(F.col("atom_ids") < F.col("other")).distinct()
+    return both.select("scope_id", F.col("atom_ids").alias("first"), F.col("other").alias("second"))

@@ -194,3 +194,28 @@ def report(motifs: DataFrame) -> DataFrame:
 def write_by_state(entry: DataFrame, path: str) -> None:
     """entry has model and state: each state of each model is written apart."""
     entry.write.partitionBy("model", "state").parquet(path)
+
+
+def model_classes(model_atoms: DataFrame, model_bonds: DataFrame, metals: list[str], flat_degrees: float = 5.0) -> DataFrame:
+    """model and the sorted ids of its chiral atoms by class: near-planar (the largest angle of a bond to the plane of its
+    three neighbours is under flat_degrees), carbon, metal, and with a bond that is not single."""
+    both = model_bonds.select("model", F.col("a").alias("atom_id"), "b", "bond_type").unionByName(model_bonds.select("model", F.col("b").alias("atom_id"), F.col("a").alias("b"), "bond_type"))
+    at = model_atoms.select("model", F.col("atom_id").alias("b"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
+    near = both.join(at, ["model", "b"]).groupBy("model", "atom_id").agg(F.array_sort(F.collect_list(F.struct("b", "nx", "ny", "nz"))).alias("n"), F.max("bond_type").alias("most"))
+    rows = model_atoms.filter("is_chiral").join(near, ["model", "atom_id"], "left")
+    v = [[F.get("n", F.lit(i))[f"n{c}"] - F.col(c) for c in "xyz"] for i in range(3)]
+    e = [[b - a for a, b in zip(v[0], v[k], strict=True)] for k in (1, 2)]
+    cross = [e[0][1] * e[1][2] - e[0][2] * e[1][1], e[0][2] * e[1][0] - e[0][0] * e[1][2], e[0][0] * e[1][1] - e[0][1] * e[1][0]]
+    size = lambda u: F.sqrt(u[0] * u[0] + u[1] * u[1] + u[2] * u[2])
+    angle = lambda u: F.degrees(F.asin(F.least(F.abs(u[0] * cross[0] + u[1] * cross[1] + u[2] * cross[2]) / (size(u) * size(cross)), F.lit(1.0))))
+    flat = (F.size("n") >= 3) & (F.greatest(*map(angle, v)) < flat_degrees)
+    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("atom_id"))))
+    el = F.upper("element")
+    return rows.groupBy("model").agg(ids(flat).alias("near_planar"), ids(el == "C").alias("carbon"), ids(el.isin(metals)).alias("metal"), ids(F.col("most") > 1).alias("not_single"))
+
+
+def warnings(motif_atoms: DataFrame, motif_bonds: DataFrame, most_bonds: DataFrame) -> DataFrame:
+    """motif_id, atoms with more bonds than most_bonds(element, most) allows, and atoms at alternate locations."""
+    n = motif_bonds.select("motif_id", F.col("a").alias("atom_id")).unionByName(motif_bonds.select("motif_id", F.col("b").alias("atom_id"))).groupBy("motif_id", "atom_id").agg(F.count("*").alias("n"))
+    rows = motif_atoms.join(n, ["motif_id", "atom_id"], "left").join(F.broadcast(most_bonds), F.upper("element") == F.col("most_bonds_element"), "left")  # a row for each element
+    return rows.groupBy("motif_id").agg(F.count_if(F.col("n") > F.col("most")).alias("too_many_bonds"), F.count_if(F.coalesce(F.col("alt_loc"), F.lit("")) != "").alias("alternate_locations"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, database, patterns
+from . import analysis, database, more, patterns
 
-QUERIES = {**patterns.QUERIES, **database.QUERIES, **analysis.QUERIES}
-ORACLE = {**patterns.ORACLE, **database.ORACLE, **analysis.ORACLE}
+QUERIES = {**patterns.QUERIES, **database.QUERIES, **analysis.QUERIES, **more.QUERIES}
+ORACLE = {**patterns.ORACLE, **database.ORACLE, **analysis.ORACLE, **more.ORACLE}
