@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, shards, substring_dedup, toxicity
 from .common import shared_dir
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +87,3 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-
-#: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
