@@ -128,7 +128,7 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> None:
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, one row a document; labels are learnt only outside the held-out fold."""
     known = labels.filter(F.col(label).isNotNull() & (fold(doc_id, parts) != held)).groupBy(doc_id).agg(F.min(label).alias("y"))
-    counts = {r["y"] > 0: r["count"] for r in known.groupBy("y").count().collect()}
+    counts = {r["y"]: r["count"] for r in known.groupBy((F.col("y") > 0).alias("y")).count().collect()}
 
     def rows(ids: DataFrame) -> list:
         """Feature vectors of the documents with these ids: at most the sample's bound."""
