@@ -27,6 +27,13 @@ def _field(a: int, b: int, kind: str = "string") -> Column:
     return t if kind == "string" else F.nullif(t, F.lit("")).try_cast(kind)
 
 
+def _day(text: Column) -> Column:
+    """`05-MAR-98` as a date; years from 70 on are of the last century."""
+    year = F.substring(text, 8, 2)
+    whole = F.concat(F.initcap(F.lower(F.substring(text, 1, 7))), F.when(year >= "70", "19").otherwise("20"), year)
+    return F.try_to_timestamp(whole, F.lit("dd-MMM-yyyy")).cast("date")
+
+
 def read_pdb(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables atoms, bonds, secondary, modified and structures of all files of the path."""
     lines = _lines(spark, path)
@@ -41,12 +48,12 @@ def read_pdb(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     sheet = tagged.filter("record = 'SHEET'").select("structure_id", F.lit("sheet").alias("kind"), F.col("line_no").alias("elem_no"), _field(22, 22).alias("chain"), _field(23, 26, "int").alias("start_seq"), _field(34, 37, "int").alias("end_seq"))
     modified = tagged.filter("record = 'MODRES'").select("structure_id", _field(17, 17).alias("chain"), _field(19, 22, "int").alias("res_seq"), _field(23, 23).alias("ins_code"), _field(25, 27).alias("modified_from"))
     one = tagged.groupBy("structure_id").agg(
-        F.max(F.when(record == "HEADER", F.to_date(F.initcap(F.lower(F.substring("line", 51, 9))), "dd-MMM-yy"))).alias("released"),
+        F.max(F.when(record == "HEADER", _day(F.substring("line", 51, 9)))).alias("released"),
         F.max(F.when(record == "EXPDTA", _field(11, 79))).alias("experiment_method"),
         F.max(F.when(F.col("line").startswith("REMARK   2 RESOLUTION."), F.nullif(F.regexp_extract("line", r"([0-9]+\.[0-9]+)", 1), F.lit("")).try_cast("double"))).alias("resolution"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(record == "KEYWDS", F.struct("line_no", _field(11, 79).alias("t"))))), lambda x: x["t"]), " ").alias("_k"),
     )
-    structures = one.withColumn("keywords", F.filter(F.transform(F.split("_k", ","), F.trim), lambda x: x != "")).drop("_k")
+    structures = one.withColumn("keywords", F.filter(F.transform(F.split("_k", ","), lambda x: F.trim(x)), lambda x: x != "")).drop("_k")
     return {"atoms": at, "bonds": bonds, "secondary": helix.unionByName(sheet), "modified": modified, "structures": structures}
 
 
