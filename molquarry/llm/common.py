@@ -96,10 +96,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable):
+    """What an operator keeps in a worker from task to task. A worker holds that of one operator at a time."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes); kept for later batches up to a bound of entries, and right without that."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         import xxhash
 

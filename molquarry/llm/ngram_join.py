@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, slices, written
+from .common import WordHashes, kept, mix, slices, written
 from .components import components
 
 CELL_BITS = 21
@@ -46,14 +46,8 @@ BLOCK = 768
 LEAF = 4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_HASHES: WordHashes | None = None
-
-
 def word_hashes() -> WordHashes:
-    global _HASHES
-    if _HASHES is None:
-        _HASHES = WordHashes()
-    return _HASHES
+    return kept("hashes", WordHashes)
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
@@ -234,10 +228,10 @@ class ExactGroup(Group):
         return self.local[self.starts[i] : self.starts[i + 1]]
 
 
-def _groups(batches, keys: int) -> Iterator[tuple[list, list, list, list]]:
+def _groups(batches, keys: int, payload: str) -> Iterator[tuple[list, list, list, list]]:
     """Rows of sorted batches by equal first `keys` columns: (docs, labels, payloads, sizes)."""
     key, held = None, ([], [], [], [])
-    for b in batches:
+    for b in slices(batches, payload):
         cols = [b.column(i).to_pylist() for i in range(keys)]
         rows = zip(b.column(keys).to_pylist(), b.column(keys + 1).to_pylist(), b.column(keys + 2).to_pylist(), b.column(keys + 3).to_pylist(), strict=True)
         for now, row in zip(zip(*cols, strict=True), rows, strict=True):
@@ -256,7 +250,7 @@ def _linked(groups: DataFrame, keys: list[str], payload: str, num: int, den: int
     exact = payload == "set"
 
     def run(batches):
-        for docs, labels, data, sizes in _groups(batches, len(keys)):
+        for docs, labels, data, sizes in _groups(batches, len(keys), payload):
             arrays = [np.frombuffer(x, np.uint64) for x in data]
             group = ExactGroup(arrays, np.array(labels), num, den) if exact else Group(arrays, np.array(sizes, np.int64), np.array(labels), num, den)
             if links := group.run():

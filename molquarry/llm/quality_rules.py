@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, draw, mix, slices, written
+from .common import WordHashes, draw, kept, mix, slices, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -31,7 +31,6 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _DIGITS = bytes(b for b in range(256) if not 48 <= b <= 57)
 _MARKS = bytes(b for b in range(256) if b not in b".,;:!?\"'()")
-_HASHES: WordHashes | None = None
 
 
 def statistics(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
@@ -73,10 +72,9 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     key = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        global _HASHES
-        _HASHES = _HASHES or WordHashes()
+        hashes = kept("hashes", WordHashes)
         for b in slices(batches):
-            rows = np.array([statistics(t, _HASHES) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            rows = np.array([statistics(t, hashes) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 #: Words whose ids are kept in a worker from text to text; later ones are encoded again in each batch.
-KEPT = 600_000
+KEPT = 300_000
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:#$%&*|]*)")
 
 
@@ -82,11 +84,6 @@ class WordIds:
         return self.encoded(pa.array([text], pa.string()))[0].tobytes()
 
 
-_OPEN: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """One encoder for each worker and file; Spark keeps its workers from task to task."""
-    if path not in _OPEN:
-        _OPEN[path] = WordIds(path)
-    return _OPEN[path]
+    return kept(f"tokens {path}", lambda: WordIds(path))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, fold, slices
+from .common import draw, fold, kept, slices
 
 ORDER, DECAY, POWER = 4, 0.7, 3
 LANDMARKS, LEAST_DOCS, LEAST_Z, FAMILY, MEMBERS = 24, 5, 5.0, 4, 2
@@ -38,7 +38,7 @@ CHUNK = 8192
 HARD = 300
 #: What a sentence of ordinary words may reach.
 FAINT = 0.3
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 
 
 #: Stands before each word as a letter of its own, so that where a word begins counts.
@@ -303,10 +303,6 @@ def hinge(pos: np.ndarray, neg: np.ndarray, hard: np.ndarray, rng: np.random.Gen
     return mean_w / (steps - steps // 2), mean_b / (steps - steps // 2)
 
 
-#: Word scores of the scorer in use, in a worker that Spark keeps from task to task.
-_KEPT: dict[str, dict[str, float]] = {}
-
-
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", parts: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, one row a document; labels are learnt only outside the held-out fold."""
     known = labels.filter(F.col(label).isNotNull() & (fold(doc_id, parts) != held)).groupBy(doc_id).agg((F.max(label) > 0).alias("y"))
@@ -318,11 +314,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     name = uuid.uuid4().hex
 
     def run(batches):
-        if name not in _KEPT:
-            _KEPT.clear()
-            _KEPT[name] = {}
+        scores = kept(name, dict)
         for b in slices(batches, most=32 << 20):
-            s = scorer.probability(b.column(1), _KEPT[name]) if scorer else np.zeros(b.num_rows)
+            s = scorer.probability(b.column(1), scores) if scorer else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, score double")
