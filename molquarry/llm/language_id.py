@@ -15,6 +15,7 @@ text gives `und` throughout. The language, source and id columns are never part
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, fold, slices
+from .common import draw, fold, kept, slices
 
 CELLS = 1 << 16
 #: Learning sample: documents a language at most, and the longest text that it takes in (longer ones are only predicted).
@@ -143,8 +144,10 @@ def predict(model: Languages, texts: list[str | None], seen: dict[str, int], row
 
 
 def _predictor(model: Languages):
+    name = uuid.uuid4().hex
+
     def run(batches):
-        seen, rows = {}, []
+        seen, rows = kept(name, lambda: ({}, []))
         kind = pa.map_(pa.string(), pa.float64())
         for b in slices(batches, most=4 << 20):
             got = predict(model, b.column(1).to_pylist(), seen, rows)
@@ -156,9 +159,10 @@ def _predictor(model: Languages):
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Languages | None = None) -> DataFrame:
     """docs without those that have no language: null texts and texts without a letter. All columns stay."""
     model = model or learnt(docs, doc_id, text, lang, 3, 1)
+    name = uuid.uuid4().hex
 
     def run(batches):
-        seen, rows = {}, []
+        seen, rows = kept(name, lambda: ({}, []))
         for b in slices(batches, text, 4 << 20):
             got = predict(model, b.column(b.schema.get_field_index(text)).to_pylist(), seen, rows)
             yield b.filter(pa.array([g[0] != "und" for g in got]))
