@@ -58,10 +58,10 @@ add("top9_group_graph", lambda s, d: (lambda c: group_graph(c.residues_of("HIS",
   h AS (SELECT *, row_number() OVER (PARTITION BY scope_id, chain ORDER BY res_seq) AS k FROM q WHERE g) SELECT x.scope_id, x.f AS first, y.f AS second FROM h x JOIN h y ON x.scope_id = y.scope_id AND x.chain = y.chain AND y.k = x.k + 1""")
 add(
     "geo6_near",
-    lambda s, d: (lambda c: c.atoms_of("ZN").near(12, c.residues_of("CYS")).text().select("scope_id", "atoms"))(scope(s, d)),
+    lambda s, d: (lambda c: c.atoms_of("ZN").near(5, c.residues_of("CYS")).text().select("scope_id", "atoms"))(scope(s, d)),
     f"""WITH {SQL_ATOMS}, s0 AS (SELECT scope_id, 0 AS q, CAST(atom_id AS VARCHAR) AS pid, atom_id, x, y, z FROM a WHERE element = 'ZN'), s1 AS (SELECT scope_id, 1 AS q, chain || res_seq AS pid, atom_id, x, y, z FROM a WHERE res_name = 'CYS'),
     s AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1), k AS (SELECT scope_id, q, count(DISTINCT pid) AS n FROM s GROUP BY ALL), v AS (SELECT scope_id, arg_min(q, n * 10 + q) AS q FROM k GROUP BY scope_id HAVING count(*) = 2),
-    p0 AS (SELECT s.* FROM s JOIN v USING (scope_id, q)), m AS (SELECT p.scope_id, p.pid, q.q, q.pid AS other FROM p0 p JOIN s q ON p.scope_id = q.scope_id AND {NEAR} < 144 GROUP BY ALL),
+    p0 AS (SELECT s.* FROM s JOIN v USING (scope_id, q)), m AS (SELECT p.scope_id, p.pid, q.q, q.pid AS other FROM p0 p JOIN s q ON p.scope_id = q.scope_id AND {NEAR} < 25 GROUP BY ALL),
     ok AS (SELECT scope_id, pid FROM m GROUP BY ALL HAVING count(DISTINCT q) = 2), z AS (SELECT m.scope_id, m.pid, s.atom_id FROM m JOIN ok USING (scope_id, pid) JOIN s ON s.scope_id = m.scope_id AND s.q = m.q AND s.pid = m.other),
     w AS (SELECT DISTINCT scope_id, ids FROM (SELECT scope_id, pid, list_sort(list(DISTINCT atom_id)) AS ids FROM z GROUP BY scope_id, pid)), c AS (SELECT scope_id, q, pid, list(atom_id) AS ids FROM s GROUP BY ALL),
     n AS (SELECT w.scope_id, w.ids, count(*) FILTER (c.q = 0) AS n0, count(*) FILTER (c.q = 1) AS n1 FROM w JOIN c ON c.scope_id = w.scope_id AND list_has_all(w.ids, c.ids) GROUP BY ALL) SELECT scope_id, array_to_string(ids, '-') AS atoms FROM n WHERE n0 = 1 AND n1 = 1""",

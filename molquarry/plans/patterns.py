@@ -70,10 +70,10 @@ ORACLE["gen17_ring_atoms"] = f"WITH {SQL_ATOMS}, {RING} SELECT rf.scope_id, CAST
 LETTER = "CASE min(res_name) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in core.AMINO.items()) + " END"
 add(
     "gen18_regular_motifs",
-    lambda s: s.regular_motifs("[HK].[DERK]").df.select("scope_id", F.size("atom_ids").cast("long").alias("n_atoms")).groupBy("scope_id").agg(F.count("*").alias("n_motifs"), F.sum("n_atoms").alias("n_atoms")),
+    lambda s: s.regular_motifs("H.[YW]").df.select("scope_id", F.size("atom_ids").cast("long").alias("n_atoms")).groupBy("scope_id").agg(F.count("*").alias("n_motifs"), F.sum("n_atoms").alias("n_atoms")),
     f""", q AS (SELECT scope_id, chain, res_seq, {LETTER} AS l, count(*) AS n FROM a GROUP BY {RES}),
     c AS (SELECT scope_id, chain, string_agg(l, '' ORDER BY res_seq) AS t, list(n ORDER BY res_seq) AS ns FROM q WHERE l IS NOT NULL GROUP BY scope_id, chain),
-    m AS (SELECT scope_id, chain, ns, t, regexp_extract_all(t, '[HK].[DERK]') AS f, string_split_regex(t, '[HK].[DERK]') AS g FROM c),
+    m AS (SELECT scope_id, chain, ns, t, regexp_extract_all(t, 'H.[YW]') AS f, string_split_regex(t, 'H.[YW]') AS g FROM c),
     h AS (SELECT scope_id, ns, f, g, unnest(range(1, len(f) + 1)) AS i FROM m WHERE len(f) > 0),
     k AS (SELECT scope_id, list_sum(list_slice(ns, s + 1, s + 3)) AS n FROM (SELECT scope_id, ns, list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x))) + 3 * (i - 1) AS s FROM h))
     SELECT scope_id, count(*) AS n_motifs, CAST(sum(n) AS BIGINT) AS n_atoms FROM k GROUP BY scope_id""",
