@@ -119,17 +119,18 @@ def flags_of(entry: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return entry.withColumn("flags", F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))))
 
 
-#: Rules over the columns of entries(): the general ones of the analysis.
-RULES = {
-    "Missing": F.col("missing") > 0,
-    "HasAll": F.col("missing") == 0,
-    "Missing_Rings": F.col("missing_rings") > 0,
-    "Has_Substitution": F.col("substitutions") > 0,
-    "Has_NameMismatch": F.col("name_mismatches") > 0,
-    "Has_Foreign": F.col("foreign_atoms") > 0,
-    "Has_DuplicateNames": F.col("duplicate_names") > 0,
-    "HasAll_WithoutSubstitution": (F.col("missing") == 0) & (F.col("substitutions") == 0),
-}
+def rules() -> dict[str, Column]:
+    """Rules over the columns of entries(): the general ones of the analysis."""
+    return {
+        "Missing": F.col("missing") > 0,
+        "HasAll": F.col("missing") == 0,
+        "Missing_Rings": F.col("missing_rings") > 0,
+        "Has_Substitution": F.col("substitutions") > 0,
+        "Has_NameMismatch": F.col("name_mismatches") > 0,
+        "Has_Foreign": F.col("foreign_atoms") > 0,
+        "Has_DuplicateNames": F.col("duplicate_names") > 0,
+        "HasAll_WithoutSubstitution": (F.col("missing") == 0) & (F.col("substitutions") == 0),
+    }
 
 
 def flag_summary(flagged: DataFrame, names: list[str]) -> DataFrame:

@@ -134,7 +134,8 @@ def flagged(s, d):
     sub = V.substitutions(pairing, atoms, models).groupBy("motif_id").agg(F.count("*").alias("substitutions"))
     mis = V.name_mismatches(pairing, atoms, models).groupBy("motif_id").agg(F.count("*").alias("name_mismatches"))
     far = V.foreign_atoms(pairing, atoms).groupBy("motif_id").agg(F.count("*").alias("foreign_atoms"))
-    rules = {k: V.RULES[k] for k in ("Missing", "HasAll", "Has_Substitution", "Has_NameMismatch", "Has_Foreign", "HasAll_WithoutSubstitution")}
+    every = V.rules()
+    rules = {k: every[k] for k in ("Missing", "HasAll", "Has_Substitution", "Has_NameMismatch", "Has_Foreign", "HasAll_WithoutSubstitution")}
     return V.flags_of(V.entries(motifs, miss, sub, mis, far), rules), list(rules)
 
 
