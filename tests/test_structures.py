@@ -136,3 +136,12 @@ def test_files_in_and_out(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first().value == '"a ""b""",1'
     (tmp_path / "csa.dat").write_text("PDB ID,SITE NUMBER,RESIDUE TYPE,CHAIN ID,RESIDUE NUMBER,CHEMICAL FUNCTION,EVIDENCE TYPE,LITERATURE ENTRY\n1abc,1,HIS,A,7,S,LIT,1abc\nbad,row\n")
     assert [(r.pdb_id, r.site_number, r.chain, r.res_seq) for r in read_catalytic_sites(spark, str(tmp_path / "csa.dat")).collect()] == [("1abc", 1, "A", 7)]
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    run = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", run], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
