@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .core import PatternSeq, Scope, charge_class, range_pairs
+from .tables import cut
 
 METALLIC = 5
 
@@ -57,7 +58,7 @@ def equalise(atoms: DataFrame, kappa: float, total: float = 0.0, most_atoms: int
     atoms(scope_id, atom_id, x, y, z, a, b); atoms without parameters are left out. Returns scope_id, atom_id, charge, error.
     """
     kind = atoms.schema["scope_id"].dataType.simpleString()
-    known = atoms.filter("a is not null and b is not null")
+    known = cut(atoms.filter("a is not null and b is not null"))
     sizes = known.groupBy("scope_id").agg(F.count("*").alias("_n"))
     big = sizes.filter(F.col("_n") > most_atoms).select("scope_id", F.lit(None).cast("int").alias("atom_id"), F.lit(None).cast("double").alias("charge"), F.lit("too many atoms").alias("error"))
 
@@ -73,19 +74,30 @@ def equalise(atoms: DataFrame, kappa: float, total: float = 0.0, most_atoms: int
 def equalise_cutoff(atoms: DataFrame, kappa: float, radius: float, total: float = 0.0, correct: bool = True) -> DataFrame:
     """One small system for each atom, of its neighbours within radius; its total is their share of the molecule's."""
     kind = atoms.schema["scope_id"].dataType.simpleString()
-    known = atoms.filter("a is not null and b is not null")
+    known = cut(atoms.filter("a is not null and b is not null"))
     n = known.groupBy("scope_id").agg(F.count("*").alias("_n"))
     left = known.select("scope_id", F.col("atom_id").alias("pivot"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     near = range_pairs(left, known.select("scope_id", "atom_id", "x", "y", "z", "a", "b"), radius).join(n, "scope_id")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("atom_id")
-        share = total * len(pdf) / pdf["_n"].iloc[0]
-        q = _solve(pdf[["x", "y", "z"]].to_numpy(float), pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), kappa, share)
-        at = int(np.flatnonzero(pdf["atom_id"].to_numpy() == pdf["pivot"].iloc[0])[0])
-        return pd.DataFrame({"scope_id": [pdf["scope_id"].iloc[0]], "atom_id": [pdf["pivot"].iloc[0]], "charge": [q[at]]})
-
-    out = near.select("scope_id", "pivot", "atom_id", "x", "y", "z", "a", "b", "_n").groupBy("scope_id", "pivot").applyInPandas(solve, f"scope_id {kind}, atom_id int, charge double")
+    def solve(batches):
+        last = None  # the rows of the last system of a batch wait for the next one
+        for pdf in batches:
+            pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+            new = (pdf[["scope_id", "pivot"]] != pdf[["scope_id", "pivot"]].shift()).any(axis=1).to_numpy()
+            at = np.flatnonzero(new)
+            if len(at) > 1:
+                yield solved(pdf.iloc[: at[-1]], at)
+            last = pdf.iloc[at[-1] :] if len(at) else None
+        if last is not None and len(last):
+            yield solved(last, np.array([0, len(last)]))
+
+    def solved(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        x, a, b, ids, pivot, n_ = pdf[["x", "y", "z"]].to_numpy(float), pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), pdf["atom_id"].to_numpy(), pdf["pivot"].to_numpy(), pdf["_n"].to_numpy()
+        q = [_solve(x[i:j], a[i:j], b[i:j], kappa, total * (j - i) / n_[i])[int(np.flatnonzero(ids[i:j] == pivot[i])[0])] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return pd.DataFrame({"scope_id": pdf["scope_id"].iloc[at[:-1]].to_numpy(), "atom_id": pivot[at[:-1]], "charge": q})
+
+    dealt = near.select("scope_id", "pivot", "atom_id", "x", "y", "z", "a", "b", "_n").repartition("scope_id", "pivot").sortWithinPartitions("scope_id", "pivot", "atom_id")
+    out = cut(dealt.mapInPandas(solve, f"scope_id {kind}, atom_id int, charge double"))
     return corrected(out, total) if correct else out
 
 

@@ -50,10 +50,14 @@ add("chg2_parameters", lambda s, d: parametrised(s, d).groupBy("element", "multi
 add("chg3_groups", lambda s, d: (lambda c: Q.parameter_groups([c.atoms_of("ZN"), c.residues_of("HIS"), c.atoms_of()]).groupBy("scope_id", "group_no").agg(F.count("*").alias("n")))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, CASE WHEN element = 'ZN' THEN 0 WHEN res_name = 'HIS' THEN 1 ELSE 2 END AS group_no, count(*) AS n FROM a GROUP BY ALL")
 add("chg4_equalised", lambda s, d: Q.equalise(parametrised(s, d).filter("atom_id < 120"), 0.4, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE atom_id < 120 AND element <> 'ZN' GROUP BY 1")
 add("chg5_cutoff", lambda s, d: Q.equalise_cutoff(parametrised(s, d).filter("atom_id < 60"), 0.4, 8.0, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE atom_id < 60 AND element <> 'ZN' GROUP BY 1")
+# the same over whole molecules; the SQL of the two above stands for a part of the atoms
+add("chg4_equalised_whole", lambda s, d: Q.equalise(parametrised(s, d), 0.4, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE element <> 'ZN' GROUP BY 1")
+add("chg5_cutoff_whole", lambda s, d: Q.equalise_cutoff(parametrised(s, d), 0.4, 8.0, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE element <> 'ZN' GROUP BY 1")
 add("chg6_corrected", lambda s, d: Q.corrected(charges(s, d).filter("set_id = 1"), 2.0).select("scope_id", "atom_id", F.round("charge", 9).alias("charge")), f"WITH {SQL_ATOMS}, {SQL_CHARGES}, t AS (SELECT scope_id, CAST(sum(charge) AS DOUBLE) AS s, count(*) AS n FROM q WHERE set_id = 1 GROUP BY 1) SELECT scope_id, atom_id, round(charge + (2.0 - s) / n, 9) AS charge FROM q JOIN t USING (scope_id) WHERE set_id = 1")
 add("chg8_group_charges", lambda s, d: groups(s, d)[1].select("scope_id", "set_id", F.array_min("atom_ids").alias("first"), (F.round("charge", 6) + 0.0).alias("charge"), "least", "greatest"), f"{GROUPS} SELECT g.scope_id, set_id, min(a.atom_id) AS first, round(any_value(charge), 6) + 0.0 AS charge, any_value(least) AS least, any_value(greatest) AS greatest FROM g JOIN a USING (scope_id, chain, res_seq) GROUP BY g.scope_id, g.chain, g.res_seq, set_id")
 add("chg9_clusters", lambda s, d: Q.clusters(scope(s, d).residues_of()).groupBy("kind", "cluster").agg(F.count("*").alias("n")).filter("kind <> 'Atoms'"), f"WITH {SQL_ATOMS}, g AS (SELECT DISTINCT scope_id, chain, res_seq, res_name AS rn FROM a) SELECT 'Residues' AS kind, rn || '*1' AS cluster, count(*) AS n FROM g GROUP BY rn UNION ALL SELECT 'ChargeClass', CASE WHEN rn IN ('LYS','ARG','HIS') THEN 'Positive' WHEN rn IN ('ASP','GLU') THEN 'Negative' WHEN rn IN ('PHE','TYR','TRP') THEN 'Aromatic' WHEN rn IN ('CYS','SER','THR','ASN','GLN') THEN 'Polar' WHEN rn IN ('HOH','NAG','MAN','DA') THEN 'Unknown' ELSE 'NonPolar' END AS c, count(*) FROM g GROUP BY c")
 
+add("chg9_clusters_all", lambda s, d: Q.clusters(scope(s, d).residues_of()).groupBy("kind", "cluster").agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS}, g AS (SELECT DISTINCT scope_id, chain, res_seq, res_name AS rn FROM a) SELECT 'Residues' AS kind, rn || '*1' AS cluster, count(*) AS n FROM g GROUP BY rn UNION ALL SELECT 'ChargeClass', CASE WHEN rn IN ('LYS','ARG','HIS') THEN 'Positive' WHEN rn IN ('ASP','GLU') THEN 'Negative' WHEN rn IN ('PHE','TYR','TRP') THEN 'Aromatic' WHEN rn IN ('CYS','SER','THR','ASN','GLN') THEN 'Polar' WHEN rn IN ('HOH','NAG','MAN','DA') THEN 'Unknown' ELSE 'NonPolar' END AS c, count(*) FROM g GROUP BY c UNION ALL SELECT 'Atoms', k, count(*) FROM (SELECT string_agg(element || n, ' ' ORDER BY element) AS k FROM (SELECT scope_id, chain, res_seq, element, count(*) AS n FROM a GROUP BY ALL) GROUP BY scope_id, chain, res_seq) GROUP BY k")
 
 def statistics(s, d):
     c, g = groups(s, d)
@@ -64,6 +68,7 @@ def statistics(s, d):
 add("chg10_statistics", statistics, f"{GROUPS} SELECT rn AS res_name, set_id, count(*) AS n, round(min(round(charge, 6)), 3) + 0.0 AS least, round(max(round(charge, 6)), 3) + 0.0 AS greatest, round(quantile_cont(round(charge, 6), 0.5), 3) + 0.0 AS median FROM g GROUP BY ALL")
 add("chg11_correlation", lambda s, d: Q.all_correlations(groups(s, d)[1].withColumn("charge", F.round("charge", 6)), ["scope_id"], ["atom_ids"]).filter("set_x < set_y").select("scope_id", "set_x", "set_y", "n", F.round("rmsd", 6).alias("rmsd"), F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("pearson2", 6).alias("pearson2")), f"{GROUPS}, p AS (SELECT x.scope_id, x.set_id AS set_x, y.set_id AS set_y, round(x.charge, 6) AS x, round(y.charge, 6) AS y FROM g x JOIN g y USING (scope_id, chain, res_seq) WHERE x.set_id < y.set_id) SELECT scope_id, set_x, set_y, count(*) AS n, round(sqrt(avg((x - y)**2)), 6) AS rmsd, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y)**2, 6) AS pearson2 FROM p GROUP BY ALL")
 add("chg13_wide", lambda s, d: Q.wide(charges(s, d).filter("atom_id < 5 and not (set_id = 2 and atom_id = 3)"), ["scope_id", "atom_id"], [0, 1, 2]), f"WITH {SQL_ATOMS}, {SQL_CHARGES} SELECT scope_id, atom_id, CAST(CAST(max(charge) FILTER (set_id = 0) AS DOUBLE) AS VARCHAR) AS set_0, CAST(CAST(max(charge) FILTER (set_id = 1) AS DOUBLE) AS VARCHAR) AS set_1, coalesce(CAST(CAST(max(charge) FILTER (set_id = 2 AND atom_id <> 3) AS DOUBLE) AS VARCHAR), '-') AS set_2 FROM q WHERE atom_id < 5 GROUP BY ALL")
+add("chg13_wide_whole", lambda s, d: Q.wide(charges(s, d).filter("not (set_id = 2 and atom_id = 3)"), ["scope_id", "atom_id"], [0, 1, 2]), f"WITH {SQL_ATOMS}, {SQL_CHARGES} SELECT scope_id, atom_id, CAST(CAST(max(charge) FILTER (set_id = 0) AS DOUBLE) AS VARCHAR) AS set_0, CAST(CAST(max(charge) FILTER (set_id = 1) AS DOUBLE) AS VARCHAR) AS set_1, coalesce(CAST(CAST(max(charge) FILTER (set_id = 2 AND atom_id <> 3) AS DOUBLE) AS VARCHAR), '-') AS set_2 FROM q GROUP BY ALL")
 add("chg14_checks", lambda s, d: Q.input_checks(scope(s, d).atoms, ["C", "N", "O", "S"]), f"WITH {SQL_ATOMS} SELECT scope_id, true AS no_hydrogens, count(*) FILTER (element = 'ZN') AS unknown_elements, count(*) AS n_atoms, CAST(0 AS BIGINT) AS duplicate_ids FROM a GROUP BY 1")
 
 
@@ -98,8 +103,8 @@ def profile(s, d):
 PROFILE = "p AS (SELECT user_id AS channel_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS node, round(value % 7, 2) AS radius FROM events)"
 add("chn1_bottleneck", lambda s, d: C.bottleneck_filter(profile(s, d), 1.0, 3.0), f"WITH {PROFILE}, f AS (SELECT *, radius < 1.0 AS low FROM p WHERE node >= 1), i AS (SELECT *, node - row_number() OVER (PARTITION BY channel_id, low ORDER BY node) AS k FROM f), bad AS (SELECT channel_id FROM i WHERE low GROUP BY channel_id, k HAVING max(node) - min(node) >= 3) SELECT DISTINCT channel_id FROM p WHERE channel_id NOT IN (SELECT channel_id FROM bad)")
 add("chn2_length", lambda s, d: C.length_filter(profile(s, d), 30.0), f"WITH {PROFILE} SELECT channel_id, CAST(max(node) AS DOUBLE) AS length FROM p GROUP BY 1 HAVING max(node) >= 30")
-add("chn3_duplicates", lambda s, d: C.drop_duplicates(profile(s, d).filter("channel_id < 40 and node < 30")))
-add("chn4_distance", lambda s, d: C.channel_distance(profile(s, d).filter("channel_id < 20 and node < 20"), 6.0).select("channel_id", "other", F.round("distance", 6).alias("distance")))
+add("chn3_duplicates", lambda s, d: C.drop_duplicates(profile(s, d)))
+add("chn4_distance", lambda s, d: C.channel_distance(profile(s, d), 6.0).select("channel_id", "other", F.round("distance", 6).alias("distance")))
 
 
 def layers(s, d):
