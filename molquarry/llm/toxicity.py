@@ -9,7 +9,8 @@ from its worst sentence and from what all its sentences have together.
 Learning is on the driver, from a bounded sample of labelled documents (SAMPLE rows a class, whole texts of up to
 SAMPLE_CHARS characters; longer ones are only scored). Labels mark documents, so sentences are labelled through them:
 all sentences of clean documents are negative, and in turns the sentence of each toxic document that scores highest is
-its positive one. Landmarks are the words most bound to toxic documents. A logistic fit on document scores follows.
+its positive one. Landmarks are all words that are significantly bound to toxic documents,
+a few of each family; SAMPLE and LEAST_DOCS bound their number. A logistic fit on document scores follows.
 
 Defined cases: null and empty texts score as a text without any word. Words are never cut: those of over LONG characters
 are scored by overlapping windows, of which the greatest counts. Without labels of both classes in the learning folds
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import draw, fold, kept, slices
 
 ORDER, DECAY, POWER = 4, 0.7, 3
-LANDMARKS, LEAST_DOCS, LEAST_Z, FAMILY, MEMBERS = 24, 5, 5.0, 4, 2
+FALLBACK, LEAST_DOCS, LEAST_Z, FAMILY, MEMBERS = 24, 5, 5.0, 4, 2  # FALLBACK: words taken where none is significant
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LONG = 32
-EDGES = re.compile(r"^[^a-zà-öø-ÿ]+|[^a-zà-öø-ÿ]+$")
+EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 CHUNK = 8192
 HARD = 300
 #: What a sentence of ordinary words may reach.
@@ -231,7 +232,7 @@ def landmarks_of(toxic: list[str], fine: list[str]) -> list[str]:
         if k >= LEAST_DOCS:
             z[w] = (k / n - b.get(w, 0) / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
     best = sorted(z, key=lambda w: (-z[w], w))
-    strong = [w for w in best if z[w] > LEAST_Z] or best[:LANDMARKS]
+    strong = [w for w in best if z[w] > LEAST_Z] or best[:FALLBACK]
     # words that begin alike are one landmark: their longest common beginning that FAMILY of them have
     begins: dict[str, int] = {}
     for w in strong:
@@ -244,7 +245,7 @@ def landmarks_of(toxic: list[str], fine: list[str]) -> list[str]:
         shown[stem[w]] = shown.get(stem[w], 0) + 1
         if shown[stem[w]] <= MEMBERS:
             chosen |= {stem[w]: None, w: None}
-    return list(chosen)[:LANDMARKS]
+    return list(chosen)
 
 
 def fit(rows: list[tuple[str, bool]], seed: int = 5) -> Scorer | None:
