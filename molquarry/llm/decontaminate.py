@@ -13,6 +13,7 @@ benchmark marks nothing. Other columns are never read; the removal keeps them as
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -243,30 +244,39 @@ def remove_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
     A document of which hits cover more than `max_coverage` of the words goes altogether. n_chars, where there is such a
     column, follows the new text. Untouched documents stay as they are.
     """
-    out = docs
+    spans_at, original = f"_spans_{uuid.uuid4().hex}", docs.schema
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    out = docs.withColumn(spans_at, F.array().cast("array<struct<start:long,end:long>>"))
+    # all automata read the uncut text; only what they have found together is judged and cut
     for automaton in _shards(benchmark, item_id, item_text, window):
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def run(batches, sent=sent):
+        def gather(batches, sent=sent):
             for b in slices(batches, text):
-                at = b.schema.get_field_index(text)
-                texts = b.column(at).to_pylist()
-                keep, new, changed = [], [], False
-                for t, (n, spans, _) in zip(texts, scan(sent.value, texts), strict=True):
-                    spans = merged(spans)
-                    keep.append(sum(e - a for a, e in spans) <= max_coverage * n)
-                    changed |= bool(spans)
-                    new.append(cut(t, spans) if spans else t)
-                if changed:
-                    b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
-                    k = b.schema.get_field_index(n_chars)
-                    if k >= 0:
-                        sizes = [None if t is None else len(t) for t in new]
-                        b = b.set_column(k, b.schema.field(k), pa.array([s if x is not y else o for s, x, y, o in zip(sizes, new, texts, b.column(k).to_pylist(), strict=True)], b.schema.field(k).type))
-                yield b.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+                k = b.schema.get_field_index(spans_at)
+                found = scan(sent.value, b.column(b.schema.get_field_index(text)).to_pylist())
+                spans = [[{"start": x, "end": y} for x, y in merged([*s, *((z["start"], z["end"]) for z in s0)])] for (_, s, _), s0 in zip(found, b.column(k).to_pylist(), strict=True)]
+                yield b.set_column(k, b.schema.field(k), pa.array(spans, kind))
+
+        out = out.mapInArrow(gather, out.schema)
+
+    def run(batches):
+        for b in slices(batches, text):
+            at, k = b.schema.get_field_index(text), b.schema.get_field_index(n_chars)
+            texts = b.column(at).to_pylist()
+            spans = [[(z["start"], z["end"]) for z in s] for s in b.column(b.schema.get_field_index(spans_at)).to_pylist()]
+            b = b.drop_columns([spans_at])
+            hit = any(spans)
+            keep = [not s or sum(e - a for a, e in s) <= max_coverage * len(words_of(t)) for t, s in zip(texts, spans, strict=True)]
+            if hit:
+                new = [cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+                if k >= 0:
+                    sizes = [len(t) if s else o for t, s, o in zip(new, spans, b.column(k).to_pylist(), strict=True)]
+                    b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.schema.field(k).type))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return out.mapInArrow(run, original)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
