@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -13,16 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow slice that is worked on at a time inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     known = getattr(spark, "_molquarry_shared", None)
     if not known:
         known = "file://" + tempfile.mkdtemp(prefix="molquarry-")
@@ -30,17 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/molquarry/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/molquarry/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession) -> None:
-    """Remove what written() has left in the shared folder. Call it after the results have been stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/molquarry")
+    """Remove what this application has left in the shared folder. Call it after the results have been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -58,8 +67,26 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             yield b.slice(k, step)
 
 
-def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(f, schema), after which a worker gives back what the task has held."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def fold(doc_id: str | F.Column, parts: int):
@@ -68,23 +95,29 @@ def fold(doc_id: str | F.Column, parts: int):
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
-def draw(ids: DataFrame, key: str, bound: int, by: str | None = None) -> DataFrame:
-    """At most about `bound` rows (for each value of `by`) with the lowest hashes of `key`.
+def draw(ids: DataFrame, key: str, bound: int, by: str | None = None, chars: int | None = None, size: str | None = None) -> DataFrame:
+    """Rows of about `bound` values of `key` at most (for each value of `by`), those with the lowest hashes.
 
-    The cut is a hash threshold from one count, so nothing is sorted and no group meets in one task.
+    With `chars`, the sum of `size` over them is about `chars` at most. The cut is a hash threshold from one count, so
+    nothing is sorted and no group meets in one task. All rows of a drawn value come: put them together with one_each().
     """
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    if by is None:
-        n = ids.count()
-        return ids.filter(h < int((1 << 30) * min(1.0, bound / max(n, 1))))
-    counts = ids.groupBy(by).count().collect()
+    group = [] if by is None else [by]
+    size = F.col(size) if size else F.lit(0)
+    counts = ids.groupBy(*group, F.col(key).alias("_key")).agg(F.max(size).alias("_size")).groupBy(*group).agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum")).collect()
     keep = F.lit(False)
     for r in counts:
-        share = int((1 << 30) * min(1.0, bound / max(r["count"], 1)))
-        keep = keep | (F.col(by).eqNullSafe(F.lit(r[by])) & (h < share))
+        share = min(1.0, bound / max(r["_n"], 1), (chars or 0) / max(r["_sum"] or 0, 1) if chars else 1.0)
+        same = F.lit(True) if by is None else F.col(by).eqNullSafe(F.lit(r[by]))
+        keep = keep | (same & (h < int((1 << 30) * share)))
     return ids.filter(keep)
 
 
+def one_each(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row for each value of keys: of several values the one with the least hash, so that repeats stay bounded."""
+    return rows.groupBy(*keys).agg(F.min_by(value, F.xxhash64(value)).alias(value))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift), element by element."""
     x = x.astype(np.uint64, copy=True)
@@ -100,7 +133,7 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(name: str, make: Callable):
-    """What an operator keeps in a worker from task to task. A worker holds that of one operator at a time."""
+    """What an operator keeps in a worker from batch to batch of a task. A worker holds that of one operator at a time."""
     if name not in _KEPT:
         _KEPT.clear()
         _KEPT[name] = make()
@@ -110,7 +143,7 @@ def kept(name: str, make: Callable):
 class WordHashes(dict):
     """64-bit hash of each word (bytes); kept for later batches up to a bound of entries, and right without that."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         import xxhash
 

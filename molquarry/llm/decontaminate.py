@@ -13,7 +13,6 @@ benchmark marks nothing. Other columns are never read; the removal keeps them as
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 #: Every ASCII character but letters and digits becomes a space, A-Z become a-z; bytes from 0x80 stay.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -91,28 +90,24 @@ class ItemAutomaton:
         self.shorts: list[tuple[int, ...]] = [()] * n  # lengths of short items that are suffixes
         self.items_of: dict[int, set] = {}
         self.short_items: dict[tuple[int, int], set] = {}
+        by_length = sorted(range(1, n), key=self.length.__getitem__)
+        for s in by_length:
+            up = self.link[s]
+            self.at_window[s] = s if self.length[s] >= window > self.length[up] else self.at_window[up]
         ends: dict[int, set[int]] = {}
         for item_id, seq in seqs:
             state = 0
-            for w in seq:
+            for i, w in enumerate(seq, 1):
                 state = self.next[state][w]
-                if len(seq) >= window:
-                    s = state
-                    while s > 0 and self.length[self.link[s]] >= window:
-                        s = self.link[s]
-                    if self.length[s] >= window:
-                        self.items_of.setdefault(s, set()).add(item_id)
+                if i >= window:
+                    self.items_of.setdefault(self.at_window[state], set()).add(item_id)
             if len(seq) < window:
                 while self.length[self.link[state]] >= len(seq):
                     state = self.link[state]
                 ends.setdefault(state, set()).add(len(seq))
                 self.short_items.setdefault((state, len(seq)), set()).add(item_id)
-        for s in sorted(range(n), key=self.length.__getitem__):
-            if s == 0:
-                continue
-            up = self.link[s]
-            self.at_window[s] = s if self.length[s] >= window > self.length[up] else self.at_window[up]
-            self.shorts[s] = self.shorts[up] + tuple((s, k) for k in sorted(ends.get(s, ())))
+        for s in by_length:
+            self.shorts[s] = self.shorts[self.link[s]] + tuple((s, k) for k in sorted(ends.get(s, ())))
 
     def _pairs(self, seqs: list) -> None:
         """A bit for each pair of neighbouring item words: other pairs end every match of two words or more."""
@@ -218,24 +213,25 @@ SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<str
 def match_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, spans (merged hit spans in words), items (sorted ids of items found)."""
     key = docs.schema[doc_id].dataType.simpleString()
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     # a benchmark of several automata goes through them one after another, in one pass over the documents
-    for automaton in _shards(benchmark, item_id, item_text, window):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    sent = [docs.sparkSession.sparkContext.broadcast(automaton) for automaton in _shards(benchmark, item_id, item_text, window)]
 
-        def run(batches, sent=sent):
-            for b in slices(batches):
-                spans, items, n = [], [], []
-                for (words, s, i), s0, i0 in zip(scan(sent.value, b.column(1).to_pylist()), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                    n.append(words)
-                    spans.append([{"start": x, "end": y} for x, y in merged([*s, *((z["start"], z["end"]) for z in s0)])])
-                    items.append(sorted({*i0, *(x for x in i if x is not None)}))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+    def run(batches):
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            n, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for one in sent:
+                for d, (words, s, i) in enumerate(scan(one.value, texts)):
+                    n[d] = words
+                    spans[d] += s
+                    items[d] |= i
+            shown = [[{"start": x, "end": y} for x, y in merged(s)] for s in spans]
+            named = [sorted(x for x in i if x is not None) for i in items]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(shown, kind), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
 
-        out = out.mapInArrow(run, f"doc_id {key}, text string, {SPANS}")
-    return out.drop("text")
+    return mapped(narrow, run, f"doc_id {key}, {SPANS}")
 
 
 def remove_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -244,28 +240,18 @@ def remove_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
     A document of which hits cover more than `max_coverage` of the words goes altogether. n_chars, where there is such a
     column, follows the new text. Untouched documents stay as they are.
     """
-    spans_at, original = f"_spans_{uuid.uuid4().hex}", docs.schema
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = docs.withColumn(spans_at, F.array().cast("array<struct<start:long,end:long>>"))
-    # all automata read the uncut text; only what they have found together is judged and cut
-    for automaton in _shards(benchmark, item_id, item_text, window):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def gather(batches, sent=sent):
-            for b in slices(batches, text):
-                k = b.schema.get_field_index(spans_at)
-                found = scan(sent.value, b.column(b.schema.get_field_index(text)).to_pylist())
-                spans = [[{"start": x, "end": y} for x, y in merged([*s, *((z["start"], z["end"]) for z in s0)])] for (_, s, _), s0 in zip(found, b.column(k).to_pylist(), strict=True)]
-                yield b.set_column(k, b.schema.field(k), pa.array(spans, kind))
-
-        out = out.mapInArrow(gather, out.schema)
+    # every automaton is a broadcast of its own, and reads the uncut text; what they find together is judged and cut once
+    sent = [docs.sparkSession.sparkContext.broadcast(automaton) for automaton in _shards(benchmark, item_id, item_text, window)]
 
     def run(batches):
         for b in slices(batches, text):
             at, k = b.schema.get_field_index(text), b.schema.get_field_index(n_chars)
             texts = b.column(at).to_pylist()
-            spans = [[(z["start"], z["end"]) for z in s] for s in b.column(b.schema.get_field_index(spans_at)).to_pylist()]
-            b = b.drop_columns([spans_at])
+            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for one in sent:
+                for held, (_, found, _) in zip(spans, scan(one.value, texts), strict=True):
+                    held += found
+            spans = [merged(s) for s in spans]
             hit = any(spans)
             keep = [not s or sum(e - a for a, e in s) <= max_coverage * len(words_of(t)) for t, s in zip(texts, spans, strict=True)]
             if hit:
@@ -276,7 +262,7 @@ def remove_items(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_co
                     b = b.set_column(k, b.schema.field(k), pa.array(sizes, b.schema.field(k).type))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return out.mapInArrow(run, original)
+    return mapped(docs, run, docs.schema)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -23,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, fold, kept, slices
+from .common import draw, fold, kept, mapped, one_each, slices
 
 CELLS = 1 << 16
 #: Learning sample: documents a language at most, and the longest text that it takes in (longer ones are only predicted).
 SAMPLE, SAMPLE_CHARS = 1_500, 30_000
+#: Documents and characters of the learning sample in all, shared evenly by the languages.
+SAMPLE_ALL, SAMPLE_ALL_CHARS = 30_000, 60_000_000
+#: A column with more values than this is no column of languages.
 MOST_LANGUAGES = 500
 ROUNDS = 12
 PENALTY = 3.0
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -98,14 +101,18 @@ def mixture(like: np.ndarray, penalty: float = PENALTY) -> list[tuple[int, float
     return sorted(chosen, key=lambda x: (-x[1], x[0]))
 
 
-def learnt(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, held: int) -> Languages:
-    """From a bounded sample of the rows with a label outside the held-out fold; whole texts of up to SAMPLE_CHARS."""
+def learnt(docs: DataFrame, doc_id: str, text: str, lang: str, parts: int, held: int, most_languages: int = MOST_LANGUAGES) -> Languages:
+    """From a bounded sample of the rows with a label outside the held-out fold; whole texts of up to SAMPLE_CHARS.
+
+    Of rows with one doc_id and language one text is learnt. More than most_languages labels raise a ValueError.
+    """
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (fold(doc_id, parts) != held) & (F.length(text) <= SAMPLE_CHARS))
-    most = known.select(lang).distinct().limit(MOST_LANGUAGES + 1).count()
-    if most > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = draw(known.select(doc_id, text, lang), doc_id, min(SAMPLE, 30_000 // max(1, most)), lang).select(lang, text).collect()
-    return Languages(sorted((r[0], r[1]) for r in rows))
+    known = known.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.length(text).alias("size"))
+    most = known.select("lang").distinct().limit(most_languages + 1).count()
+    if most > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    drawn = draw(known, "id", min(SAMPLE, SAMPLE_ALL // max(1, most)), "lang", SAMPLE_ALL_CHARS // max(1, most), "size")
+    return Languages(sorted((r["lang"], r["text"]) for r in one_each(drawn, ["id", "lang"], "text").collect()))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 3, held: int = 1, model: Languages | None = None) -> DataFrame:
@@ -113,7 +120,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     model = model or learnt(docs, doc_id, text, lang, parts, held)
     key = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = narrow.mapInArrow(_predictor(model), f"doc_id {key}, lang_pred string, score double, languages map<string,double>")
+    out = mapped(narrow, _predictor(model), f"doc_id {key}, lang_pred string, score double, languages map<string,double>")
     return out.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
@@ -149,7 +156,7 @@ def _predictor(model: Languages):
     def run(batches):
         seen, rows = kept(name, lambda: ({}, []))
         kind = pa.map_(pa.string(), pa.float64())
-        for b in slices(batches, most=4 << 20):
+        for b in slices(batches, most=2 << 20):
             got = predict(model, b.column(1).to_pylist(), seen, rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], kind)], ["doc_id", "lang_pred", "score", "languages"])
 
@@ -163,8 +170,8 @@ def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches):
         seen, rows = kept(name, lambda: ({}, []))
-        for b in slices(batches, text, 4 << 20):
+        for b in slices(batches, text, 2 << 20):
             got = predict(model, b.column(b.schema.get_field_index(text)).to_pylist(), seen, rows)
             yield b.filter(pa.array([g[0] != "und" for g in got]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -15,10 +15,10 @@ Every document is the set of its word n-grams (64-bit hashes). Two documents lin
    sizes need. What is left of all trees forms clusters (connected components of possible links).
 4. Inside a cluster the traversal runs again on bitmaps, and what it leaves is compared exactly, on whole sets. Each
    document's set is sent once, and only if its cluster has another document.
-5. Trees and clusters of over BLOCK documents are cut into blocks by a hash of doc_id, so that no task holds more than two
-   blocks. Blocks of a tree meet pairwise (bitmaps only). A cluster's blocks are first linked inside, with the cluster's
-   first document in each; if that leaves it in several components, its blocks meet pairwise, and pairs of nodes
-   inside one component are passed over.
+5. Trees and clusters of over BLOCK documents or BLOCK_GRAMS n-grams are cut into blocks by a hash of doc_id, so that no
+   task holds more than two blocks. Blocks are first linked inside, with the group's first document in each. What then
+   is not in the largest component of the group (the rest) meets all blocks of the group, a block of the rest at a time;
+   pairs of nodes inside one component are passed over. So a group of n copies costs n, and n * rest / BLOCK rows more.
 6. Links go to connected components.
 
 Defined cases: null or empty text, or no word: the set is empty, n_shingles 0, linked with nothing. Fewer words than n:
@@ -36,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, kept, mix, slices, written
+from .common import WordHashes, kept, mapped, mix, slices, written
 from .components import components
 
 CELL_BITS = 21
 #: An n-gram goes behind when so many documents of one input partition have it; a word is common from so many places on.
 OFTEN = 8
-BLOCK = 768
+BLOCK, BLOCK_GRAMS = 768, 4 << 20
+#: Documents that are sought elsewhere are marked in a bitmap of MARK_BITS bits each, up to MOST_MARKED in all; beyond that they are joined.
+MARK_BITS, MOST_MARKED = 16, 1 << 27
 LEAF = 4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -257,7 +259,7 @@ def _linked(groups: DataFrame, keys: list[str], payload: str, num: int, den: int
                 yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in links], pa.int64()), pa.array([docs[j] for _, j in links], pa.int64())], ["a", "b"])
 
     dealt = groups.select(*keys, "doc_id", "label", payload, "n_shingles").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return mapped(dealt, run, "a long, b long")
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -292,12 +294,15 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
         common = np.flatnonzero(words >= OFTEN + (total >> 18)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([*[pa.nulls(2, pa.int64())] * 4, pa.nulls(2, pa.binary()), pa.array([0, 1], pa.int32()), pa.array([often, common], pa.list_(pa.int32()))], names)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, kind int, cells array<int>")
+    return mapped(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, kind int, cells array<int>")
 
 
 def _bitmap(profile: DataFrame, kind: int) -> np.ndarray:
-    """The frequent cells of all parts: 2**CELL_BITS bits at most."""
-    words = profile.filter(F.col("kind") == kind).select(F.explode("cells").alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits")).collect()
+    """The cells that are frequent in a part of the input (one in 1,000 parts, for very many): 2**CELL_BITS bits at most."""
+    parts = profile.filter(F.col("kind") == kind)
+    least = 1 + parts.count() // 1000
+    cells = parts.select(F.explode("cells").alias("c")).groupBy("c").count().filter(F.col("count") >= least)
+    words = cells.groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, c & 63))").alias("bits")).collect()
     out = np.zeros(1 << CELL_BITS >> 6, np.uint64)
     for r in words:
         out[r["w"]] = r["bits"] & ((1 << 64) - 1)
@@ -325,46 +330,65 @@ def _leading_ngrams(docs: DataFrame, n: int, num: int, den: int, profile: DataFr
                 size.append(len(at))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "first"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, first array<long>")
+    return mapped(docs, run, "doc_id long, n_shingles long, first array<long>")
 
 
-def _sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """Whole sets of the documents whose bit of `wanted` is set: all that meet others, and few more."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _sets(docs: DataFrame, n: int, ids: DataFrame) -> DataFrame:
+    """doc_id, set: whole sets of the documents with these ids, and few more."""
 
     def run(batches):
-        hashes, bits = word_hashes(), np.unpackbits(sent.value).astype(bool)
+        hashes = word_hashes()
         for b in slices(batches):
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(bits[id_slot(ids)]))
             sets = [shingles(text_words(t), n, hashes) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    return among(docs, ids, run, "doc_id long, set binary")
 
 
-ID_BITS = 23
+class Marks:
+    """A bitmap of ids, with so many bits that few others are taken for marked."""
 
+    def __init__(self, bits: int):
+        self.bits, self.held = bits, np.zeros(1 << bits >> 6, np.int64)
 
-def id_slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+    def slot(self, ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        at = self.slot(ids)
+        return (self.held[at >> 6] >> (at & 63)) & 1 == 1
 
-def _id_bitmap(ids: DataFrame) -> np.ndarray:
-    """2**ID_BITS bits (1 MB); a bit for each id, made part by part and put together by OR."""
 
-    def run(batches):
-        bits = np.zeros(1 << ID_BITS, bool)
+def among(docs: DataFrame, ids: DataFrame, run, schema: str) -> DataFrame:
+    """mapped(rows of docs whose first column is an id of ids, run, schema); a few other rows may be among them.
+
+    Up to MOST_MARKED / MARK_BITS ids go to all workers as a bitmap (16 MB), so that texts need no shuffle; more are joined.
+    """
+    name = docs.columns[0]
+    bits = max(16, (max(1, ids.count()) * MARK_BITS - 1).bit_length())
+    if 1 << bits > MOST_MARKED:
+        return mapped(docs.join(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), name, "left_semi"), run, schema)
+    marks = Marks(bits)
+
+    def mark(batches):
+        held = np.zeros(1 << bits >> 6, np.int64)
         for b in batches:
-            bits[id_slot(b.column(0).to_numpy(zero_copy_only=False))] = True
-        words = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], ["w", "bits"])
+            at = marks.slot(b.column(0).to_numpy(zero_copy_only=False))
+            np.bitwise_or.at(held, at >> 6, np.int64(1) << (at & 63))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["w", "bits"])
 
-    out = np.zeros(1 << ID_BITS >> 6, np.int64)
-    for r in ids.mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).collect():
-        out[r["w"]] = r["bits"]
-    return out.view(np.uint8)
+    for r in mapped(ids, mark, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        marks.held[r["w"]] = r["bits"]
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def kept_rows(batches):
+        for b in batches:
+            ids_ = b.column(0)
+            on = sent.value.has(ids_.fill_null(0).to_numpy(zero_copy_only=False)) & ids_.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(on))
+
+    return mapped(docs, lambda batches: run(kept_rows(batches)), schema)
 
 
 def join_ngrams(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -385,8 +409,9 @@ def join_ngrams(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_
 
 def _blocked(members: DataFrame, group: list[str]) -> DataFrame:
     """members of groups of two or more, with _blocks and a block for each row."""
-    sizes = members.groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1")
-    sized = members.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).drop("_n")
+    sizes = members.groupBy(*group).agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_grams")).filter("_n > 1")
+    blocks = F.least(F.col("_n"), F.greatest(F.ceil(F.col("_n") / BLOCK), F.ceil(F.col("_grams") / BLOCK_GRAMS))).cast("int")
+    sized = members.join(sizes, group).withColumn("_blocks", blocks).drop("_n", "_grams")
     return sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
 
 
@@ -396,11 +421,28 @@ def _size_classes(n: str, num: int, den: int):
     return F.explode(F.array(c, c + 1))
 
 
-def _meetings(blocked: DataFrame) -> DataFrame:
-    """Each row once for each meeting (i, j) of its block: i < j, or the one block of an uncut group with itself."""
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    pairs = F.filter(pairs, lambda p: (p["i"] < p["j"]) | (F.col("_blocks") == 1))
-    return blocked.withColumn("_p", F.explode(pairs)).withColumn("i", F.col("_p.i")).withColumn("j", F.col("_p.j")).drop("_p", "_blocks", "block")
+def _group_links(members: DataFrame, group: list[str], data: DataFrame, payload: str, num: int, den: int) -> DataFrame:
+    """Edges that join all members(group..., doc_id, n_shingles) of a group that link; data: doc_id, payload."""
+    blocked = written(_blocked(members, group), "blocked")
+    first = blocked.groupBy(*group).agg(F.min("doc_id").alias("_first"))
+    every = F.when(F.col("doc_id") == F.col("_first"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
+    inside = blocked.join(first, group).withColumn("block", F.explode(every)).withColumn("label", F.col("doc_id"))
+    near = written(_linked(inside.join(data, "doc_id"), [*group, "block"], payload, num, den), "links")
+    cut = blocked.filter("_blocks > 1")
+    if cut.isEmpty():
+        return near
+    known = cut.join(components(near).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    main = known.groupBy(*group, "label").agg(F.count("*").alias("_n")).groupBy(*group).agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).filter("_most < _all")
+    known = written(known.join(main.withColumn("_parts", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int")), group), "split")
+    if known.isEmpty():
+        return near
+    # a block of the rest meets a block of all
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_parts")).cast("int")
+    rest = known.filter("label <> _main").withColumn("i", part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    all_ = known.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("j", F.col("block"))
+    names = [*group, "i", "j", "doc_id", "n_shingles", "label"]
+    met = rest.select(*names).unionByName(all_.select(*names)).distinct()
+    return near.unionByName(_linked(met.join(data, "doc_id"), [*group, "i", "j"], payload, num, den))
 
 
 def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -411,27 +453,13 @@ def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, lead
     members = written(meet.join(least, "g").select("tree", "doc_id").distinct(), "members")
     # possible links, by signatures
     signs = profile.filter("kind is null and n_shingles > 0").select("doc_id", "bits", "n_shingles")
-    near_sizes = members.join(signs.select("doc_id", "n_shingles"), "doc_id").select("tree", "doc_id", _size_classes("n_shingles", num, den).alias("size"))
-    trees = _meetings(_blocked(near_sizes, ["tree", "size"])).join(signs, "doc_id").withColumn("label", F.col("doc_id"))
-    clusters = written(components(_linked(trees, ["tree", "size", "i", "j"], "bits", num, den)), "clusters").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    sized = members.join(signs.select("doc_id", "n_shingles"), "doc_id").select("tree", "doc_id", "n_shingles", _size_classes("n_shingles", num, den).alias("size"))
+    possible = _group_links(sized, ["tree", "size"], signs.select("doc_id", "bits"), "bits", num, den)
+    clusters = written(components(possible).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
     # links, by whole sets
-    sets = _sets(docs, n, _id_bitmap(clusters.select("doc_id"))).withColumn("n_shingles", F.lit(0).cast("long"))
-    blocked = _blocked(clusters, ["cluster"])
-    every = F.when(F.col("doc_id") == F.col("cluster"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
-    inside = blocked.withColumn("block", F.explode(every)).withColumn("label", F.col("doc_id"))
-    near = written(_linked(inside.join(sets, "doc_id"), ["cluster", "block"], "set", num, den), "links")
-    cut = blocked.filter("_blocks > 1")
-    if cut.isEmpty():
-        return near
-    found = components(near).withColumnRenamed("node", "doc_id")
-    known = cut.join(found, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    split = known.groupBy("cluster").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("cluster")
-    known = written(known.join(split, "cluster"), "split")
-    if known.isEmpty():
-        return near
-    met = _meetings(known)
-    mixed = met.groupBy("cluster", "i", "j").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("cluster", "i", "j")
-    return near.unionByName(_linked(met.join(mixed, ["cluster", "i", "j"]).join(sets, "doc_id"), ["cluster", "i", "j"], "set", num, den))
+    sets = _sets(docs, n, clusters.select("doc_id"))
+    sized = clusters.join(signs.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id")
+    return _group_links(sized, ["cluster"], sets, "set", num, den)
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,9 +3,13 @@
 A small network on surface features is trained with the non-negative unbiased risk
     pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)),
 from trusted positives (rows labelled good), unlabelled rows of the whole table, and a class prior pi. The prior is
-estimated from the share of good rows among the labelled rows of the learning folds. Scores are calibrated on those
-labelled rows by one logistic fit. All samples are bounded and drawn by a hash of doc_id: POSITIVES, UNLABELLED and
-CALIBRATED rows; only their feature vectors reach the driver.
+estimated from positives and unlabelled rows alone: a network of the same kind tells one from the other on one half of
+both, and on the other half the least ratio (share of unlabelled rows / share of positives) beyond a score, with its
+sampling error added, bounds the share of positives among the unlabelled rows. No negative label is used so far.
+
+A further, optional step (`calibrated`) sets the scores' scale: one logistic fit on labelled rows of both kinds. All
+samples are bounded and drawn by a hash of doc_id: POSITIVES, UNLABELLED and CALIBRATED ids with one vector each; only
+these feature vectors reach the driver.
 
 Defined cases: null or empty text has the features of an empty text and the score that these give. Without any label in
 the learning folds every score is the prior 0.5. Ties need no rule; repeated rows score alike; other columns are not read.
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, fold, slices
+from .common import draw, fold, mapped, slices
 
 POSITIVES, UNLABELLED, CALIBRATED = 6_000, 12_000, 6_000
 HIDDEN, STEPS, BATCH, RATE = 16, 1500, 512, 0.01
@@ -55,7 +59,7 @@ def featured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             rows = [[float(x) for x in features(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, x array<double>")
+    return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {key}, x array<double>")
 
 
 class Network:
@@ -111,42 +115,69 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 11) -> Net
     return net
 
 
+def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 13, least: float = 0.02, most: float = 0.98) -> float:
+    """Share of positives among unlabelled rows, from the best bin of a classifier of positive against unlabelled."""
+    rng = np.random.default_rng(seed)
+    p, u = (x[rng.permutation(len(x))] for x in (pos, unl))
+    if min(len(p), len(u)) < 4:
+        return 0.5
+    shares = []
+    for half in (0, 1):  # each half is judged by what the other one taught
+        net = train(p[half::2], u[half::2], 0.5)
+        zp, zu = (np.sort(net.raw(net.normal(x[1 - half :: 2]))[0]) for x in (p, u))
+        at = np.unique(np.concatenate((zp, zu)))
+        over_p, over_u = (1 - np.searchsorted(z, at, "left") / len(z) for z in (zp, zu))
+        at = over_p > 0.01  # a bin must hold enough positives for its ratio to mean something
+        error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(zp)) + 1 / np.sqrt(len(zu)))
+        bound = (over_u[at] + error) / over_p[at]
+        shares.append((over_u[at] / over_p[at])[int(np.argmin(bound))])
+    return float(np.clip(np.mean(shares), least, most))
+
+
 def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> None:
     """Logistic fit of the labels on the raw score (Newton steps), its slope kept positive."""
     if len(set(y.tolist())) < 2:
         return
     z = net.raw(net.normal(x))[0]
-    a = np.stack((z, np.ones_like(z)), 1)
-    w = np.array([1.0, 0.0])
+    middle, spread = z.mean(), z.std() + 1e-9
+    a = np.stack(((z - middle) / spread, np.ones_like(z)), 1)
+
+    def cost(w):
+        return np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ w)).sum() + 5e-4 * (w @ w)
+
+    w = np.zeros(2)
     for _ in range(50):
         p = sigmoid(a @ w)
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * (w - [1, 0]))
-        w = w + np.clip(step, -2, 2)
-    net.scale, net.shift = max(float(w[0]), 0.05), float(w[1])
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (y - p) - 1e-3 * w)
+        while cost(w + step) > cost(w) and np.abs(step).max() > 1e-6:
+            step = step / 2
+        w = w + step
+    net.scale = max(float(w[0]), 0.05) / spread
+    net.shift = float(w[1]) - net.scale * middle
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 4, held: int = 2) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 4, held: int = 2, calibrated: bool = True) -> DataFrame:
     """doc_id, held_out, score, one row a document; labels are learnt only outside the held-out fold."""
-    known = labels.filter(F.col(label).isNotNull() & (fold(doc_id, parts) != held)).groupBy(doc_id).agg(F.min(label).alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy((F.col("y") > 0).alias("y")).count().collect()}
+    known = labels.filter(F.col(label).isNotNull() & (fold(doc_id, parts) != held)).groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y"))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
 
-    def rows(ids: DataFrame) -> list:
-        """Feature vectors of the documents with these ids: at most the sample's bound."""
-        return featured(docs.join(F.broadcast(ids), doc_id), doc_id, text).collect()
+    def rows(drawn: DataFrame) -> dict:
+        """Feature vectors of the drawn documents, one for each id."""
+        found = featured(drawn, "id", "text").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+        return dict(sorted(((r["doc_id"], r["x"]) for r in found), key=lambda r: (r[0] is None, r[0])))
 
     net = None
-    if counts.get(True):
-        pos_ids = draw(known.filter("y > 0"), doc_id, POSITIVES).select(doc_id)
-        cal = draw(known, doc_id, CALIBRATED)
-        unl = draw(docs.select(doc_id, text), doc_id, UNLABELLED)
-        p = {r["doc_id"]: r["x"] for r in rows(pos_ids)}
-        u = [r["x"] for r in sorted(featured(unl, doc_id, text).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))]
-        truth = {r[doc_id]: float(r["y"] > 0) for r in cal.collect()}
-        c = {r["doc_id"]: r["x"] for r in rows(cal.select(doc_id))}
-        prior = min(0.98, counts[True] / sum(counts.values()))
-        if p and u:
-            net = train(np.array([p[k] for k in sorted(p)]), np.array(u), prior)
-            calibrate(net, np.array([c[k] for k in sorted(c)]), np.array([truth[k] for k in sorted(c)]))
+    p = rows(texts.join(F.broadcast(draw(known.filter("y > 0").select("id"), "id", POSITIVES)), "id"))
+    u = rows(draw(texts, "id", UNLABELLED)) if p else {}
+    if p and u:
+        positive, unlabelled = np.array(list(p.values())), np.array(list(u.values()))
+        net = train(positive, unlabelled, class_prior(positive, unlabelled))
+    if net and calibrated:
+        drawn = draw(known, "id", CALIBRATED)
+        truth = {r["id"]: float(r["y"] > 0) for r in drawn.collect()}
+        c = rows(texts.join(F.broadcast(drawn.select("id")), "id"))
+        if c:
+            calibrate(net, np.array(list(c.values())), np.array([truth[k] for k in c]))
     key = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -154,5 +185,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(x) if net else np.full(len(x), 0.5))], ["doc_id", "score"])
 
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, score double")
+    scored = mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {key}, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score")

@@ -1,12 +1,12 @@
 """Quality rules: statistics of each whole text, and an isolation forest over them.
 
 The forest is fitted on a bounded sample (FIT_ROWS rows, drawn by a hash of doc_id) of the statistics of documents that
-pass the base rules and are labelled good; its space spans a like sample of all that pass. TREES trees each split SUBSAMPLE of those rows at random values of random statistics; documents
-that few splits set apart are anomalous. The limit of the anomaly score comes from all labelled rows: the lowest score
+pass the base rules and are labelled good; its space spans all documents that pass. TREES trees each split SUBSAMPLE of
+those rows at random values of random statistics; documents that few splits set apart are anomalous. The limit of the anomaly score comes from all labelled rows: the lowest score
 beyond which at most MOST_GOOD_LOST of the good rows fall and the gain (bad share less good share rejected) is greatest.
 
 Defined cases: null or empty text, or no word: all statistics 0, base_failed, not kept. Ties at the limit are kept.
-Repeated rows count as often as they stand there. A doc_id with several labels takes the lowest. Without labelled rows
+Repeated rows count as often as they stand there, but once for the fit. A doc_id with several labels takes the lowest. Without labelled rows
 of both kinds, or without rows to fit on, the forest rejects nothing. Other columns are not read.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, draw, kept, mix, slices, written
+from .common import WordHashes, draw, kept, mapped, mix, slices, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -78,7 +78,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS])
 
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {key}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return mapped(narrow, run, f"doc_id {key}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def rates(x: np.ndarray) -> np.ndarray:
@@ -152,6 +152,20 @@ def anomaly(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], sub: int) -> np.
     return 2.0 ** (-total / max(1, len(trees)) / max(usual_path(sub), 1e-9))
 
 
+def box(passed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest rates of all rows."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = rates(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.shape[1], dtype=np.int32)), pa.array(x.min(0)), pa.array(x.max(0))], ["i", "lo", "hi"])
+
+    ends = mapped(passed.select(*COUNTS), run, "i int, lo double, hi double").groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = sorted((r["i"], r["lo"], r["hi"]) for r in ends.collect())  # one row for each rate
+    return np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, seed: int = 7) -> DataFrame:
     """doc_id, COUNTS, base_failed, anomaly and kept, one row a document."""
     stats = measured(docs, doc_id, text)
@@ -161,13 +175,13 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     truth = labels.filter(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("good"))
 
     def vectors(rows: DataFrame) -> np.ndarray:
-        x = np.array([tuple(r) for r in draw(rows, "doc_id", fit_rows).select(*COUNTS).collect()], np.int64).reshape(-1, len(COUNTS))
+        drawn = draw(rows, "doc_id", fit_rows).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("x"))
+        x = np.array([tuple(r["x"]) for r in drawn.collect()], np.int64).reshape(-1, len(COUNTS))
         return rates(x[np.lexsort(x.T)])
 
-    every = vectors(passed)
     fit = vectors(passed.join(truth.filter("good > 0"), "doc_id"))
-    fit = fit if len(fit) > 1 else every
-    trees = grow(fit, every.min(0), every.max(0), np.random.default_rng(seed)) if len(fit) > 1 else []
+    fit = fit if len(fit) > 1 else vectors(passed)
+    trees = grow(fit, *box(passed), np.random.default_rng(seed)) if len(fit) > 1 else []
     sub = min(SUBSAMPLE, max(2, len(fit)))
 
     def run(batches):
@@ -176,7 +190,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             s = np.round(anomaly(x, trees, sub), 9) if trees else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "anomaly"])
 
-    scored = stats.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double")
+    scored = written(mapped(stats, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double"), "anomalies")
     bins = scored.filter("not base_failed").join(truth, "doc_id").groupBy(F.floor(F.col("anomaly") * BINS).alias("bin"), (F.col("good") > 0).alias("good")).count().collect()  # 2 * BINS rows at most
     limit = calibrated({(r["bin"], r["good"]): r["count"] for r in bins})
     return scored.withColumn("kept", ~F.col("base_failed") & (F.floor(F.col("anomaly") * BINS) < limit))

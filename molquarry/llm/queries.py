@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, shards, substring_dedup, toxicity
-from .common import shared_dir
+from .common import own_dir
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
@@ -64,7 +64,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the shards, reads them again and returns what each record holds."""
-    path = f"{shared_dir(spark)}/molquarry/shards-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/shards-{uuid.uuid4().hex}"
     shards.write_shards(_read(spark, sf_dir, "documents"), path, tokenizer_path())
     return shards.digests(shards.read_from(spark, path))
 

@@ -14,7 +14,7 @@ a few of each family; SAMPLE and LEAST_DOCS bound their number. A logistic fit o
 
 Defined cases: null and empty texts score as a text without any word. Words are never cut: those of over LONG characters
 are scored by overlapping windows, of which the greatest counts. Without labels of both classes in the learning folds
-every score is 0. A doc_id with several labels takes the highest. Repeated rows score alike; other columns are not read.
+every score is 0. A doc_id with several labels takes the highest; of several texts of a doc_id one is learnt from. Repeated rows score alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, fold, kept, slices
+from .common import draw, fold, kept, mapped, one_each, slices
 
 ORDER, DECAY, POWER = 4, 0.7, 3
 FALLBACK, LEAST_DOCS, LEAST_Z, FAMILY, MEMBERS = 24, 5, 5.0, 4, 2  # FALLBACK: words taken where none is significant
@@ -39,7 +39,7 @@ CHUNK = 8192
 HARD = 300
 #: What a sentence of ordinary words may reach.
 FAINT = 0.3
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 #: Stands before each word as a letter of its own, so that where a word begins counts.
@@ -306,19 +306,20 @@ def hinge(pos: np.ndarray, neg: np.ndarray, hard: np.ndarray, rng: np.random.Gen
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", parts: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, one row a document; labels are learnt only outside the held-out fold."""
-    known = labels.filter(F.col(label).isNotNull() & (fold(doc_id, parts) != held)).groupBy(doc_id).agg((F.max(label) > 0).alias("y"))
-    ids = F.broadcast(draw(known, doc_id, SAMPLE, "y"))  # about 2 * SAMPLE ids
-    rows = docs.filter(F.length(text) <= SAMPLE_CHARS).join(ids, doc_id).select(doc_id, text, "y").collect()
-    scorer = fit([(r[text], bool(r["y"])) for r in sorted(rows, key=lambda r: (r[doc_id], r[text]))])
+    known = labels.filter(F.col(label).isNotNull() & (fold(doc_id, parts) != held)).groupBy(F.col(doc_id).alias("id")).agg((F.max(label) > 0).alias("y"))
+    ids = F.broadcast(draw(known, "id", SAMPLE, "y"))  # about 2 * SAMPLE ids
+    texts = docs.filter(F.length(text) <= SAMPLE_CHARS).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    rows = one_each(texts.join(ids, "id"), ["id", "y"], "text").collect()
+    scorer = fit([(r["text"], bool(r["y"])) for r in sorted(rows, key=lambda r: r["id"])])
     key = docs.schema[doc_id].dataType.simpleString()
 
     name = uuid.uuid4().hex
 
     def run(batches):
         scores = kept(name, dict)
-        for b in slices(batches, most=32 << 20):
+        for b in slices(batches, most=8 << 20):
             s = scorer.probability(b.column(1), scores) if scorer else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {key}, score double")
+    scored = mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {key}, score double")
     return scored.select("doc_id", F.coalesce(fold("doc_id", parts) == held, F.lit(False)).alias("held_out"), "score")
