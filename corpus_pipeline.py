@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.llm import decontaminate, language_id, ngram_join, packing, secrets
-from molquarry.llm.common import shared_dir
+from molquarry.llm.common import own_dir
 from molquarry.llm.queries import tokenizer_path
 
 
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/molquarry/pipeline-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
