@@ -1,13 +1,21 @@
-"""Best-fit packing of token pieces into sequences, as bulk-synchronous steps over rank ranges.
+"""Best-fit packing of token pieces into sequences, in bulk-synchronous rounds over tables of ranges.
 
 Pieces of equal length are interchangeable, and so are open sequences with equal gaps. A length class is therefore
-carried as a range of ranks, and a set of sequences that are filled alike as a range of numbers. There are at most
-`capacity` lengths and as many gaps, so the sorted lists of document classes and gap ranges that a step sweeps are
-bounded by the capacity, whatever the number of documents. Each step takes the longest class left; each of its ranks
-looks for the successor of its length among the sorted gaps; where more documents than gaps meet, lower ranks win and
-the rest go on to the next gap; what finds none opens new sequences. Gaps are updated and the next step follows. That
-is best-fit decreasing, exactly. The ranks of the pieces themselves are given out by Spark: a rank within (part of the
-input, length), and the sum of the counts of earlier parts. A join with the ranges gives each piece its place.
+carried as a range of ranks, and a set of sequences that are filled alike as a range of numbers: two tables whose sizes
+are bounded by the capacity and not by the number of documents. A round
+
+1. takes the longest documents left: all over half a sequence, later those of at least BAND times the longest length;
+2. deals their ranges and those of the gaps, sorted by size, to RANGES parts of the scale; each part is swept from the
+   largest size to the smallest. A document class takes the smallest gaps that hold it (its successors among the gaps) and
+   fills each with as many of it as fit; where documents and gaps conflict, ranks decide: longer classes first, then the
+   rank within the class. Gaps that arise wait for the next round, unless they lie in the part;
+3. sweeps what is left of all parts once more, so that documents reach gaps of higher parts; what finds none opens new
+   sequences;
+4. writes the updated gaps, the documents left, and the places given.
+
+Rounds go on until no document is left; their number goes with the logarithm of the capacity. The ranks of the pieces
+themselves are given out by Spark: a rank within (part of the input, length), and the sum of the counts of earlier parts.
+A join with the ranges gives each piece its place.
 
 Defined cases: null text is an empty text, whose document is the end id alone. Equal rows and equal doc_ids are packed
 as separate documents. Every piece is placed, none is cut but documents longer than a sequence. An empty table gives
@@ -16,8 +24,11 @@ an empty result.
 
 from __future__ import annotations
 
+import math
+import uuid
 import zlib
-from bisect import bisect_left, insort
+from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +40,9 @@ from .tokens import word_ids
 
 CAPACITY = 4096
 END_ID = 1
+RANGES, BAND = 8, 0.8
+#: Ranges of places that are sent to all tasks; more of them are joined by a shuffle.
+MOST_SENT = 200_000
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -59,60 +73,118 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     return mapped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Places for classes of lengths: (length, first rank, ranks, first sequence, offset) for each range of ranks."""
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: list[int] = []  # sorted
-    open_: dict[int, list[tuple[int, int]]] = {}  # gap: ranges of sequences (first, how many)
-    made = 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not open_.get(gap):
-                insort(gaps, gap)
-                open_[gap] = []
-            open_[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect_left(gaps, length)
-            if k < len(gaps):  # the successor of the length among the gaps
-                gap = gaps[k]
-                first, n = open_[gap].pop()
-                if not open_[gap]:
-                    gaps.pop(k)
-                took = min(n, left)
-                out.append((length, rank, took, first, capacity - gap))
-                add(gap, first + took, n - took)
-                add(gap - length, first, took)
-                rank, left = rank + took, left - took
-                continue
-            fit = capacity // length
-            whole, rest = divmod(left, fit)
-            for j in range(fit if whole else 0):  # the j-th place of each new sequence
-                out.append((length, rank + j * whole, whole, made, j * length))
-            add(capacity - fit * length, made, whole)
-            for j in range(rest):
-                out.append((length, rank + fit * whole + j, 1, made + whole, j * length))
-            add(capacity - rest * length, made + whole, int(rest > 0))
-            made += whole + (rest > 0)
-            left = 0
-    return out
+#: kind 0: `n` sequences from number `at` on with a gap of `size`; 1: `n` documents of length `size` from rank `at` on; 2:
+#: their places: `per` documents a sequence, in sequences from number `first` on, the first one at `offset`.
+STATE = "kind int, size long, at long, n long, first long, offset long, per long"
+NAMES = [x.split()[0] for x in STATE.split(", ")]
+
+
+def sweep(rows: Iterable[tuple[int, int, int, int]], capacity: int, low: int | None = None, made: int | None = None) -> list[tuple[int, ...]]:
+    """One sweep over (kind, size, at, n) of kinds 0 and 1, from the largest size down; rows of STATE.
+
+    With `low`, gaps that arise here and are not below it are swept as well. With `made`, the number of sequences so far,
+    documents that find no gap open new ones, whose gaps are swept here too; without it they are left.
+    """
+    todo = [(-size, kind, at, n) for kind, size, at, n in rows]
+    heapify(todo)
+    stack: list[tuple[int, int, int]] = []  # open gaps; the smallest on top
+    out: list[tuple[int, ...]] = []
+
+    def fresh(gap, at, n, opened):
+        if gap > 0 and n:
+            if opened or low is not None and gap >= low:
+                heappush(todo, (-gap, 0, at, n))
+            else:
+                out.append((0, gap, at, n, 0, 0, 0))
+
+    def place(length, rank, n, gap, at, per, opened=False):
+        out.append((2, length, rank, n, at, capacity - gap, per))
+        fresh(gap - per * length, at, n // per, opened)
+
+    while todo:
+        size, kind, at, n = heappop(todo)
+        size = -size
+        if kind == 0:
+            stack.append((size, at, n))
+            continue
+        while n and stack:
+            gap, first, m = stack.pop()
+            per = gap // size
+            whole = min(m, n // per)
+            if whole:
+                place(size, at, whole * per, gap, first, per)
+                at, n = at + whole * per, n - whole * per
+            elif n:  # fewer than one sequence takes
+                place(size, at, n, gap, first, n)
+                whole, n = 1, 0
+            if m > whole:
+                stack.append((gap, first + whole, m - whole))
+        if n and made is not None:
+            per = capacity // size
+            whole, rest = divmod(n, per)
+            if whole:
+                place(size, at, whole * per, capacity, made, per, True)
+            if rest:
+                place(size, at + whole * per, rest, capacity, made + whole, rest, True)
+            made, n = made + whole + (rest > 0), 0
+        if n:
+            out.append((1, size, at, n, 0, 0, 0))
+    return out + [(0, gap, first, m, 0, 0, 0) for gap, first, m in stack]
+
+
+def lower_end(longest: int, capacity: int) -> int:
+    """The least length of a round."""
+    return capacity // 2 + 1 if 2 * longest > capacity else max(1, math.floor(longest * BAND))
+
+
+def _swept(rows: DataFrame, parts: int, capacity: int, made: int | None = None) -> DataFrame:
+    """sweep() of each of `parts` ranges of sizes."""
+    wide = -(-(capacity + 1) // parts)
+
+    def run(batches):
+        every: dict[int, list] = {}
+        for b in batches:
+            for size, *row in zip(*(b.column(i).to_pylist() for i in (1, 0, 2, 3)), strict=True):
+                every.setdefault(size // wide, []).append((row[0], size, row[1], row[2]))
+        for k, part in every.items():
+            found = sweep(part, capacity, None if made is not None else k * wide, made)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*found, strict=True))], NAMES)
+
+    return mapped(rows.select(*NAMES).repartition(parts, F.floor(F.col("size") / wide)), run, STATE)
+
+
+def places_of(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Ranges of places (rows of kind 2) for classes of lengths: counts(length, n)."""
+    zero = F.lit(0).cast("long")
+    blank = [zero.alias(c) for c in ("first", "offset", "per")]
+    state = counts.select(F.lit(1).alias("kind"), F.col("length").cast("long").alias("size"), zero.alias("at"), F.col("n").cast("long").alias("n"), *blank)
+    while True:
+        last = F.when(F.col("kind") == 2, F.col("first") + F.ceil(F.col("n") / F.greatest("per", F.lit(1))))
+        now = state.agg(F.max(F.when(F.col("kind") == 1, F.col("size"))).alias("longest"), F.coalesce(F.max(last), F.lit(0)).alias("made")).first()
+        if now["longest"] is None:
+            return state.filter("kind = 2")
+        least = lower_end(now["longest"], capacity)
+        active = (F.col("kind") == 0) | ((F.col("kind") == 1) & (F.col("size") >= least))
+        near = _swept(state.filter(active), RANGES, capacity)
+        # what was placed in the parts is placed; the rest meets
+        far = _swept(near.filter("kind < 2"), 1, capacity, int(now["made"]))
+        state = written(state.filter(~active).unionByName(near.filter("kind = 2")).unionByName(far).coalesce(1), "packing")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces that have a column length (1 to capacity)."""
-    kept = written(pieces.withColumn("_part", F.spark_partition_id()), "pieces")
-    per = kept.groupBy("length", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    assert all(0 < x <= capacity for x in counts), "a piece is longer than a sequence"
-    places = best_fit(counts, capacity)
-    # few rows: each range ends a class, a gap range, or opens sequences
-    ranges = kept.sparkSession.createDataFrame(pa.table({n: pa.array([p[i] for p in places], pa.int64()) for i, n in enumerate(("length", "_from", "_took", "_first", "offset"))}).to_pandas(), "length long, _from long, _took long, _first long, offset long")
-    at = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
-    ranked = kept.withColumn("_at", F.row_number().over(at) - 1).join(per, ["length", "_part"]).withColumn("_rank", F.col("_at") + F.col("_before"))
-    placed = ranked.join(F.broadcast(ranges), ["length"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_took")))
-    return placed.select(*pieces.columns, (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
+    part, rank = (f"_{uuid.uuid4().hex}" for _ in range(2))
+    kept = written(pieces.withColumn(part, F.spark_partition_id()), "pieces")
+    per = kept.groupBy("length", part).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("length", part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(rank))
+    counts = written(kept.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # at most `capacity` rows
+    if counts.filter(~F.col("length").between(1, capacity)).count():
+        raise ValueError("a piece is longer than a sequence")
+    ranges = places_of(counts, capacity).select(F.col("size").alias("length"), F.col("at").alias("_from"), F.col("n").alias("_took"), F.col("first").alias("_first"), F.col("offset").alias("_offset"), F.col("per").alias("_per"))
+    ranges = F.broadcast(ranges) if ranges.count() <= MOST_SENT else ranges
+    at = Window.partitionBy("length", part).orderBy("doc_id", "piece")
+    ranked = kept.withColumn("_at", F.row_number().over(at) - 1).join(per, ["length", part]).withColumn(rank, F.col(rank) + F.col("_at"))
+    placed = ranked.join(ranges, ["length"]).filter((F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_from") + F.col("_took")))
+    step = F.col(rank) - F.col("_from")
+    return placed.select(*pieces.columns, (F.col("_first") + F.floor(step / F.col("_per"))).alias("sequence_id"), (F.col("_offset") + step % F.col("_per") * F.col("length")).alias("offset"))

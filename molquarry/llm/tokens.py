@@ -35,7 +35,6 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.model = self.full.model
         self.words: dict[str, bytes] = {"": b""}
         self.letters = byte_letters()
