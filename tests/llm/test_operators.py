@@ -1,10 +1,12 @@
 """Each operator on small tables: brute force, and nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import bisect
 import collections
 import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -308,11 +310,54 @@ def spread(places):
     return out
 
 
+def best_fit_decreasing(lengths, capacity):
+    gaps, made = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        made += at == len(gaps) and gap == capacity
+        bisect.insort(gaps, gap - n)
+    return made
+
+
+@pytest.mark.parametrize("draw", [lambda r: min(4096, max(1, round(r.lognormvariate(6.2, 1)))), lambda r: r.randint(1, 4096), lambda r: r.randint(1200, 1500), lambda r: r.choice([4096, 2049, 1366, 1000, 700, 3])])
+def test_packing_rounds_are_near_best_fit_decreasing(draw):
+    """The rounds over ranges as Spark runs them, with the parts of a round one after another."""
+    rng = random.Random(2)
+    lengths = [draw(rng) for _ in range(4000)]
+    state, made, places = [(1, n, 0, k) for n, k in collections.Counter(lengths).items()], 0, []
+    wide = -(-4097 // packing.RANGES)
+    while any(x[0] == 1 for x in state):
+        parts = collections.defaultdict(list)
+        least = packing.lower_end(max(x[1] for x in state if x[0] == 1), 4096)
+        wait = [x for x in state if x[0] == 1 and x[1] < least]
+        for x in state:
+            if x not in wait:
+                parts[x[1] // wide].append(x)
+        near = [y for k, x in parts.items() for y in packing.sweep(x, 4096, k * wide)]
+        far = packing.sweep([x[:4] for x in near if x[0] < 2], 4096, None, made)
+        places += [x for x in near + far if x[0] == 2]
+        state = [x[:4] for x in far if x[0] < 2] + wait
+        made = max([made, *(x[4] - (-x[3] // x[6]) for x in places)])
+    filled, ranks = collections.defaultdict(list), collections.defaultdict(list)
+    for _, n, at, k, first, offset, per in places:
+        ranks[n] += range(at, at + k)
+        for i in range(k):
+            filled[first + i // per].append((offset + i % per * n, n))
+    assert all(sorted(ranks[n]) == list(range(k)) for n, k in collections.Counter(lengths).items())
+    for parts in filled.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(filled) <= 1.01 * best_fit_decreasing(lengths, 4096)
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rng = random.Random(9)
     docs = table(spark, [(i, prose(rng, rng.choice(list(LETTERS)), rng.randint(0, 90)) + rng.choice(["", " it's I'LL", " ΑΣ ½ 日本", " <|endoftext|>", " a\x1cb\r\n!! x?"]), "en") for i in range(120)])
     got = packing.pack(packing.pieces_of(docs, tokenizer_path(), 64), 64).collect()
@@ -326,15 +371,7 @@ def test_packing(spark, odd, empty):
             assert o == at
             at += n
         assert at <= 64
-    gaps = []
-    for n in sorted((p.length for p in got), reverse=True):  # best-fit decreasing
-        fit = [g for g in gaps if g >= n]
-        if fit:
-            gaps.remove(min(fit))
-            gaps.append(min(fit) - n)
-        else:
-            gaps.append(64 - n)
-    assert len(spread(got)) == len(gaps)
+    assert len(spread(got)) <= 1.01 * best_fit_decreasing([p.length for p in got], 64) + 1
     one = packing.pack(packing.pieces_of(odd, tokenizer_path())).collect()
     assert sum(r.doc_id == 1 and r.length == 1 for r in one) == 1 and sum(r.doc_id == 7 and r.piece == 0 for r in one) == 2
     assert packing.pack(packing.pieces_of(empty, tokenizer_path())).count() == 0
@@ -389,20 +426,33 @@ def test_shards_round_trip(spark, tmp_path, odd, empty):
     from molquarry.llm.tokens import WordIds
 
     rng = random.Random(11)
-    docs = table(spark, [(i, prose(rng, "en", rng.randint(0, 80)), "en") for i in range(60)] + [(60, None, "en")])
+    docs = table(spark, [(i, prose(rng, "en", rng.randint(0, 80)), "en") for i in range(60)] + [(60, None, "en"), (61, prose(rng, "en", 400), "en"), (62, "", "en"), (62, "", "en")])
+    how = {"per_shard": 16, "sequence": 32}
     path = str(tmp_path / "a")
-    n = shards.write_shards(docs, path, tokenizer_path(), per_shard=16, sequence=32)
-    rows = sorted(shards.read_from(spark, path, per_shard=16).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(n)) and {len(r.record) for r in rows} == {4 + 64}
-    assert all((r.shard, r.row) == divmod(r.slot, 16) for r in rows)
-    enc, back = WordIds(tokenizer_path()), collections.defaultdict(dict)
+    n = shards.write_shards(docs, path, tokenizer_path(), buckets=4, **how)
+    rows = sorted(shards.read_from(spark, path, **how).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(n)) and all((r.shard, r.row) == divmod(r.slot, 16) for r in rows)
+    # the bytes at byte_offset of the one file of a shard are the record
     for r in rows:
-        k = int.from_bytes(r.record[:4], "little")
-        back[r.doc_id][r.piece] = np.frombuffer(r.record[4 : 4 + 2 * k], "<u2")
-    for r in docs.collect():
-        want = [*np.frombuffer(enc.packed(r.text), "<u4").tolist(), 1]
-        assert np.concatenate([back[r.doc_id][i] for i in sorted(back[r.doc_id])]).tolist() == want
-    assert sorted(r.slot for r in shards.read_from(spark, path, 20, 40, per_shard=16).collect()) == list(range(20, 40))
+        (file,) = (tmp_path / "a" / f"shard={r.shard}").glob("part-*")
+        with file.open("rb") as f:
+            f.seek(r.byte_offset)
+            raw = f.read(shards.stride_of(32))
+        assert struct.unpack_from(shards.HEADER, raw) == (r.doc_id, r.start, r.n_ids) and raw[-1:] == b"\n"
+        assert raw[struct.calcsize(shards.HEADER) : -1] == r.ids + bytes(64 - len(r.ids))
+    # in the order of the index the ids are those of all documents
+    slot = shards.feistel(np.arange(n), n, 2024)
+    stream = np.concatenate([np.frombuffer(rows[k].ids, "<u2") for k in slot.tolist()]).tolist()
+    ends = [i + 1 for i, x in enumerate(stream) if x == 1]
+    got = sorted(tuple(stream[a:b]) for a, b in zip([0, *ends], ends, strict=False))
+    enc = WordIds(tokenizer_path())
+    assert got == sorted((*np.frombuffer(enc.packed(r.text), "<u4").tolist(), 1) for r in docs.collect())
+    assert sum(len(r.ids) < 64 for r in rows) <= 4  # only a bucket's last sequence is padded
+    # any split of the input gives the same files
+    again = str(tmp_path / "again")
+    shards.write_shards(docs.repartition(7, "n_chars"), again, tokenizer_path(), buckets=4, **how)
+    assert [tuple(r) for r in rows] == [tuple(r) for r in sorted(shards.read_from(spark, again, **how).collect(), key=lambda r: r.slot)]
+    assert sorted(r.slot for r in shards.read_from(spark, path, 20, 40, **how).collect()) == list(range(20, 40))
     assert shards.write_shards(empty, str(tmp_path / "b"), tokenizer_path()) == 0
     assert shards.write_shards(odd, str(tmp_path / "c"), tokenizer_path()) > 11
 
