@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import math
 import tempfile
 import uuid
@@ -81,7 +80,6 @@ def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def released() -> None:
     _KEPT.clear()
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -16,9 +16,9 @@ Every document is the set of its word n-grams (64-bit hashes). Two documents lin
 4. Inside a cluster the traversal runs again on bitmaps, and what it leaves is compared exactly, on whole sets. Each
    document's set is sent once, and only if its cluster has another document.
 5. Trees and clusters of over BLOCK documents or BLOCK_GRAMS n-grams are cut into blocks by a hash of doc_id, so that no
-   task holds more than two blocks. Blocks are first linked inside, with the group's first document in each. What then
-   is not in the largest component of the group (the rest) meets all blocks of the group, a block of the rest at a time;
-   pairs of nodes inside one component are passed over. So a group of n copies costs n, and n * rest / BLOCK rows more.
+   task holds more than two blocks. Blocks are first linked inside, with PIVOTS documents of the group in each. What is
+   then not joined with the pivot that joins most (the rest) meets all blocks of the group, a block of the rest at a time;
+   pairs of nodes that are joined already are passed over. So a group of n copies costs n, and n * rest / BLOCK rows more.
 6. Links go to connected components.
 
 Defined cases: null or empty text, or no word: the set is empty, n_shingles 0, linked with nothing. Fewer words than n:
@@ -42,7 +42,7 @@ from .components import components
 CELL_BITS = 21
 #: An n-gram goes behind when so many documents of one input partition have it; a word is common from so many places on.
 OFTEN = 8
-BLOCK, BLOCK_GRAMS = 768, 4 << 20
+BLOCK, BLOCK_GRAMS, PIVOTS = 768, 4 << 20, 4
 #: Documents that are sought elsewhere are marked in a bitmap of MARK_BITS bits each, up to MOST_MARKED in all; beyond that they are joined.
 MARK_BITS, MOST_MARKED = 16, 1 << 27
 LEAF = 4
@@ -230,36 +230,55 @@ class ExactGroup(Group):
         return self.local[self.starts[i] : self.starts[i + 1]]
 
 
-def _groups(batches, keys: int, payload: str) -> Iterator[tuple[list, list, list, list]]:
-    """Rows of sorted batches by equal first `keys` columns: (docs, labels, payloads, sizes)."""
-    key, held = None, ([], [], [], [])
+def _groups(batches, keys: int, payload: str) -> Iterator[tuple]:
+    """Rows of sorted batches by equal first `keys` columns: (key, docs, labels, payloads, sizes, pivots)."""
+    key, held = None, ([], [], [], [], [])
     for b in slices(batches, payload):
         cols = [b.column(i).to_pylist() for i in range(keys)]
-        rows = zip(b.column(keys).to_pylist(), b.column(keys + 1).to_pylist(), b.column(keys + 2).to_pylist(), b.column(keys + 3).to_pylist(), strict=True)
+        rows = zip(*(b.column(keys + i).to_pylist() for i in range(5)), strict=True)
         for now, row in zip(zip(*cols, strict=True), rows, strict=True):
             if now != key:
-                if len(held[0]) > 1:
-                    yield held
-                key, held = now, ([], [], [], [])
+                if held[0]:
+                    yield key, *held
+                key, held = now, ([], [], [], [], [])
             for h, x in zip(held, row, strict=True):
                 h.append(x)
-    if len(held[0]) > 1:
-        yield held
+    if held[0]:
+        yield key, *held
 
 
 def _linked(groups: DataFrame, keys: list[str], payload: str, num: int, den: int) -> DataFrame:
-    """Edges (a, b) of groups(keys..., doc_id, label, payload, n_shingles); payload is `set` or `bits`."""
+    """Edges (a, b; kind 0) of groups(keys..., doc_id, label, payload, n_shingles, pivot); payload is `set` or `bits`.
+
+    kind 1, for groups that have pivots: the least pivot b that a is joined with inside its group, else a itself; with
+    the group's first key as group_id and the second one, if it has three, as part.
+    """
     exact = payload == "set"
 
     def run(batches):
-        for docs, labels, data, sizes in _groups(batches, len(keys), payload):
+        for key, docs, labels, data, sizes, pivots in _groups(batches, len(keys), payload):
             arrays = [np.frombuffer(x, np.uint64) for x in data]
             group = ExactGroup(arrays, np.array(labels), num, den) if exact else Group(arrays, np.array(sizes, np.int64), np.array(labels), num, den)
-            if links := group.run():
-                yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i, _ in links], pa.int64()), pa.array([docs[j] for _, j in links], pa.int64())], ["a", "b"])
-
-    dealt = groups.select(*keys, "doc_id", "label", payload, "n_shingles").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
-    return mapped(dealt, run, "a long, b long")
+            a, b = [], []
+            for i, j in group.run() if len(docs) > 1 else ():
+                a.append(docs[i])
+                b.append(docs[j])
+            kinds = [0] * len(a)
+            if any(pivots):
+                least: dict[int, int] = {}
+                for d, x, p in zip(docs, group.label.tolist(), pivots, strict=True):
+                    if p:
+                        least[x] = min(d, least.get(x, d))
+                a += docs
+                b += [least.get(x, d) for d, x in zip(docs, group.label.tolist(), strict=True)]
+                kinds += [1] * len(docs)
+            if a:
+                n = len(a)
+                of = [pa.array(kinds, pa.int8()), pa.array([key[0]] * n, pa.int64()), pa.array([key[1] if len(key) == 3 else 0] * n, pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *of], ["a", "b", "kind", "group_id", "part"])
+
+    dealt = groups.select(*keys, "doc_id", "label", payload, "n_shingles", "pivot").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    return mapped(dealt, run, "a long, b long, kind byte, group_id long, part int")
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -422,27 +441,35 @@ def _size_classes(n: str, num: int, den: int):
 
 
 def _group_links(members: DataFrame, group: list[str], data: DataFrame, payload: str, num: int, den: int) -> DataFrame:
-    """Edges that join all members(group..., doc_id, n_shingles) of a group that link; data: doc_id, payload."""
+    """Edges that join all members(group..., doc_id, n_shingles) of a group that link; data: doc_id, payload.
+
+    group is one long column, and a second int one where there is any.
+    """
     blocked = written(_blocked(members, group), "blocked")
-    first = blocked.groupBy(*group).agg(F.min("doc_id").alias("_first"))
-    every = F.when(F.col("doc_id") == F.col("_first"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
-    inside = blocked.join(first, group).withColumn("block", F.explode(every)).withColumn("label", F.col("doc_id"))
+    chosen = [F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id")) for i in range(PIVOTS)]
+    pivots = blocked.filter("_blocks > 1").groupBy(*group).agg(F.array_distinct(F.array(*chosen)).alias("_pivots"))
+    met = blocked.join(pivots, group, "left").withColumn("pivot", F.coalesce(F.array_contains("_pivots", F.col("doc_id")), F.lit(False)))
+    every = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("block"))
+    inside = met.withColumn("block", F.explode(every)).withColumn("label", F.col("doc_id"))
     near = written(_linked(inside.join(data, "doc_id"), [*group, "block"], payload, num, den), "links")
-    cut = blocked.filter("_blocks > 1")
-    if cut.isEmpty():
-        return near
-    known = cut.join(components(near).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    edges, labels = near.filter("kind = 0").select("a", "b"), near.filter("kind = 1")
+    if labels.isEmpty():
+        return edges
+    keys = [F.col("group_id").alias(group[0]), *(F.col("part").alias(g) for g in group[1:])]
+    # a pivot stands in every block; its own least label counts
+    labels = labels.groupBy(*keys, F.col("a").alias("doc_id")).agg(F.min("b").alias("label"))
+    known = blocked.filter("_blocks > 1").join(labels, [*group, "doc_id"])
     main = known.groupBy(*group, "label").agg(F.count("*").alias("_n")).groupBy(*group).agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).filter("_most < _all")
     known = written(known.join(main.withColumn("_parts", F.ceil((F.col("_all") - F.col("_most")) / BLOCK).cast("int")), group), "split")
     if known.isEmpty():
-        return near
+        return edges
     # a block of the rest meets a block of all
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("_parts")).cast("int")
     rest = known.filter("label <> _main").withColumn("i", part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     all_ = known.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("j", F.col("block"))
     names = [*group, "i", "j", "doc_id", "n_shingles", "label"]
-    met = rest.select(*names).unionByName(all_.select(*names)).distinct()
-    return near.unionByName(_linked(met.join(data, "doc_id"), [*group, "i", "j"], payload, num, den))
+    met = rest.select(*names).unionByName(all_.select(*names)).distinct().withColumn("pivot", F.lit(False))
+    return edges.unionByName(_linked(met.join(data, "doc_id"), [*group, "i", "j"], payload, num, den).select("a", "b"))
 
 
 def _links(docs: DataFrame, n: int, num: int, den: int, profile: DataFrame, leaders: DataFrame) -> DataFrame:
