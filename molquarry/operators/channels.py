@@ -114,6 +114,21 @@ def property_sums(residues: DataFrame, properties: DataFrame, by: list[str]) ->
     return p.groupBy(*by).agg(F.sum(c).alias("charge"), F.sum("ionizable").alias("ionizable"), F.count_if(c > 0).alias("positives"), F.count_if(c < 0).alias("negatives"), F.floor(F.avg("mutability")).alias("mutability"), F.avg("hydropathy").alias("hydropathy"))
 
 
+def property_means(residues: DataFrame, properties: DataFrame, backbone: DataFrame, by: list[str]) -> DataFrame:
+    """Means of hydropathy, hydrophobicity, polarity, log_p, log_d and log_s over side chains and backbones.
+
+    residues(by, res_name, side_chain boolean): those with a side chain in the lining count with their own properties
+    (res_name, ...), all others with backbone's. backbone has those columns, with two of its rows named as sources: GLY
+    (hydropathy, hydrophobicity), ASN (polarity), and the row BACKBONE (log_p, log_d, log_s). 0 without any residue.
+    """
+    names = ["hydropathy", "hydrophobicity", "polarity", "log_p", "log_d", "log_s"]
+    own = residues.filter("side_chain").join(F.broadcast(properties), "res_name").select(*by, *names)  # a row for each of 20 names
+    of = lambda c, r: F.max(F.when(F.col("res_name") == r, F.col(c))).alias(c)
+    base = backbone.agg(of("hydropathy", "GLY"), of("hydrophobicity", "GLY"), of("polarity", "ASN"), *(of(c, "BACKBONE") for c in names[3:]))
+    rest = residues.filter("not side_chain").select(*by).crossJoin(F.broadcast(base))  # one row
+    return own.unionByName(rest.select(*by, *names)).groupBy(*by).agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in names))
+
+
 def layer_weighted(layers: DataFrame, values: DataFrame) -> DataFrame:
     """Mean of values(residue, value) over all occurrences of residues in the layers of each channel."""
     r = layers.select("channel_id", F.explode(F.split("lining", ",")).alias("residue")).filter("residue <> ''")

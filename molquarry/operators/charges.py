@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import PatternSeq, Scope, charge_class, range_pairs
@@ -49,7 +50,11 @@ def _solve(x: np.ndarray, a: np.ndarray, b: np.ndarray, kappa: float, total: flo
         m[:n, :n] = np.where(d > 0, kappa / np.where(d > 0, d, 1), 0)
     m[np.arange(n), np.arange(n)] = b
     m[:n, n], m[n, :n] = -1, 1
-    return np.linalg.lstsq(m, np.append(-a, total), rcond=None)[0][:n]
+    right = np.append(-a, total)
+    try:
+        return np.linalg.solve(m, right)[:n]
+    except np.linalg.LinAlgError:  # atoms at one place with equal parameters: the least solution
+        return np.linalg.lstsq(m, right, rcond=None)[0][:n]
 
 
 def equalise(atoms: DataFrame, kappa: float, total: float = 0.0, most_atoms: int = 6000) -> DataFrame:
@@ -107,6 +112,24 @@ def corrected(charges: DataFrame, total: float, by: tuple[str, ...] = ("scope_id
     return charges.join(s, list(by)).withColumn("charge", F.col("charge") + (F.lit(total) - F.col("_s")) / F.col("_n")).drop("_s", "_n")
 
 
+def partition(scope: Scope, top: Callable[[Scope], PatternSeq], bottom: Callable[[Scope], PatternSeq]) -> DataFrame:
+    """scope_id, group_no (from 0, by least atom), atom_ids: of each pattern of `top` the atoms of the patterns of `bottom`
+    that lie in it. A structure without any group is one group of all its atoms."""
+    found = _inside(top(scope), bottom(scope))
+    rank = F.row_number().over(Window.partitionBy("scope_id").orderBy(F.array_min("atom_ids"), "atom_ids")) - 1
+    groups = found.withColumn("group_no", rank)
+    every = scope.atoms.groupBy("scope_id").agg(F.array_sort(F.collect_set("atom_id")).alias("atom_ids"), F.lit(0).alias("group_no"))
+    none = every.join(groups.select("scope_id").distinct(), "scope_id", "left_anti")
+    return groups.select("scope_id", "group_no", "atom_ids").unionByName(none.select("scope_id", "group_no", "atom_ids"))
+
+
+def _inside(top: PatternSeq, bottom: PatternSeq) -> DataFrame:
+    """scope_id, atom_ids: for each top pattern the atoms of all bottom patterns that lie wholly in it."""
+    parts = bottom.long.select("scope_id", F.col("atom_ids").alias("part"), "atom_id").distinct()
+    met = top.long.select("scope_id", "atom_ids", "atom_id").distinct().join(parts, ["scope_id", "atom_id"]).groupBy("scope_id", "atom_ids", "part").count().filter(F.col("count") == F.size("part"))
+    return met.select("scope_id", F.col("atom_ids").alias("_top"), F.explode("part").alias("atom_id")).groupBy("scope_id", "_top").agg(F.array_sort(F.collect_set("atom_id")).alias("atom_ids")).drop("_top")
+
+
 def group_charges(groups: PatternSeq, charges: DataFrame) -> DataFrame:
     """KEY, set_id, and the sum, least and greatest charge over the atoms that have one."""
     return groups.long.select("scope_id", "atom_ids", "atom_id").join(charges, ["scope_id", "atom_id"]).groupBy("scope_id", "atom_ids", "set_id").agg(F.sum("charge").alias("charge"), F.min("charge").alias("least"), F.max("charge").alias("greatest"))

@@ -560,6 +560,8 @@ class PatternSeq:
             label = new.select(*KEY, "atom_id", F.col("_l").alias("l"))
             if new.filter("_l <> l").isEmpty():
                 break
+        else:
+            raise RuntimeError("the labels did not settle")
         parts = label.groupBy(*KEY).agg(F.count_distinct("l").alias("_k"))
         return self.df.select(*KEY).join(parts, KEY, "left").select(*KEY, (F.coalesce("_k", F.lit(1)) == 1).alias("value"))
 
@@ -621,6 +623,12 @@ class PatternSeq:
         return one.join(p, ["scope_id", "atom_id"], "left").select(*KEY, "value")
 
 
+    def descriptor(self, descriptors: DataFrame, name: str) -> DataFrame:
+        """KEY, value: an entry of the map column `descriptors` of the pattern's structure (scope_id, descriptors), else null."""
+        d = descriptors.select("scope_id", F.try_element_at("descriptors", F.lit(name)).alias("value"))
+        return self.df.select(*KEY).join(d, "scope_id", "left").select(*KEY, "value")
+
+
 def _joined(df: DataFrame, new: DataFrame) -> DataFrame:
     """Each pattern of df with the atoms of new (KEY, name, _new) added; without any it stays as it is."""
     n = new.select(F.col("scope_id").alias("_s"), F.col("atom_ids").alias("_a"), F.col("name").alias("_m"), F.col("_new").alias("_x"))
@@ -632,7 +640,8 @@ def _joined(df: DataFrame, new: DataFrame) -> DataFrame:
 def group_graph(groups: PatternSeq, most_rounds: int = 64) -> DataFrame:
     """Pairs (scope_id, first, second: atom_ids) of groups that are bonded, directly or through unlabelled atoms only.
 
-    Unlabelled atoms take the least label that reaches them, and the least label of their stretch joins its groups.
+    Unlabelled atoms take the least label that reaches them, and follow the label of their label, so that rounds go with
+    the logarithm of the longest stretch. The groups of a stretch are joined with the least one of them.
     """
     scope = groups.scope
     labelled = groups.long.select("scope_id", "atom_id", "atom_ids")
@@ -641,13 +650,18 @@ def group_graph(groups: PatternSeq, most_rounds: int = 64) -> DataFrame:
     inner = cut(bonds.join(free.select("scope_id", F.col("atom_id").alias("a")), ["scope_id", "a"]).join(free.select("scope_id", F.col("atom_id").alias("b")), ["scope_id", "b"]))
     for _ in range(most_rounds):
         low = inner.join(free.select("scope_id", F.col("atom_id").alias("b"), "l"), ["scope_id", "b"]).groupBy("scope_id", F.col("a").alias("atom_id")).agg(F.min("l").alias("m"))
-        new = cut(free.join(low, ["scope_id", "atom_id"], "left").select("scope_id", "atom_id", F.least("l", "m").alias("n"), "l"))
+        new = free.join(low, ["scope_id", "atom_id"], "left").select("scope_id", "atom_id", F.least("l", "m").alias("n"), "l")
+        jump = new.select("scope_id", F.col("atom_id").alias("n"), F.col("n").alias("j"))
+        new = cut(new.join(jump, ["scope_id", "n"]).select("scope_id", "atom_id", F.col("j").alias("n"), "l"))
         free = new.select("scope_id", "atom_id", F.col("n").alias("l"))
         if new.filter("n <> l").isEmpty():
             break
+    else:
+        raise RuntimeError("the labels did not settle")
     side = labelled.withColumnRenamed("atom_id", "a").join(bonds, ["scope_id", "a"])
     direct = side.join(labelled.select("scope_id", F.col("atom_id").alias("b"), F.col("atom_ids").alias("other")), ["scope_id", "b"]).select("scope_id", "atom_ids", "other")
     touch = side.join(free.select("scope_id", F.col("atom_id").alias("b"), "l"), ["scope_id", "b"]).select("scope_id", "atom_ids", "l").distinct()
-    through = touch.join(touch.withColumnRenamed("atom_ids", "other"), ["scope_id", "l"]).select("scope_id", "atom_ids", "other")
+    through = touch.join(touch.groupBy("scope_id", "l").agg(F.min("atom_ids").alias("_first")), ["scope_id", "l"]).select("scope_id", F.col("_first").alias("atom_ids"), F.col("atom_ids").alias("other"))
+    # a bond between groups is seen from both sides
     both = direct.unionByName(through).filter(F.col("atom_ids") < F.col("other")).distinct()
     return both.select("scope_id", F.col("atom_ids").alias("first"), F.col("other").alias("second"))

@@ -77,11 +77,64 @@ def snapshot_union(views: dict[str, DataFrame], key: str, atoms: str) -> tuple[D
     """Entries of several views, one of each id (case-insensitive); and the counts of each view and of all."""
     every = reduce(DataFrame.unionByName, [v.withColumn("_view", F.lit(n)) for n, v in views.items()])
     idc = F.lower(F.col(key).cast("string"))
-    one = every.withColumn("_id", idc).dropDuplicates(["_id"]).drop("_view")
+    rest = [c for c in every.columns if c != "_view"]
+    # of equal ids the row of the first view in the order of their names stays; then the least row
+    one = every.withColumn("_id", idc).groupBy("_id").agg(F.min_by(F.struct(*rest), F.struct("_view", F.xxhash64(*rest))).alias("_r")).select("_id", "_r.*")
     per = every.groupBy(F.col("_view").alias("view")).agg(F.count("*").alias("n_entries"), F.sum(atoms).alias("n_atoms"))
     return one.drop("_id"), per.unionByName(one.agg(F.lit("total").alias("view"), F.count("*").alias("n_entries"), F.sum(atoms).alias("n_atoms")))
 
 
+def reindex(scope: Scope, structures: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every entry computed anew, and the action (Updated) of each: scope_id, action."""
+    index = build_index(scope, structures)
+    return index, index.select("scope_id", F.lit("Updated").alias("action"))
+
+
+#: The columns of the default export, in order, and the index columns that they come from.
+EXPORT = [("Id", "scope_id"), ("SizeInBytes", "size_in_bytes"), ("AtomCount", "atom_count"), ("ResidueCount", "residue_count"), ("WeightInkDa", "weight"), ("ResolutionInAng", "resolution"), ("ReleaseDate", "released"), ("LatestRevisionDate", "latest_revision"), ("ExperimentMethod", "experiment_method"), ("PolymerType", "polymer_type"), ("ProteinStoichiometry", "stoichiometry"), ("ProteinStoichiometryString", "stoichiometry_string"), ("Authors", "authors"), ("Keywords", "keywords"), ("EcNumbers", "ec_numbers"), ("HostOrganisms", "host_organisms"), ("HostOrganismsGenus", "host_organism_genus"), ("HostOrganismsId", "host_organism_ids"), ("OriginOrganisms", "origin_organisms"), ("OriginOrganismsGenus", "origin_organism_genus"), ("OriginOrganismsId", "origin_organism_ids"), ("AtomTypes", "atom_types"), ("ResidueTypes", "residue_types")]
+
+
+def export_rows(index: DataFrame, separator: str = "¦") -> DataFrame:
+    """The 23 columns of the default export: arrays joined by separator, dates as y-M-d, null where the index has none."""
+    kinds = dict(index.dtypes)
+
+    def column(c: str) -> Column:
+        if c not in kinds:
+            return F.lit(None).cast("string")
+        if kinds[c].startswith("array"):
+            return F.array_join(c, separator)
+        if kinds[c] in ("date", "timestamp"):
+            return F.date_format(c, "y-M-d")
+        return F.col(c).cast("string") if c == "scope_id" else F.col(c)
+
+    return index.select(*(column(c).alias(name) for name, c in EXPORT))
+
+
+def freeze(entries: DataFrame, path: str) -> None:
+    """A snapshot: the entries as they are now, whatever becomes of the index."""
+    entries.write.parquet(path)
+
+
+def frozen(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def view_of_version(spark: SparkSession, path: str, name: str, filters: Sequence[Column], folder: str, atoms: str = "atom_count") -> DataFrame:
+    """Statistics of a named view over the last version under path: kept under folder, and made anew only for a new version.
+
+    The filtered entries are registered as a temporary view of that name. Returns version, n_entries, average_atoms.
+    """
+    version = last_version(spark, path)
+    rows = select_entries(read_version(spark, path, version), filters)
+    rows.createOrReplaceTempView(name)
+    kept = f"{folder}/{name}/version={version}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(kept)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        stats = rows.agg(F.lit(version).alias("of_version"), F.count("*").alias("n_entries"), F.ceil(F.avg(atoms)).alias("average_atoms"))
+        stats.write.parquet(kept)
+    return spark.read.parquet(kept)
+
+
 def view(index: DataFrame, name: str, filters: Sequence[Column]) -> DataFrame:
     """Registers the filtered entries as a temporary view and returns its statistics."""
     rows = select_entries(index, filters)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import KEY, PatternSeq, Scope
+from .tables import cut
 
 
 def run(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -> DataFrame:
@@ -19,6 +20,37 @@ def run(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -> Data
     return reduce(DataFrame.unionByName, [entries(make(scope)).withColumn("query_id", F.lit(q)) for q, make in queries.items()])
 
 
+def run_apart(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -> tuple[DataFrame, DataFrame]:
+    """run(), each query computed on its own: an error of one does not stop the others.
+
+    Returns the pattern rows, and errors (query_id, error_type, message). The results are written to the shared folder.
+    """
+    spark = scope.atoms.sparkSession
+    done, failed = [], []
+    for q in queries:
+        try:
+            done.append(cut(run({q: queries[q]}, scope)))
+        except Exception as e:  # whatever a query fails with is its row
+            failed.append((q, "Generic" if isinstance(e, ValueError) else "Computation", str(e).split("\n")[0]))
+    errors = spark.createDataFrame(failed, "query_id string, error_type string, message string")
+    empty = run({"none": lambda c: c.atoms_of().filter(F.lit(False))}, scope)
+    return reduce(DataFrame.unionByName, done, empty), errors
+
+
+def run_limited(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope, most_patterns: int, most_atoms: int) -> tuple[DataFrame, DataFrame]:
+    """An interactive run: each query's first patterns (by structure and serial) until a limit is reached, and
+    warnings (query_id, patterns, shown, warning: `patterns`, `atoms` or null)."""
+    rows, shown = run(queries, scope), []
+    for q in queries:
+        mine = rows.filter(F.col("query_id") == q)
+        shown.append(limited(mine, most_patterns, most_atoms, ["scope_id", "serial"]))
+    kept = reduce(DataFrame.unionByName, shown)
+    all_ = rows.groupBy("query_id").agg(F.count("*").alias("patterns"))
+    part = kept.groupBy("query_id").agg(F.count("*").alias("shown"))
+    warning = F.when(F.col("shown") < F.col("patterns"), F.when(F.col("shown") >= most_patterns, "patterns").otherwise("atoms"))
+    return kept, all_.join(part, "query_id", "left").fillna(0, ["shown"]).withColumn("warning", warning)
+
+
 def with_serial(df: DataFrame, *by: str) -> DataFrame:
     return df.withColumn("serial", F.row_number().over(Window.partitionBy(*by).orderBy("atom_ids", F.col("name").asc_nulls_first())) - 1)
 
@@ -30,15 +62,23 @@ def entries(seq: PatternSeq) -> DataFrame:
     return rows.join(counts, KEY, "left").join(seq.signature(), KEY, "left").select("scope_id", "serial", ident.alias("pattern_id"), F.size("atom_ids").alias("atom_count"), F.coalesce("residue_count", F.lit(0)).alias("residue_count"), "signature", "residue_ids", "atom_ids", "name")
 
 
-def structure_rows(patterns: DataFrame, structures: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One row for each query and structure with a pattern or an error: counts, error type and a copy of the metadata."""
+def structure_rows(patterns: DataFrame, structures: DataFrame, errors: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """One row for each query and structure with a pattern or an error: counts, error type and a copy of the metadata.
+
+    warnings(scope_id, query_id or null for all queries, kind: Reader or Computation, message) give two counts.
+    """
     n = patterns.groupBy("query_id", "scope_id").agg(F.count("*").alias("pattern_count"), F.sum("atom_count").alias("atom_count"))
     if errors is not None:
         n = n.join(errors.select("query_id", "scope_id", "error_type"), ["query_id", "scope_id"], "full_outer")
     else:
         n = n.withColumn("error_type", F.lit(None).cast("string"))
     meta = structures.withColumn("resolution", F.round("resolution", 2)).withColumn("experiment_method", F.coalesce(F.nullif(F.trim("experiment_method"), F.lit("")), F.lit("Not Assigned"))) if "experiment_method" in structures.columns else structures.withColumn("resolution", F.round("resolution", 2))
-    return n.withColumn("pattern_count", F.coalesce("pattern_count", F.lit(0))).withColumn("error_type", F.coalesce("error_type", F.lit("None"))).join(meta, "scope_id", "left")
+    n = n.withColumn("pattern_count", F.coalesce("pattern_count", F.lit(0))).withColumn("error_type", F.coalesce("error_type", F.lit("None")))
+    if warnings is not None:
+        w = warnings.select("scope_id", F.col("query_id").alias("_q"), "kind")
+        met = n.select("query_id", "scope_id").join(w, "scope_id").filter("_q is null or _q = query_id").groupBy("query_id", "scope_id")
+        n = n.join(met.agg(F.count_if(F.col("kind") == "Reader").alias("reader_warnings"), F.count_if(F.col("kind") == "Computation").alias("computation_warnings")), ["query_id", "scope_id"], "left").fillna(0, ["reader_warnings", "computation_warnings"])
+    return n.join(meta, "scope_id", "left")
 
 
 def metadata_summary(rows: DataFrame, properties: dict[str, Column]) -> DataFrame:
@@ -50,8 +90,13 @@ def metadata_summary(rows: DataFrame, properties: dict[str, Column]) -> DataFram
 
 
 def query_summary(rows: DataFrame) -> DataFrame:
+    """Patterns, structures, and structures with errors and with warnings (if rows have any) of each query."""
     e = F.col("error_type")
-    return rows.groupBy("query_id").agg(F.sum("pattern_count").alias("patterns"), F.count_if(F.col("pattern_count") > 0).alias("structures"), F.count_if(e == "Reader").alias("reader_errors"), F.count_if(e == "Computation").alias("computation_errors"), F.count_if(e != "None").alias("with_errors"))
+    more = []
+    if "reader_warnings" in rows.columns:
+        r, c = F.col("reader_warnings") > 0, F.col("computation_warnings") > 0
+        more = [F.count_if(r | c).alias("with_warnings"), F.count_if(r).alias("with_reader_warnings"), F.count_if(c).alias("with_computation_warnings")]
+    return rows.groupBy("query_id").agg(*more, F.sum("pattern_count").alias("patterns"), F.count_if(F.col("pattern_count") > 0).alias("structures"), F.count_if(e == "Reader").alias("reader_errors"), F.count_if(e == "Computation").alias("computation_errors"), F.count_if(e != "None").alias("with_errors"))
 
 
 def limited(df: DataFrame, most_patterns: int, most_atoms: int, order: list[str]) -> DataFrame:

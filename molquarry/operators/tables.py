@@ -1,15 +1,26 @@
-"""Cutting the lineage of tables that grow round by round."""
+"""Tables that are written and read again: they cut the lineage and survive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the folder that spark.checkpoint.dir names; only a local master may do without."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_molquarry_shared", None)
+    if not known:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = spark._molquarry_shared = "file://" + tempfile.mkdtemp(prefix="molquarry-")
+    return f"{known.rstrip('/')}/molquarry/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that spark.checkpoint.dir names; in one of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="molquarry-"))
-    return df.checkpoint()
+    """df, computed once and written to the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -48,16 +48,15 @@ def parametrised(s, d):
 
 add("chg2_parameters", lambda s, d: parametrised(s, d).groupBy("element", "multiplicity", "a", "b").agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS}, {SQL_BONDS}, m AS (SELECT a.scope_id, a.atom_id, any_value(a.element) AS element, coalesce(max(bond_type), 0) AS multiplicity FROM a LEFT JOIN bb ON bb.scope_id = a.scope_id AND bb.a = a.atom_id GROUP BY ALL) SELECT element, multiplicity, CASE element WHEN 'C' THEN CASE WHEN multiplicity = 2 THEN 2.5 ELSE 2.4 END WHEN 'N' THEN 2.7 WHEN 'O' THEN 3.0 WHEN 'S' THEN 2.6 END AS a, CASE element WHEN 'C' THEN CASE WHEN multiplicity = 2 THEN 0.7 ELSE 0.8 END WHEN 'N' THEN 1.1 WHEN 'O' THEN 1.4 WHEN 'S' THEN 0.9 END AS b, count(*) AS n FROM m GROUP BY ALL")
 add("chg3_groups", lambda s, d: (lambda c: Q.parameter_groups([c.atoms_of("ZN"), c.residues_of("HIS"), c.atoms_of()]).groupBy("scope_id", "group_no").agg(F.count("*").alias("n")))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, CASE WHEN element = 'ZN' THEN 0 WHEN res_name = 'HIS' THEN 1 ELSE 2 END AS group_no, count(*) AS n FROM a GROUP BY ALL")
-add("chg4_equalised", lambda s, d: Q.equalise(parametrised(s, d).filter("atom_id < 120"), 0.4, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE atom_id < 120 AND element <> 'ZN' GROUP BY 1")
-add("chg5_cutoff", lambda s, d: Q.equalise_cutoff(parametrised(s, d).filter("atom_id < 60"), 0.4, 8.0, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE atom_id < 60 AND element <> 'ZN' GROUP BY 1")
-# the same over whole molecules; the SQL of the two above stands for a part of the atoms
-add("chg4_equalised_whole", lambda s, d: Q.equalise(parametrised(s, d), 0.4, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE element <> 'ZN' GROUP BY 1")
-add("chg5_cutoff_whole", lambda s, d: Q.equalise_cutoff(parametrised(s, d), 0.4, 8.0, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE element <> 'ZN' GROUP BY 1")
+add("chg4_equalised", lambda s, d: Q.equalise(parametrised(s, d), 0.4, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE element <> 'ZN' GROUP BY 1")
+add("chg5_cutoff", lambda s, d: Q.equalise_cutoff(parametrised(s, d), 0.4, 8.0, 1.0).groupBy("scope_id").agg(F.count("*").alias("n"), F.round(F.sum("charge"), 6).alias("total")), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, 1.0 AS total FROM a WHERE element <> 'ZN' GROUP BY 1")
+QUERIES["chg4_equalised_whole"], ORACLE["chg4_equalised_whole"] = QUERIES["chg4_equalised"], ORACLE["chg4_equalised"]
+QUERIES["chg5_cutoff_whole"], ORACLE["chg5_cutoff_whole"] = QUERIES["chg5_cutoff"], ORACLE["chg5_cutoff"]
 add("chg6_corrected", lambda s, d: Q.corrected(charges(s, d).filter("set_id = 1"), 2.0).select("scope_id", "atom_id", F.round("charge", 9).alias("charge")), f"WITH {SQL_ATOMS}, {SQL_CHARGES}, t AS (SELECT scope_id, CAST(sum(charge) AS DOUBLE) AS s, count(*) AS n FROM q WHERE set_id = 1 GROUP BY 1) SELECT scope_id, atom_id, round(charge + (2.0 - s) / n, 9) AS charge FROM q JOIN t USING (scope_id) WHERE set_id = 1")
 add("chg8_group_charges", lambda s, d: groups(s, d)[1].select("scope_id", "set_id", F.array_min("atom_ids").alias("first"), (F.round("charge", 6) + 0.0).alias("charge"), "least", "greatest"), f"{GROUPS} SELECT g.scope_id, set_id, min(a.atom_id) AS first, round(any_value(charge), 6) + 0.0 AS charge, any_value(least) AS least, any_value(greatest) AS greatest FROM g JOIN a USING (scope_id, chain, res_seq) GROUP BY g.scope_id, g.chain, g.res_seq, set_id")
-add("chg9_clusters", lambda s, d: Q.clusters(scope(s, d).residues_of()).groupBy("kind", "cluster").agg(F.count("*").alias("n")).filter("kind <> 'Atoms'"), f"WITH {SQL_ATOMS}, g AS (SELECT DISTINCT scope_id, chain, res_seq, res_name AS rn FROM a) SELECT 'Residues' AS kind, rn || '*1' AS cluster, count(*) AS n FROM g GROUP BY rn UNION ALL SELECT 'ChargeClass', CASE WHEN rn IN ('LYS','ARG','HIS') THEN 'Positive' WHEN rn IN ('ASP','GLU') THEN 'Negative' WHEN rn IN ('PHE','TYR','TRP') THEN 'Aromatic' WHEN rn IN ('CYS','SER','THR','ASN','GLN') THEN 'Polar' WHEN rn IN ('HOH','NAG','MAN','DA') THEN 'Unknown' ELSE 'NonPolar' END AS c, count(*) FROM g GROUP BY c")
 
-add("chg9_clusters_all", lambda s, d: Q.clusters(scope(s, d).residues_of()).groupBy("kind", "cluster").agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS}, g AS (SELECT DISTINCT scope_id, chain, res_seq, res_name AS rn FROM a) SELECT 'Residues' AS kind, rn || '*1' AS cluster, count(*) AS n FROM g GROUP BY rn UNION ALL SELECT 'ChargeClass', CASE WHEN rn IN ('LYS','ARG','HIS') THEN 'Positive' WHEN rn IN ('ASP','GLU') THEN 'Negative' WHEN rn IN ('PHE','TYR','TRP') THEN 'Aromatic' WHEN rn IN ('CYS','SER','THR','ASN','GLN') THEN 'Polar' WHEN rn IN ('HOH','NAG','MAN','DA') THEN 'Unknown' ELSE 'NonPolar' END AS c, count(*) FROM g GROUP BY c UNION ALL SELECT 'Atoms', k, count(*) FROM (SELECT string_agg(element || n, ' ' ORDER BY element) AS k FROM (SELECT scope_id, chain, res_seq, element, count(*) AS n FROM a GROUP BY ALL) GROUP BY scope_id, chain, res_seq) GROUP BY k")
+add("chg9_clusters", lambda s, d: Q.clusters(scope(s, d).residues_of()).groupBy("kind", "cluster").agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS}, g AS (SELECT DISTINCT scope_id, chain, res_seq, res_name AS rn FROM a) SELECT 'Residues' AS kind, rn || '*1' AS cluster, count(*) AS n FROM g GROUP BY rn UNION ALL SELECT 'ChargeClass', CASE WHEN rn IN ('LYS','ARG','HIS') THEN 'Positive' WHEN rn IN ('ASP','GLU') THEN 'Negative' WHEN rn IN ('PHE','TYR','TRP') THEN 'Aromatic' WHEN rn IN ('CYS','SER','THR','ASN','GLN') THEN 'Polar' WHEN rn IN ('HOH','NAG','MAN','DA') THEN 'Unknown' ELSE 'NonPolar' END AS c, count(*) FROM g GROUP BY c UNION ALL SELECT 'Atoms', k, count(*) FROM (SELECT string_agg(element || n, ' ' ORDER BY element) AS k FROM (SELECT scope_id, chain, res_seq, element, count(*) AS n FROM a GROUP BY ALL) GROUP BY scope_id, chain, res_seq) GROUP BY k")
+QUERIES["chg9_clusters_all"], ORACLE["chg9_clusters_all"] = QUERIES["chg9_clusters"], ORACLE["chg9_clusters"]
 
 def statistics(s, d):
     c, g = groups(s, d)
@@ -67,8 +66,8 @@ def statistics(s, d):
 
 add("chg10_statistics", statistics, f"{GROUPS} SELECT rn AS res_name, set_id, count(*) AS n, round(min(round(charge, 6)), 3) + 0.0 AS least, round(max(round(charge, 6)), 3) + 0.0 AS greatest, round(quantile_cont(round(charge, 6), 0.5), 3) + 0.0 AS median FROM g GROUP BY ALL")
 add("chg11_correlation", lambda s, d: Q.all_correlations(groups(s, d)[1].withColumn("charge", F.round("charge", 6)), ["scope_id"], ["atom_ids"]).filter("set_x < set_y").select("scope_id", "set_x", "set_y", "n", F.round("rmsd", 6).alias("rmsd"), F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("pearson2", 6).alias("pearson2")), f"{GROUPS}, p AS (SELECT x.scope_id, x.set_id AS set_x, y.set_id AS set_y, round(x.charge, 6) AS x, round(y.charge, 6) AS y FROM g x JOIN g y USING (scope_id, chain, res_seq) WHERE x.set_id < y.set_id) SELECT scope_id, set_x, set_y, count(*) AS n, round(sqrt(avg((x - y)**2)), 6) AS rmsd, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y)**2, 6) AS pearson2 FROM p GROUP BY ALL")
-add("chg13_wide", lambda s, d: Q.wide(charges(s, d).filter("atom_id < 5 and not (set_id = 2 and atom_id = 3)"), ["scope_id", "atom_id"], [0, 1, 2]), f"WITH {SQL_ATOMS}, {SQL_CHARGES} SELECT scope_id, atom_id, CAST(CAST(max(charge) FILTER (set_id = 0) AS DOUBLE) AS VARCHAR) AS set_0, CAST(CAST(max(charge) FILTER (set_id = 1) AS DOUBLE) AS VARCHAR) AS set_1, coalesce(CAST(CAST(max(charge) FILTER (set_id = 2 AND atom_id <> 3) AS DOUBLE) AS VARCHAR), '-') AS set_2 FROM q WHERE atom_id < 5 GROUP BY ALL")
-add("chg13_wide_whole", lambda s, d: Q.wide(charges(s, d).filter("not (set_id = 2 and atom_id = 3)"), ["scope_id", "atom_id"], [0, 1, 2]), f"WITH {SQL_ATOMS}, {SQL_CHARGES} SELECT scope_id, atom_id, CAST(CAST(max(charge) FILTER (set_id = 0) AS DOUBLE) AS VARCHAR) AS set_0, CAST(CAST(max(charge) FILTER (set_id = 1) AS DOUBLE) AS VARCHAR) AS set_1, coalesce(CAST(CAST(max(charge) FILTER (set_id = 2 AND atom_id <> 3) AS DOUBLE) AS VARCHAR), '-') AS set_2 FROM q GROUP BY ALL")
+add("chg13_wide", lambda s, d: Q.wide(charges(s, d).filter("not (set_id = 2 and atom_id = 3)"), ["scope_id", "atom_id"], [0, 1, 2]), f"WITH {SQL_ATOMS}, {SQL_CHARGES} SELECT scope_id, atom_id, CAST(CAST(max(charge) FILTER (set_id = 0) AS DOUBLE) AS VARCHAR) AS set_0, CAST(CAST(max(charge) FILTER (set_id = 1) AS DOUBLE) AS VARCHAR) AS set_1, coalesce(CAST(CAST(max(charge) FILTER (set_id = 2 AND atom_id <> 3) AS DOUBLE) AS VARCHAR), '-') AS set_2 FROM q GROUP BY ALL")
+QUERIES["chg13_wide_whole"], ORACLE["chg13_wide_whole"] = QUERIES["chg13_wide"], ORACLE["chg13_wide"]
 add("chg14_checks", lambda s, d: Q.input_checks(scope(s, d).atoms, ["C", "N", "O", "S"]), f"WITH {SQL_ATOMS} SELECT scope_id, true AS no_hydrogens, count(*) FILTER (element = 'ZN') AS unknown_elements, count(*) AS n_atoms, CAST(0 AS BIGINT) AS duplicate_ids FROM a GROUP BY 1")
 
 
@@ -134,29 +133,28 @@ def motif_tables(s, d):
 
 
 def flagged(s, d):
+    """Entries of all motifs with their flags; every eleventh residue number makes a degenerate motif. No bonds are compared."""
     motifs, models, atoms, pairing = motif_tables(s, d)
-    miss = V.missing_atoms(motifs, models, pairing).select("motif_id", "missing")
-    sub = V.substitutions(pairing, atoms, models).groupBy("motif_id").agg(F.count("*").alias("substitutions"))
-    mis = V.name_mismatches(pairing, atoms, models).groupBy("motif_id").agg(F.count("*").alias("name_mismatches"))
-    far = V.foreign_atoms(pairing, atoms).groupBy("motif_id").agg(F.count("*").alias("foreign_atoms"))
-    every = V.rules()
-    rules = {k: every[k] for k in ("Missing", "HasAll", "Has_Substitution", "Has_NameMismatch", "Has_Foreign", "HasAll_WithoutSubstitution")}
-    return V.flags_of(V.entries(motifs, miss, sub, mis, far), rules), list(rules)
+    none = s.createDataFrame([], "model string, motif_id string, a int, b int, bond_type int")
+    degenerate = motifs.filter(F.get("residues", F.lit(0))["res_seq"] % 11 == 0)
+    return V.flags_of(V.analyse(motifs, atoms, none.drop("model"), {"atoms": models, "bonds": none.drop("motif_id")}, pairing, degenerate=degenerate), V.rules()), list(V.rules())
 
 
-MOTIFS = f"WITH {SQL_ATOMS}, m AS (SELECT *, scope_id || ':' || chain || ':' || res_seq AS motif_id FROM a WHERE res_name IN ('HIS', 'NAG')), md AS (SELECT unnest(range(8)) AS pos, unnest(['N','C','C','O','C','C','C','C']) AS el), e AS (SELECT motif_id, any_value(res_name) AS model, CAST(any_value(scope_id) AS VARCHAR) AS structure_id, 8 - count(*) FILTER (pos <> 7 OR res_seq % 2 = 0) AS missing, count(*) FILTER ((pos <> 7 OR res_seq % 2 = 0) AND element <> el) AS substitutions FROM m JOIN md USING (pos) GROUP BY motif_id), f AS (SELECT *, CASE WHEN missing > 0 THEN 'Missing' || CASE WHEN substitutions > 0 THEN '' ELSE '' END END AS x FROM e)"
-FLAGTEXT = "array_to_string(list_sort(list_filter([CASE WHEN missing > 0 THEN 'Missing' END, CASE WHEN missing = 0 THEN 'HasAll' END, CASE WHEN substitutions > 0 THEN 'Has_Substitution' END, CASE WHEN missing = 0 AND substitutions = 0 THEN 'HasAll_WithoutSubstitution' END], lambda v: v IS NOT NULL)), ',')"
+MOTIFS = f"WITH {SQL_ATOMS}, m AS (SELECT *, scope_id || ':' || chain || ':' || res_seq AS motif_id FROM a WHERE res_name IN ('HIS', 'NAG')), md AS (SELECT unnest(range(8)) AS pos, unnest(['N','C','C','O','C','C','C','C']) AS el), e AS (SELECT motif_id, any_value(res_name) AS model, CAST(any_value(scope_id) AS VARCHAR) AS structure_id, max(res_seq) % 11 = 0 AS dg, 8 - count(*) FILTER (pos <> 7 OR res_seq % 2 = 0) AS missing, count(*) FILTER ((pos <> 7 OR res_seq % 2 = 0) AND element <> el) AS substitutions FROM m JOIN md USING (pos) GROUP BY motif_id)"
+FLAGLIST = "list_sort(list_filter([CASE WHEN missing IS NOT NULL THEN 'Analyzed' END, CASE WHEN NOT dg AND missing = 0 THEN 'HasAll' END, CASE WHEN NOT dg AND missing = 0 THEN 'HasAll_GoodChirality' END, CASE WHEN NOT dg AND missing = 0 THEN 'HasAll_GoodChirality_IgnorePlanarAndNonSingleBondErrors' END, CASE WHEN NOT dg AND missing = 0 AND substitutions > 0 THEN 'HasAll_Substitutions' END, CASE WHEN dg OR missing > 0 THEN 'Missing' END, CASE WHEN NOT dg AND missing > 0 THEN 'Missing_Atoms' END, CASE WHEN dg THEN 'Missing_Degenerate' END], lambda v: v IS NOT NULL))"
+FLAGTEXT = f"array_to_string({FLAGLIST}, ',')"
+SUMMARY = f"SELECT f.flag, count(x.motif_id) AS n FROM (SELECT unnest([{', '.join(map(repr, V.RULES))}]) AS flag) f LEFT JOIN (SELECT motif_id, unnest({FLAGLIST}) AS flag FROM e) x ON x.flag = f.flag GROUP BY 1"
 add("val4_missing", lambda s, d: (lambda t: V.missing_atoms(t[0], t[1], t[3]).select("motif_id", F.col("missing").cast("long").alias("missing"), F.array_join("missing_ids", ",").alias("ids")))(motif_tables(s, d)), f"{MOTIFS}, k AS (SELECT DISTINCT motif_id FROM m), w AS (SELECT motif_id, pos FROM k, md EXCEPT SELECT motif_id, pos FROM m WHERE pos <> 7 OR res_seq % 2 = 0) SELECT k.motif_id, count(w.pos) AS missing, coalesce(string_agg(CAST(w.pos AS VARCHAR), ',' ORDER BY w.pos), '') AS ids FROM k LEFT JOIN w USING (motif_id) GROUP BY 1")
 add("val6_main_residue", lambda s, d: (lambda t: V.main_residue(t[3], t[2]).select("motif_id", "chain", "res_seq", "n"))(motif_tables(s, d)), f"{MOTIFS} SELECT motif_id, chain, res_seq, count(*) AS n FROM m WHERE pos <> 7 OR res_seq % 2 = 0 GROUP BY ALL")
 add("val7_substitutions", lambda s, d: (lambda t: V.substitutions(t[3], t[2], t[1]).select("motif_id", F.col("model_atom").alias("pos"), "motif_element"))(motif_tables(s, d)), f"{MOTIFS} SELECT motif_id, pos, element AS motif_element FROM m JOIN md USING (pos) WHERE (pos <> 7 OR res_seq % 2 = 0) AND element <> el")
 add("val9_naming", lambda s, d: (lambda t: V.naming(t[2], t[1], t[0]).select("motif_id", F.col("duplicate_names").cast("long").alias("duplicate_names"), F.col("unmatched_names").cast("long").alias("unmatched_names")))(motif_tables(s, d)), f"{MOTIFS}, k AS (SELECT DISTINCT motif_id FROM m), w AS (SELECT motif_id, el || pos AS n FROM k, md EXCEPT SELECT motif_id, name FROM m) SELECT k.motif_id, CAST(0 AS BIGINT) AS duplicate_names, count(w.n) AS unmatched_names FROM k LEFT JOIN w USING (motif_id) GROUP BY 1")
 add("val14_flags", lambda s, d: flagged(s, d)[0].select("motif_id", F.array_join("flags", ",").alias("flags")), f"{MOTIFS} SELECT motif_id, {FLAGTEXT} AS flags FROM e")
-add("val15_flag_summary", lambda s, d: V.flag_summary(*flagged(s, d)), f"{MOTIFS} SELECT 'Missing' AS flag, count(*) FILTER (missing > 0) AS n FROM e UNION ALL SELECT 'HasAll', count(*) FILTER (missing = 0) FROM e UNION ALL SELECT 'Has_Substitution', count(*) FILTER (substitutions > 0) FROM e UNION ALL SELECT 'Has_NameMismatch', 0 UNION ALL SELECT 'Has_Foreign', 0 UNION ALL SELECT 'HasAll_WithoutSubstitution', count(*) FILTER (missing = 0 AND substitutions = 0) FROM e")
+add("val15_flag_summary", lambda s, d: V.flag_summary(*flagged(s, d)), f"{MOTIFS} {SUMMARY}")
 add("val16_matrix", lambda s, d: V.pairing_matrix(motif_tables(s, d)[3], "HIS", [0, 6, 7]), f"{MOTIFS} SELECT motif_id, coalesce(CAST(min(atom_id) FILTER (pos = 0) AS VARCHAR), '-') AS atom_0, coalesce(CAST(min(atom_id) FILTER (pos = 6) AS VARCHAR), '-') AS atom_6, coalesce(CAST(min(atom_id) FILTER (pos = 7 AND res_seq % 2 = 0) AS VARCHAR), '-') AS atom_7 FROM m WHERE res_name = 'HIS' AND (pos <> 7 OR res_seq % 2 = 0) GROUP BY 1")
-add("val17_by_model", lambda s, d: (lambda t: V.summaries(t[0], "model", ["Missing", "HasAll"]))(flagged(s, d)), f"{MOTIFS} SELECT model, count(*) AS analyzed, count(*) FILTER (missing > 0) AS \"Missing\", count(*) FILTER (missing = 0) AS \"HasAll\" FROM e GROUP BY ROLLUP (model)")
-add("val18_custom", lambda s, d: (lambda t: V.custom_aggregate(t[0], ["1", "2", "nowhere"], ["HIS"], ["Missing"])[0])(flagged(s, d)), f"{MOTIFS} SELECT structure_id, count(*) AS analyzed, count(*) FILTER (missing > 0) AS \"Missing\" FROM e WHERE model = 'HIS' AND structure_id IN ('1', '2') GROUP BY ROLLUP (structure_id)")
+add("val17_by_model", lambda s, d: (lambda t: V.summaries(t[0], "model", ["Missing", "HasAll"]))(flagged(s, d)), f"{MOTIFS} SELECT model, count(*) AS analyzed, count(*) FILTER (dg OR missing > 0) AS \"Missing\", count(*) FILTER (NOT dg AND missing = 0) AS \"HasAll\" FROM e GROUP BY ROLLUP (model)")
+add("val18_custom", lambda s, d: (lambda t: V.custom_aggregate(t[0], ["1", "2", "nowhere"], ["HIS"], ["Missing"])[0])(flagged(s, d)), f"{MOTIFS} SELECT structure_id, count(*) AS analyzed, count(*) FILTER (dg OR missing > 0) AS \"Missing\" FROM e WHERE model = 'HIS' AND structure_id IN ('1', '2') GROUP BY ROLLUP (structure_id)")
 add("val19_search", lambda s, d: (lambda t: V.search(t[0], s.createDataFrame([("1", None, None), ("2", "A", 3), ("none", None, None)], "structure_id string, chain string, res_seq int"))[0].select("motif_id"))(flagged(s, d)), f"{MOTIFS} SELECT DISTINCT motif_id FROM m WHERE scope_id = 1 OR (scope_id = 2 AND chain = 'A' AND res_seq = 3)")
-add("val20_merge", lambda s, d: (lambda t: V.merge([(t[0].select("motif_id"), V.flag_summary(*t))] * 2)[1])(flagged(s, d)), f"{MOTIFS} SELECT 'Missing' AS flag, 2 * count(*) FILTER (missing > 0) AS n FROM e UNION ALL SELECT 'HasAll', 2 * count(*) FILTER (missing = 0) FROM e UNION ALL SELECT 'Has_Substitution', 2 * count(*) FILTER (substitutions > 0) FROM e UNION ALL SELECT 'Has_NameMismatch', 0 UNION ALL SELECT 'Has_Foreign', 0 UNION ALL SELECT 'HasAll_WithoutSubstitution', 2 * count(*) FILTER (missing = 0 AND substitutions = 0) FROM e")
+add("val20_merge", lambda s, d: (lambda t: V.merge([(t[0].select("motif_id"), V.flag_summary(*t))] * 2)[1])(flagged(s, d)), f"{MOTIFS} SELECT flag, CAST(2 * n AS BIGINT) AS n FROM ({SUMMARY})")
 add("val21_residue_flags", lambda s, d: V.residue_flags(scope(s, d).residues.filter("res_name in ('HIS', 'GLY')").select(F.col("scope_id").cast("string").alias("structure_id"), "chain", "res_seq"), flagged(s, d)[0]).select("structure_id", "chain", "res_seq", F.array_join("flags", ",").alias("flags")), f"{MOTIFS}, g AS (SELECT DISTINCT CAST(scope_id AS VARCHAR) AS structure_id, chain, res_seq, scope_id || ':' || chain || ':' || res_seq AS motif_id FROM a WHERE res_name IN ('HIS', 'GLY')) SELECT g.structure_id, chain, res_seq, coalesce({FLAGTEXT}, '') AS flags FROM g LEFT JOIN e USING (motif_id)")
 add("val22_report", lambda s, d: V.report(motif_tables(s, d)[0]), f"{MOTIFS} SELECT structure_id, array_to_string(list_sort(list(DISTINCT model)), ',') AS models, count(*) AS motifs FROM e GROUP BY ROLLUP (structure_id)")
 
@@ -165,4 +163,5 @@ add("str6_bonds", lambda s, d: (lambda c: S.perceive_bonds(type(c)(c.atoms), s.c
 add("str7_close", lambda s, d: S.close_contacts(scope(s, d), 8.0).select("scope_id", "a", "b", F.col("flagged").isNotNull().alias("flagged")), f"WITH {SQL_ATOMS}, {SQL_BONDS} SELECT b.scope_id, b.a, b.b, (p.res_seq <> q.res_seq) AS flagged FROM b JOIN a p ON p.scope_id = b.scope_id AND p.atom_id = b.a JOIN a q ON q.scope_id = b.scope_id AND q.atom_id = b.b WHERE (p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2 < 64")
 add("str8_without", lambda s, d: S.without_hydrogens(type(scope(s, d))(scope(s, d).atoms.withColumn("element", F.when(F.col("element") == "O", "H").otherwise(F.col("element"))), scope(s, d).bonds)).bonds.groupBy("scope_id").agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS}, {SQL_BONDS} SELECT b.scope_id, count(*) AS n FROM b JOIN a p ON p.scope_id = b.scope_id AND p.atom_id = b.a JOIN a q ON q.scope_id = b.scope_id AND q.atom_id = b.b WHERE p.element <> 'O' AND q.element <> 'O' GROUP BY 1")
 add("str14_metadata", lambda s, d: S.derived_metadata(table(s, d, "customer").select((F.col("c_custkey") % 200).alias("scope_id"), F.col("c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 9 < 7, "Protein").when(F.col("c_custkey") % 9 == 7, "DNA").alias("polymer_type"), (F.col("c_nationkey") % 4 + 1).alias("n_chains"), F.lit(1.5).alias("weight"), (F.col("c_custkey") % 9 == 8).alias("is_water"))).select("scope_id", "weight", "polymer_type", "stoichiometry_string"), "WITH e AS (SELECT c_custkey % 200 AS scope_id, c_custkey AS id, CASE WHEN c_custkey % 9 < 7 THEN 'Protein' WHEN c_custkey % 9 = 7 THEN 'DNA' END AS t, c_nationkey % 4 + 1 AS n, c_custkey % 9 = 8 AS w FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY n DESC, id) AS k FROM e WHERE t = 'Protein'), s AS (SELECT scope_id, string_agg(chr(CAST(64 + k AS INT)) || n, '' ORDER BY k) AS stoichiometry_string FROM r GROUP BY 1), t AS (SELECT scope_id, list_sort(list(DISTINCT t)) AS ts FROM e WHERE t IS NOT NULL GROUP BY 1), x AS (SELECT scope_id, sum(1.5) FILTER (NOT w) AS weight FROM e GROUP BY 1) SELECT x.scope_id, CAST(weight AS DOUBLE) AS weight, CASE WHEN len(ts) = 1 THEN ts[1] WHEN len(ts) = 2 THEN 'ProteinDNA' END AS polymer_type, stoichiometry_string FROM x LEFT JOIN t USING (scope_id) LEFT JOIN s USING (scope_id)")
-add("snk3_pattern_texts", lambda s, d: (lambda c: sinks.pattern_texts(c.residues_of("HIS").long.drop("name").join(c.atoms, ["scope_id", "atom_id"]).withColumn("occupancy", F.lit(1.0)).withColumn("temperature_factor", F.lit(0.0)), ["scope_id", "chain", "res_seq"]).select("scope_id", "chain", "res_seq", F.length("value").cast("long").alias("n_chars")))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, chain, res_seq, count(*) * 79 + 3 AS n_chars FROM a WHERE res_name = 'HIS' GROUP BY ALL")
+LINE = "rpad(record_name, 6, ' ') || lpad(CAST(atom_id AS VARCHAR), 5, ' ') || '  ' || rpad(name, 3, ' ') || ' ' || lpad(res_name, 3, ' ') || ' ' || chain || lpad(CAST(res_seq AS VARCHAR), 4, ' ') || '    ' || lpad(printf('%.3f', CAST(x AS DOUBLE)), 8, ' ') || lpad(printf('%.3f', CAST(y AS DOUBLE)), 8, ' ') || lpad(printf('%.3f', CAST(z AS DOUBLE)), 8, ' ') || '  1.00  0.00          ' || lpad(element, 2, ' ')"
+add("snk3_pattern_texts", lambda s, d: (lambda c: sinks.pattern_texts(c.residues_of("HIS").long.drop("name").join(c.atoms, ["scope_id", "atom_id"]).withColumn("occupancy", F.lit(1.0)).withColumn("temperature_factor", F.lit(0.0)), ["scope_id", "chain", "res_seq"]))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, chain, res_seq, string_agg({LINE}, chr(10) ORDER BY atom_id) || chr(10) || 'END' AS value FROM a WHERE res_name = 'HIS' GROUP BY ALL")

@@ -8,7 +8,7 @@ from molquarry.operators import charges as Q
 from molquarry.operators import service
 from molquarry.operators import validation as V
 from molquarry.operators.core import PatternSeq, Scope, group_graph
-from molquarry.plans.analysis import GROUPS, MOTIFS, groups, motif_tables
+from molquarry.plans.analysis import GROUPS, LINE, MOTIFS, groups, motif_tables
 from molquarry.plans.patterns import IDS, NEAR
 from molquarry.sources import sinks
 from molquarry.sources.fixtures import SQL_ATOMS, SQL_BONDS, scope, table
@@ -44,7 +44,7 @@ patterns("gen20_sheets", lambda c: c.secondary("sheet"), f", f AS (SELECT scope_
 patterns("gen22_catalytic_sites", lambda c: c.catalytic_sites(), f"SELECT scope_id, {IDS} FROM a WHERE chain = 'A' AND res_seq IN (3, 5) GROUP BY scope_id HAVING max(CASE WHEN res_seq = 3 THEN 1 ELSE 0 END) = 1")
 add("fun10_property", lambda s, d: with_tables(s, d).atoms_of("S").atom_property("charge").select("scope_id", F.get("atom_ids", F.lit(0)).alias("atom_id"), "value"), f"WITH {SQL_ATOMS} SELECT scope_id, atom_id, CASE WHEN atom_id % 2 = 0 THEN atom_id / 4.0 END AS value FROM a WHERE element = 'S'")
 add("fun5_find", lambda s, d: scope(s, d).chains().find(lambda i: i.residues_of("HIS")).groupBy("scope_id").agg(F.count("*").alias("n"), F.sum(F.size("atom_ids")).alias("atoms")), f"WITH {SQL_ATOMS} SELECT scope_id, count(DISTINCT (chain, res_seq)) AS n, count(*) AS atoms FROM a WHERE res_name = 'HIS' GROUP BY 1")
-add("fun11_descriptor", lambda s, d: scope(s, d).residues_of("HIS").df.join(table(s, d, "supplier").select(F.col("s_suppkey").alias("scope_id"), F.create_map(F.lit("nation"), F.col("s_nationkey")).alias("descriptors")), "scope_id").groupBy(F.element_at("descriptors", "nation").alias("nation")).agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS} SELECT s_nationkey AS nation, count(DISTINCT (scope_id, chain, res_seq)) AS n FROM a JOIN supplier ON s_suppkey = scope_id WHERE res_name = 'HIS' GROUP BY 1")
+add("fun11_descriptor", lambda s, d: scope(s, d).residues_of("HIS").descriptor(table(s, d, "supplier").select(F.col("s_suppkey").alias("scope_id"), F.create_map(F.lit("nation"), F.col("s_nationkey")).alias("descriptors")), "nation").groupBy(F.col("value").alias("nation")).agg(F.count("*").alias("n")), f"WITH {SQL_ATOMS} SELECT s_nationkey AS nation, count(DISTINCT (scope_id, chain, res_seq)) AS n FROM a JOIN supplier ON s_suppkey = scope_id WHERE res_name = 'HIS' GROUP BY 1")
 
 
 def ends(c: Scope) -> PatternSeq:
@@ -69,7 +69,8 @@ add(
 add("geo7_distance_cluster", lambda s, d: (lambda c: c.atoms_of("ZN").distance_cluster([c.atoms_of("S")], [[], [3.0]], [[], [8.0]]).text().select("scope_id", "atoms"))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT DISTINCT p.scope_id, least(p.atom_id, q.atom_id) || '-' || greatest(p.atom_id, q.atom_id) AS atoms FROM a p JOIN a q ON p.scope_id = q.scope_id AND p.element = 'ZN' AND q.element = 'S' AND sqrt({NEAR}) BETWEEN 3 AND 8")
 add("chg12_inverse_lines", lambda s, d: Q.all_correlations(groups(s, d)[1].withColumn("charge", F.round("charge", 6)), ["scope_id"], ["atom_ids"]).filter("set_x > set_y").select("scope_id", "set_x", "set_y", "n", F.round("slope", 5).alias("slope")), f"{GROUPS}, p AS (SELECT x.scope_id, x.set_id AS sx, y.set_id AS sy, round(x.charge, 6) AS x, round(y.charge, 6) AS y FROM g x JOIN g y USING (scope_id, chain, res_seq) WHERE x.set_id < y.set_id) SELECT scope_id, sy AS set_x, sx AS set_y, count(*) AS n, round(1 / regr_slope(y, x), 5) AS slope FROM p GROUP BY ALL")
 add("win3_order", lambda s, d: service.run({"his": lambda c: c.residues_of("HIS")}, scope(s, d)).orderBy("scope_id", "serial").select("scope_id", F.col("serial").cast("long").alias("serial"), F.col("atom_count").cast("long").alias("atom_count")), f"WITH {SQL_ATOMS}, h AS (SELECT scope_id, count(*) AS atom_count, list_sort(list(atom_id)) AS ids FROM a WHERE res_name = 'HIS' GROUP BY scope_id, chain, res_seq) SELECT scope_id, row_number() OVER (PARTITION BY scope_id ORDER BY ids) - 1 AS serial, atom_count FROM h ORDER BY 1, 2")
-add("snk4_charge_lines", lambda s, d: (lambda c: sinks.pattern_texts(c.residues_of("HIS").long.drop("name").join(c.atoms, ["scope_id", "atom_id"]).withColumn("occupancy", F.lit(1.0)).withColumn("temperature_factor", F.lit(0.0)), ["scope_id", "chain", "res_seq"], F.col("atom_id") / 100).select("scope_id", "chain", "res_seq", F.length("value").cast("long").alias("n_chars")))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, chain, res_seq, count(*) * 88 + 3 AS n_chars FROM a WHERE res_name = 'HIS' GROUP BY ALL")
+CHARGED = f"{LINE} || ' ' || lpad(printf('%.4f', atom_id / 100.0), 8, ' ')"
+add("snk4_charge_lines", lambda s, d: (lambda c: sinks.pattern_texts(c.residues_of("HIS").long.drop("name").join(c.atoms, ["scope_id", "atom_id"]).withColumn("occupancy", F.lit(1.0)).withColumn("temperature_factor", F.lit(0.0)), ["scope_id", "chain", "res_seq"], F.col("atom_id") / 100))(scope(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, chain, res_seq, string_agg({CHARGED}, chr(10) ORDER BY atom_id) || chr(10) || 'END' AS value FROM a WHERE res_name = 'HIS' GROUP BY ALL")
 
 
 def bonds_of(s, d):

@@ -86,8 +86,8 @@ add("str3_classes", lambda s: s.residues.groupBy("scope_id").agg(*[F.count_if(co
 add("str4_charge_class", lambda s: s.residues.groupBy("scope_id", core.charge_class(F.col("res_name")).alias("charge_class")).agg(F.count("*").alias("n")), f", q AS (SELECT {RES}, min(res_name) AS rn FROM a GROUP BY {RES}) SELECT scope_id, CASE WHEN rn IN ('LYS','ARG','HIS') THEN 'Positive' WHEN rn IN ('ASP','GLU') THEN 'Negative' WHEN rn IN ('PHE','TYR','TRP') THEN 'Aromatic' WHEN rn IN ('CYS','SER','THR','ASN','GLN') THEN 'Polar' WHEN rn IN ({AMINO}) THEN 'NonPolar' ELSE 'Unknown' END AS charge_class, count(*) AS n FROM q GROUP BY ALL")
 add("str5_one_letter", lambda s: s.whole().amino_string().select("scope_id", "sequence"), f", q AS (SELECT {RES}, {LETTER} AS l FROM a GROUP BY {RES}) SELECT scope_id, string_agg(l, '' ORDER BY chain, res_seq) AS sequence FROM q WHERE l IS NOT NULL GROUP BY scope_id")
 add("str11_centers", lambda s: s.residues_of("HIS").centers.select("scope_id", F.array_join("atom_ids", "-").alias("atoms"), *[F.round(f"p{c}", 6).alias(f"c{c}") for c in "xyz"], F.round("radius", 6).alias("radius")), f", c AS (SELECT {RES}, {IDS}, avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM a WHERE res_name = 'HIS' GROUP BY {RES}) SELECT scope_id, atoms, round(px, 6) AS cx, round(py, 6) AS cy, round(pz, 6) AS cz, round(max(sqrt((x - px)**2 + (y - py)**2 + (z - pz)**2)), 6) AS radius FROM c JOIN a USING ({RES}) GROUP BY scope_id, atoms, px, py, pz")
-add("str12_signatures", lambda s: s.chains().signature().select("scope_id", "signature", "with_counts", F.length("residue_ids").alias("ids_length")), f""", q AS (SELECT {RES}, arg_min(res_name, atom_id) AS rn FROM a GROUP BY {RES}), i AS (SELECT scope_id, chain, length(string_agg(res_seq || ' ' || chain, '-')) AS ids_length FROM q GROUP BY scope_id, chain), k AS (SELECT scope_id, chain, rn, count(*) AS n FROM q GROUP BY ALL)
-  SELECT k.scope_id, string_agg(CASE WHEN n > 1 THEN n || rn ELSE rn END, '-' ORDER BY rn) AS signature, string_agg(rn || '*' || n, '-' ORDER BY rn) AS with_counts, CAST(any_value(ids_length) AS INT) AS ids_length FROM k JOIN i USING (scope_id, chain) GROUP BY k.scope_id, k.chain""")
+add("str12_signatures", lambda s: s.chains().signature().select("scope_id", "signature", "with_counts", "residue_ids"), f""", q AS (SELECT {RES}, arg_min(res_name, atom_id) AS rn FROM a GROUP BY {RES}), i AS (SELECT scope_id, chain, string_agg(res_seq || ' ' || chain, '-' ORDER BY res_seq) AS residue_ids FROM q GROUP BY scope_id, chain), k AS (SELECT scope_id, chain, rn, count(*) AS n FROM q GROUP BY ALL)
+  SELECT k.scope_id, string_agg(CASE WHEN n > 1 THEN n || rn ELSE rn END, '-' ORDER BY rn) AS signature, string_agg(rn || '*' || n, '-' ORDER BY rn) AS with_counts, any_value(residue_ids) AS residue_ids FROM k JOIN i USING (scope_id, chain) GROUP BY k.scope_id, k.chain""")
 add("str13_counts", lambda s: s.atoms.groupBy("scope_id").agg(F.count("*").alias("n_atoms"), F.count_distinct("element").alias("n_elements"), F.count_distinct("chain", "res_seq").alias("n_residues"), F.array_join(F.array_sort(F.collect_set("element")), ",").alias("elements")), "SELECT scope_id, count(*) AS n_atoms, count(DISTINCT element) AS n_elements, count(DISTINCT (chain, res_seq)) AS n_residues, array_to_string(list_sort(list(DISTINCT element)), ',') AS elements FROM a GROUP BY scope_id")
 add("str9_induced_bonds", lambda s: s.residues_of("PHE").induced()[0].bonds.groupBy("bond_type").agg(F.count("*").alias("n")), f", q AS (SELECT {RES}, atom_id FROM a WHERE res_name = 'PHE') SELECT bond_type, count(*) AS n FROM b JOIN q p ON b.scope_id = p.scope_id AND b.a = p.atom_id JOIN q r ON b.scope_id = r.scope_id AND b.b = r.atom_id AND p.chain = r.chain AND p.res_seq = r.res_seq GROUP BY bond_type", bonds=True)
 
@@ -146,5 +146,5 @@ patterns("top3_path", lambda s: s.atoms_of("S").path(s.atoms_of("C"), s.atoms_of
 patterns("top4_star", lambda s: s.atoms_of("O").star(s.atoms_of("C"), s.atoms_of("C")), ", t AS (SELECT p.scope_id, list_sort([p.a, p.b, q.b]) AS ids FROM bb p JOIN bb q ON p.scope_id = q.scope_id AND p.a = q.a AND q.b <> p.b JOIN a s ON s.scope_id = p.scope_id AND s.atom_id = p.a AND s.element = 'O' JOIN a c ON c.scope_id = p.scope_id AND c.atom_id = p.b AND c.element = 'C' JOIN a d ON d.scope_id = p.scope_id AND d.atom_id = q.b AND d.element = 'C') SELECT DISTINCT scope_id, array_to_string(ids, '-') AS atoms FROM t", bonds=True)
 BONDED = f", h AS (SELECT * FROM a WHERE res_name = 'HIS'), t AS (SELECT DISTINCT h.scope_id, h.chain, h.res_seq FROM h JOIN bb ON bb.scope_id = h.scope_id AND bb.a = h.atom_id JOIN a q ON q.scope_id = bb.scope_id AND q.atom_id = bb.b AND (q.chain <> h.chain OR q.res_seq <> h.res_seq)) SELECT scope_id, {IDS} FROM h WHERE ({RES}) {{}} (SELECT {RES} FROM t) GROUP BY {RES}"
 patterns("top5_connected_to", lambda s: s.residues_of("HIS").connected_to(s.residues_of()), BONDED.format("IN"), bonds=True)
-patterns("top6_not_connected_to", lambda s: s.residues_of("HIS").not_connected_to(s.residues_of()), BONDED.format("NOT IN"), bonds=True)
+patterns("top6_not_connected_to", lambda s: s.residues_of("HIS").not_connected_to(s.residues_of("ARG")), BONDED.format("NOT IN").replace("q.res_seq <> h.res_seq)", "q.res_seq <> h.res_seq) AND q.res_name = 'ARG'"), bonds=True)
 add("top8_bonded_by_type", lambda s: s.residues_of("HIS").bonded_with(s.residues_of(), [1], exclusive=True).select("scope_id", F.array_join("atom_ids", "-").alias("atoms"), F.array_join("other_ids", "-").alias("others")), f", g AS (SELECT {RES}, any_value(res_name) AS rn, {IDS} FROM a GROUP BY {RES}) SELECT DISTINCT g.scope_id, g.atoms, k.atoms AS others FROM g JOIN a p USING ({RES}) JOIN bb ON bb.scope_id = p.scope_id AND bb.a = p.atom_id AND bond_type = 1 JOIN a q ON q.scope_id = bb.scope_id AND q.atom_id = bb.b JOIN g k ON k.scope_id = q.scope_id AND k.chain = q.chain AND k.res_seq = q.res_seq WHERE g.rn = 'HIS' AND (g.chain, g.res_seq) <> (k.chain, k.res_seq)", bonds=True)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from molquarry.operators.core import Scope
+from molquarry.operators.validation import model_classes
+
 PDB_FILE = r"(?i)([^/]+?)(\.cif)?\.(pdb|ent|pdb1)(\.gz)?$"
 
 
@@ -63,6 +66,30 @@ def read_index(spark: SparkSession, path: str, arrays: list[str], separator: str
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.split(c, separator)) for c in arrays})
 
 
+def read_index_xml(spark: SparkSession, path: str, arrays: list[str], version: int | None = None, row_tag: str = "Entry", separator: str = "¦") -> DataFrame:
+    """Index entries from XML (one element row_tag each, values as attributes or elements), of one version or of all.
+
+    An entry's version is its Version value; an entry without one belongs to every version.
+    """
+    df = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "").load(path)
+    if version is not None and "Version" in df.columns:
+        df = df.filter(F.col("Version").isNull() | (F.col("Version") == version))
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.split(F.col(c).cast("string"), separator)) for c in arrays if c in df.columns})
+
+
+def read_models(spark: SparkSession, path: str, metals: list[str]) -> dict[str, DataFrame]:
+    """Residue models under path (folders model_atoms and model_bonds): atoms, bonds, rings (model, fingerprint, n) and
+    classes of chiral atoms."""
+    return model_tables(spark.read.parquet(f"{path}/model_atoms"), spark.read.parquet(f"{path}/model_bonds"), metals)
+
+
+def model_tables(model_atoms: DataFrame, model_bonds: DataFrame, metals: list[str]) -> dict[str, DataFrame]:
+    one = model_atoms.withColumns({"scope_id": F.col("model"), "res_name": F.col("model"), "record_name": F.lit("HETATM"), "chain": F.lit("A"), "res_seq": F.lit(1), "ins_code": F.lit("")})
+    scope = Scope(one, model_bonds.withColumnRenamed("model", "scope_id"))
+    rings = scope.rings.groupBy(F.col("scope_id").alias("model"), "fingerprint").agg(F.count("*").alias("n"))
+    return {"atoms": model_atoms, "bonds": model_bonds, "rings": rings, "classes": model_classes(model_atoms, model_bonds, metals)}
+
+
 def read_csv_table(spark: SparkSession, path: str, separator: str = ",", quote: str = '"') -> DataFrame:
     return spark.read.csv(path, header=True, sep=separator, quote=quote, escape=quote)
 
@@ -74,6 +101,22 @@ def read_catalytic_sites(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f(0).alias("pdb_id"), f(1).try_cast("int").alias("site_number"), F.monotonically_increasing_id().alias("ordinal"), f(3).alias("chain"), f(4).try_cast("int").alias("res_seq")).filter("site_number is not null and res_seq is not null")
 
 
+def attach_charges_in_order(atoms: DataFrame, charges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Charges (structure_id, position from 0, element, charge) by position among the atoms in id order.
+
+    Returns charges by id, and the structures left out (structure_id, error): another number of atoms, or an element that differs.
+    """
+    at = Window.partitionBy("structure_id").orderBy("atom_id")
+    a = atoms.select("structure_id", "atom_id", F.upper("element").alias("_e"), (F.row_number().over(at) - 1).alias("position"))
+    both = a.join(charges.select("structure_id", "position", F.upper("element").alias("_c"), "charge", F.lit(True).alias("_given")), ["structure_id", "position"], "full_outer")
+    error = F.when(F.bool_or(F.col("_e").isNull() | F.col("_given").isNull()), "count").when(F.bool_or(F.col("_e") != F.col("_c")), "element")
+    # only structures that have both tables are compared
+    shared = charges.select("structure_id").distinct().join(atoms.select("structure_id").distinct(), "structure_id")
+    bad = both.join(shared, "structure_id", "left_semi").groupBy("structure_id").agg(error.alias("error")).filter("error is not null")
+    good = both.join(shared, "structure_id", "left_semi").join(bad, "structure_id", "left_anti").select("structure_id", "atom_id", "charge")
+    return good, bad
+
+
 def attach_charges(atoms: DataFrame, charges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Charges (structure_id, atom_id, element, charge) by id, and the charges of no such atom or another element."""
     key = ["structure_id", "atom_id"]

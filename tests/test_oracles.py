@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,7 +24,7 @@ def duck(sf_dir):
 def text(v):
     if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
-    if isinstance(v, bool) or type(v).__name__ == "bool_":
+    if isinstance(v, bool | np.bool_):
         return str(bool(v))
     try:
         return f"{float(v) + 0.0:.8g}"
