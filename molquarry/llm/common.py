@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow slice that is worked on at a time inside a task.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 MASK = (1 << 64) - 1
 

@@ -68,7 +68,7 @@ def sequences_of(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
 
     def encode(batches):
         enc = word_ids(tokenizer)
-        for b in slices(batches, most=2 * SLICE_BYTES):
+        for b in slices(batches, most=SLICE_BYTES):
             flat, places = enc.encoded(b.column(2))
             at, crc, start, ids = [], [], [], []
             for i in range(b.num_rows):

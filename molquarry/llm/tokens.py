@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from .common import kept
 
 #: Words whose ids are kept in a worker from text to text; later ones are encoded again in each batch.
-KEPT = 300_000
+KEPT = 150_000
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:#$%&*|]*)")
 
 
