@@ -95,10 +95,7 @@ def common(codes: np.ndarray, landmark: np.ndarray) -> np.ndarray:
 
 
 class Similarity:
-    """Kernel of words with landmarks, normalised and raised to POWER.
-
-    A word that has in common with a landmark fewer than ORDER letters in order, or than half of it, is unlike it: 0.
-    """
+    """Kernel of words with landmarks, normalised and raised to POWER."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
@@ -125,7 +122,7 @@ class Similarity:
             codes = coded([pieces[i] for i in at.tolist()], int(sizes[at].max()))
             own = np.full(len(at), np.nan)
             for j, t in enumerate(self.codes):
-                rows = np.flatnonzero(common(codes, t) >= max(ORDER, (len(t) + 1) // 2))
+                rows = np.flatnonzero(common(codes, t) >= ORDER)  # all others have no subsequence of ORDER letters in common: 0
                 if len(rows):
                     new = rows[np.isnan(own[rows])]
                     if len(new):
@@ -317,7 +314,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches):
         scores = kept(name, dict)
-        for b in slices(batches, most=8 << 20):
+        for b in slices(batches, most=4 << 20):
             s = scorer.probability(b.column(1), scores) if scorer else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
