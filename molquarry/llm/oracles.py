@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import secrets
+# Fixed values of the contract and of the entropy spans, stated here anew.
+ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
+BASE64_RUN, HEX_RUN = "[A-Za-z0-9+/_=-]{20,}", "[0-9a-fA-F]{20,}"
+BASE64_BITS, HEX_BITS = 3.55, 2.95
+ALLOWED = ["^[^0-9]*$", "^[0-9_=+/-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "(?i)0123456789|abcdefghij|example", "^/?([a-z]+[0-9]{0,4}[/_-]){2,}[a-z]*[0-9]{0,4}$"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -38,22 +43,22 @@ def _found(name: str, pattern: str, kind: int) -> str:
 
 def _suppressed() -> str:
     """Without the rule for one repeated character, which the first two rules cover here."""
-    return " OR ".join(f"regexp_matches(x, '{p}')" for p in (*secrets.ALLOWED[:3], "(?i)0123456789|abcdefghij|example", secrets.ALLOWED[4]))
+    return " OR ".join(f"regexp_matches(x, '{p}')" for p in ALLOWED)
 
 
 ENTROPY = "round(list_max(list_transform(range(1, greatest(length(x) - 19, 1) + 1), lambda p: list_entropy(string_split(substr(x, p, 20), '')))), 6)"
-NAMES = ", ".join(f"'{k}'" for k in secrets.KINDS)
+NAMES = "'assign', 'access', 'hex', 'entropy'"
 JOINED = f"coalesce(string_agg([{NAMES}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind){{0}}, '')"
-ASSIGN2 = secrets.ASSIGN.replace("'", "''")
+ASSIGN2 = ASSIGN.replace("'", "''")
 OP8 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-{_found("fa", secrets.ASSIGN, 0)},
-{_found("fk", secrets.ACCESS, 1)},
-{_found("fh", secrets.HEX, 2)},
-{_found("fb", secrets.BASE64_RUN, 3)},
-{_found("fx", secrets.HEX_RUN, 3)},
+{_found("fa", ASSIGN, 0)},
+{_found("fk", ACCESS, 1)},
+{_found("fh", HEX, 2)},
+{_found("fb", BASE64_RUN, 3)},
+{_found("fx", HEX_RUN, 3)},
 base AS (SELECT doc_id, kind, s, s + length(x) AS e FROM (SELECT * FROM fa WHERE length(regexp_extract(x, '{ASSIGN2}', 2)) >= 8 UNION ALL SELECT * FROM fk UNION ALL SELECT * FROM fh)),
-more AS (SELECT DISTINCT doc_id, kind, s, s + length(x) AS e FROM (SELECT *, {secrets.BASE64_BITS} AS bits FROM fb UNION ALL SELECT *, {secrets.HEX_BITS} FROM fx) WHERE NOT ({_suppressed()}) AND {ENTROPY} >= bits),
+more AS (SELECT DISTINCT doc_id, kind, s, s + length(x) AS e FROM (SELECT *, {BASE64_BITS} AS bits FROM fb UNION ALL SELECT *, {HEX_BITS} FROM fx) WHERE NOT ({_suppressed()}) AND {ENTROPY} >= bits),
 spans AS (SELECT *, true AS b FROM base UNION ALL SELECT *, false FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND b.s <= m.s AND b.e >= m.e))
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256({JOINED.format(" FILTER (b)")}) AS base_sha256, {JOINED.format("")} AS spans
 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""

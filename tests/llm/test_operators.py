@@ -531,3 +531,62 @@ def test_queries_give_the_asked_columns(spark, sf_dir):
 def test_written_tables_can_be_dropped(spark):
     drop_written(spark)
     assert pa.__version__
+
+
+def test_long_runs_and_many_spans(spark):
+    """A run of a million characters, and thousands of secrets in one text: linear in both."""
+    rng = random.Random(5)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"token=abcdefgh{i:07d}" for i in range(5_000))
+    docs = table(spark, [(1, run, "en"), (2, many, "en")], clash=False)
+    got = {r.doc_id: r.s for r in secrets.scan(docs).select("doc_id", secrets.named(F.col("spans")).alias("s")).collect()}
+    assert got[1] == "entropy:0:1000000" and got[2] == ",".join(f"assign:{22 * i}:{22 * i + 21}" for i in range(5_000))
+    assert secrets.mask(docs.filter("doc_id = 2")).first().text == " ".join(["[SECRET]"] * 5_000)
+
+
+def test_overlapping_spans_are_masked_once(spark):
+    texts = ["token=" + "0123456789abcdef" * 3 + " x", "AKIA" + "A1" * 9 + "password=abcdefgh9 secret:" + "ab12" * 9, "no secret"]
+    for r in secrets.mask(table(spark, [(i, t, "en") for i, t in enumerate(texts)], clash=False)).collect():
+        spans = sorted((m.start(), m.end()) for p in (SECRET, re.compile("AKIA[A-Z0-9]{12,}"), re.compile("[0-9a-f]{32,}")) for m in p.finditer(texts[r.doc_id]))
+        want, at = "", 0
+        for a, b in spans:
+            want += texts[r.doc_id][at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert r.text == want + texts[r.doc_id][at:] and r.n_chars == len(r.text)
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.8):
+        pos = rng.normal(1.5, 1, (2000, 5))
+        unl = np.concatenate((rng.normal(1.5, 1, (int(3000 * share), 5)), rng.normal(-1.5, 1, (int(3000 * (1 - share)), 5))))
+        assert abs(quality_classifier.class_prior(pos, unl) - share) < 0.08
+
+
+def test_path_lengths_by_walking_the_trees():
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 3))
+    trees = quality_rules.grow(x, np.zeros(3), np.ones(3), rng, trees=8, sub=32)
+    for row, got in zip(x, quality_rules.anomaly(x, trees, 32), strict=True):
+        paths = []
+        for feature, value, left, path in trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] + int(row[feature[at]] >= value[at])
+            paths.append(path[at])
+        assert got == pytest.approx(2 ** (-np.mean(paths) / quality_rules.usual_path(32)))
+
+
+def test_mixture_against_all_sets():
+    """The chosen set has the greatest penalised likelihood of all prefixes by proportion, each fitted by brute force."""
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        like = np.maximum(rng.random((80, 3)) ** 4, 1e-6)
+        like[:50, 0] += 1
+        order = np.argsort(-language_id.expectation_maximisation(like)[0], kind="stable")
+        values = []
+        for k in (1, 2, 3):
+            part = like[:, order[:k]]
+            grid = [np.array(p) / 40 for p in np.ndindex(*[41] * k) if sum(p) == 40]
+            values.append(max(np.log(np.maximum(part @ g, 1e-300)).sum() for g in grid) - language_id.PENALTY * k * np.log(81))
+        assert len(language_id.mixture(like)) == 1 + int(np.argmax(values)) or max(values) - values[len(language_id.mixture(like)) - 1] < 0.5
