@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.operators.core import Scope
+from molquarry.operators.tables import cut
 
 # Residue names of the fixture, in order.
 RESIDUES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL HOH NAG MAN DA".split()
@@ -69,6 +70,13 @@ def bonds(at: DataFrame) -> DataFrame:
     return inside.select("scope_id", "a", "b", kind.alias("bond_type")).unionByName(ring.select("scope_id", "a", "b", one.alias("bond_type"))).unionByName(peptide.select("scope_id", "a", "b", one.alias("bond_type")))
 
 
+_WRITTEN: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
 def scope(spark: SparkSession, sf_dir: str) -> Scope:
-    at = atoms(spark, sf_dir)
-    return Scope(at, bonds(at))
+    """The structures of a folder's tables; derived once in an application and written to its shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        at = cut(atoms(spark, sf_dir))
+        _WRITTEN[key] = at, cut(bonds(at))
+    return Scope(*_WRITTEN[key])
