@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import KEY, PatternSeq, Scope
-from .tables import cut
+from .tables import cut, prefix_sums
 
 
 def run(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -> DataFrame:
@@ -106,8 +106,7 @@ def limited(df: DataFrame, most_patterns: int, most_atoms: int, order: list[str]
     """
     first = order[0]
     per = df.groupBy(first).agg(F.count("*").alias("_n"), F.sum("atom_count").alias("_m"))
-    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)  # one row a structure
-    sums = per.select(first, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_pn"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_pm"))
+    sums = prefix_sums(per, [first], {"_pn": F.col("_n"), "_pm": F.col("_m")}).select(first, "_pn", "_pm")
     inside = Window.partitionBy(first).orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     run_ = df.join(sums, first).withColumn("_n", F.col("_pn") + F.coalesce(F.count("*").over(inside), F.lit(0))).withColumn("_m", F.col("_pm") + F.coalesce(F.sum("atom_count").over(inside), F.lit(0)))
     return run_.filter((F.col("_n") < most_patterns) & (F.col("_m") < most_atoms)).drop("_pn", "_pm", "_n", "_m")
@@ -156,8 +155,8 @@ def admit(structures: DataFrame, order: str, most_structures: int, most_atoms: i
     """Structures in file-name order up to both limits; of equal ids (case-insensitive) the first."""
     first = Window.partitionBy(F.lower(F.col(key).cast("string"))).orderBy(order)
     one = structures.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    run_ = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # one row a structure of one interactive set
-    return one.withColumn("_n", F.count("*").over(run_)).withColumn("_m", F.sum("atom_count").over(run_)).filter((F.col("_n") <= most_structures) & (F.col("_m") <= most_atoms)).drop("_n", "_m")
+    run_ = prefix_sums(one, [order], {"_n": F.lit(1), "_m": F.col("atom_count")})
+    return run_.filter((F.col("_n") < most_structures) & (F.col("_m") + F.col("atom_count") <= most_atoms)).drop("_n", "_m")
 
 
 def attach_flags(patterns: DataFrame, residues: DataFrame, validation: DataFrame, ignored: list[str]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with the sums over all rows before each in the order: range by range, so that no task holds all rows."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    per = ranged.groupBy("_range").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()  # one row for each range
+    before, total = [], dict.fromkeys(sums, 0)
+    for r in sorted(per, key=lambda r: r["_range"]):
+        before.append((r["_range"], *(int(total[n]) for n in sums)))
+        total = {n: total[n] + (r[n] or 0) for n in sums}
+    firsts = df.sparkSession.createDataFrame(before, "_range int, " + ", ".join(f"_first_{n} long" for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(firsts), "_range")  # one row for each range
+    return out.select(*df.columns, *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_first_{n}")).alias(n) for n, c in sums.items()))
