@@ -73,10 +73,16 @@ def bonds(at: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
+def _still_there(df: DataFrame) -> bool:
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()[:1]]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def scope(spark: SparkSession, sf_dir: str) -> Scope:
     """The structures of a folder's tables; derived once in an application and written to its shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not all(map(_still_there, _WRITTEN[key])):
         at = cut(atoms(spark, sf_dir))
         _WRITTEN[key] = at, cut(bonds(at))
     return Scope(*_WRITTEN[key])
