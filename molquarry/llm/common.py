@@ -66,20 +66,21 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             yield b.slice(k, step)
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(f, schema), after which a worker gives back what the task has held."""
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: bool = False) -> DataFrame:
+    """df.mapInArrow(f, schema), after which a worker gives back what the task has held; with `keep` all but kept() things."""
 
     def run(batches):
         try:
             yield from f(batches)
         finally:
-            released()
+            released(keep)
 
     return df.mapInArrow(run, schema)
 
 
-def released() -> None:
-    _KEPT.clear()
+def released(keep: bool = False) -> None:
+    if not keep:
+        _KEPT.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -131,7 +132,7 @@ _KEPT: dict[str, object] = {}
 
 
 def kept(name: str, make: Callable):
-    """What an operator keeps in a worker from batch to batch of a task. A worker holds that of one operator at a time."""
+    """What an operator keeps in a worker from batch to batch, or from task to task. A worker holds that of one operator."""
     if name not in _KEPT:
         _KEPT.clear()
         _KEPT[name] = make()

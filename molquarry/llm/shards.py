@@ -86,7 +86,7 @@ def sequences_of(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_
             yield pa.RecordBatch.from_arrays([b.column(0).take(taken), b.column(1).take(taken), pa.array(crc, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary())], ["row", "doc_id", "crc", "start", "ids"])
 
     narrow = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.expr(f"try_cast(`{doc_id}` AS bigint)"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = mapped(narrow, encode, "row long, doc_id long, crc long, start long, ids binary")
+    pieces = mapped(narrow, encode, "row long, doc_id long, crc long, start long, ids binary", keep=True)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "crc", "row", "start")
 
     def cut(batches):
