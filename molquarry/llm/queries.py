@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, shards, substring_dedup, toxicity
+from . import decontaminate, divergence, language_id, licenses, ngram_join, packing, quality_classifier, quality_rules, secrets, shards, substring_dedup, toxicity, whitening
 from .common import own_dir
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -75,6 +75,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=16)
+    return whitening.long_form(rows, model).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    joined = {f"{c}": F.array_join(c, ",") for c in ("base_labels", "labels")}
+    places = {"n_base": F.size("places").cast("long"), "first_word": F.try_element_at("places", F.lit(1)), "last_word": F.try_element_at("places", F.lit(-1))}
+    return found.withColumns(joined | places).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_language_id": op2_language_id,
@@ -86,4 +102,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_training_order": op9_training_order,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_license_scans": op13_license_scans,
 }
