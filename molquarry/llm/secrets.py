@@ -37,8 +37,10 @@ ALLOWED = (
     r"^[0-9_=+/-]*$",  # no letter: numbers, dates, rules
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"(?i)0123456789|abcdefghij|example|^(.)\1*$",
-    r"^/?([a-z]+[0-9]{0,4}[/_-]){2,}[a-z]*[0-9]{0,4}$",  # paths and slugs
 )
+#: Paths and slugs are allowed too: two words at least that a mark ends, and maybe a last one. Judged piece by piece, as a
+#: pattern of a repeated group would recurse once for each piece of a long run.
+SLUG_WORD, SLUG_LAST, SLUG_MARK = r"^[a-z]+[0-9]{0,4}$", r"^[a-z]*[0-9]{0,4}$", "[/_-]"
 
 SPAN = "struct<start:int,kind:int,end:int>"
 MATCH = "struct<start:int,match:string>"
@@ -139,11 +141,23 @@ def best_entropy(run: Column, window: int = ENTROPY_WINDOW) -> Column:
     return _once(F.struct(run.cast("binary").alias("raw"), term.alias("terms"), F.length(run).alias("size")), swept)
 
 
+def slug(run: Column) -> Column:
+    """Whether the run is a path or slug."""
+    pieces = F.split(F.regexp_replace(run, "^/", ""), SLUG_MARK, -1)
+
+    def judged(p: Column) -> Column:
+        words = F.slice(p, F.lit(1), F.size(p) - 1)
+        return (F.size(p) > 2) & F.element_at(p, -1).rlike(SLUG_LAST) & F.forall(words, lambda w: w.rlike(SLUG_WORD))
+
+    return _once(pieces, judged)
+
+
 def _entropic(bits: float, window: int):
     def keep(run: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOWED:
             allowed = allowed | run.rlike(p)
+        allowed = allowed | slug(run)
         return F.when(allowed, False).otherwise(F.round(best_entropy(run, window), 6) >= bits)
 
     return keep

@@ -23,6 +23,7 @@ table, or one with a single distinct vector, gives none. A deviation that does n
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,8 +130,9 @@ def refined(v: np.ndarray, most_rounds: int = 40) -> tuple[np.ndarray, np.ndarra
         a, x, last = exact.astype(kind), x.astype(kind), np.inf
         unit = np.eye(len(a), dtype=kind)
         for _ in range(most_rounds):
-            r = unit - x.T @ x
-            s = x.T @ a @ x
+            r, s = unit - x.T @ x, x.T @ a @ x
+            # symmetric to the last bit, or small gaps blow rounding up to a loss of orthogonality
+            r, s = (r + r.T) / 2, (s + s.T) / 2
             values = np.diag(s) / (1 - np.diag(r))
             off = s - np.diag(values)
             # Frobenius norms bound the spectral ones
@@ -234,8 +236,9 @@ def identity_error(vectors: DataFrame, m: Model) -> float:
 
 def whiten(rows: DataFrame, vector: str = "embedding", components: int = 16) -> tuple[DataFrame, Model | None]:
     """The usable rows with the columns deviation (long) and whitened (array<double>, a value for each component); the model."""
-    x = integers(rows, vector)
-    listed = fit_list(x)
+    own = f"_{uuid.uuid4().hex}"
+    x = integers(rows, vector, own)
+    listed = fit_list(x, own)
     m = fit(listed, components)
     columns = [f for f in rows.schema.fields if f.name not in RESULTS]
     schema = T.StructType([*columns, T.StructField("deviation", T.LongType()), T.StructField("whitened", T.ArrayType(T.DoubleType()))])
@@ -253,12 +256,13 @@ def whiten(rows: DataFrame, vector: str = "embedding", components: int = 16) ->
             whitened = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)), pa.array(w.ravel()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_deviation(v, m), pa.int64()), whitened], [*b.schema.names[:-1], *RESULTS])
 
-    return mapped(x.select(*(F.col(f"`{f.name}`") for f in columns), "_x"), run, schema), m
+    return mapped(x.select(*(F.col(f"`{f.name}`") for f in columns), own), run, schema), m
 
 
 def long_form(whitened: DataFrame, m: Model | None) -> DataFrame:
     """A row for each row and component: component, n, whitened, explained and identity_error beside the other columns."""
     shares: Column = F.array(*(F.lit(float(s)) for s in (m.explained if m else [])))
-    rows = whitened.select("*", F.posexplode("whitened").alias("_k", "_w")).drop("whitened")
-    rows = rows.withColumns({"component": (F.col("_k") + 1).cast("int"), "n": F.lit(m.n if m else 0).cast("long"), "whitened": F.col("_w"), "explained": F.get(shares, F.col("_k")).cast("double"), "identity_error": F.lit(m.identity_error if m else 0.0)})
-    return rows.drop("_k", "_w")
+    k, w = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"
+    rows = whitened.select("*", F.posexplode("whitened").alias(k, w)).drop("whitened")
+    rows = rows.withColumns({"component": (F.col(k) + 1).cast("int"), "n": F.lit(m.n if m else 0).cast("long"), "whitened": F.col(w), "explained": F.get(shares, F.col(k)).cast("double"), "identity_error": F.lit(m.identity_error if m else 0.0)})
+    return rows.drop(k, w)
