@@ -6,8 +6,8 @@ p = 1 + floor(10^9 * (count + 1) / (N + V)), N being the sum of its counts; so d
 divergence of a term is f(p, q) = floor((p - q)^2 / q). All numbers are integers.
 
 Top terms of a group. f grows with the group's count and falls with the language's, while p > q. So a term that k others
-dominate (count at least as high, language's count at most as high, earlier in UTF-8) is behind those k. Each partition
-keeps the terms that fewer than k others dominate, its k-skyband; those of all partitions are merged by group, again to a
+dominate (count at least as high, language's count at most as high, earlier in UTF-8) is behind those k. A partition holds
+whole groups, or parts of large ones; it keeps the terms that fewer than k others dominate, its k-skyband; those of all partitions are merged by group, again to a
 skyband; and what is left is ranked exactly. A partition holds its bands only; when these outgrow HELD rows they are passed
 on and begun anew, which makes more rows to merge and changes no result.
 
@@ -24,6 +24,7 @@ not matter. An empty table gives no rows. One long text is one row of one task.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, written
+from .common import mapped, slices, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Rows that a task holds of all groups' bands; rows of a group that wait to be taken into its band; candidates at a time.
-HELD, WAITING, BLOCK = 1_000_000, 2_048, 512
+HELD, WAITING, BLOCK = 1_000_000, 8_192, 512
+#: Terms of all groups that a task counts before it passes the counts on.
+COUNTED = 400_000
+#: Terms of a group that a task ranks at once; larger groups are dealt in parts.
+PART = 100_000
 
 GROUP = ["lang", "source"]
 
@@ -46,13 +51,47 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: A-Z to a-z, and a space for each byte below 128 that is no letter: bytes of other characters are parts of terms.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """The terms of a text in UTF-8."""
+    return text.translate(FOLD).split()
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with the term)."""
-    sorted_ = F.sort_array(F.regexp_extract_all(F.translate(text_or_empty(text), UPPER, LOWER), F.lit(TERM), F.lit(0)))
-    # of equal terms of a text the first is marked
-    marked = F.get(F.transform(F.array(sorted_), lambda s: F.transform(s, lambda w, i: F.struct(w.alias("term"), ((i == 0) | (w != F.get(s, i - 1))).alias("first")))), F.lit(0))
-    each = docs.select(text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), F.inline(marked))
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if("first").alias("docs"))
+    """lang, source, term, n (occurrences) and docs (documents with the term).
+
+    A task adds up what it reads, and passes its sums on whenever it holds those of COUNTED terms.
+    """
+
+    def run(batches):
+        counts = {}
+        for b in slices(batches):
+            langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, value in enumerate(b.column(2).cast(pa.binary())):
+                n, seen = counts.setdefault((langs[i], sources[i]), (Counter(), Counter()))
+                words = terms_of(value.as_py())
+                n.update(words)
+                seen.update(set(words))
+            if sum(len(n) for n, _ in counts.values()) > COUNTED:
+                yield from _summed(counts)
+        yield from _summed(counts)
+
+    given = docs.select(text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), text_or_empty(text).alias("text"))
+    parts = mapped(given, run, "lang string, source string, term string, n long, docs long")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _summed(counts: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, seen) in counts.items():
+        terms = list(n)
+        for a in range(0, len(terms), 1 << 16):
+            part = terms[a : a + (1 << 16)]
+            columns = [pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n[t] for t in part], pa.int64()), pa.array([seen[t] for t in part], pa.int64())], ["lang", "source", "term", "n", "docs"])
+    counts.clear()
 
 
 def weight(n: Column, total: Column, terms: Column) -> Column:
@@ -65,6 +104,25 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def smaller_before(m: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """For each place the number of others with m at most as high and a lower r; the r differ. Bit by bit, n log^2 n."""
+    by = np.lexsort((r, m))
+    a = np.empty(len(r), np.int64)
+    a[np.argsort(r[by])] = np.arange(len(r))  # ranks of r, in the order of m
+    count, order = np.zeros(len(a), np.int64), np.arange(len(a))
+    for bit in range(max(len(a) - 1, 0).bit_length() - 1, -1, -1):
+        # places are sorted by the bits above; among equal ones, a set bit has the unset ones before it beneath
+        prefix, one = a[order] >> (bit + 1), (a[order] >> bit) & 1
+        zeros = np.cumsum(1 - one)
+        start = np.flatnonzero(np.diff(prefix, prepend=-1))
+        before = np.repeat(np.concatenate([[0], zeros])[start], np.diff(start, append=len(a)))
+        count[order] += np.where(one == 1, zeros - before, 0)
+        order = order[np.argsort((prefix << 1) | one, kind="stable")]
+    out = np.empty(len(a), np.int64)
+    out[by] = count
+    return out
+
+
 def band_of(n: np.ndarray, lang_n: np.ndarray, terms: np.ndarray, k: int) -> np.ndarray:
     """Places of the rows that fewer than k others dominate: n at least, lang_n at most, term earlier (object array of bytes)."""
     rank = np.empty(len(n), np.int64)
@@ -72,16 +130,23 @@ def band_of(n: np.ndarray, lang_n: np.ndarray, terms: np.ndarray, k: int) -> np.
     order = np.lexsort((rank, lang_n, -n))  # whatever dominates a row comes before it
     if len(n) <= k:
         return order
-    m, r = lang_n[order], rank[order]
-    kept_m, kept_r, kept = m[:0], r[:0], []
-    for a in range(0, len(n), BLOCK):
-        bm, br = m[a : a + BLOCK], r[a : a + BLOCK]
+    m, r, level = lang_n[order], rank[order], n[order]
+    # blocks end where n changes, if one n has more rows than a block
+    ends = np.append(np.flatnonzero(np.diff(level)) + 1, len(level))
+    kept_m, kept_r, kept, a = m[:0], r[:0], [], 0
+    while a < len(n):
+        end = int(ends[np.searchsorted(ends, a, side="right")])
+        b = end if end - a > BLOCK else int(ends[max(np.searchsorted(ends, a + BLOCK, side="right") - 1, np.searchsorted(ends, end))])
+        bm, br = m[a:b], r[a:b]
         # dominators that were dropped have k dominators themselves, which are kept ones: counting kept ones is enough
-        count = ((kept_m[None, :] <= bm[:, None]) & (kept_r[None, :] < br[:, None])).sum(1)
-        inner = (bm[None, :] <= bm[:, None]) & (br[None, :] < br[:, None])
-        stay = count + np.tril(inner, -1).sum(1) < k
-        kept.append(order[a : a + BLOCK][stay])
-        kept_m, kept_r = np.concatenate([kept_m, bm[stay]]), np.concatenate([kept_r, br[stay]])
+        if b - a > BLOCK:
+            count = smaller_before(np.concatenate([kept_m, bm]), np.concatenate([kept_r, br]))[len(kept_m) :]
+        else:
+            count = ((kept_m[None, :] <= bm[:, None]) & (kept_r[None, :] < br[:, None])).sum(1)
+            count += np.tril((bm[None, :] <= bm[:, None]) & (br[None, :] < br[:, None]), -1).sum(1)
+        stay = count < k
+        kept.append(order[a:b][stay])
+        kept_m, kept_r, a = np.concatenate([kept_m, bm[stay]]), np.concatenate([kept_r, br[stay]]), b
     return np.concatenate(kept)
 
 
@@ -140,17 +205,17 @@ def skyband(rows: DataFrame, k: int) -> DataFrame:
     return mapped(rows.select("lang", "source", "term", "n", "lang_n"), run, "lang string, source string, term string, n long, lang_n long")
 
 
-def _tables(docs: DataFrame, least_docs: int, text: str, lang: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Kept counts (lang, source, term, n, lang_n); groups (lang, source, total, terms); languages (lang, lang_total, terms)."""
+def _tables(docs: DataFrame, least_docs: int, text: str, lang: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Kept counts (lang, source, term, n, lang_n); groups (lang, source, total, size (kept terms), terms (V), lang_total)."""
     counts = written(term_counts(docs, text, lang, source), "terms")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("_d")).filter(F.col("_d") >= least_docs).drop("_d")
     kept = written(counts.drop("docs").join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept-terms")
     once = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
     langs = once.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("terms"))
-    totals = kept.groupBy(*GROUP).agg(F.sum("n").alias("total"))
+    totals = kept.groupBy(*GROUP).agg(F.sum("n").alias("total"), F.count("*").alias("size"))
     groups = docs.select(text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source")).distinct()
-    groups = groups.join(totals, GROUP, "left").join(langs.select("lang", "terms"), "lang", "left").na.fill(0, ["total", "terms"])
-    return kept, written(groups, "groups"), langs
+    groups = groups.join(totals, GROUP, "left").join(langs, "lang", "left").na.fill(0, ["total", "size", "terms", "lang_total"])
+    return kept, written(groups, "groups")
 
 
 def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -177,12 +242,16 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     return parts.groupBy(*GROUP, "item").agg(F.sum("value").cast("long").alias("value"))
 
 
-def top_terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int = TOP) -> DataFrame:
-    """lang, source, item (a term with p > q), value and rank, to rank `top`."""
-    bands = skyband(kept, top)
+def top_terms(kept: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
+    """lang, source, item (a term with p > q), value and rank, to rank `top`.
+
+    Groups are dealt whole, those of over PART terms in parts of about as many by a hash of the term.
+    """
+    parts = kept.join(groups.select(*GROUP, "size"), GROUP).withColumn("_part", F.pmod(F.xxhash64("term"), F.floor(F.col("size") / PART) + 1))
+    bands = skyband(parts.repartition(*GROUP, "_part"), top)
     merged = skyband(bands.repartition(*GROUP), top)
     p, q = weight(F.col("n"), F.col("total"), F.col("terms")), weight(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
-    valued = merged.join(groups, GROUP).join(langs.drop("terms"), "lang").withColumns({"p": p, "q": q}).filter("p > q")
+    valued = merged.join(groups, GROUP).withColumns({"p": p, "q": q}).filter("p > q")
     by = Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
     ranked = valued.select(*GROUP, F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(by))
     return ranked.filter(F.col("rank") <= top)
@@ -190,9 +259,9 @@ def top_terms(kept: DataFrame, groups: DataFrame, langs: DataFrame, top: int = T
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source, part (`pair` or `term`), item, value and rank."""
-    kept, groups, langs = _tables(docs, least_docs, text, lang, source)
+    kept, groups = _tables(docs, least_docs, text, lang, source)
     by = Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
     pairs = source_pairs(kept, groups).withColumn("rank", F.row_number().over(by))
-    terms = top_terms(kept, groups, langs, top)
+    terms = top_terms(kept, groups, top)
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.withColumn("part", F.lit("pair")).select(columns).unionByName(terms.withColumn("part", F.lit("term")).select(columns))

@@ -134,7 +134,9 @@ def audited(rows, least=3, top=200):
 @pytest.mark.parametrize("top", [3, 200])
 def test_audit_against_brute_force(spark, monkeypatch, top):
     monkeypatch.setattr(divergence, "WAITING", 7)
-    monkeypatch.setattr(divergence, "BLOCK", 5)
+    monkeypatch.setattr(divergence, "COUNTED", 50)
+    monkeypatch.setattr(divergence, "PART", 9)
+    monkeypatch.setattr(divergence, "HELD", 60)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abABéÉ") for _ in range(rng.choice([1, 2, 2, 3])))
     rows = [(rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3", "", None]), " ".join(word() for _ in range(rng.randint(0, 40)))) for _ in range(120)]
@@ -145,15 +147,23 @@ def test_audit_against_brute_force(spark, monkeypatch, top):
     assert divergence.audit(df.limit(0)).count() == 0
 
 
-def test_bands_that_outgrow_a_task_are_passed_on(monkeypatch):
+def test_bands_against_all_pairs(monkeypatch):
     rng = np.random.default_rng(3)
     n, m = rng.integers(1, 9, 400), rng.integers(1, 30, 400)
     terms = np.array([b"%03d" % i for i in rng.permutation(400)], dtype=object)
-    for k in (1, 4, 40):
+    for k, block in ((1, 512), (4, 512), (40, 512), (1, 20), (4, 45), (40, 70), (4, 5)):
+        monkeypatch.setattr(divergence, "BLOCK", block)
         dominated = [sum(n[j] >= n[i] and m[j] <= m[i] and terms[j] < terms[i] for j in range(400)) for i in range(400)]
         assert sorted(divergence.band_of(n, m, terms, k)) == [i for i in range(400) if dominated[i] < k]
 
 
+def test_lower_ranks_before():
+    rng = np.random.default_rng(6)
+    for size in (0, 1, 2, 3, 17, 64, 200):
+        m, r = rng.integers(0, 9, size), rng.permutation(size * 3)[:size]
+        assert divergence.smaller_before(m, r).tolist() == [sum(m[j] <= m[i] and r[j] < r[i] for j in range(size)) for i in range(size)]
+
+
 def test_weights_do_not_overflow(spark):
     df = spark.createDataFrame([(90_000_000_000, 91_000_000_000, 5)], "n long, total long, terms long")
     got = df.select(divergence.weight(F.col("n"), F.col("total"), F.col("terms"))).first()[0]
