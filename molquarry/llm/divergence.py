@@ -38,7 +38,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: Rows that a task holds of all groups' bands; rows of a group that wait to be taken into its band; candidates at a time.
-HELD, WAITING, BLOCK = 1_000_000, 8_192, 512
+HELD, WAITING, BLOCK = 1_000_000, 32_768, 512
 #: Terms of all groups that a task counts before it passes the counts on.
 COUNTED = 400_000
 #: Terms of a group that a task ranks at once; larger groups are dealt in parts.
@@ -96,8 +96,10 @@ def _summed(counts: dict) -> Iterator[pa.RecordBatch]:
 
 def weight(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (n + 1) / (total + terms)); terms is not 0."""
+    div = lambda a, b: F.call_function("div", a, b)
     wide = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(11,0)")
-    return F.lit(1).cast("long") + F.call_function("div", wide, (total + terms).cast("decimal(20,0)"))
+    short = div((n + 1) * F.lit(SCALE).cast("long"), total + terms)
+    return F.lit(1).cast("long") + F.when(n < F.lit((1 << 63) // SCALE - 1), short).otherwise(div(wide, (total + terms).cast("decimal(20,0)")))
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -117,7 +119,9 @@ def smaller_before(m: np.ndarray, r: np.ndarray) -> np.ndarray:
         start = np.flatnonzero(np.diff(prefix, prepend=-1))
         before = np.repeat(np.concatenate([[0], zeros])[start], np.diff(start, append=len(a)))
         count[order] += np.where(one == 1, zeros - before, 0)
-        order = order[np.argsort((prefix << 1) | one, kind="stable")]
+        key = (prefix << 1) | one
+        # keys of 16 bits are sorted in linear time
+        order = order[np.argsort(key.astype(np.uint16) if len(a) <= 1 << 16 else key, kind="stable")]
     out = np.empty(len(a), np.int64)
     out[by] = count
     return out
@@ -233,11 +237,16 @@ def source_pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     seen = kept.groupBy(*GROUP, "n").agg(F.count("*").alias("m"))
     mine = seen.join(usable, GROUP).select(*GROUP, "item", (F.col("m") * (f(F.col("n"), zero) - f(zero, zero))).cast("decimal(38,0)").alias("value"))
     theirs = seen.withColumnRenamed("source", "item").join(usable, ["lang", "item"]).select(*GROUP, "item", (F.col("m") * (f(zero, F.col("n")) - f(zero, zero))).cast("decimal(38,0)").alias("value"))
+    # common terms of each two sources, once; a row of counts gives its part to both directions
     a = kept.select("lang", "term", "source", "n")
-    both = a.join(a.select("lang", "term", F.col("source").alias("item"), F.col("n").alias("o")), ["lang", "term"]).filter("source <> item")
+    both = a.join(a.select("lang", "term", F.col("source").alias("item"), F.col("n").alias("o")), ["lang", "term"]).filter("source < item")
     both = both.groupBy(*GROUP, "item", "n", "o").agg(F.count("*").alias("m")).join(usable, [*GROUP, "item"])
     n, o = F.col("n"), F.col("o")
-    common = both.select(*GROUP, "item", (F.col("m") * (f(n, o) - f(n, zero) - f(zero, o) + f(zero, zero))).cast("decimal(38,0)").alias("value"))
+    there = F.col("m") * (f(n, o) - f(n, zero) - f(zero, o) + f(zero, zero))
+    g = lambda x, y: divergence(q(y), p(x)).cast("decimal(38,0)")
+    back = F.col("m") * (g(n, o) - g(n, zero) - g(zero, o) + g(zero, zero))
+    ways = [F.struct(F.col(x).alias("source"), F.col(y).alias("item"), v.cast("decimal(38,0)").alias("value")) for x, y, v in (("source", "item", there), ("item", "source", back))]
+    common = both.select("lang", F.inline(F.array(*ways)))
     parts = flat.unionByName(mine).unionByName(theirs).unionByName(common).unionByName(pairs.filter("terms = 0").select(*GROUP, "item", F.lit(0).cast("decimal(38,0)").alias("value")))
     return parts.groupBy(*GROUP, "item").agg(F.sum("value").cast("long").alias("value"))
 
