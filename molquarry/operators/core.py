@@ -4,6 +4,10 @@ A Scope is a set of structures held as tables keyed by scope_id. A PatternSeq is
 atom_ids: sorted distinct ids, name); each operator is a DataFrame plan. Distances are Euclidean. Searches around atoms
 include the radius; nearness of two patterns does not. Range joins meet in grid cells of the radius' size, so a cell is
 part of the join key and no structure is ever crossed with itself.
+
+A pattern stands in joins and groups as PID, a 128-bit hash of its atoms beside the structure; `members` is the narrow
+table (PID, atom_id). Arrays of atoms meet these tables once, at the end of an operator, so that a pattern of n atoms
+moves n short rows and one array.
 """
 
 from __future__ import annotations
@@ -14,9 +18,14 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import k_nearest, least_distances
+from .similarity import Multisets, expanded
 from .tables import cut
 
 KEY = ["scope_id", "atom_ids"]
+PID = ["scope_id", "_pa", "_pb"]
+#: PID of the second of two patterns.
+OTHER = ["scope_id", "_oa", "_ob"]
 WATER = "HOH"
 # Names of amino acids and nucleotides, and one-letter codes of the amino acids.
 AMINO = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
@@ -41,6 +50,11 @@ def charge_class(res_name: Column) -> Column:
     return F.coalesce(lookup(res_name, {n: k for k, names in CHARGE.items() for n in names}), F.lit("Unknown"))
 
 
+def set_id(ids: str = "atom_ids", names: Sequence[str] = PID) -> dict[str, Column]:
+    """The two hashes of an array of sorted distinct atoms."""
+    return {names[1]: F.xxhash64(ids), names[2]: F.xxhash64(F.lit(7), F.col(ids))}
+
+
 def mk(rows: DataFrame, *group: str) -> DataFrame:
     """One pattern for each group of rows (group columns..., atom_id)."""
     return rows.groupBy(*group).agg(F.array_sort(F.collect_set("atom_id")).alias("atom_ids"))
@@ -68,6 +82,25 @@ def range_pairs(left: DataFrame, right: DataFrame, size: float, on: str = "scope
     return met.withColumn("_d2", distance2("p", "")).filter(F.col("_d2") <= size * size)
 
 
+def range_pairs_each(left: DataFrame, right: DataFrame, radius: str, on: str = "scope_id") -> DataFrame:
+    """Pairs of left (px, py, pz) and right (x, y, z) at most left's own `radius` apart, on equal `on`; adds _d2.
+
+    Radii fall into classes by powers of two, each with its own cell size. A right row stands once in every class that its
+    group has, a left row in the 27 cells of its class: one large radius does not widen the cells of the small ones.
+    """
+    r = F.greatest(F.col(radius).cast("double"), F.lit(1e-9))
+    classed = left.filter(F.col(radius) >= 0).withColumn("_class", F.ceil(F.log2(r)).cast("int"))
+    classes = classed.select(on, "_class").distinct()
+    at = lambda p: [F.floor(F.col(f"{p}{c}") / F.pow(F.lit(2.0), F.col("_class"))).alias(f"_{c}") for c in "xyz"]
+    shift = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    cells = classed.select("*", *at("p"))
+    for c in "xyz":
+        cells = cells.withColumn("_s", shift).withColumn(f"_{c}", F.col(f"_{c}") + F.col("_s")).drop("_s")
+    placed = right.join(classes, on).select("*", *at(""))
+    met = cells.join(placed, [on, "_class", "_x", "_y", "_z"]).drop("_class", "_x", "_y", "_z")
+    return met.withColumn("_d2", distance2("p", "")).filter(F.sqrt("_d2") <= F.col(radius))
+
+
 class Scope:
     """atoms(scope_id, atom_id, element, name, record_name, res_name, chain, res_seq, ins_code, x, y, z), bonds(scope_id,
     a, b, bond_type) with a < b, and optional tables: modified (chain, res_seq, ins_code, modified_from), secondary (kind,
@@ -90,16 +123,17 @@ class Scope:
         """Chordless cycles of 3 to 8 atoms inside a residue, with their canonical element fingerprint."""
         return rings(self)
 
-    def seq(self, df: DataFrame) -> PatternSeq:
+    def seq(self, df: DataFrame, repeats: bool = True) -> PatternSeq:
+        """Patterns of df (scope_id, atom_ids, name if there is one); repeats: whether a set may come more than once."""
         if "name" not in df.columns:
             df = df.withColumn("name", F.lit(None).cast("int"))
-        return PatternSeq(df.select("scope_id", "atom_ids", "name"), self)
+        return PatternSeq(df.select("scope_id", "atom_ids", "name"), self, repeats)
 
     def _atoms(self, keep: Column) -> PatternSeq:
-        return self.seq(self.atoms.filter(keep).select("scope_id", F.array("atom_id").alias("atom_ids")))
+        return self.seq(self.atoms.filter(keep).select("scope_id", F.array("atom_id").alias("atom_ids")), False)
 
     def _residues(self, keep: Column) -> PatternSeq:
-        return self.seq(self.residues.filter(keep))
+        return self.seq(self.residues.filter(keep), False)
 
     def atoms_of(self, *elements: str) -> PatternSeq:
         """Single atoms with one of the elements; all atoms if none is given."""
@@ -279,11 +313,44 @@ def rings(scope: Scope, most: int = 8) -> DataFrame:
 class PatternSeq:
     """Patterns of a scope; methods return new sequences or tables."""
 
-    def __init__(self, df: DataFrame, scope: Scope):
-        self.df, self.scope = df, scope
+    def __init__(self, df: DataFrame, scope: Scope, repeats: bool = True):
+        self.df, self.scope, self.repeats = df, scope, repeats
 
-    def _new(self, df: DataFrame) -> PatternSeq:
-        return self.scope.seq(df)
+    def _new(self, df: DataFrame, repeats: bool = True) -> PatternSeq:
+        return self.scope.seq(df, repeats)
+
+    @cached_property
+    def keyed(self) -> DataFrame:
+        """The patterns with their PID."""
+        return self.df.withColumns(set_id())
+
+    @cached_property
+    def sets(self) -> DataFrame:
+        """PID and atom_ids, a row for each set."""
+        rows = self.keyed.select(*PID, "atom_ids")
+        return rows.dropDuplicates(PID) if self.repeats else rows
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """PID and atom_id, a row for each atom of each row of patterns."""
+        return self.keyed.select(*PID, F.explode("atom_ids").alias("atom_id"))
+
+    @cached_property
+    def located(self) -> DataFrame:
+        """members with the atoms' columns."""
+        return self.members.join(self.scope.atoms.withColumnRenamed("name", "atom_name"), ["scope_id", "atom_id"])
+
+    def _others(self) -> DataFrame:
+        """members as the second of two patterns."""
+        return self.members.withColumnsRenamed(dict(zip(PID, OTHER, strict=True)))
+
+    def _with_ids(self, rows: DataFrame) -> DataFrame:
+        """rows (PID, ...) with the atoms of the patterns."""
+        return rows.join(self.sets, PID)
+
+    def _with_other_ids(self, rows: DataFrame) -> DataFrame:
+        """rows (OTHER, ...) with other_ids, the atoms of these patterns."""
+        return rows.join(self.sets.withColumnRenamed("atom_ids", "other_ids").withColumnsRenamed(dict(zip(PID, OTHER, strict=True))), OTHER)
 
     @cached_property
     def long(self) -> DataFrame:
@@ -291,7 +358,7 @@ class PatternSeq:
 
     @cached_property
     def placed(self) -> DataFrame:
-        """A row for each pattern and atom, with the atom's columns."""
+        """A row for each pattern and atom, with the pattern's and the atom's columns: for few or small patterns."""
         return self.long.join(self.scope.atoms.withColumnRenamed("name", "atom_name"), ["scope_id", "atom_id"])
 
     def text(self) -> DataFrame:
@@ -303,7 +370,7 @@ class PatternSeq:
     def _dedup(self, df: DataFrame, named_duplicates: bool = False) -> PatternSeq:
         """One pattern of each atom set, with its least name; named_duplicates keeps one for each name that is new."""
         if not named_duplicates:
-            return self._new(df.groupBy(*KEY).agg(F.min("name").alias("name")))
+            return self._new(df.groupBy(*KEY).agg(F.min("name").alias("name")), False)
         by_name = df.groupBy(*KEY, "name").count().drop("count")
         # of sets with one name the least comes first; a set's first row stays in any case
         by_set = Window.partitionBy(*KEY).orderBy(F.col("name").asc_nulls_first())
@@ -313,7 +380,7 @@ class PatternSeq:
     def either(self, *others: PatternSeq) -> PatternSeq:
         """All patterns of the inputs; of equal atom sets the one of the first input."""
         tagged = reduce(DataFrame.unionByName, [s.df.withColumn("_o", F.lit(i)) for i, s in enumerate((self, *others))])
-        return self._new(tagged.groupBy(*KEY).agg(F.min_by("name", F.struct("_o", "name")).alias("name")))
+        return self._new(tagged.groupBy(*KEY).agg(F.min_by("name", F.struct("_o", "name")).alias("name")), False)
 
     def union(self) -> PatternSeq:
         """One pattern of all atoms in each structure that has any pattern."""
@@ -329,20 +396,20 @@ class PatternSeq:
         return self._new(mk(self.long.select("scope_id", "atom_id").distinct().join(self.scope.atoms, ["scope_id", "atom_id"]), *RES))
 
     def named(self) -> PatternSeq:
-        return self._new(self.df.withColumn("name", F.array_min("atom_ids")))
+        return self._new(self.df.withColumn("name", F.array_min("atom_ids")), self.repeats)
 
     # functional
 
     def filter(self, predicate: Callable[[PatternSeq], DataFrame] | Column) -> PatternSeq:
         """A Column over (scope_id, atom_ids, name), or a function that gives a table of KEY and `value`; null is false."""
         if isinstance(predicate, Column):
-            return self._new(self.df.filter(F.coalesce(predicate, F.lit(False))))
-        ok = predicate(self).filter(F.coalesce("value", F.lit(False))).select(*KEY).distinct()
-        return self._new(self.df.join(ok, KEY, "left_semi"))
+            return self._new(self.df.filter(F.coalesce(predicate, F.lit(False))), self.repeats)
+        ok = predicate(self).filter(F.coalesce("value", F.lit(False))).withColumns(set_id()).select(*PID)
+        return self._new(self.keyed.join(ok, PID, "left_semi"), self.repeats)
 
     def execute_if(self, passing: DataFrame) -> PatternSeq:
         """Only in structures of `passing` (scope_id)."""
-        return self._new(self.df.join(passing.select("scope_id").distinct(), "scope_id", "left_semi"))
+        return self._new(self.df.join(passing.select("scope_id").distinct(), "scope_id", "left_semi"), self.repeats)
 
     def induced(self) -> tuple[Scope, DataFrame]:
         """A scope for each pattern, with the bonds inside it; and the table that leads back: new_id, scope_id, atom_ids."""
@@ -372,65 +439,67 @@ class PatternSeq:
 
     def _around(self, rows: DataFrame, radius: float) -> DataFrame:
         """Atoms of the structure within the radius of the points (px, py, pz) of rows."""
-        right = self.scope.atoms.select("scope_id", "atom_id", "res_name", "chain", "res_seq", "ins_code", "x", "y", "z")
-        return range_pairs(rows, right, radius)
+        return range_pairs(rows, self._targets(), radius)
+
+    def _targets(self) -> DataFrame:
+        return self.scope.atoms.select("scope_id", "atom_id", "res_name", "chain", "res_seq", "ins_code", "x", "y", "z")
 
     def _points(self) -> DataFrame:
-        p = self.placed
-        return p.select("scope_id", "atom_ids", "name", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-
-    def _grown(self, added: DataFrame, exclude_base: bool, named_duplicates: bool) -> PatternSeq:
-        """Patterns with the added atoms (KEY, name, atom_id)."""
-        rows = added.select(*KEY, "name", "atom_id")
-        if exclude_base:
-            new = rows.groupBy(*KEY, "name").agg(F.array_sort(F.collect_set("atom_id")).alias("_new"))
-        else:
-            new = rows.groupBy(*KEY, "name").agg(F.collect_set("atom_id").alias("_new"))
-            new = _joined(self.df, new)
-        return self._dedup(new.select("scope_id", F.col("_new").alias("atom_ids"), "name").filter(F.size("atom_ids") > 0), named_duplicates)
+        """PID and the places (px, py, pz) of a pattern's atoms."""
+        return self.located.select(*PID, *[F.col(c).alias(f"p{c}") for c in "xyz"])
+
+    def _other_points(self) -> DataFrame:
+        return self.located.select(*(F.col(p).alias(o) for p, o in zip(PID, OTHER, strict=True)), "x", "y", "z")
+
+    def _grown(self, added: DataFrame, exclude_base: bool, named_duplicates: bool, whole: bool = False) -> PatternSeq:
+        """Patterns with the added atoms (PID, atom_id), or only these; whole: they may hold atoms of the pattern itself."""
+        new = added.groupBy(*PID).agg(F.collect_set("atom_id").alias("_new"))
+        rows = self.keyed.join(new, PID, "left").withColumn("_new", F.coalesce("_new", F.array().cast("array<int>")))
+        only = F.col("_new") if whole else F.array_except("_new", "atom_ids")
+        ids = F.array_sort(only if exclude_base else F.array_union("atom_ids", "_new"))
+        return self._dedup(rows.select("scope_id", ids.alias("atom_ids"), "name").filter(F.size("atom_ids") > 0), named_duplicates)
+
+    @staticmethod
+    def _dry(hits: DataFrame, no_waters: bool) -> DataFrame:
+        return hits.filter(F.upper("res_name") != WATER) if no_waters else hits
 
     def ambient_atoms(self, radius: float, no_waters: bool = True, exclude_base: bool = False, named_duplicates: bool = False) -> PatternSeq:
-        hits = self._around(self._points(), radius).filter(~F.array_contains("atom_ids", F.col("atom_id")))
-        hits = hits.filter(F.upper("res_name") != WATER) if no_waters else hits
-        return self._grown(hits, exclude_base, named_duplicates)
+        return self._grown(self._dry(self._around(self._points(), radius), no_waters), exclude_base, named_duplicates)
 
     def ambient_residues(self, radius: float, no_waters: bool = True, exclude_base: bool = False, named_duplicates: bool = False) -> PatternSeq:
-        hits = self._around(self._points(), radius)
-        hits = hits.filter(~F.array_contains("atom_ids", F.col("atom_id")))
-        hits = hits.filter(F.upper("res_name") != WATER) if no_waters else hits
-        return self._grown(self._completed(hits), exclude_base, named_duplicates)
+        """Whole residues that have an atom within the radius; with exclude_base an atom that is none of the pattern's."""
+        hits = self._dry(self._around(self._points(), radius), no_waters)
+        hits = hits.join(self.members, [*PID, "atom_id"], "left_anti") if exclude_base else hits
+        return self._grown(self._completed(hits), exclude_base, named_duplicates, whole=True)
 
     def _completed(self, hits: DataFrame) -> DataFrame:
         """All atoms of the residues that hits touch."""
-        touched = hits.select(*KEY, "name", *RES[1:]).distinct()
-        return touched.join(self.scope.atoms.select(*RES, "atom_id"), RES)
+        touched = hits.select(*PID, *RES[1:]).distinct()
+        return touched.join(self.scope.atoms.select(*RES, "atom_id"), RES).select(*PID, "atom_id")
+
+    @cached_property
+    def _spheres(self) -> DataFrame:
+        """PID, centre (px, py, pz) and radius (greatest distance from it)."""
+        mean = self.located.groupBy(*PID).agg(*[F.avg(c).alias(f"p{c}") for c in "xyz"])
+        return self.located.select(*PID, "x", "y", "z").join(mean, PID).groupBy(*PID, "px", "py", "pz").agg(F.max(F.sqrt(distance2("p", ""))).alias("radius"))
 
     @cached_property
     def centers(self) -> DataFrame:
         """KEY, name, centre (px, py, pz) and radius (greatest distance from it)."""
-        p = self.placed
-        mean = p.groupBy(*KEY).agg(*[F.avg(c).alias(f"p{c}") for c in "xyz"])
-        far = p.select(*KEY, "name", "x", "y", "z").join(mean, KEY).groupBy(*KEY, "name", "px", "py", "pz").agg(F.max(F.sqrt(distance2("p", ""))).alias("radius"))
-        return far
+        return self.keyed.join(self._spheres, PID).select(*KEY, "name", "px", "py", "pz", "radius")
 
     def spherify(self, radius: float, no_waters: bool = True, exclude_base: bool = False, named_duplicates: bool = False) -> PatternSeq:
-        hits = self._around(self.centers, radius).filter(~F.array_contains("atom_ids", F.col("atom_id")))
-        hits = hits.filter(F.upper("res_name") != WATER) if no_waters else hits
-        return self._grown(hits, exclude_base, named_duplicates)
-
-    def filled(self, factor: float = 0.75, no_waters: bool = True, most_radius: float | None = None) -> PatternSeq:
-        """Atoms within factor * radius of the centre; the grid is as wide as the largest such radius."""
-        c = self.centers.withColumn("_r", F.col("radius") * factor)
-        size = most_radius or (c.agg(F.max("_r")).first()[0] or 1.0)
-        hits = self._around(c, size).filter(F.sqrt("_d2") <= F.col("_r")).filter(~F.array_contains("atom_ids", F.col("atom_id")))
-        hits = hits.filter(F.upper("res_name") != WATER) if no_waters else hits
-        return self._grown(hits, False, False)
+        return self._grown(self._dry(self._around(self._spheres, radius), no_waters), exclude_base, named_duplicates)
+
+    def filled(self, factor: float = 0.75, no_waters: bool = True) -> PatternSeq:
+        """Atoms within factor * radius of the centre; each size of patterns meets in a grid of its own."""
+        spheres = self._spheres.select(*PID, "px", "py", "pz", (F.col("radius") * factor).alias("_r"))
+        return self._grown(self._dry(range_pairs_each(spheres, self._targets(), "_r"), no_waters), False, False)
 
     def _near_pairs(self, others: PatternSeq, radius: float) -> DataFrame:
-        """Pairs of patterns less than radius apart: scope_id, atom_ids, name, other_ids, other_name, _d2."""
-        left = self._points()
-        right = others.placed.select("scope_id", F.col("atom_ids").alias("other_ids"), F.col("name").alias("other_name"), "x", "y", "z")
-        return range_pairs(left, right, radius).groupBy("scope_id", "atom_ids", "name", "other_ids", "other_name").agg(F.min("_d2").alias("_d2")).filter(F.col("_d2") < radius * radius)
+        """Pairs of patterns less than radius apart: PID, OTHER and _d2."""
+        met = range_pairs(self._points(), others._other_points(), radius)
+        return met.groupBy(*PID, *OTHER[1:]).agg(F.min("_d2").alias("_d2")).filter(F.col("_d2") < radius * radius)
 
     def cluster(self, radius: float, *others: PatternSeq) -> PatternSeq:
         """For each pattern of the rarest sequence: all patterns nearer than radius, at least one of each sequence."""
@@ -438,9 +507,14 @@ class PatternSeq:
         every = reduce(DataFrame.unionByName, [s.df.withColumn("_q", F.lit(i)) for i, s in enumerate(seqs)])
         rarest = every.groupBy("scope_id", "_q").count().groupBy("scope_id").agg(F.min(F.struct("count", "_q")).alias("_m"), F.count("*").alias("_k")).filter(F.col("_k") == len(seqs)).select("scope_id", F.col("_m._q").alias("_q"))
         pivot = self._new(every.join(rarest, ["scope_id", "_q"]).select("scope_id", "atom_ids", "name"))
-        met = reduce(DataFrame.unionByName, [pivot._near_pairs(s, radius).withColumn("_q", F.lit(i)) for i, s in enumerate(seqs)])
-        whole = met.groupBy("scope_id", "atom_ids").agg(F.count_distinct("_q").alias("_k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("other_ids")))).alias("_all"), F.min(F.least("name", "other_name")).alias("name"))
-        return self._dedup(whole.filter(F.col("_k") == len(seqs)).select("scope_id", F.col("_all").alias("atom_ids"), "name"))
+        met = cut(reduce(DataFrame.unionByName, [pivot._near_pairs(s, radius).drop("_d2").withColumn("_q", F.lit(i)) for i, s in enumerate(seqs)]))
+        whole = met.groupBy(*PID).agg(F.count_distinct("_q").alias("_k")).filter(F.col("_k") == len(seqs)).select(*PID)
+        # the atoms and names of all that a pivot has met
+        ids = reduce(DataFrame.unionByName, [s.keyed.select(*PID, "name", F.explode("atom_ids").alias("atom_id")).withColumnsRenamed(dict(zip(PID, OTHER, strict=True))).withColumn("_q", F.lit(i)) for i, s in enumerate(seqs)])
+        names = pivot.keyed.groupBy(*PID).agg(F.min("name").alias("_own"))
+        every = met.join(whole, PID, "left_semi").join(ids, [*OTHER, "_q"])
+        grown = every.groupBy(*PID).agg(F.array_sort(F.collect_set("atom_id")).alias("atom_ids"), F.min("name").alias("name"))
+        return self._dedup(grown.join(names, PID).select("scope_id", "atom_ids", F.least("name", "_own").alias("name")))
 
     def near(self, radius: float, *others: PatternSeq, same: Sequence[int] | None = None) -> PatternSeq:
         """cluster(), where each sequence is contained exactly as often as it was given (same: number of each)."""
@@ -451,46 +525,63 @@ class PatternSeq:
             out = out.filter(lambda q, s=s, n=n: q.count_of(s).select(*KEY, (F.col("count") == n).alias("value")))
         return out
 
-    def distance_to(self, others: PatternSeq) -> DataFrame:
-        """Least atom distance to each pattern of others in the same structure: KEY, other_ids, distance."""
-        left, right = self._points(), others.placed.select("scope_id", F.col("atom_ids").alias("other_ids"), "x", "y", "z")
-        return left.join(right, "scope_id").groupBy(*KEY, "other_ids").agg(F.sqrt(F.min(distance2("p", ""))).alias("distance"))
+    def distance_to(self, others: PatternSeq, most: float | None = None) -> DataFrame:
+        """Least atom distance to each pattern of others in the same structure: KEY, other_ids, distance. The result has all
+        pairs of patterns, with `most` those at most so far apart; atoms meet only in boxes that can hold the least."""
+        met = least_distances(self._points(), others._other_points(), ["scope_id"], PID[1:], OTHER[1:], most)
+        met = others._with_other_ids(self._with_ids(met))
+        return met.select(*KEY, "other_ids", F.sqrt("_d2").alias("distance"))
 
     def nearest_distance_to(self, others: PatternSeq) -> DataFrame:
-        """Least atom distance to the pattern whose centre is nearest: KEY, distance."""
-        c = others.centers.select("scope_id", F.col("atom_ids").alias("other_ids"), *[F.col(f"p{c}").alias(c) for c in "xyz"])
-        nearest = self.centers.join(c, "scope_id").groupBy(*KEY).agg(F.min_by("other_ids", F.struct(distance2("p", ""), "other_ids")).alias("other_ids"))
-        right = others.placed.select("scope_id", F.col("atom_ids").alias("other_ids"), "x", "y", "z")
-        return self._points().join(nearest, KEY).join(right, ["scope_id", "other_ids"]).groupBy(*KEY).agg(F.sqrt(F.min(distance2("p", ""))).alias("distance"))
-
-    def nearest_atoms(self, n: int, radius: float) -> DataFrame:
-        """The n nearest atoms within the radius of each pattern's centre: KEY, atom_id, distance, rank."""
-        hits = self._around(self.centers, radius)
-        by = Window.partitionBy(*KEY).orderBy("_d2", "atom_id")
-        return hits.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n).select(*KEY, "atom_id", F.sqrt("_d2").alias("distance"), "rank")
+        """Least atom distance to the pattern whose centre is nearest (of equally near ones the least atoms): KEY, distance."""
+        centers = others._with_ids(others._spheres.select(*PID, *[F.col(f"p{c}").alias(c) for c in "xyz"])).withColumnsRenamed(dict(zip(PID, OTHER, strict=True))).withColumnRenamed("atom_ids", "other_ids")
+        nearest = k_nearest(self._spheres.select(*PID, "px", "py", "pz"), centers, 1, ["scope_id"], ["other_ids"]).select(*PID, *OTHER[1:])
+        met = self._points().join(nearest, PID).join(others._other_points(), OTHER)
+        return self._with_ids(met.groupBy(*PID).agg(F.sqrt(F.min(distance2("p", ""))).alias("distance"))).select(*KEY, "distance")
+
+    def nearest_atoms(self, n: int, radius: float | None = None) -> DataFrame:
+        """The n atoms nearest to each pattern's centre, with a radius those within it: KEY, atom_id, distance, rank."""
+        targets = self.scope.atoms.select("scope_id", "atom_id", "x", "y", "z")
+        hits = k_nearest(self._spheres.select(*PID, "px", "py", "pz"), targets, n, ["scope_id"], ["atom_id"], radius)
+        return self._with_ids(hits).select(*KEY, "atom_id", F.sqrt("_d2").alias("distance"), "rank")
 
     def distance_cluster(self, others: Sequence[PatternSeq], low: Sequence[Sequence[float]], high: Sequence[Sequence[float]]) -> PatternSeq:
         """One pattern of each sequence; each pair's least distance within its cell of the lower-triangle matrices."""
         seqs = (self, *others)
         if len(low) != len(seqs) or len(high) != len(seqs) or any(a > b for x, y in zip(low, high, strict=True) for a, b in zip(x, y, strict=True)):
             raise ValueError("the matrices do not fit")
-        most = max(max(r, default=0.0) for r in high)
-        grown = self.df.select("scope_id", F.col("atom_ids").alias("_0"))
+        col = lambda i: [f"_a{i}", f"_b{i}"]
+        pairs = {}
         for i in range(1, len(seqs)):
             for j in range(i):
-                pair = range_pairs(seqs[j]._points(), seqs[i].placed.select("scope_id", F.col("atom_ids").alias("other_ids"), "x", "y", "z"), most)
-                pair = pair.groupBy("scope_id", F.col("atom_ids").alias(f"_{j}"), F.col("other_ids").alias(f"_{i}")).agg(F.sqrt(F.min("_d2")).alias("_d")).filter(F.col("_d").between(low[i][j], high[i][j])).drop("_d")
-                grown = grown.join(pair, ["scope_id", f"_{j}", *([f"_{i}"] if j else [])])
-        parts = [F.col(f"_{i}") for i in range(len(seqs))]
-        return self._dedup(grown.select("scope_id", F.array_sort(F.array_distinct(F.concat(*parts))).alias("atom_ids"), F.lit(None).cast("int").alias("name")))
+                met = range_pairs(seqs[j]._points(), seqs[i]._other_points(), high[i][j]).groupBy(*PID, *OTHER[1:]).agg(F.sqrt(F.min("_d2")).alias("_d")).filter(F.col("_d").between(low[i][j], high[i][j]))
+                pairs[j, i] = cut(met.select("scope_id", *(F.col(c).alias(n) for c, n in zip((*PID[1:], *OTHER[1:]), (*col(j), *col(i)), strict=True))))
+        # a pattern without a partner in some sequence is in no cluster
+        for i in range(len(seqs)):
+            mine = {k: v for k, v in pairs.items() if i in k}
+            for k in mine:
+                for other in mine:
+                    pairs[k] = pairs[k].join(mine[other], ["scope_id", *col(i)], "left_semi") if other != k else pairs[k]
+        pairs = {k: cut(v) for k, v in pairs.items()} if len(seqs) > 2 else pairs
+        size = {k: v.count() for k, v in pairs.items()}
+        # the rarest pair first; then always the sequence that the fewest pairs join with what is bound, checked against all bound
+        bound = list(min(size, key=size.get)) if pairs else [0]
+        rows = pairs[bound[0], bound[1]] if pairs else self.keyed.select("scope_id", *(F.col(c).alias(n) for c, n in zip(PID[1:], col(0), strict=True)))
+        while len(bound) < len(seqs):
+            links = {v: sorted((size[min(v, u), max(v, u)], min(v, u), max(v, u)) for u in bound) for v in range(len(seqs)) if v not in bound}
+            new = min(links, key=lambda v: links[v][0])
+            for n, (_, j, i) in enumerate(links[new]):
+                rows = rows.join(pairs[j, i], ["scope_id", *col(j if j != new else i), *(col(new) if n else [])])
+            rows, bound = cut(rows), [*bound, new]
+        return self._dedup(self._merged(rows, seqs, disjoint=False).select("scope_id", "atom_ids", F.lit(None).cast("int").alias("name")))
 
     # bond family
 
     def connected_atoms(self, n: int = 1, named_duplicates: bool = False) -> PatternSeq:
-        rows = self.long.select("scope_id", "atom_ids", "name", "atom_id")
+        rows = self.members.distinct()
         b = self.scope.both_ways.select("scope_id", F.col("a").alias("atom_id"), F.col("b").alias("_to")).distinct()
         for _ in range(n):
-            more = rows.join(b, ["scope_id", "atom_id"]).select("scope_id", "atom_ids", "name", F.col("_to").alias("atom_id"))
+            more = rows.join(b, ["scope_id", "atom_id"]).select(*PID, F.col("_to").alias("atom_id"))
             rows = rows.unionByName(more).distinct()
         return self._grown(rows, False, named_duplicates)
 
@@ -498,123 +589,160 @@ class PatternSeq:
         at = self.scope.atoms.select("scope_id", "atom_id", F.struct("chain", "res_seq", "ins_code").alias("res"))
         b = self.scope.both_ways.join(at.select("scope_id", F.col("atom_id").alias("a"), F.col("res").alias("ra")), ["scope_id", "a"]).join(at.select("scope_id", F.col("atom_id").alias("b"), F.col("res").alias("rb")), ["scope_id", "b"])
         near = b.filter("ra <> rb").select("scope_id", F.col("ra").alias("res"), "rb").distinct()
-        rows = self.long.select("scope_id", "atom_ids", "name", "atom_id").join(at, ["scope_id", "atom_id"]).select(*KEY, "name", "res").distinct()
+        rows = self.members.join(at, ["scope_id", "atom_id"]).select(*PID, "res").distinct()
         for _ in range(n):
-            rows = rows.unionByName(rows.join(near, ["scope_id", "res"]).select(*KEY, "name", F.col("rb").alias("res"))).distinct()
-        return self._grown(rows.join(at, ["scope_id", "res"]), False, named_duplicates)
-
-    def _bonded(self, left: DataFrame, link: str, others: PatternSeq) -> DataFrame:
-        """left (scope_id, link: atoms that must be bonded, all: atoms that must not be met) with bonded patterns."""
-        atoms = left.select("*", F.explode(link).alias("a"))
-        right = others.long.select("scope_id", F.col("atom_ids").alias("other_ids"), F.col("name").alias("other_name"), F.col("atom_id").alias("b"))
-        met = atoms.join(self.scope.both_ways.select("scope_id", "a", "b"), ["scope_id", "a"]).join(right, ["scope_id", "b"])
-        return met.drop("a", "b").filter(~F.arrays_overlap("all", "other_ids")).distinct()
+            rows = rows.unionByName(rows.join(near, ["scope_id", "res"]).select(*PID, F.col("rb").alias("res"))).distinct()
+        return self._grown(rows.join(at, ["scope_id", "res"]).select(*PID, "atom_id"), False, named_duplicates)
+
+    def _touch(self, others: PatternSeq, bonds: DataFrame | None = None) -> DataFrame:
+        """Pairs (PID, OTHER) of different patterns with a bond between an atom of each."""
+        b = (self.scope.both_ways if bonds is None else bonds).select("scope_id", F.col("a").alias("atom_id"), "b").distinct()
+        right = others._others().withColumnRenamed("atom_id", "b")
+        met = self.members.join(b, ["scope_id", "atom_id"]).join(right, ["scope_id", "b"]).select(*PID, *OTHER[1:])
+        return met.filter("_pa <> _oa or _pb <> _ob").distinct()
+
+    def _shared(self, others: PatternSeq) -> DataFrame:
+        """Pairs (PID, OTHER) with a common atom."""
+        return self.members.join(others._others(), ["scope_id", "atom_id"]).select(*PID, *OTHER[1:]).distinct()
+
+    def _merged(self, rows: DataFrame, seqs: Sequence[PatternSeq], disjoint: bool) -> DataFrame:
+        """Rows (scope_id, _a0, _b0, _a1, ...: one pattern of each sequence) as patterns of all their atoms, with the least
+        name; disjoint: only those whose patterns have no atom in common."""
+        for i, s in enumerate(seqs):
+            own = s.keyed.select(*PID, "atom_ids", "name")
+            own = own.groupBy(*PID).agg(F.first("atom_ids").alias("atom_ids"), F.min("name").alias("name")) if s.repeats else own
+            rows = rows.join(own.withColumnsRenamed(dict(zip((*PID[1:], "atom_ids", "name"), (f"_a{i}", f"_b{i}", f"_ids{i}", f"_name{i}"), strict=True))), ["scope_id", f"_a{i}", f"_b{i}"])
+        ids = [F.col(f"_ids{i}") for i in range(len(seqs))]
+        rows = rows.withColumn("atom_ids", F.array_sort(F.array_distinct(F.concat(*ids))))
+        rows = rows.filter(F.size("atom_ids") == sum(map(F.size, ids), F.lit(0))) if disjoint else rows
+        names = [F.col(f"_name{i}") for i in range(len(seqs))]
+        return rows.select("scope_id", "atom_ids", (F.least(*names) if len(names) > 1 else names[0]).alias("name"))
 
     def path(self, *others: PatternSeq) -> PatternSeq:
         """Patterns of each sequence in turn, each bonded to the last and disjoint from all before."""
-        rows = self.df.select("scope_id", F.col("atom_ids").alias("last"), F.col("atom_ids").alias("all"), "name")
-        for s in others:
-            rows = self._bonded(rows, "last", s).select("scope_id", F.col("other_ids").alias("last"), F.array_sort(F.array_union("all", "other_ids")).alias("all"), F.least("name", "other_name").alias("name")).distinct()
-        return self._dedup(rows.select("scope_id", F.col("all").alias("atom_ids"), "name"))
+        return self._bound(others, lambda i: i - 1)
 
     def star(self, *arms: PatternSeq) -> PatternSeq:
         """This pattern as the centre, and one pattern of each arm bonded to it; arms are disjoint."""
-        rows = self.df.select("scope_id", F.col("atom_ids").alias("hub"), F.col("atom_ids").alias("all"), "name")
-        for s in arms:
-            rows = self._bonded(rows, "hub", s).select("scope_id", "hub", F.array_sort(F.array_union("all", "other_ids")).alias("all"), F.least("name", "other_name").alias("name")).distinct()
-        return self._dedup(rows.select("scope_id", F.col("all").alias("atom_ids"), "name"))
+        return self._bound(arms, lambda i: 0)
+
+    def _bound(self, others: Sequence[PatternSeq], to: Callable[[int], int]) -> PatternSeq:
+        """One pattern of each sequence, the i-th bonded to the one of place to(i)."""
+        seqs = (self, *others)
+        rows = self.keyed.select("scope_id", F.col("_pa").alias("_a0"), F.col("_pb").alias("_b0"))
+        rows = rows.distinct() if self.repeats else rows
+        for i in range(1, len(seqs)):
+            j = to(i)
+            touch = seqs[j]._touch(seqs[i]).select("scope_id", *(F.col(c).alias(n) for c, n in zip((*PID[1:], *OTHER[1:]), (f"_a{j}", f"_b{j}", f"_a{i}", f"_b{i}"), strict=True)))
+            rows = rows.join(touch, ["scope_id", f"_a{j}", f"_b{j}"])
+            for k in range(i):
+                rows = rows.filter(f"_a{k} <> _a{i} or _b{k} <> _b{i}")
+        return self._dedup(self._merged(rows, seqs, disjoint=True))
 
     def _touching(self, others: PatternSeq) -> DataFrame:
-        rows = self.df.select("scope_id", "atom_ids", F.col("atom_ids").alias("all"))
-        return self._bonded(rows, "all", others).select(*KEY).distinct()
+        """PID of the patterns that a bond joins with one of others that they share no atom with."""
+        return self._touch(others).join(self._shared(others), [*PID, *OTHER[1:]], "left_anti").select(*PID)
 
     def connected_to(self, others: PatternSeq) -> PatternSeq:
-        return self._new(self.df.join(self._touching(others), KEY, "left_semi"))
+        return self._new(self.keyed.join(self._touching(others), PID, "left_semi"), self.repeats)
 
     def not_connected_to(self, others: PatternSeq) -> PatternSeq:
-        return self._new(self.df.join(self._touching(others), KEY, "left_anti"))
+        return self._new(self.keyed.join(self._touching(others), PID, "left_anti"), self.repeats)
 
     def bonded_with(self, others: PatternSeq, bond_types: Sequence[int] = (), exclusive: bool = False) -> DataFrame:
         """Pairs (KEY, other_ids) joined by a bond of the types, or by a shared atom unless exclusive."""
         b = self.scope.both_ways
-        b = b.filter(F.col("bond_type").isin(*bond_types)) if bond_types else b
-        left = self.long.select(*KEY, F.col("atom_id").alias("a"))
-        right = others.long.select("scope_id", F.col("atom_ids").alias("other_ids"), F.col("atom_id").alias("b"))
-        met = left.join(b.select("scope_id", "a", "b"), ["scope_id", "a"]).join(right, ["scope_id", "b"]).select(*KEY, "other_ids")
-        if not exclusive:
-            met = met.unionByName(left.join(right.withColumnRenamed("b", "a"), ["scope_id", "a"]).select(*KEY, "other_ids"))
-        met = met.filter(F.col("atom_ids") != F.col("other_ids"))
-        return (met.filter(~F.arrays_overlap("atom_ids", "other_ids")) if exclusive else met).distinct()
+        met, shared = self._touch(others, b.filter(F.col("bond_type").isin(*bond_types)) if bond_types else b), self._shared(others)
+        if exclusive:
+            met = met.join(shared, [*PID, *OTHER[1:]], "left_anti")
+        else:
+            met = met.unionByName(shared.filter("_pa <> _oa or _pb <> _ob")).distinct()
+        return others._with_other_ids(self._with_ids(met)).select(*KEY, "other_ids")
 
     def connected(self, most_rounds: int = 64) -> DataFrame:
         """KEY and value: whether the bonds inside the pattern join all its atoms (an empty pattern is joined)."""
-        rows = self.long.select(*KEY, "atom_id").distinct()
-        inner = cut(rows.withColumnRenamed("atom_id", "a").join(self.scope.both_ways.select("scope_id", "a", "b"), ["scope_id", "a"]).join(rows.withColumnRenamed("atom_id", "b"), [*KEY, "b"]).select(*KEY, "a", "b"))
+        rows = cut(self.members.distinct())
+        inner = cut(rows.withColumnRenamed("atom_id", "a").join(self.scope.both_ways.select("scope_id", "a", "b"), ["scope_id", "a"]).join(rows.withColumnRenamed("atom_id", "b"), [*PID, "b"]).select(*PID, "a", "b"))
         label = rows.withColumn("l", F.col("atom_id"))
         for _ in range(most_rounds):
-            low = inner.join(label.withColumnRenamed("atom_id", "b"), [*KEY, "b"]).groupBy(*KEY, F.col("a").alias("atom_id")).agg(F.min("l").alias("_m"))
-            new = label.join(low, [*KEY, "atom_id"], "left").select(*KEY, "atom_id", F.least("l", "_m").alias("_l"), "l")
+            low = inner.join(label.withColumnRenamed("atom_id", "b"), [*PID, "b"]).groupBy(*PID, F.col("a").alias("atom_id")).agg(F.min("l").alias("_m"))
+            new = label.join(low, [*PID, "atom_id"], "left").select(*PID, "atom_id", F.least("l", "_m").alias("_l"), "l")
             # follow the label of the label, so that rounds go with the logarithm of the chain
-            jump = new.select(*KEY, F.col("atom_id").alias("_l"), F.col("_l").alias("_j"))
-            new = cut(new.join(jump, [*KEY, "_l"]).select(*KEY, "atom_id", F.col("_j").alias("_l"), "l"))
-            label = new.select(*KEY, "atom_id", F.col("_l").alias("l"))
+            jump = new.select(*PID, F.col("atom_id").alias("_l"), F.col("_l").alias("_j"))
+            new = cut(new.join(jump, [*PID, "_l"]).select(*PID, "atom_id", F.col("_j").alias("_l"), "l"))
+            label = new.select(*PID, "atom_id", F.col("_l").alias("l"))
             if new.filter("_l <> l").isEmpty():
                 break
         else:
             raise RuntimeError("the labels did not settle")
-        parts = label.groupBy(*KEY).agg(F.count_distinct("l").alias("_k"))
-        return self.df.select(*KEY).join(parts, KEY, "left").select(*KEY, (F.coalesce("_k", F.lit(1)) == 1).alias("value"))
+        parts = label.groupBy(*PID).agg(F.count_distinct("l").alias("_k"))
+        return self.keyed.join(parts, PID, "left").select(*KEY, (F.coalesce("_k", F.lit(1)) == 1).alias("value"))
 
     # counts and values
 
     def count_of(self, what: PatternSeq) -> DataFrame:
         """How many patterns of `what` lie wholly in each pattern: KEY, count (0 is kept)."""
-        parts = what.long.select("scope_id", F.col("atom_ids").alias("other_ids"), "atom_id").distinct()
-        met = self.long.select(*KEY, "atom_id").distinct().join(parts, ["scope_id", "atom_id"]).groupBy(*KEY, "other_ids").count().filter(F.col("count") == F.size("other_ids"))
-        return self._zero(met.groupBy(*KEY).agg(F.count("*").alias("count")))
+        parts = what.keyed.select(*(F.col(p).alias(o) for p, o in zip(PID, OTHER, strict=True)), F.size("atom_ids").alias("_size"), F.explode("atom_ids").alias("atom_id"))
+        mine = self.members.distinct() if self.repeats else self.members
+        met = mine.join(parts.distinct() if what.repeats else parts, ["scope_id", "atom_id"]).groupBy(*PID, *OTHER[1:], "_size").count().filter("count = _size")
+        return self._zero(met.groupBy(*PID).agg(F.count("*").alias("count")))
 
     def count_residues(self, keep: Column) -> DataFrame:
         """Residues that any atom of the pattern lies in, for which keep holds."""
-        return self._zero(self.placed.filter(keep).groupBy(*KEY).agg(F.count_distinct("chain", "res_seq", "ins_code").alias("count")))
+        return self._zero(self.located.filter(keep).groupBy(*PID).agg(F.count_distinct("chain", "res_seq", "ins_code").alias("count")))
 
     def count_atoms(self, keep: Column) -> DataFrame:
-        return self._zero(self.placed.filter(keep).groupBy(*KEY).agg(F.count_distinct("atom_id").alias("count")))
+        return self._zero(self.located.filter(keep).groupBy(*PID).agg(F.count_distinct("atom_id").alias("count")))
 
     def _zero(self, counts: DataFrame) -> DataFrame:
-        return self.df.select(*KEY).distinct().join(counts, KEY, "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+        """KEY and the counts (PID, count); 0 for sets that have none."""
+        return self.sets.join(counts, PID, "left").select(*KEY, F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
     def seq_count(self) -> DataFrame:
         return self.df.groupBy("scope_id").agg(F.count("*").alias("count"))
 
     def least_chain(self) -> DataFrame:
-        return self.placed.groupBy(*KEY).agg(F.min("atom_id").alias("least_id"), F.min_by("chain", "atom_id").alias("chain"))
+        least = self.located.groupBy(*PID).agg(F.min("atom_id").alias("least_id"), F.min_by("chain", "atom_id").alias("chain"))
+        return self._with_ids(least).select(*KEY, "least_id", "chain")
 
     def amino_string(self) -> DataFrame:
-        one = self.placed.withColumn("_l", lookup(F.col("res_name"), AMINO)).filter("_l is not null").select(*KEY, "chain", "res_seq", "ins_code", "_l").distinct()
-        return one.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "res_seq", "ins_code", "_l"))), lambda r: r["_l"]), "").alias("sequence"))
+        one = self.located.withColumn("_l", lookup(F.col("res_name"), AMINO)).filter("_l is not null").select(*PID, "chain", "res_seq", "ins_code", "_l").distinct()
+        text = one.groupBy(*PID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "res_seq", "ins_code", "_l"))), lambda r: r["_l"]), "").alias("sequence"))
+        return self._with_ids(text).select(*KEY, "sequence")
 
     def signature(self) -> DataFrame:
         """KEY, signature (`2HIS-ZN`), with_counts (`HIS*2-ZN*1`) and residue_ids in id order."""
-        res = self.placed.groupBy(*KEY, "chain", "res_seq", "ins_code").agg(F.min_by("res_name", "atom_id").alias("r"))
-        ids = res.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "res_seq", "ins_code"))), lambda x: F.concat(x["res_seq"].cast("string"), F.lit(" "), x["chain"], F.when(x["ins_code"] != "", F.concat(F.lit(" i:"), x["ins_code"])).otherwise(""))), "-").alias("residue_ids"))
-        n = res.groupBy(*KEY, "r").count().groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "count"))).alias("_s"))
+        res = self.located.groupBy(*PID, "chain", "res_seq", "ins_code").agg(F.min_by("res_name", "atom_id").alias("r"))
+        ids = res.groupBy(*PID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chain", "res_seq", "ins_code"))), lambda x: F.concat(x["res_seq"].cast("string"), F.lit(" "), x["chain"], F.when(x["ins_code"] != "", F.concat(F.lit(" i:"), x["ins_code"])).otherwise(""))), "-").alias("residue_ids"))
+        n = res.groupBy(*PID, "r").count().groupBy(*PID).agg(F.array_sort(F.collect_list(F.struct("r", "count"))).alias("_s"))
         short = F.array_join(F.transform("_s", lambda x: F.when(x["count"] > 1, F.concat(x["count"].cast("string"), x["r"])).otherwise(x["r"])), "-")
         full = F.array_join(F.transform("_s", lambda x: F.concat(x["r"], F.lit("*"), x["count"].cast("string"))), "-")
-        return n.select(*KEY, short.alias("signature"), full.alias("with_counts")).join(ids, KEY)
-
-    def similarity(self, others: PatternSeq, by: str = "element") -> DataFrame:
-        """Multiset Jaccard on elements or residue names, for pairs in any structures: KEY, other_scope, other_ids, value."""
-        def counts(s: PatternSeq) -> DataFrame:
-            rows = s.placed
-            if by == "res_name":
-                rows = rows.select(*KEY, "chain", "res_seq", "ins_code", "res_name").distinct()
-            return rows.groupBy(*KEY, F.upper(by).alias("_v")).agg(F.count("*").alias("_n"))
-
-        a, b = counts(self), counts(others).select(F.col("scope_id").alias("other_scope"), F.col("atom_ids").alias("other_ids"), "_v", F.col("_n").alias("_m"))
-        na = a.groupBy(*KEY).agg(F.sum("_n").alias("_na"))
-        nb = b.groupBy("other_scope", "other_ids").agg(F.sum("_m").alias("_nb"))
-        met = a.join(b, "_v").groupBy(*KEY, "other_scope", "other_ids").agg(F.sum(F.least("_n", "_m")).alias("_i"))
-        return met.join(na, KEY).join(nb, ["other_scope", "other_ids"]).select(*KEY, "other_scope", "other_ids", (F.col("_i") / (F.col("_na") + F.col("_nb") - F.col("_i"))).alias("value"))
+        return self._with_ids(n.select(*PID, short.alias("signature"), full.alias("with_counts")).join(ids, PID)).select(*KEY, "signature", "with_counts", "residue_ids")
+
+    def _counted(self, by: str) -> Multisets:
+        rows = self.located
+        if by == "res_name":
+            rows = rows.select(*PID, "chain", "res_seq", "ins_code", "res_name")
+        return Multisets(rows.distinct().groupBy(*PID, F.upper(by).alias("item")).agg(F.count("*").alias("n")), PID)
+
+    def similarity(self, others: PatternSeq, by: str = "element", least: float | None = None) -> DataFrame:
+        """Multiset Jaccard on elements or residue names, for pairs in any structures: KEY, other_scope, other_ids, value.
+        With `least`, pairs of at least that value, found without meeting the others."""
+        a, b = self._counted(by), others._counted(by)
+        return self._compared(others, expanded(a.all_pairs(b) if least is None else a.join(b, least), a, b))
+
+    def most_similar(self, others: PatternSeq, k: int, by: str = "element") -> DataFrame:
+        """The k most similar patterns of others with any item in common, for each pattern: KEY, other_scope, other_ids,
+        value and rank (ties by structure and atoms)."""
+        a, b = self._counted(by), others._counted(by)
+        met = self._compared(others, expanded(a.top(b, k), a, b))
+        by_value = Window.partitionBy(*KEY).orderBy(F.desc("value"), "other_scope", "other_ids")
+        return met.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= k)
+
+    def _compared(self, others: PatternSeq, pairs: DataFrame) -> DataFrame:
+        theirs = others.sets.select(F.col("scope_id").alias("other_scope_id"), F.col("_pa").alias("other__pa"), F.col("_pb").alias("other__pb"), F.col("atom_ids").alias("other_ids"))
+        met = self._with_ids(pairs).join(theirs, [f"other_{p}" for p in PID])
+        return met.select(*KEY, F.col("other_scope_id").alias("other_scope"), "other_ids", "value")
 
     def atom_property(self, prop: str) -> DataFrame:
         """KEY, value: of one-atom patterns, else null."""
@@ -629,14 +757,6 @@ class PatternSeq:
         return self.df.select(*KEY).join(d, "scope_id", "left").select(*KEY, "value")
 
 
-def _joined(df: DataFrame, new: DataFrame) -> DataFrame:
-    """Each pattern of df with the atoms of new (KEY, name, _new) added; without any it stays as it is."""
-    n = new.select(F.col("scope_id").alias("_s"), F.col("atom_ids").alias("_a"), F.col("name").alias("_m"), F.col("_new").alias("_x"))
-    on = (F.col("scope_id") == F.col("_s")) & (F.col("atom_ids") == F.col("_a")) & F.col("name").eqNullSafe(F.col("_m"))
-    both = F.array_sort(F.array_union("atom_ids", F.coalesce("_x", F.array().cast("array<int>"))))
-    return df.join(n, on, "left").select("scope_id", "atom_ids", "name", both.alias("_new"))
-
-
 def group_graph(groups: PatternSeq, most_rounds: int = 64) -> DataFrame:
     """Pairs (scope_id, first, second: atom_ids) of groups that are bonded, directly or through unlabelled atoms only.
 

@@ -73,7 +73,7 @@ add("view1_statistics", lambda s, d: index.view(table(s, d, "part").withColumn("
 TWO = {"his": lambda c: c.residues_of("HIS"), "zinc": lambda c: c.atoms_of("ZN").ambient_residues(3)}
 HIS = "SELECT scope_id, chain, res_seq, count(*) AS n, min(atom_id) AS first, list_sort(list(atom_id)) AS ids FROM a WHERE res_name = 'HIS' GROUP BY ALL"
 add("svc2_pattern_rows", lambda s, d: service.entries(scope(s, d).residues_of("HIS").named()).select("scope_id", F.col("serial").cast("long").alias("serial"), "pattern_id", F.col("atom_count").cast("long").alias("atom_count"), "residue_count", "signature", "residue_ids"), f"WITH {SQL_ATOMS}, h AS ({HIS}), w AS (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY ids) - 1 AS serial FROM h) SELECT scope_id, serial, scope_id || '_' || serial || '_' || first AS pattern_id, n AS atom_count, CAST(1 AS BIGINT) AS residue_count, 'HIS' AS signature, res_seq || ' ' || chain AS residue_ids FROM w")
-ZN = "z AS (SELECT DISTINCT scope_id, pid, atom_id FROM (SELECT p.scope_id, p.atom_id AS pid, r.atom_id FROM a p JOIN a q ON p.scope_id = q.scope_id AND p.element = 'ZN' AND q.res_name <> 'HOH' AND q.atom_id <> p.atom_id AND (p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2 <= 9 JOIN a r ON r.scope_id = q.scope_id AND r.chain = q.chain AND r.res_seq = q.res_seq UNION ALL SELECT scope_id, atom_id, atom_id FROM a WHERE element = 'ZN')), zz AS (SELECT DISTINCT scope_id, ids FROM (SELECT scope_id, pid, list_sort(list(atom_id)) AS ids FROM z GROUP BY ALL))"
+ZN = "z AS (SELECT DISTINCT scope_id, pid, atom_id FROM (SELECT p.scope_id, p.atom_id AS pid, r.atom_id FROM a p JOIN a q ON p.scope_id = q.scope_id AND p.element = 'ZN' AND q.res_name <> 'HOH' AND (p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2 <= 9 JOIN a r ON r.scope_id = q.scope_id AND r.chain = q.chain AND r.res_seq = q.res_seq UNION ALL SELECT scope_id, atom_id, atom_id FROM a WHERE element = 'ZN')), zz AS (SELECT DISTINCT scope_id, ids FROM (SELECT scope_id, pid, list_sort(list(atom_id)) AS ids FROM z GROUP BY ALL))"
 IDS_MD5 = "md5(string_agg(array_to_string(ids, '-'), ',' ORDER BY array_to_string(ids, '-')))"
 add("svc1_run", lambda s, d: service.run(TWO, scope(s, d)).groupBy("query_id", "scope_id").agg(F.count("*").alias("patterns"), F.sum("atom_count").alias("atoms"), F.md5(F.array_join(F.array_sort(F.collect_list(F.array_join("atom_ids", "-"))), ",")).alias("ids_md5")), f"WITH {SQL_ATOMS}, h AS ({HIS}), {ZN} SELECT 'his' AS query_id, scope_id, count(*) AS patterns, CAST(sum(n) AS BIGINT) AS atoms, {IDS_MD5} AS ids_md5 FROM h GROUP BY scope_id UNION ALL SELECT 'zinc', scope_id, count(*), CAST(sum(len(ids)) AS BIGINT), {IDS_MD5} FROM zz GROUP BY scope_id")
 
