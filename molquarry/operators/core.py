@@ -123,14 +123,15 @@ class Scope:
         """Chordless cycles of 3 to 8 atoms inside a residue, with their canonical element fingerprint."""
         return rings(self)
 
-    def seq(self, df: DataFrame, repeats: bool = True) -> PatternSeq:
-        """Patterns of df (scope_id, atom_ids, name if there is one); repeats: whether a set may come more than once."""
+    def seq(self, df: DataFrame, repeats: bool = True, single: bool = False) -> PatternSeq:
+        """Patterns of df (scope_id, atom_ids, name if there is one); repeats: whether a set may come more than once;
+        single: whether all have one atom."""
         if "name" not in df.columns:
             df = df.withColumn("name", F.lit(None).cast("int"))
-        return PatternSeq(df.select("scope_id", "atom_ids", "name"), self, repeats)
+        return PatternSeq(df.select("scope_id", "atom_ids", "name"), self, repeats, single)
 
     def _atoms(self, keep: Column) -> PatternSeq:
-        return self.seq(self.atoms.filter(keep).select("scope_id", F.array("atom_id").alias("atom_ids")), False)
+        return self.seq(self.atoms.filter(keep).select("scope_id", F.array("atom_id").alias("atom_ids")), False, True)
 
     def _residues(self, keep: Column) -> PatternSeq:
         return self.seq(self.residues.filter(keep), False)
@@ -313,8 +314,8 @@ def rings(scope: Scope, most: int = 8) -> DataFrame:
 class PatternSeq:
     """Patterns of a scope; methods return new sequences or tables."""
 
-    def __init__(self, df: DataFrame, scope: Scope, repeats: bool = True):
-        self.df, self.scope, self.repeats = df, scope, repeats
+    def __init__(self, df: DataFrame, scope: Scope, repeats: bool = True, single: bool = False):
+        self.df, self.scope, self.repeats, self.single = df, scope, repeats, single
 
     def _new(self, df: DataFrame, repeats: bool = True) -> PatternSeq:
         return self.scope.seq(df, repeats)
@@ -573,7 +574,7 @@ class PatternSeq:
             for n, (_, j, i) in enumerate(links[new]):
                 rows = rows.join(pairs[j, i], ["scope_id", *col(j if j != new else i), *(col(new) if n else [])])
             rows, bound = cut(rows), [*bound, new]
-        return self._dedup(self._merged(rows, seqs, disjoint=False).select("scope_id", "atom_ids", F.lit(None).cast("int").alias("name")))
+        return self._dedup(self._merged(rows, seqs).select("scope_id", "atom_ids", F.lit(None).cast("int").alias("name")))
 
     # bond family
 
@@ -605,16 +606,15 @@ class PatternSeq:
         """Pairs (PID, OTHER) with a common atom."""
         return self.members.join(others._others(), ["scope_id", "atom_id"]).select(*PID, *OTHER[1:]).distinct()
 
-    def _merged(self, rows: DataFrame, seqs: Sequence[PatternSeq], disjoint: bool) -> DataFrame:
+    def _merged(self, rows: DataFrame, seqs: Sequence[PatternSeq]) -> DataFrame:
         """Rows (scope_id, _a0, _b0, _a1, ...: one pattern of each sequence) as patterns of all their atoms, with the least
-        name; disjoint: only those whose patterns have no atom in common."""
+        name."""
         for i, s in enumerate(seqs):
             own = s.keyed.select(*PID, "atom_ids", "name")
             own = own.groupBy(*PID).agg(F.first("atom_ids").alias("atom_ids"), F.min("name").alias("name")) if s.repeats else own
             rows = rows.join(own.withColumnsRenamed(dict(zip((*PID[1:], "atom_ids", "name"), (f"_a{i}", f"_b{i}", f"_ids{i}", f"_name{i}"), strict=True))), ["scope_id", f"_a{i}", f"_b{i}"])
         ids = [F.col(f"_ids{i}") for i in range(len(seqs))]
         rows = rows.withColumn("atom_ids", F.array_sort(F.array_distinct(F.concat(*ids))))
-        rows = rows.filter(F.size("atom_ids") == sum(map(F.size, ids), F.lit(0))) if disjoint else rows
         names = [F.col(f"_name{i}") for i in range(len(seqs))]
         return rows.select("scope_id", "atom_ids", (F.least(*names) if len(names) > 1 else names[0]).alias("name"))
 
@@ -637,11 +637,16 @@ class PatternSeq:
             rows = rows.join(touch, ["scope_id", f"_a{j}", f"_b{j}"])
             for k in range(i):
                 rows = rows.filter(f"_a{k} <> _a{i} or _b{k} <> _b{i}")
-        return self._dedup(self._merged(rows, seqs, disjoint=True))
+                # two single atoms share one only if they are equal
+                if not (seqs[k].single and seqs[i].single):
+                    shared = seqs[k]._shared(seqs[i]).select("scope_id", *(F.col(c).alias(n) for c, n in zip((*PID[1:], *OTHER[1:]), (f"_a{k}", f"_b{k}", f"_a{i}", f"_b{i}"), strict=True)))
+                    rows = rows.join(shared, ["scope_id", f"_a{k}", f"_b{k}", f"_a{i}", f"_b{i}"], "left_anti")
+        return self._dedup(self._merged(rows, seqs))
 
     def _touching(self, others: PatternSeq) -> DataFrame:
         """PID of the patterns that a bond joins with one of others that they share no atom with."""
-        return self._touch(others).join(self._shared(others), [*PID, *OTHER[1:]], "left_anti").select(*PID)
+        met = self._touch(others)
+        return (met if self.single and others.single else met.join(self._shared(others), [*PID, *OTHER[1:]], "left_anti")).select(*PID)
 
     def connected_to(self, others: PatternSeq) -> PatternSeq:
         return self._new(self.keyed.join(self._touching(others), PID, "left_semi"), self.repeats)
