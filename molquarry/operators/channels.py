@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import range_pairs
+from .nearest import k_nearest
 from .tables import cut
 
 
@@ -36,14 +37,20 @@ def length_filter(profile: DataFrame, least: float) -> DataFrame:
     return profile.groupBy("channel_id").agg(F.max("distance").alias("length")).filter(F.col("length") >= least)
 
 
-def channel_distance(profile: DataFrame, most: float) -> DataFrame:
-    """Mean of the two directed root mean square nearest-point distances, for channels with nodes within `most` throughout.
+def channel_distance(profile: DataFrame, most: float | None = None) -> DataFrame:
+    """Mean of the two directed root mean square nearest-point distances, for all pairs of a structure's channels.
 
-    Nearest points are sought within `most`; pairs of which some node has none are left out.
+    Each node seeks its nearest node of each other channel by descent (see nearest.py). With `most`, only pairs whose nodes
+    all have one within it, which meet in cells of that size.
     """
-    a = profile.select("structure_id", "channel_id", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    b = profile.select("structure_id", F.col("channel_id").alias("other"), F.col("node").alias("other_node"), "x", "y", "z")
-    near = range_pairs(a, b, most, "structure_id").filter("channel_id <> other").groupBy("structure_id", "channel_id", "other", "node").agg(F.min("_d2").alias("_d2"))
+    nodes = profile.select("structure_id", "channel_id", "node", "x", "y", "z")
+    asked = nodes.select("structure_id", "channel_id", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    targets = nodes.select("structure_id", F.col("channel_id").alias("other"), "x", "y", "z")
+    if most is None:
+        others = targets.select("structure_id", "other").distinct()
+        near = k_nearest(asked.join(others, "structure_id").filter("channel_id <> other"), targets, 1, ["structure_id", "other"])
+    else:
+        near = range_pairs(asked, targets, most, "structure_id").filter("channel_id <> other").groupBy("structure_id", "channel_id", "other", "node").agg(F.min("_d2").alias("_d2"))
     size = profile.groupBy("channel_id").agg(F.count("*").alias("_n"))
     one = near.groupBy("structure_id", "channel_id", "other").agg(F.sqrt(F.avg("_d2")).alias("d"), F.count("*").alias("_k")).join(size, "channel_id").filter("_k = _n").select("structure_id", "channel_id", "other", "d")
     back = one.select("structure_id", F.col("channel_id").alias("other"), F.col("other").alias("channel_id"), F.col("d").alias("_e"))
@@ -72,6 +79,59 @@ def drop_duplicates(profile: DataFrame, share: float = 0.9, within: float = 1.0,
     raise RuntimeError("the channels did not settle")
 
 
+# Names of the atoms of a backbone.
+BACKBONE = ("C", "N", "O", "H", "CA", "P", "O1P", "O2P", "OP1", "OP2", "O5'", "C5'", "C4'", "O4'", "C1'", "C2'", "C3'", "O3'", "O2'")
+#: Atoms that line a sample of a channel.
+LINING_ATOMS = 5
+
+
+def linings(profile: DataFrame, atoms: DataFrame, backbone: Column | None = None, n: int = LINING_ATOMS) -> DataFrame:
+    """profile with side_chain and backbone: the residues (res_seq, chain, ins_code, res_name, in this order) of the n atoms
+    nearest to each node. A residue all of whose atoms among these lie in the backbone lines with it, any other with its
+    side chain. atoms: of scope_id, which is the profile's structure_id; backbone: whether a row of atoms is of one."""
+    flag = F.upper("name").isin(*BACKBONE) if backbone is None else backbone
+    asked = profile.select("structure_id", "channel_id", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    targets = atoms.select(F.col("scope_id").alias("structure_id"), "atom_id", "res_seq", "chain", "ins_code", "res_name", flag.alias("_b"), "x", "y", "z")
+    met = k_nearest(asked, targets, n, ["structure_id"], ["atom_id"])
+    by = ["structure_id", "channel_id", "node"]
+    residues = met.groupBy(*by, "res_seq", "chain", "ins_code").agg(F.min_by("res_name", "atom_id").alias("res_name"), F.min("_b").alias("_b"))
+    one = F.struct("res_seq", "chain", "ins_code", "res_name")
+    lined = residues.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(~F.col("_b"), one))).alias("side_chain"), F.array_sort(F.collect_list(F.when(F.col("_b"), one))).alias("backbone"))
+    return profile.join(lined, by)
+
+
+def channel_layers(lined: DataFrame) -> DataFrame:
+    """Runs of nodes of linings() with equal side chains and backbones: channel_id, layer (from 1), side_chain, backbone, the
+    least of each radius column (radius, free_radius, b_radius, as far as they are there), start and end (the next layer's
+    start, or the last node)."""
+    key = F.struct(F.col("side_chain").alias("s"), F.col("backbone").alias("b"))
+    runs = islands(lined, ["channel_id"], "node", key, "layer")
+    radii = [c for c in ("radius", "free_radius", "b_radius") if c in lined.columns]
+    layers = runs.groupBy("channel_id", "layer").agg(*(F.min_by(c, "node").alias(c) for c in ("side_chain", "backbone")), *(F.min(c).alias(c) for c in radii), F.min("distance").alias("start"), F.max("distance").alias("_last"))
+    w = Window.partitionBy("channel_id").orderBy("layer")
+    return layers.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("_last"))).drop("_last")
+
+
+def layer_residues(layers: DataFrame) -> DataFrame:
+    """A row for each layer and lining residue: channel_id, layer, res_seq, chain, ins_code, res_name and on_backbone."""
+    rows = lambda c, on: layers.select("channel_id", "layer", F.inline(c)).withColumn("on_backbone", F.lit(on))
+    return rows("side_chain", False).unionByName(rows("backbone", True))
+
+
+def channel_flow(layers: DataFrame) -> DataFrame:
+    """Residues in the order in which they first line the channel, by chain and number inside a layer; a residue's backbone
+    stands apart from its side chain: channel_id, chain, res_seq, ins_code, on_backbone, first_layer and position (from 1)."""
+    first = layer_residues(layers).groupBy("channel_id", "chain", "res_seq", "ins_code", "on_backbone").agg(F.min("layer").alias("first_layer"))
+    w = Window.partitionBy("channel_id").orderBy("first_layer", "chain", "res_seq", "ins_code", "on_backbone")
+    return first.withColumn("position", F.row_number().over(w))
+
+
+def channel_means(layers: DataFrame, properties: DataFrame, backbone: DataFrame) -> DataFrame:
+    """property_means() over all occurrences of residues in a channel's layers."""
+    rows = layer_residues(layers).select("channel_id", "res_name", (~F.col("on_backbone")).alias("side_chain"))
+    return property_means(rows, properties, backbone, ["channel_id"])
+
+
 def lining_layers(lined: DataFrame) -> DataFrame:
     """lined(channel_id, node, distance, radius, residues: sorted array of texts): consecutive equal linings are a layer.
 

@@ -15,11 +15,26 @@ from .core import Scope
 from .tables import cut
 
 
+def _residue_columns(motif_atoms: DataFrame) -> DataFrame:
+    """motif_atoms with chain, res_seq, ins_code and res_name: those that are missing are the same for all atoms."""
+    other = {"chain": F.lit(""), "res_seq": F.lit(0), "ins_code": F.lit(""), "res_name": F.lit("")}
+    return motif_atoms.withColumns({c: v for c, v in other.items() if c not in motif_atoms.columns})
+
+
 def pair_by_name(motif_atoms: DataFrame, model_atoms: DataFrame) -> DataFrame:
-    """Pairs by atom name inside the motif; of equal names the least atom id on either side."""
+    """Pairs by atom name inside the motif's main residue; of equal names the least atom id on either side.
+
+    The main residue is one of the model's name if there is one; of several that with most of the model's names, then the
+    first by chain, number and insertion code. Atoms of other residues are left to pair_neighbours().
+    """
     m = model_atoms.groupBy("model", F.upper("name").alias("_n")).agg(F.min("atom_id").alias("model_atom"))
-    a = motif_atoms.groupBy("motif_id", "model", F.upper("name").alias("_n")).agg(F.min("atom_id").alias("motif_atom"))
-    return a.join(m, ["model", "_n"]).select("motif_id", "model", "model_atom", "motif_atom")
+    res = ["chain", "res_seq", "ins_code"]
+    a = _residue_columns(motif_atoms).groupBy("motif_id", "model", *res, F.upper("name").alias("_n")).agg(F.min("atom_id").alias("motif_atom"), F.max((F.upper("res_name") == F.upper("model")).cast("int")).alias("_own"))
+    met = a.join(m, ["model", "_n"])
+    # one row a residue: the model's own names come before those of other residues
+    best = met.groupBy("motif_id", *res).agg(F.max("_own").alias("_own"), F.count("*").alias("_k"))
+    main = best.groupBy("motif_id").agg(F.min(F.struct((-F.col("_own")).alias("o"), (-F.col("_k")).alias("k"), *res)).alias("_m")).select("motif_id", *(F.col(f"_m.{c}").alias(c) for c in res))
+    return met.join(main, ["motif_id", *res], "left_semi").select("motif_id", "model", "model_atom", "motif_atom")
 
 
 # Elements that can stand for one another.
@@ -32,21 +47,25 @@ def can_substitute(a: Column, b: Column) -> Column:
     return reduce(lambda p, q: p | q, [x.isin(*c) & y.isin(*c) for c in SUBSTITUTES], x == y)
 
 
-def pair_neighbours(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataFrame, motif_bonds: DataFrame, model_bonds: DataFrame, most: int = 8) -> DataFrame:
+def pair_neighbours(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataFrame, motif_bonds: DataFrame, model_bonds: DataFrame) -> DataFrame:
     """pairing with more pairs: a model atom without a partner, bonded to a paired one, takes the nearest motif atom without
     a partner that is bonded to that one's partner and can substitute it.
 
-    Both sides have coordinates in one frame. Ties go to the lesser ids; a pair is made where each is the other's nearest.
-    Rounds go on until nothing is paired; over `most` that pair something raise a RuntimeError.
+    Both sides have coordinates in one frame. A pair is made where each is the other's nearest, of equally near ones the
+    lesser id: a stable matching, as the nearest pair of all is always made. Each round pairs an atom at least in every
+    motif that goes on, and motifs without a new pair leave, so it settles after as many rounds as the longest chain of
+    atoms without a partner.
     """
     two = lambda b, k: b.select(k, "a", "b").unionByName(b.select(k, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     place = lambda df, k, p: df.select(k, F.col("atom_id").alias(f"{p}_atom"), F.col("element").alias(f"{p}_element"), *[F.col(c).alias(f"{p}{c}") for c in "xyz"])
     model_two, motif_two = two(model_bonds, "model"), two(motif_bonds, "motif_id")
     model_at, motif_at = place(model_atoms, "model", "model"), place(motif_atoms, "motif_id", "motif")
-    for _ in range(most + 1):
-        free_model = pairing.select("motif_id", "model", F.col("model_atom").alias("a"), F.col("motif_atom").alias("u")).join(model_two, ["model", "a"]).select("motif_id", "model", F.col("b").alias("model_atom"), "u")
-        free_model = free_model.join(pairing, ["motif_id", "model_atom"], "left_anti")
-        met = free_model.join(motif_two.withColumnsRenamed({"a": "u", "b": "motif_atom"}), ["motif_id", "u"]).drop("u").distinct().join(pairing.select("motif_id", "motif_atom"), ["motif_id", "motif_atom"], "left_anti")
+    live = pairing = cut(pairing.select("motif_id", "model", "model_atom", "motif_atom"))
+    while True:
+        # live: all pairs of the motifs that go on
+        free_model = live.select("motif_id", "model", F.col("model_atom").alias("a"), F.col("motif_atom").alias("u")).join(model_two, ["model", "a"]).select("motif_id", "model", F.col("b").alias("model_atom"), "u")
+        free_model = free_model.join(live, ["motif_id", "model_atom"], "left_anti")
+        met = free_model.join(motif_two.withColumnsRenamed({"a": "u", "b": "motif_atom"}), ["motif_id", "u"]).drop("u").distinct().join(live.select("motif_id", "motif_atom"), ["motif_id", "motif_atom"], "left_anti")
         met = met.join(model_at, ["model", "model_atom"]).join(motif_at, ["motif_id", "motif_atom"]).filter(can_substitute(F.col("model_element"), F.col("motif_element")))
         d = sum(((F.col(f"model{c}") - F.col(f"motif{c}")) ** 2 for c in "xyz"), F.lit(0.0))
         mine, theirs = Window.partitionBy("motif_id", "model_atom").orderBy("_d", "motif_atom"), Window.partitionBy("motif_id", "motif_atom").orderBy("_d", "model_atom")
@@ -54,15 +73,16 @@ def pair_neighbours(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: Dat
         if new.isEmpty():
             return pairing
         pairing = pairing.unionByName(new)
-    raise RuntimeError("the pairing did not settle")
+        live = cut(live.join(new.select("motif_id"), "motif_id", "left_semi").unionByName(new))
 
 
 def extract_motifs(scope: Scope, models: DataFrame, ignored: list[str], least: int = 1) -> DataFrame:
     """Motifs of models(model, n_atoms) that are not ignored and have at least `least` atoms: each residue of a model's name
-    with the atoms bonded to it. scope_id, model, motif (its least atom) and atom_ids."""
+    with the atoms that are up to two bonds away. scope_id, model, motif (its least atom) and atom_ids. Residues that grow
+    to the same atoms are motifs each, by their names."""
     wanted = models.filter((F.col("n_atoms") >= least) & ~F.upper("model").isin([n.upper() for n in ignored])).select(F.upper("model").alias("_m"), "model").distinct()
     res = scope.residues.join(wanted, F.upper("res_name") == F.col("_m"))
-    grown = scope.seq(res).named().connected_atoms(1).df.select("scope_id", F.col("name").alias("motif"), "atom_ids")
+    grown = scope.seq(res).named().connected_atoms(2, named_duplicates=True).df.select("scope_id", F.col("name").alias("motif"), "atom_ids")
     return res.select("scope_id", F.array_min("atom_ids").alias("motif"), "model").join(grown, ["scope_id", "motif"]).select("scope_id", "model", "motif", "atom_ids")
 
 
@@ -371,15 +391,21 @@ def summaries(flagged: DataFrame, by: str, names: list[str], listed: str | None
     return flagged.rollup(by).agg(F.count("*").alias("analyzed"), *one, *more)
 
 
-def custom_aggregate(flagged: DataFrame, structures: list[str], models: list[str], names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(by structure, by model, unknown structures, unknown models); an empty list takes all."""
+def custom_aggregate(flagged: DataFrame, structures: list[str], models: list[str], names: list[str], atom_counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(by structure, by model, unknown structures, unknown models); an empty list takes all. With atom_counts(structure_id,
+    atom_count), those of earlier summaries, a structure has its count, 0 if none is known, and the total their sum."""
     spark = flagged.sparkSession
     ids = lambda x, c: spark.createDataFrame([(i,) for i in x], f"{c} string")
     rows = flagged
     rows = rows.join(ids(structures, "structure_id"), "structure_id", "left_semi") if structures else rows
     rows = rows.join(ids(models, "model"), "model", "left_semi") if models else rows
     unknown = lambda x, c: ids(x, c).join(flagged.select(F.col(c).cast("string")), c, "left_anti")
-    return summaries(rows, "structure_id", names), summaries(rows, "model", names), unknown(structures, "structure_id"), unknown(models, "model")
+    by_structure = summaries(rows, "structure_id", names)
+    if atom_counts is not None:
+        known = rows.select("structure_id").distinct().join(atom_counts.groupBy("structure_id").agg(F.max("atom_count").alias("atom_count")), "structure_id", "left").select("structure_id", F.coalesce("atom_count", F.lit(0)).cast("long").alias("atom_count"))
+        known = known.rollup("structure_id").agg(F.sum("atom_count").alias("atom_count")).withColumnRenamed("structure_id", "_s")
+        by_structure = by_structure.join(known, F.col("structure_id").eqNullSafe(F.col("_s"))).drop("_s")
+    return by_structure, summaries(rows, "model", names), unknown(structures, "structure_id"), unknown(models, "model")
 
 
 def search(flagged: DataFrame, criteria: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -423,6 +449,29 @@ def report(motifs: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     return rows.rollup("structure_id").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"), F.sum("_n").cast("long").alias("motifs"), *more)
 
 
+def outputs(entry: DataFrame, motif_atoms: DataFrame, pairing: DataFrame) -> DataFrame:
+    """The atoms of each entry (motif_id, model, analyzed, state) by what they are written as: model, output and motif_id
+    before the columns of motif_atoms.
+
+    output is `notanalyzed` (entries without analysis: all atoms), `notvalidated` (analysed, in another state than
+    Validated: all atoms), `matched` (validated: the atoms with a partner, in the order of the model's atoms: place) or
+    `motives` (validated: all atoms as they were).
+    """
+    kind = F.when(~F.coalesce("analyzed", F.lit(False)), F.array(F.lit("notanalyzed"))).when(F.coalesce("state", F.lit("")) != "Validated", F.array(F.lit("notvalidated"))).otherwise(F.array(F.lit("matched"), F.lit("motives")))
+    known = entry.select("motif_id", F.col("model"), F.explode(kind).alias("output"))
+    atoms = motif_atoms.drop("model").join(known, "motif_id")
+    order = pairing.select("motif_id", F.col("motif_atom").alias("atom_id"), F.col("model_atom").alias("place"))
+    placed = atoms.join(order, ["motif_id", "atom_id"], "left").filter("output <> 'matched' or place is not null")
+    rest = [c for c in motif_atoms.columns if c not in ("motif_id", "model")]
+    return placed.select("model", "output", "motif_id", *rest, F.when(F.col("output") == "matched", F.col("place")).alias("place"))
+
+
+def write_outputs(entry: DataFrame, motif_atoms: DataFrame, pairing: DataFrame, path: str) -> None:
+    """Entries, and outputs() with each kind of each model apart: under entries and atoms."""
+    entry.write.partitionBy("model", "state").parquet(f"{path}/entries")
+    outputs(entry, motif_atoms, pairing).write.partitionBy("model", "output").parquet(f"{path}/atoms")
+
+
 def write_by_state(entry: DataFrame, path: str) -> None:
     """entry has model and state: each state of each model is written apart."""
     entry.write.partitionBy("model", "state").parquet(path)

@@ -109,7 +109,25 @@ add("svc5_warnings", lambda s, d: service.query_summary(warned(s, d)).select("qu
 add("svc6_limited", lambda s, d: (lambda r: r[0].groupBy("query_id").agg(F.sum("atom_count").alias("atoms")).join(r[1], "query_id"))(service.run_limited({"his": TWO["his"], "few": lambda c: c.residues_of("HIS").execute_if(c.atoms.filter("scope_id = 1"))}, scope(s, d), 40, 1_000_000)), f"WITH {SQL_ATOMS}, h AS ({HIS}), w AS (SELECT *, row_number() OVER (ORDER BY scope_id, ids) AS k FROM h) SELECT 'his' AS query_id, CAST(sum(n) FILTER (k <= 40) AS BIGINT) AS atoms, count(*) AS patterns, least(40, count(*)) AS shown, CASE WHEN count(*) > 40 THEN 'patterns' END AS warning FROM w UNION ALL SELECT 'few', CAST(sum(n) AS BIGINT), count(*), count(*), NULL FROM h WHERE scope_id = 1")
 
 # validation
-add("val2_motifs", lambda s, d: V.extract_motifs(scope(s, d), s.createDataFrame([("HIS", 8), ("NAG", 8), ("GLY", 2), ("CYS", 9)], "model string, n_atoms int"), ["cys"], 3).select("scope_id", "model", "motif", F.array_join("atom_ids", "-").alias("atoms")), f"WITH {SQL_ATOMS}, {SQL_BONDS}, m AS (SELECT *, min(atom_id) OVER (PARTITION BY scope_id, chain, res_seq) AS motif FROM a WHERE res_name IN ('HIS', 'NAG')), g AS (SELECT scope_id, res_name, motif, atom_id FROM m UNION SELECT m.scope_id, m.res_name, motif, bb.b FROM m JOIN bb ON bb.scope_id = m.scope_id AND bb.a = m.atom_id) SELECT scope_id, res_name AS model, motif, string_agg(CAST(atom_id AS VARCHAR), '-' ORDER BY atom_id) AS atoms FROM g GROUP BY ALL")
+LAYERED = f"""WITH {SQL_ATOMS}, {SQL_BONDS}, m AS (SELECT *, min(atom_id) OVER (PARTITION BY scope_id, chain, res_seq) AS motif FROM a WHERE res_name IN ('HIS', 'NAG')),
+g0 AS (SELECT scope_id, res_name, motif, atom_id FROM m), g1 AS (SELECT * FROM g0 UNION SELECT g0.scope_id, res_name, motif, bb.b FROM g0 JOIN bb ON bb.scope_id = g0.scope_id AND bb.a = g0.atom_id),
+g AS (SELECT * FROM g1 UNION SELECT g1.scope_id, res_name, motif, bb.b FROM g1 JOIN bb ON bb.scope_id = g1.scope_id AND bb.a = g1.atom_id)"""
+# each residue of a model's name and all within two bonds, named by the residue's least atom
+add("val2_motifs", lambda s, d: V.extract_motifs(scope(s, d), s.createDataFrame([("HIS", 8), ("NAG", 8), ("GLY", 2), ("CYS", 9)], "model string, n_atoms int"), ["cys"], 3).select("scope_id", "model", "motif", F.array_join("atom_ids", "-").alias("atoms")), f"{LAYERED} SELECT scope_id, res_name AS model, motif, string_agg(CAST(atom_id AS VARCHAR), '-' ORDER BY atom_id) AS atoms FROM g GROUP BY ALL")
+
+
+def grown_motifs(s, d):
+    """Motifs of several residues: motif_id, model and the atoms' columns."""
+    c = scope(s, d)
+    motifs = V.extract_motifs(c, s.createDataFrame([("HIS", 8), ("NAG", 8)], "model string, n_atoms int"), [])
+    atoms = motifs.select("scope_id", "model", F.concat_ws(":", F.col("scope_id").cast("string"), F.col("motif").cast("string")).alias("motif_id"), F.explode("atom_ids").alias("atom_id"))
+    return atoms.join(c.atoms, ["scope_id", "atom_id"])
+
+
+# the neighbours' atoms bear the model's names too, and are no partners
+add("val3_several_residues", lambda s, d: V.pair_by_name(grown_motifs(s, d), motif_tables(s, d)[1]).select("motif_id", "model", "model_atom", "motif_atom"), f"{LAYERED}, md AS (SELECT unnest(range(8)) AS pos, unnest(['N','C','C','O','C','C','C','C']) AS el) SELECT scope_id || ':' || motif AS motif_id, res_name AS model, pos AS model_atom, atom_id AS motif_atom FROM m JOIN md USING (pos) WHERE element = el")
+add("val23_outputs", lambda s, d: (lambda t, f: V.outputs(f, t[2], t[3]).groupBy("model", "output").agg(F.count_distinct("motif_id").alias("motifs"), F.count("*").alias("atoms"), F.sum("place").cast("long").alias("places")))(motif_tables(s, d), flagged(s, d)[0]), f"{MOTIFS}, k AS (SELECT m.*, CASE WHEN NOT dg THEN 'Validated' END AS st, pos <> 7 OR res_seq % 2 = 0 AS paired FROM m JOIN e USING (motif_id)), o AS (SELECT model_, 'matched' AS output, motif_id, pos AS place FROM (SELECT *, res_name AS model_ FROM k) WHERE st = 'Validated' AND paired UNION ALL SELECT res_name, CASE WHEN st = 'Validated' THEN 'motives' ELSE 'notvalidated' END, motif_id, NULL FROM k) SELECT model_ AS model, output, count(DISTINCT motif_id) AS motifs, count(*) AS atoms, CAST(sum(place) AS BIGINT) AS places FROM o GROUP BY ALL")
+add("val18_atom_counts", lambda s, d: V.custom_aggregate(flagged(s, d)[0], [], ["HIS"], ["Missing"], scope(s, d).atoms.filter("scope_id % 3 <> 0").groupBy(F.col("scope_id").cast("string").alias("structure_id")).agg(F.count("*").alias("atom_count")))[0].select("structure_id", "analyzed", "atom_count"), f"{MOTIFS}, h AS (SELECT structure_id, count(*) AS analyzed FROM e WHERE model = 'HIS' GROUP BY 1), n AS (SELECT CAST(scope_id AS VARCHAR) AS structure_id, count(*) AS k FROM a WHERE scope_id % 3 <> 0 GROUP BY 1) SELECT structure_id, CAST(sum(analyzed) AS BIGINT) AS analyzed, CAST(sum(coalesce(k, 0)) AS BIGINT) AS atom_count FROM h LEFT JOIN n USING (structure_id) GROUP BY ROLLUP (structure_id)")
 
 
 def renamed(s, d):
@@ -174,3 +192,44 @@ add("chn8_means", lambda s, d: (lambda p: channels.property_means(scope(s, d).re
 LIMITS = [("C", "N", 20.0), ("C", None, 12.0), ("N", None, 30.0), ("O", None, 9.0)]
 add("str7_bad_known", lambda s, d: structure.bad_known_bonds(scope(s, d), s.createDataFrame(LIMITS, "first string, second string, length double")).select("scope_id", "a", "b"), f"WITH {SQL_ATOMS}, {SQL_BONDS}, l AS (SELECT b.*, least(p.element, q.element) || greatest(p.element, q.element) AS e, p.element AS pe, q.element AS qe, sqrt((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2) AS d FROM b JOIN a p ON p.scope_id = b.scope_id AND p.atom_id = b.a JOIN a q ON q.scope_id = b.scope_id AND q.atom_id = b.b), k AS (SELECT *, CASE WHEN e = 'CN' THEN 20.0 ELSE greatest(CASE pe WHEN 'C' THEN 12.0 WHEN 'N' THEN 30.0 WHEN 'O' THEN 9.0 END, CASE qe WHEN 'C' THEN 12.0 WHEN 'N' THEN 30.0 WHEN 'O' THEN 9.0 END) END AS most FROM l) SELECT scope_id, a, b FROM k WHERE d > most")
 add("str14_entities", lambda s, d: structure.polymer_entities(table(s, d, "customer").select((F.col("c_custkey") % 200).alias("scope_id"), F.when(F.col("c_custkey") % 9 < 7, "Protein").alias("polymer_type"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("organism")), ["organism"]).select("scope_id", F.array_join("organism", ",").alias("organisms")), "SELECT c_custkey % 200 AS scope_id, string_agg(DISTINCT 'N' || c_nationkey, ',' ORDER BY 'N' || c_nationkey) AS organisms FROM customer WHERE c_custkey % 9 < 7 GROUP BY 1")
+
+# channels through the atoms of a structure: every seventh atom, half a unit aside, is a node
+def bored(s, d):
+    at = scope(s, d).atoms.filter("atom_id % 7 = 0")
+    node = (F.col("atom_id") / 7).cast("int")
+    return at.select(F.col("scope_id").alias("structure_id"), F.col("scope_id").alias("channel_id"), node.alias("node"), node.cast("double").alias("distance"), ((F.col("atom_id") % 13) / 4.0).cast("double").alias("radius"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.25).alias("y"), F.col("z").alias("z"))
+
+
+ON_BACKBONE = F.col("pos").isin(0, 1, 3)
+lined = lambda s, d: channels.channel_layers(channels.linings(bored(s, d), scope(s, d).atoms, ON_BACKBONE))
+LINED = f"""WITH {SQL_ATOMS}, nd AS (SELECT scope_id, CAST(atom_id / 7 AS INT) AS node, x + 0.5 AS px, y + 0.25 AS py, z AS pz, (atom_id % 13) / 4.0 AS radius FROM a WHERE atom_id % 7 = 0),
+nn AS (SELECT nd.scope_id, node, a.*, row_number() OVER (PARTITION BY nd.scope_id, node ORDER BY (px - x)**2 + (py - y)**2 + (pz - z)**2, atom_id) AS k FROM nd JOIN a ON a.scope_id = nd.scope_id),
+rs AS (SELECT scope_id, node, chain, res_seq, arg_min(res_name, atom_id) AS res_name, bool_and(pos IN (0, 1, 3)) AS bb FROM nn WHERE k <= 5 GROUP BY ALL),
+ln AS (SELECT nd.scope_id, nd.node, any_value(radius) AS radius, coalesce(string_agg(res_seq || chain, ',' ORDER BY res_seq, chain) FILTER (NOT bb), '') AS sc, coalesce(string_agg(res_seq || chain, ',' ORDER BY res_seq, chain) FILTER (bb), '') AS bk FROM nd JOIN rs ON rs.scope_id = nd.scope_id AND rs.node = nd.node GROUP BY ALL),
+l1 AS (SELECT *, CASE WHEN sc IS DISTINCT FROM lag(sc) OVER w OR bk IS DISTINCT FROM lag(bk) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS n FROM ln WINDOW w AS (PARTITION BY scope_id ORDER BY node)),
+l2 AS (SELECT *, CAST(sum(n) OVER (PARTITION BY scope_id ORDER BY node) AS BIGINT) AS layer FROM l1),
+l3 AS (SELECT scope_id, layer, any_value(sc) AS sc, any_value(bk) AS bk, min(radius) AS radius, min(node) AS first, max(node) AS last FROM l2 GROUP BY ALL),
+ly AS (SELECT scope_id AS channel_id, layer, sc, bk, CAST(radius AS DOUBLE) AS radius, CAST(first AS DOUBLE) AS start, CAST(coalesce(lead(first) OVER (PARTITION BY scope_id ORDER BY layer), last) AS DOUBLE) AS "end" FROM l3),
+lr AS (SELECT DISTINCT l2.scope_id AS channel_id, layer, chain, res_seq, res_name, bb FROM l2 JOIN rs ON rs.scope_id = l2.scope_id AND rs.node = l2.node)"""
+named_residues = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["res_seq"].cast("string"), r["chain"])), ",")
+add("chn5_linings", lambda s, d: lined(s, d).select("channel_id", "layer", named_residues("side_chain").alias("sc"), named_residues("backbone").alias("bk"), "radius", "start", "end"), f"{LINED} SELECT * FROM ly")
+add("chn6_flow_apart", lambda s, d: channels.channel_flow(lined(s, d)).select("channel_id", "chain", "res_seq", "on_backbone", "first_layer", F.col("position").cast("long").alias("position")), f"{LINED}, f AS (SELECT channel_id, chain, res_seq, bb AS on_backbone, min(layer) AS first_layer FROM lr GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY first_layer, chain, res_seq, on_backbone) AS position FROM f")
+# Fixed values of the query: made-up properties of three names, and of the three rows that stand for backbones.
+SIX = ["hydropathy", "hydrophobicity", "polarity", "log_p", "log_d", "log_s"]
+NAMED = [("HIS", 1.0, 2.0, 3.0, 4.0, 5.0, 6.0), ("LYS", -3.5, 0.25, 8.0, 1.5, 2.5, 0.5), ("ALA", 7.0, 6.0, 5.0, 4.0, 3.0, 2.0)]
+ASIDE = [("GLY", -0.5, 0.75, 9.0, 9.0, 9.0, 9.0), ("ASN", 9.0, 9.0, 2.25, 9.0, 9.0, 9.0), ("BACKBONE", 9.0, 9.0, 9.0, 1.25, 2.25, 3.25)]
+SIX_TYPES = "res_name string, " + ", ".join(f"{c} double" for c in SIX)
+means = lambda s, d: channels.channel_means(lined(s, d), s.createDataFrame(NAMED, SIX_TYPES), s.createDataFrame(ASIDE, SIX_TYPES)).select("channel_id", *(F.round(c, 6).alias(c) for c in SIX))
+add("chn9_means_apart", means, f"{LINED}, v(res_name, {', '.join(SIX)}) AS (VALUES {', '.join(map(str, NAMED))}), q AS (SELECT channel_id, {', '.join('v.' + c for c in SIX)} FROM lr JOIN v USING (res_name) WHERE NOT bb UNION ALL SELECT channel_id, -0.5, 0.75, 2.25, 1.25, 2.25, 3.25 FROM lr WHERE bb) SELECT channel_id, {', '.join(f'round(avg({c}), 6) AS {c}' for c in SIX)} FROM q GROUP BY 1")
+
+# neighbours and distances without a radius
+add("geo11_nearest_unbounded", lambda s, d: scope(s, d).atoms_of("S").nearest_atoms(6).select("scope_id", F.get("atom_ids", F.lit(0)).alias("s"), "atom_id", F.col("rank").cast("long").alias("rank")), f"WITH {SQL_ATOMS} SELECT scope_id, s, atom_id, rank FROM (SELECT p.scope_id, p.atom_id AS s, q.atom_id, row_number() OVER (PARTITION BY p.scope_id, p.atom_id ORDER BY (p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2, q.atom_id) AS rank FROM a p JOIN a q ON p.scope_id = q.scope_id AND p.element = 'S') WHERE rank <= 6")
+add("geo10_distance_within", lambda s, d: (lambda c: c.residues_of("HIS").distance_to(c.residues_of("CYS"), 9.0).select("scope_id", F.array_min("atom_ids").alias("first"), F.array_min("other_ids").alias("other"), F.round("distance", 6).alias("distance")))(scope(s, d)), f"WITH {SQL_ATOMS}, p AS (SELECT *, min(atom_id) OVER (PARTITION BY scope_id, chain, res_seq) AS r FROM a WHERE res_name IN ('HIS', 'CYS')) SELECT x.scope_id, x.r AS first, y.r AS other, round(sqrt(min((x.x - y.x)**2 + (x.y - y.y)**2 + (x.z - y.z)**2)), 6) AS distance FROM p x JOIN p y ON x.scope_id = y.scope_id AND x.res_name = 'HIS' AND y.res_name = 'CYS' GROUP BY ALL HAVING min((x.x - y.x)**2 + (x.y - y.y)**2 + (x.z - y.z)**2) <= 81")
+near_channels = lambda s, d: bored(s, d).withColumn("channel_id", F.concat_ws(":", F.col("structure_id").cast("string"), F.floor(F.col("node") / 30).cast("string")))
+add("chn4_all_pairs", lambda s, d: channels.channel_distance(near_channels(s, d)).select("channel_id", "other", F.round("distance", 6).alias("distance")), f"WITH {SQL_ATOMS}, p AS (SELECT scope_id, scope_id || ':' || CAST(floor(atom_id / 7 / 30) AS INT) AS c, atom_id, x, y, z FROM a WHERE atom_id % 7 = 0), n AS (SELECT p.scope_id, p.c, q.c AS o, p.atom_id, min((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2) AS d FROM p JOIN p q ON p.scope_id = q.scope_id AND p.c <> q.c GROUP BY ALL), r AS (SELECT c, o, sqrt(avg(d)) AS d FROM n GROUP BY ALL) SELECT r.c AS channel_id, r.o AS other, round((r.d + b.d) / 2, 6) AS distance FROM r JOIN r b ON b.c = r.o AND b.o = r.c WHERE r.c < r.o")
+
+# similarity over a limit, and the most similar
+ALIKE = f"""WITH {SQL_ATOMS}, q AS (SELECT scope_id, chain, res_seq, any_value(res_name) AS res_name FROM a GROUP BY ALL), k AS (SELECT scope_id, chain, res_name, count(*) AS n FROM q GROUP BY ALL), t AS (SELECT scope_id, chain, sum(n) AS t FROM k GROUP BY ALL),
+m AS (SELECT p.scope_id, r.scope_id AS other_scope, sum(least(p.n, r.n)) AS i FROM k p JOIN k r ON p.res_name = r.res_name WHERE p.chain = 'A' AND r.chain = 'B' GROUP BY ALL), v AS (SELECT m.scope_id, other_scope, i / (x.t + y.t - i) AS value FROM m JOIN t x ON x.scope_id = m.scope_id AND x.chain = 'A' JOIN t y ON y.scope_id = other_scope AND y.chain = 'B')"""
+add("agg6_similar", lambda s, d: (lambda c: c.chains("A").similarity(c.chains("B"), "res_name", 0.9).select("scope_id", "other_scope", F.round("value", 9).alias("value")))(scope(s, d)), f"{ALIKE} SELECT scope_id, other_scope, round(value, 9) AS value FROM v WHERE value >= 0.9")
+add("agg6_most_similar", lambda s, d: (lambda c: c.chains("A").most_similar(c.chains("B"), 3, "res_name").select("scope_id", "other_scope", F.round("value", 9).alias("value"), F.col("rank").cast("long").alias("rank")))(scope(s, d)), f"{ALIKE} SELECT scope_id, other_scope, round(value, 9) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY value DESC, other_scope) AS rank FROM v) WHERE rank <= 3")

@@ -6,11 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def csv_lines(df: DataFrame) -> tuple[DataFrame, str]:
+    """A text line for each row, and the header: names and texts quoted with doubled quotes inside, numbers bare.
+
+    A null is an empty field, an empty text is "". A text may hold line feeds inside its quotes.
+    """
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    shown = [F.coalesce(quote(F.col(f"`{f.name}`")) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`").cast("string"), F.lit("")) for f in df.schema]
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    return df.select(F.array_join(F.array(*shown), ",").alias("value")), header
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Texts quoted with doubled quotes inside, numbers bare."""
-    quoted = [F.concat(F.lit('"'), F.replace(F.col(f.name), F.lit('"'), F.lit('""')), F.lit('"')).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name).cast("string").alias(f.name) for f in df.schema]
-    rows = df.select(*quoted).select(F.array_join(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in df.columns]), ",").alias("value"))
-    rows.write.option("lineSep", "\n").text(path)
+    """csv_lines() as files that have the header on top each, also where there are no rows."""
+    lines, header = csv_lines(df)
+    if lines.isEmpty():
+        lines = df.sparkSession.range(0, 1, 1, 1).select(F.lit(header).alias("value"))
+    else:
+        # the number of a row in its partition is in the lower 33 bits
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(header + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    lines.write.option("lineSep", "\n").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -132,8 +132,14 @@ def test_files_in_and_out(spark, tmp_path):
     s = t["structures"].first()
     assert s.resolution == 1.8 and str(s.released) == "1998-03-05" and s.keywords == ["ZINC SITE", "TEST"]
     assert [(r.a, r.b) for r in t["bonds"].collect()] == [(1, 2)]
-    write_csv(spark.createDataFrame([('a "b"', 1)], "t string, n int"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first().value == '"a ""b""",1'
+    given = spark.createDataFrame([('a "b"', 1), ("", None), (None, 2), ("x,\ny", 3)], 'T string, `n "1"` int')
+    write_csv(given.coalesce(1), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()] == ['"T","n ""1"""\n"a ""b""",1\n"",\n,2\n"x,\ny",3\n']
+    write_csv(given.repartition(3), str(tmp_path / "three"))
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").schema('T string, `n "1"` int').csv(str(tmp_path / "three"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, given.collect()))
+    write_csv(given.limit(0), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).first().value == '"T","n ""1"""'
     (tmp_path / "csa.dat").write_text("PDB ID,SITE NUMBER,RESIDUE TYPE,CHAIN ID,RESIDUE NUMBER,CHEMICAL FUNCTION,EVIDENCE TYPE,LITERATURE ENTRY\n1abc,1,HIS,A,7,S,LIT,1abc\nbad,row\n")
     assert [(r.pdb_id, r.site_number, r.chain, r.res_seq) for r in read_catalytic_sites(spark, str(tmp_path / "csa.dat")).collect()] == [("1abc", 1, "A", 7)]
 
