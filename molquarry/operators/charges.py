@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import PatternSeq, Scope, charge_class, range_pairs
@@ -41,13 +41,28 @@ def parameter_groups(targets: list[PatternSeq]) -> DataFrame:
     return every.groupBy("scope_id", "atom_id").agg(F.min("group_no").alias("group_no"))
 
 
+#: Atoms of a dense system that one task solves, and of a block of a larger one; rows of distances at a time.
+MOST_DENSE, BLOCK_ATOMS, DISTANCE_ROWS = 2000, 1000, 256
+
+
+def _inverse_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 / distance of each two places, 0 where they are the same; a strip of rows at a time."""
+    out = np.empty((len(x), len(y)))
+    for i in range(0, len(x), DISTANCE_ROWS):
+        d2 = np.zeros((len(x[i : i + DISTANCE_ROWS]), len(y)))
+        for c in range(3):
+            d2 += (x[i : i + DISTANCE_ROWS, c, None] - y[None, :, c]) ** 2
+        np.sqrt(d2, out=d2)
+        out[i : i + DISTANCE_ROWS] = np.divide(1.0, d2, out=np.zeros_like(d2), where=d2 > 0)
+    return out
+
+
 def _solve(x: np.ndarray, a: np.ndarray, b: np.ndarray, kappa: float, total: float) -> np.ndarray:
     """Charges that equalise a + b q + kappa sum(q / d) over the atoms and sum to `total`."""
     n = len(a)
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
     m = np.zeros((n + 1, n + 1))
-    with np.errstate(divide="ignore"):
-        m[:n, :n] = np.where(d > 0, kappa / np.where(d > 0, d, 1), 0)
+    m[:n, :n] = _inverse_distances(x, x)
+    m[:n, :n] *= kappa
     m[np.arange(n), np.arange(n)] = b
     m[:n, n], m[n, :n] = -1, 1
     right = np.append(-a, total)
@@ -57,23 +72,120 @@ def _solve(x: np.ndarray, a: np.ndarray, b: np.ndarray, kappa: float, total: flo
         return np.linalg.lstsq(m, right, rcond=None)[0][:n]
 
 
-def equalise(atoms: DataFrame, kappa: float, total: float = 0.0, most_atoms: int = 6000) -> DataFrame:
-    """Charges of every molecule: one dense system each (a bounded task), an error row above most_atoms.
+def equalise(atoms: DataFrame, kappa: float, total: float = 0.0, most_atoms: int = 30_000, most_dense: int = MOST_DENSE) -> DataFrame:
+    """Charges of every molecule: a dense system in one task up to most_dense atoms, block by block over tasks up to
+    most_atoms (see equalise_blocks), and an error row above.
 
     atoms(scope_id, atom_id, x, y, z, a, b); atoms without parameters are left out. Returns scope_id, atom_id, charge, error.
     """
     kind = atoms.schema["scope_id"].dataType.simpleString()
-    known = cut(atoms.filter("a is not null and b is not null"))
-    sizes = known.groupBy("scope_id").agg(F.count("*").alias("_n"))
-    big = sizes.filter(F.col("_n") > most_atoms).select("scope_id", F.lit(None).cast("int").alias("atom_id"), F.lit(None).cast("double").alias("charge"), F.lit("too many atoms").alias("error"))
+    known = cut(atoms.filter("a is not null and b is not null").select("scope_id", "atom_id", "x", "y", "z", "a", "b"))
+    sizes = cut(known.groupBy("scope_id").agg(F.count("*").alias("_n")))
+    failed = lambda df, why: df.select("scope_id", F.lit(None).cast("int").alias("atom_id"), F.lit(None).cast("double").alias("charge"), F.lit(why).alias("error"))
+    big = failed(sizes.filter(F.col("_n") > most_atoms), "too many atoms")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("atom_id")
         q = _solve(pdf[["x", "y", "z"]].to_numpy(float), pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), kappa, total)
         return pd.DataFrame({"scope_id": pdf["scope_id"], "atom_id": pdf["atom_id"], "charge": q, "error": None})
 
-    small = known.join(sizes.filter(F.col("_n") <= most_atoms).select("scope_id"), "scope_id", "left_semi")
-    return small.select("scope_id", "atom_id", "x", "y", "z", "a", "b").groupBy("scope_id").applyInPandas(solve, f"scope_id {kind}, atom_id int, charge double, error string").unionByName(big)
+    small = known.join(sizes.filter(F.col("_n") <= most_dense).select("scope_id"), "scope_id", "left_semi")
+    out = small.groupBy("scope_id").applyInPandas(solve, f"scope_id {kind}, atom_id int, charge double, error string").unionByName(big)
+    middle = sizes.filter((F.col("_n") > most_dense) & (F.col("_n") <= most_atoms))
+    if middle.isEmpty():
+        return out
+    solved, open_ = equalise_blocks(known.join(middle.select("scope_id"), "scope_id", "left_semi"), kappa, total)
+    return out.unionByName(solved.withColumn("error", F.lit(None).cast("string"))).unionByName(failed(open_, "the charges did not settle"))
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _plus(a: str, factor: Column, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + factor * y)
+
+
+def equalise_blocks(atoms: DataFrame, kappa: float, total: float = 0.0, tolerance: float = 1e-10, most_rounds: int = 400) -> tuple[DataFrame, DataFrame]:
+    """(charges, structures that did not settle): the same system without its matrix.
+
+    With M = b on the diagonal and kappa / d beside it, the charges are u + chi v, where M u = -a, M v = 1 and chi makes the
+    sum right. Both are found by conjugate residuals, which need M only in products. A molecule lies in blocks of
+    BLOCK_ATOMS atoms; in each round every pair of blocks of a molecule is one row, whose product is one small matrix
+    product, and rows are added up by block. A molecule leaves once both residuals are under `tolerance` of their right side.
+    """
+    kind = atoms.schema["scope_id"].dataType.simpleString()
+    where = Window.partitionBy("scope_id").orderBy("atom_id")
+    placed = atoms.withColumn("_b", F.floor((F.row_number().over(where) - 1) / BLOCK_ATOMS).cast("int"))
+    one = F.array_sort(F.collect_list(F.struct("atom_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "a", "b")))))
+    blocks = placed.groupBy("scope_id", "_b").agg(one.alias("_r"))
+    fixed = cut(blocks.select("scope_id", "_b", F.col("_r.atom_id").alias("ids"), *(F.col(f"_r.{c}").alias(c) for c in ("x", "y", "z", "b")), F.transform("_r.a", lambda v: -v).alias("ru"), F.transform("_r.a", lambda v: F.lit(1.0)).alias("rv")))
+    geometry = fixed.select("scope_id", "_b", "x", "y", "z", "b")
+
+    def products(batches):
+        for pdf in batches:
+            out = {"scope_id": pdf["scope_id"], "_b": pdf["_b"], "tu": [], "tv": []}
+            for r in pdf.itertuples(index=False):
+                near = kappa * _inverse_distances(np.stack([r.x, r.y, r.z], 1), np.stack([r.xo, r.yo, r.zo], 1))
+                if r._1 == r.other:  # the block with itself: b on the diagonal
+                    near[np.diag_indices(len(near))] = r.b
+                got = near @ np.stack([r.su, r.sv], 1)
+                out["tu"].append(got[:, 0])
+                out["tv"].append(got[:, 1])
+            yield pd.DataFrame(out)
+
+    def multiplied(vectors: DataFrame) -> DataFrame:
+        """scope_id, _b, and M su and M sv of vectors (scope_id, _b, su, sv)."""
+        other = vectors.select("scope_id", F.col("_b").alias("other"), "su", "sv").join(geometry.select("scope_id", F.col("_b").alias("other"), *(F.col(c).alias(f"{c}o") for c in "xyz")), ["scope_id", "other"])
+        pairs = geometry.join(other, "scope_id").select("scope_id", "_b", "other", "x", "y", "z", "b", "xo", "yo", "zo", "su", "sv").repartition("scope_id", "_b", "other")
+        parts = pairs.mapInPandas(products, f"scope_id {kind}, _b int, tu array<double>, tv array<double>")
+        each = parts.select("scope_id", "_b", F.posexplode(F.arrays_zip("tu", "tv")).alias("_i", "_t")).groupBy("scope_id", "_b", "_i").agg(F.sum("_t.tu").alias("tu"), F.sum("_t.tv").alias("tv"))
+        rows = each.groupBy("scope_id", "_b").agg(F.array_sort(F.collect_list(F.struct("_i", "tu", "tv"))).alias("_t"))
+        return rows.select("scope_id", "_b", F.col("_t.tu").alias("mu"), F.col("_t.tv").alias("mv"))
+
+    zero = F.transform("ru", lambda v: F.lit(0.0))
+    first = fixed.select("scope_id", "_b", "ids", "ru", "rv", zero.alias("u"), zero.alias("v"))
+    norms = cut(first.groupBy("scope_id").agg(F.sum(_dot("ru", "ru")).alias("nu"), F.sum(_dot("rv", "rv")).alias("nv")))
+    at = multiplied(first.select("scope_id", "_b", F.col("ru").alias("su"), F.col("rv").alias("sv")))
+    # p: direction, ap: M p, ar: M r
+    state = cut(first.join(at, ["scope_id", "_b"]).select("*", F.col("ru").alias("pu"), F.col("rv").alias("pv"), F.col("mu").alias("apu"), F.col("mv").alias("apv")).withColumnsRenamed({"mu": "aru", "mv": "arv"}))
+    done = None
+    for _ in range(most_rounds):
+        sums = state.groupBy("scope_id").agg(*(F.sum(_dot(x, y)).alias(n) for n, x, y in (("rau", "ru", "aru"), ("rav", "rv", "arv"), ("aau", "apu", "apu"), ("aav", "apv", "apv"))))
+        # a right side that is met already has no direction left
+        step = lambda t: F.coalesce(F.try_divide(F.col(f"ra{t}"), F.col(f"aa{t}")), F.lit(0.0))
+        moved = state.join(sums, "scope_id")
+        moved = moved.withColumns({"u": _plus("u", step("u"), "pu"), "v": _plus("v", step("v"), "pv"), "ru": _plus("ru", -step("u"), "apu"), "rv": _plus("rv", -step("v"), "apv")}).drop("aru", "arv", "aau", "aav")
+        moved = cut(moved)
+        left = moved.groupBy("scope_id").agg(F.sum(_dot("ru", "ru")).alias("_u"), F.sum(_dot("rv", "rv")).alias("_v")).join(norms, "scope_id")
+        settled = cut(left.filter((F.col("_u") <= F.col("nu") * tolerance**2) & (F.col("_v") <= F.col("nv") * tolerance**2)).select("scope_id"))
+        new = moved.join(settled, "scope_id", "left_semi").select("scope_id", "ids", "u", "v")
+        done = new if done is None else done.unionByName(new)
+        moved = moved.join(settled, "scope_id", "left_anti")
+        if moved.isEmpty():
+            state = moved
+            break
+        at = multiplied(moved.select("scope_id", "_b", F.col("ru").alias("su"), F.col("rv").alias("sv")))
+        joined = moved.join(at, ["scope_id", "_b"])
+        again = joined.groupBy("scope_id").agg(F.sum(_dot("ru", "mu")).alias("bu"), F.sum(_dot("rv", "mv")).alias("bv"))
+        turn = lambda t: F.coalesce(F.try_divide(F.col(f"b{t}"), F.col(f"ra{t}")), F.lit(0.0))
+        joined = joined.join(again, "scope_id").withColumns({"pu": _plus("ru", turn("u"), "pu"), "pv": _plus("rv", turn("v"), "pv"), "apu": _plus("mu", turn("u"), "apu"), "apv": _plus("mv", turn("v"), "apv")})
+        state = cut(joined.withColumnsRenamed({"mu": "aru", "mv": "arv"}).drop("bu", "bv", "rau", "rav"))
+    sums = done.groupBy("scope_id").agg(F.sum(F.aggregate("u", F.lit(0.0), lambda s, x: s + x)).alias("_u"), F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)).alias("_v"))
+    chi = ((F.lit(total) - F.col("_u")) / F.col("_v")).alias("chi")
+    charges = done.join(sums.select("scope_id", chi), "scope_id").select("scope_id", F.inline(F.arrays_zip("ids", F.zip_with("u", "v", lambda x, y: x + F.col("chi") * y).alias("charge"))))
+    return charges.toDF("scope_id", "atom_id", "charge"), state.select("scope_id").distinct()
+
+
+def residuals(atoms: DataFrame, charges: DataFrame, kappa: float) -> DataFrame:
+    """How far a + b q + kappa sum(q / d) of each atom is from its structure's mean: scope_id, atom_id, residual. atoms as
+    for equalise(). It meets all pairs of a structure's atoms: a check of results."""
+    known = cut(atoms.filter("a is not null and b is not null").select("scope_id", "atom_id", "x", "y", "z", "a", "b").join(charges.select("scope_id", "atom_id", "charge"), ["scope_id", "atom_id"]))
+    other = known.select("scope_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"), F.col("charge").alias("_q"))
+    d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
+    field = known.join(other, "scope_id").groupBy("scope_id", "atom_id", "a", "b", "charge").agg(F.sum(F.when(d > 0, F.col("_q") / d).otherwise(0.0)).alias("_f"))
+    level = field.select("scope_id", "atom_id", (F.col("a") + F.col("b") * F.col("charge") + kappa * F.col("_f")).alias("_l"))
+    return level.withColumn("residual", F.col("_l") - F.avg("_l").over(Window.partitionBy("scope_id"))).select("scope_id", "atom_id", "residual")
 
 
 def equalise_cutoff(atoms: DataFrame, kappa: float, radius: float, total: float = 0.0, correct: bool = True) -> DataFrame:

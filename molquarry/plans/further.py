@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from molquarry.functions import values
-from molquarry.operators import channels, index, service, structure
+from molquarry.operators import channels, charges, index, service, structure
 from molquarry.operators import charges as Q
 from molquarry.operators import validation as V
 from molquarry.operators.core import Scope
 from molquarry.operators.tables import shared_dir
-from molquarry.plans.analysis import MOTIFS, flagged, motif_tables
+from molquarry.plans.analysis import MOTIFS, flagged, motif_tables, parametrised
 from molquarry.plans.database import HIS, TWO, _structures
 from molquarry.plans.more import bonds_of
 from molquarry.sources import readers
@@ -200,8 +200,8 @@ def bored(s, d):
     return at.select(F.col("scope_id").alias("structure_id"), F.col("scope_id").alias("channel_id"), node.alias("node"), node.cast("double").alias("distance"), ((F.col("atom_id") % 13) / 4.0).cast("double").alias("radius"), (F.col("x") + 0.5).alias("x"), (F.col("y") + 0.25).alias("y"), F.col("z").alias("z"))
 
 
-ON_BACKBONE = F.col("pos").isin(0, 1, 3)
-lined = lambda s, d: channels.channel_layers(channels.linings(bored(s, d), scope(s, d).atoms, ON_BACKBONE))
+on_backbone = lambda: F.col("pos").isin(0, 1, 3)
+lined = lambda s, d: channels.channel_layers(channels.linings(bored(s, d), scope(s, d).atoms, on_backbone()))
 LINED = f"""WITH {SQL_ATOMS}, nd AS (SELECT scope_id, CAST(atom_id / 7 AS INT) AS node, x + 0.5 AS px, y + 0.25 AS py, z AS pz, (atom_id % 13) / 4.0 AS radius FROM a WHERE atom_id % 7 = 0),
 nn AS (SELECT nd.scope_id, node, a.*, row_number() OVER (PARTITION BY nd.scope_id, node ORDER BY (px - x)**2 + (py - y)**2 + (pz - z)**2, atom_id) AS k FROM nd JOIN a ON a.scope_id = nd.scope_id),
 rs AS (SELECT scope_id, node, chain, res_seq, arg_min(res_name, atom_id) AS res_name, bool_and(pos IN (0, 1, 3)) AS bb FROM nn WHERE k <= 5 GROUP BY ALL),
@@ -233,3 +233,6 @@ ALIKE = f"""WITH {SQL_ATOMS}, q AS (SELECT scope_id, chain, res_seq, any_value(r
 m AS (SELECT p.scope_id, r.scope_id AS other_scope, sum(least(p.n, r.n)) AS i FROM k p JOIN k r ON p.res_name = r.res_name WHERE p.chain = 'A' AND r.chain = 'B' GROUP BY ALL), v AS (SELECT m.scope_id, other_scope, i / (x.t + y.t - i) AS value FROM m JOIN t x ON x.scope_id = m.scope_id AND x.chain = 'A' JOIN t y ON y.scope_id = other_scope AND y.chain = 'B')"""
 add("agg6_similar", lambda s, d: (lambda c: c.chains("A").similarity(c.chains("B"), "res_name", 0.9).select("scope_id", "other_scope", F.round("value", 9).alias("value")))(scope(s, d)), f"{ALIKE} SELECT scope_id, other_scope, round(value, 9) AS value FROM v WHERE value >= 0.9")
 add("agg6_most_similar", lambda s, d: (lambda c: c.chains("A").most_similar(c.chains("B"), 3, "res_name").select("scope_id", "other_scope", F.round("value", 9).alias("value"), F.col("rank").cast("long").alias("rank")))(scope(s, d)), f"{ALIKE} SELECT scope_id, other_scope, round(value, 9) AS value, rank FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY value DESC, other_scope) AS rank FROM v) WHERE rank <= 3")
+
+# equalised to the last atom: the level of each atom is that of its structure
+add("chg4_residuals", lambda s, d: (lambda a: charges.residuals(a, charges.equalise(a, 0.4, 1.0), 0.4).groupBy("scope_id").agg(F.count("*").alias("n"), F.abs(F.round(F.max(F.abs("residual")), 5)).alias("residual")))(parametrised(s, d)), f"WITH {SQL_ATOMS} SELECT scope_id, count(*) AS n, CAST(0.0 AS DOUBLE) AS residual FROM a WHERE element <> 'ZN' GROUP BY 1")

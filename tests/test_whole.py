@@ -70,3 +70,17 @@ def test_charges_against_a_system_each(spark):
     read = lambda df: {(r.scope_id, r.atom_id): r.charge for r in df.collect()}
     assert read(Q.equalise(atoms, 0.4, 1.0)) == pytest.approx(whole, abs=1e-8)
     assert read(Q.equalise_cutoff(atoms, 0.4, 4.0, 1.0, correct=False)) == pytest.approx(near, abs=1e-8)
+
+
+def test_charges_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK_ATOMS", 70)
+    rng = np.random.default_rng(5)
+    rows = [(s, i, *map(float, rng.uniform(0, 12, 3)), 2.0 + i % 3 / 10, 2.0 + i % 2 / 5) for s, n in ((1, 20), (2, 150), (3, 201), (4, 300)) for i in range(n)]
+    rows += [(2, 999, 1.0, 1.0, 1.0, None, 1.0)]
+    atoms = spark.createDataFrame(rows, "scope_id int, atom_id int, x double, y double, z double, a double, b double")
+    read = lambda df: {(r.scope_id, r.atom_id): r.charge for r in df.filter("error is null").collect()}
+    dense, blocks = Q.equalise(atoms, 0.4, 1.5), Q.equalise(atoms, 0.4, 1.5, most_atoms=250, most_dense=100)
+    want = {k: q for k, q in read(dense).items() if k[0] != 4}
+    assert read(blocks) == pytest.approx(want, abs=1e-8)
+    assert [(r.scope_id, r.error) for r in blocks.filter("error is not null").collect()] == [(4, "too many atoms")]
+    assert Q.residuals(atoms, dense, 0.4).agg(F.max(F.abs("residual"))).first()[0] < 1e-9
