@@ -57,7 +57,7 @@ def channel_distance(profile: DataFrame, most: float | None = None) -> DataFrame
     return one.join(back, ["structure_id", "channel_id", "other"]).filter("channel_id < other").select("structure_id", "channel_id", "other", ((F.col("d") + F.col("_e")) / 2).alias("distance"))
 
 
-def drop_duplicates(profile: DataFrame, share: float = 0.9, within: float = 1.0, most_rounds: int = 30) -> DataFrame:
+def drop_duplicates(profile: DataFrame, share: float = 0.9, within: float = 1.0) -> DataFrame:
     """Channels kept: from the shortest on, a longer one goes when over `share` of a kept shorter one's nodes lie on it."""
     length = profile.groupBy("structure_id", "channel_id").agg(F.max("distance").alias("length"), F.count("*").alias("n"))
     a = profile.select("structure_id", "channel_id", "node", *[F.col(c).alias(f"p{c}") for c in "xyz"])
@@ -65,10 +65,11 @@ def drop_duplicates(profile: DataFrame, share: float = 0.9, within: float = 1.0,
     hits = range_pairs(a, b, within, "structure_id").filter("channel_id <> other").select("structure_id", "channel_id", "other", "node").distinct()
     covers = hits.groupBy("structure_id", "channel_id", "other").count().alias("h").join(length.alias("l"), ["structure_id", "channel_id"]).join(length.select("structure_id", F.col("channel_id").alias("other"), F.col("length").alias("other_length")), ["structure_id", "other"])
     beaten = cut(covers.filter((F.col("count") > share * F.col("n")) & (F.struct("length", "channel_id") < F.struct("other_length", "other"))).select("structure_id", "channel_id", "other"))
-    # a channel is kept once all that could drop it are dropped, and dropped once one of them is kept
+    # a channel is kept once all that could drop it are dropped, and dropped once one of them is kept; the shortest open
+    # channel of each structure is kept in any case, so every round settles some
     open_ = cut(length.select("structure_id", "channel_id"))
     kept = open_.limit(0)
-    for _ in range(most_rounds):
+    while True:
         live = beaten.join(open_.select("structure_id", "channel_id"), ["structure_id", "channel_id"], "left_semi")
         new = open_.join(live.select("structure_id", F.col("other").alias("channel_id")).distinct(), ["structure_id", "channel_id"], "left_anti")
         gone = beaten.join(new, ["structure_id", "channel_id"], "left_semi").select("structure_id", F.col("other").alias("channel_id")).distinct()
@@ -76,7 +77,6 @@ def drop_duplicates(profile: DataFrame, share: float = 0.9, within: float = 1.0,
         open_ = cut(open_.join(new, ["structure_id", "channel_id"], "left_anti").join(gone, ["structure_id", "channel_id"], "left_anti"))
         if open_.isEmpty():
             return kept
-    raise RuntimeError("the channels did not settle")
 
 
 # Names of the atoms of a backbone.

@@ -38,20 +38,53 @@ def change_counts(changed: DataFrame) -> DataFrame:
 
 
 def write_version(index: DataFrame, path: str, changed: bool = True) -> int:
-    """Write as version=N under path, one more than the last; without changes the last one stays. Returns the version."""
-    last = last_version(index.sparkSession, path)
+    """Write as version=N under path, one more than the last; without changes the last one stays. Returns the version.
+
+    A writer first takes its number by creating a file that must not be there yet, so two writers never share one. Readers
+    see a version once all of it is written; a writer that fails leaves its number unused.
+    """
+    spark = index.sparkSession
+    last = last_version(spark, path)
     if last is not None and not changed:
         return last
-    version = 1 if last is None else last + 1
+    version = _taken(spark, path)
     index.write.parquet(f"{path}/version={version}")
     return version
 
 
-def last_version(spark: SparkSession, path: str) -> int | None:
+def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _numbers(spark: SparkSession, path: str, start: str) -> list[int]:
+    p, fs = _folder(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return max((int(n.split("=")[1]) for n in names if n.startswith("version=")), default=None)
+    return [int(n[len(start) :]) for n in names if n.startswith(start) and n[len(start) :].isdigit()]
+
+
+def _taken(spark: SparkSession, path: str) -> int:
+    """The next number, for this writer alone."""
+    claims = f"{path}/_claims"
+    number = max([0, *_numbers(spark, path, "version="), *_numbers(spark, claims, "claim-")]) + 1
+    while True:
+        p, fs = _folder(spark, f"{claims}/claim-{number}")
+        try:
+            fs.create(p, False).close()
+            return number
+        except Exception:
+            if not fs.exists(p):
+                raise
+            number += 1
+
+
+def last_version(spark: SparkSession, path: str) -> int | None:
+    """The last version that is complete."""
+    for number in sorted(_numbers(spark, path, "version="), reverse=True):
+        p, fs = _folder(spark, f"{path}/version={number}/_SUCCESS")
+        if fs.exists(p):
+            return number
+    return None
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import KEY, PatternSeq, Scope
-from .tables import cut, prefix_sums
+from .tables import cut, prefix_sums, shared_dir
 
 
 def run(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -> DataFrame:
@@ -40,7 +41,7 @@ def run_apart(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -
 def run_limited(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope, most_patterns: int, most_atoms: int) -> tuple[DataFrame, DataFrame]:
     """An interactive run: each query's first patterns (by structure and serial) until a limit is reached, and
     warnings (query_id, patterns, shown, warning: `patterns`, `atoms` or null)."""
-    rows, shown = run(queries, scope), []
+    rows, shown = cut(run(queries, scope)), []  # written: limits, totals and rows all read it
     for q in queries:
         mine = rows.filter(F.col("query_id") == q)
         shown.append(limited(mine, most_patterns, most_atoms, ["scope_id", "serial"]))
@@ -112,12 +113,36 @@ def limited(df: DataFrame, most_patterns: int, most_atoms: int, order: list[str]
     return run_.filter((F.col("_n") < most_patterns) & (F.col("_m") < most_atoms)).drop("_pn", "_pm", "_n", "_m")
 
 
+class Pages:
+    """Rows of df in an order, written once in ranges of it, with the number of rows of each range: a page reads the ranges
+    that it lies in, and no others. Spark chooses the number of ranges by size if none is given."""
+
+    def __init__(self, df: DataFrame, order: list[str], ranges: int | None = None):
+        self.order, self.columns = order, df.columns
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+        dealt = df.repartitionByRange(*order) if ranges is None else df.repartitionByRange(ranges, *order)
+        dealt.sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(self.path)
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        self.rows = spark.read.schema(f"{types}, _range int").parquet(self.path)
+        counts = sorted(self.rows.groupBy("_range").count().collect())  # one row for each range
+        self.ranges, self.total = [], 0
+        for r in counts:
+            self.ranges.append((r["_range"], self.total, self.total + r["count"]))
+            self.total += r["count"]
+
+    def page(self, number: int, size: int = 15) -> DataFrame:
+        """Rows of one page; page numbers wrap round."""
+        pages = max(1, -(-self.total // size))
+        start = (number % pages) * size
+        met = [(r, first) for r, first, last in self.ranges if first < start + size and last > start]
+        rows = self.rows.filter(F.col("_range").isin([r for r, _ in met])).select(*self.columns).orderBy(*self.order)
+        return rows.offset(start - met[0][1]).limit(size) if met else rows.limit(0)
+
+
 def page(df: DataFrame, order: list[str], number: int, size: int = 15) -> DataFrame:
-    """Rows of one page; page numbers wrap round."""
-    total = df.count()
-    pages = max(1, -(-total // size))
-    start = (number % pages) * size
-    return df.orderBy(*order).offset(start).limit(size)
+    """Rows of one page; page numbers wrap round. For several pages of one table keep its Pages."""
+    return Pages(df, order).page(number, size)
 
 
 def preview(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
@@ -134,7 +159,8 @@ def sigma_bands(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     stats = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
     v, m, s = F.col(value), F.col("_mean"), F.col("_sd")
     band = F.when(v.isNull(), 1000).when(s < 1e-9, 0).when(v > m + 3 * s, 3).when(v > m + 2 * s, 2).when(v > m + s, 1).otherwise(0)
-    return df.join(stats, by).withColumn("band", band).drop("_mean", "_sd")
+    met = df.join(stats, by) if by else df.join(F.broadcast(stats))  # without by it is one row
+    return met.withColumn("band", band).drop("_mean", "_sd")
 
 
 def ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:

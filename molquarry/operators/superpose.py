@@ -83,17 +83,64 @@ def average_structure(points: DataFrame, rounds: int = 10, ratio: float = 0.95)
     return mean.join(F.broadcast(center)).select("atom", *[(F.col(f"p{c}") - F.col(f"_{c}")).alias(c) for c in "xyz"]), final.select("structure", "rmsd")
 
 
-def pairwise_rmsd(points: DataFrame) -> DataFrame:
-    """RMSD of every pair of structures on the atoms that both have."""
-    b = points.select(F.col("structure").alias("other"), "atom", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    return fit(points.join(b, "atom").filter("structure < other"), ["structure", "other"]).select("structure", "other", "n", "rmsd")
+#: Structures of a block; a task fits all pairs of two blocks.
+TILE = 48
+#: Atoms that a task takes into one matrix product.
+TILE_ATOMS = 4096
+
+
+def pairwise_rmsd(points: DataFrame, most: float | None = None, tile: int = TILE) -> DataFrame:
+    """RMSD of every pair of structures on the atoms that both have: structure, other (the greater), n and rmsd.
+
+    Structures are dealt into blocks of about `tile`; each pair of blocks is one task, whose sums over common atoms are
+    matrix products of all structures at once. All pairs are in the result; with `most` those of at most that RMSD.
+    """
+    name = points.schema["structure"].dataType.simpleString()
+    one = F.array_sort(F.collect_list(F.struct("atom", *(F.col(c).cast("double").alias(c) for c in "xyz"))))
+    # an atom that comes twice counts as its least place
+    whole = points.groupBy("structure", "atom").agg(F.min(F.struct("x", "y", "z")).alias("_p")).select("structure", "atom", "_p.x", "_p.y", "_p.z")
+    rows = cut(whole.groupBy("structure").agg(one.alias("_r")).select("structure", "_r.atom", "_r.x", "_r.y", "_r.z"))
+    blocks = max(1, -(-rows.count() // tile))
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("structure"), F.lit(blocks)).cast("int"))
+    # each block meets itself and every other once
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = dealt.withColumn("_o", other).select("*", F.least("_block", "_o").alias("_a"), F.greatest("_block", "_o").alias("_b")).drop("_o")
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["_a"].iloc[0])
+        ids = pdf["structure"].to_numpy()
+        atoms, place = np.unique(np.concatenate(pdf["atom"].to_numpy()), return_inverse=True)
+        row = np.repeat(np.arange(len(pdf)), [len(a) for a in pdf["atom"]])
+        xyz = np.stack([np.concatenate(pdf[c].to_numpy()) for c in "xyz"])
+        left, right = (pdf["_block"] == first).to_numpy(), (pdf["_block"] == int(pdf["_b"].iloc[0])).to_numpy()
+        sums = np.zeros((17, left.sum(), right.sum()))
+        for a in range(0, len(atoms), TILE_ATOMS):
+            here = (place >= a) & (place < a + TILE_ATOMS)
+            cells = np.zeros((5, len(pdf), min(TILE_ATOMS, len(atoms) - a)))  # x, y, z, there or not, square
+            at = row[here], place[here] - a
+            for c in range(3):
+                cells[c][at] = xyz[c, here]
+            cells[3][at] = 1
+            cells[4][at] = (xyz[:, here] ** 2).sum(0)
+            p, q = cells[:, left], cells[:, right]
+            common = lambda i, j: p[i] @ q[j].T  # noqa: E731, B023
+            sums += np.stack([common(3, 3), *(common(c, 3) for c in range(3)), *(common(3, c) for c in range(3)), common(4, 3) + common(3, 4), *(common(i, j) for i in range(3) for j in range(3))])
+        i, j = np.meshgrid(np.flatnonzero(left), np.flatnonzero(right), indexing="ij")
+        keep = (sums[0] > 0) & ((ids[i] < ids[j]) if int(pdf["_b"].iloc[0]) == first else np.ones(i.shape, bool))
+        flat = sums[:, keep].T
+        rmsd = _fit(flat)[2] if len(flat) else np.zeros(0)
+        p, q = ids[i[keep]], ids[j[keep]]
+        less = np.array([x < y for x, y in zip(p, q, strict=True)], bool)
+        out = pd.DataFrame({"structure": np.where(less, p, q), "other": np.where(less, q, p), "n": flat[:, 0].astype(np.int64), "rmsd": rmsd})
+        return out if most is None else out[out["rmsd"] <= most]
+
+    return met.groupBy("_a", "_b").applyInPandas(fitted, f"structure {name}, other {name}, n long, rmsd double")
 
 
 def rmsd_statistics(rmsd: DataFrame, pivot=None) -> tuple[DataFrame, DataFrame]:
     """(mean and deviation, band of each structure); a specific pivot is left out of both."""
     rows = rmsd if pivot is None else rmsd.filter(F.col("structure") != F.lit(pivot))
-    one = rows.withColumn("_all", F.lit(1))
-    return rows.agg(F.avg("rmsd").alias("mean"), F.stddev_pop("rmsd").alias("sigma")), sigma_bands(one, "rmsd", ["_all"]).drop("_all")
+    return rows.agg(F.avg("rmsd").alias("mean"), F.stddev_pop("rmsd").alias("sigma")), sigma_bands(rows, "rmsd", [])
 
 
 def plane_normals(rows: DataFrame, by: list[str]) -> DataFrame:
