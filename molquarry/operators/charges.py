@@ -89,7 +89,7 @@ def equalise(atoms: DataFrame, kappa: float, total: float = 0.0, most_atoms: int
         q = _solve(pdf[["x", "y", "z"]].to_numpy(float), pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), kappa, total)
         return pd.DataFrame({"scope_id": pdf["scope_id"], "atom_id": pdf["atom_id"], "charge": q, "error": None})
 
-    small = known.join(sizes.filter(F.col("_n") <= most_dense).select("scope_id"), "scope_id", "left_semi")
+    small = known.join(sizes.filter(F.col("_n") <= min(most_dense, most_atoms)).select("scope_id"), "scope_id", "left_semi")
     out = small.groupBy("scope_id").applyInPandas(solve, f"scope_id {kind}, atom_id int, charge double, error string").unionByName(big)
     middle = sizes.filter((F.col("_n") > most_dense) & (F.col("_n") <= most_atoms))
     if middle.isEmpty():
