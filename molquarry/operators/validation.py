@@ -125,9 +125,9 @@ def _paired(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataFrame)
     return pairing.join(m, ["model", "model_atom"]).join(a, ["motif_id", "motif_atom"])
 
 
-def foreign_atoms(pairing: DataFrame, motif_atoms: DataFrame) -> DataFrame:
-    """Paired atoms that lie outside the main residue."""
-    main = main_atoms(pairing, motif_atoms).select("motif_id", F.col("atom_id").alias("motif_atom"))
+def foreign_atoms(pairing: DataFrame, motif_atoms: DataFrame, main: DataFrame | None = None) -> DataFrame:
+    """Paired atoms that lie outside the main residue; main: main_atoms(), if it is known already."""
+    main = (main_atoms(pairing, motif_atoms) if main is None else main).select("motif_id", F.col("atom_id").alias("motif_atom"))
     return pairing.join(main, ["motif_id", "motif_atom"], "left_anti").select("motif_id", "model", "model_atom", "motif_atom")
 
 
@@ -135,24 +135,22 @@ def substitutions(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataF
     return _paired(pairing, motif_atoms, model_atoms).filter("model_element <> motif_element").select("motif_id", "model", "model_atom", "motif_atom", "model_element", "motif_element")
 
 
-def name_mismatches(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataFrame, classes: DataFrame | None = None, loose: DataFrame | None = None) -> DataFrame:
+def name_mismatches(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataFrame, classes: DataFrame | None = None, loose: DataFrame | None = None, main: DataFrame | None = None) -> DataFrame:
     """Pairs of the main residue with different names, neither foreign nor substituted. classes and loose (model, name,
     class) tell whether both names are of one charge-equivalence class: equivalent, and equivalent_ignoring_bonds for the
-    classes that do not look at bond types."""
-    rows = _name_mismatches(pairing, motif_atoms, model_atoms, classes)
-    other = _name_mismatches(pairing, motif_atoms, model_atoms, loose).select("motif_id", "model_atom", F.col("equivalent").alias("equivalent_ignoring_bonds"))
-    return rows.join(other, ["motif_id", "model_atom"])
+    classes that do not look at bond types. main: main_atoms(), if it is known already."""
+    rows = _paired(pairing, motif_atoms, model_atoms).filter("model_element = motif_element and upper(model_name) <> upper(motif_name)")
+    rows = rows.join(foreign_atoms(pairing, motif_atoms, main), ["motif_id", "model_atom", "motif_atom"], "left_anti")
+    return _of_one_class(_of_one_class(rows, classes, "equivalent"), loose, "equivalent_ignoring_bonds")
 
 
-def _name_mismatches(pairing: DataFrame, motif_atoms: DataFrame, model_atoms: DataFrame, classes: DataFrame | None) -> DataFrame:
-    rows = _paired(pairing, motif_atoms, model_atoms).filter("model_element = motif_element and upper(model_name) <> upper(motif_name)")
-    rows = rows.join(foreign_atoms(pairing, motif_atoms), ["motif_id", "model_atom", "motif_atom"], "left_anti")
+def _of_one_class(rows: DataFrame, classes: DataFrame | None, name: str) -> DataFrame:
     if classes is None:
-        return rows.withColumn("equivalent", F.lit(False))
+        return rows.withColumn(name, F.lit(False))
     c = classes.select("model", F.upper("name").alias("_n"), F.col("class").alias("_c"))
     rows = rows.withColumn("_n", F.upper("model_name")).join(c, ["model", "_n"], "left").withColumnRenamed("_c", "_c1").drop("_n")
     rows = rows.withColumn("_n", F.upper("motif_name")).join(c, ["model", "_n"], "left")
-    return rows.withColumn("equivalent", F.coalesce(F.col("_c") == F.col("_c1"), F.lit(False))).drop("_n", "_c", "_c1")
+    return rows.withColumn(name, F.coalesce(F.col("_c") == F.col("_c1"), F.lit(False))).drop("_n", "_c", "_c1")
 
 
 def naming(motif_atoms: DataFrame, model_atoms: DataFrame, motifs: DataFrame) -> DataFrame:
@@ -290,11 +288,12 @@ def analyse(motifs: DataFrame, motif_atoms: DataFrame, motif_bonds: DataFrame, m
     """
     atoms, bonds = models["atoms"], models["bonds"]
     count = lambda df, name: df.groupBy("motif_id").agg(F.count("*").alias(name))
-    names = name_mismatches(pairing, motif_atoms, atoms, classes, loose).groupBy("motif_id").agg(F.count("*").alias("name_mismatches"), F.count_if("equivalent").alias("equivalent"), F.count_if("equivalent_ignoring_bonds").alias("equivalent_ignoring_bonds"))
+    main = cut(main_atoms(pairing, motif_atoms))  # foreign atoms and names read it
+    names = name_mismatches(pairing, motif_atoms, atoms, classes, loose, main).groupBy("motif_id").agg(F.count("*").alias("name_mismatches"), F.count_if("equivalent").alias("equivalent"), F.count_if("equivalent_ignoring_bonds").alias("equivalent_ignoring_bonds"))
     chiral = models.get("classes")
     planar = None if chiral is None else chiral.select("model", F.explode("near_planar").alias("atom_id"))
     turned = chirality_mismatches(pairing, motif_atoms, atoms, bonds, motif_bonds, planar) if "is_chiral" in atoms.columns else None
-    counts = [missing_atoms(motifs, atoms, pairing).select("motif_id", "missing"), names, count(foreign_atoms(pairing, motif_atoms), "foreign_atoms"), count(substitutions(pairing, motif_atoms, atoms), "substitutions"), count(wrong_bonds(pairing, motif_bonds, bonds, alike_atoms(pairing, motif_atoms, atoms, motif_bonds, bonds)), "wrong_bonds"), naming(main_atoms(pairing, motif_atoms), atoms, motifs.select("motif_id", "model")), non_isomorphic(pairing, motif_atoms, motif_bonds, atoms, bonds).withColumn("non_isomorphic", F.lit(1)), count(non_boundary(pairing, motif_atoms, motif_bonds), "non_boundary")]
+    counts = [missing_atoms(motifs, atoms, pairing).select("motif_id", "missing"), names, count(foreign_atoms(pairing, motif_atoms, main), "foreign_atoms"), count(substitutions(pairing, motif_atoms, atoms), "substitutions"), count(wrong_bonds(pairing, motif_bonds, bonds, alike_atoms(pairing, motif_atoms, atoms, motif_bonds, bonds)), "wrong_bonds"), naming(main, atoms, motifs.select("motif_id", "model")), non_isomorphic(pairing, motif_atoms, motif_bonds, atoms, bonds).withColumn("non_isomorphic", F.lit(1)), count(non_boundary(pairing, motif_atoms, motif_bonds), "non_boundary")]
     if turned is not None:
         counts.append(chirality_counts(turned.join(motifs.select("motif_id", "model"), "motif_id"), chiral))
     if motif_rings is not None:
@@ -311,7 +310,11 @@ def analyse(motifs: DataFrame, motif_atoms: DataFrame, motif_bonds: DataFrame, m
     analyzed = F.coalesce("_known", F.lit(False))
     state = F.when(~analyzed, None).when(F.coalesce("_degenerate", F.lit(False)) | F.col("_paired").isNull(), "Degenerate").otherwise("Validated")
     rows = rows.withColumn("analyzed", analyzed).withColumn("state", state).drop("_known", "_paired", "_degenerate")
-    wide = reduce(lambda a, b: a.join(b, "motif_id", "left"), counts, rows)
+    # (motif, counter, number) rows of all checks, put together by one aggregation
+    long = [df.select("motif_id", F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("long").alias("number")) for c in df.columns if c != "motif_id"]))) for df in counts]
+    known_ = [c for df in counts for c in df.columns if c in COUNTERS]
+    numbers = reduce(DataFrame.unionByName, long).groupBy("motif_id").agg(*[F.max(F.when(F.col("counter") == c, F.col("number"))).alias(c) for c in known_])
+    wide = rows.join(numbers, "motif_id", "left")
     wide = wide.join(rmsd.select("motif_id", "rmsd"), "motif_id", "left") if rmsd is not None else wide.withColumn("rmsd", F.lit(None).cast("double"))
     value = lambda c: F.when(F.col("state") == "Validated", F.coalesce(F.col(c).cast("long"), F.lit(0))).otherwise(0) if c in wide.columns else F.lit(0).cast("long")
     return wide.select(*motifs.columns, "analyzed", "state", F.when(F.col("state") == "Validated", F.col("rmsd")).otherwise(F.when(F.col("state") == "Degenerate", 0.0)).alias("rmsd"), *(value(c).alias(c) for c in COUNTERS))
