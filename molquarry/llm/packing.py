@@ -52,7 +52,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def run(batches):
         enc = word_ids(tokenizer)
-        for b in slices(batches, most=2 * SLICE_BYTES):
+        for b in slices(batches, most=SLICE_BYTES // 2):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             flat, places = enc.encoded(b.column(1))
             for i in range(b.num_rows):

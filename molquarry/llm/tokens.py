@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import kept
+from .common import kept, released
 
 #: Words whose ids are kept in a worker from text to text; later ones are encoded again in each batch.
 KEPT = 150_000
@@ -38,6 +38,7 @@ class WordIds:
         self.model = self.full.model
         self.words: dict[str, bytes] = {"": b""}
         self.letters = byte_letters()
+        released(keep=True)  # what reading the file took
 
     def _word(self, w: str) -> bytes:
         as_letters = w if w.isascii() else "".join(self.letters[b] for b in w.encode())
