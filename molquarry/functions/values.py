@@ -75,6 +75,17 @@ def has_any(values: Column, *words: str, ignore_case: bool = True) -> Column:
     return reduce(lambda a, b: a | b, [_in_some(values, w, ignore_case) for w in words], F.lit(False))
 
 
+def year_of(date: Column) -> Column:
+    """Year of a date of an entry (release, latest revision); null without one, also for a text that is no date."""
+    return F.year(F.try_to_timestamp(date.cast("string")).cast("date"))
+
+
+def text_less(a: Column, b: Column, equal: bool = False) -> Column:
+    """Order of texts by code points, whatever the locale."""
+    x, y = a.cast("string").cast("binary"), b.cast("string").cast("binary")
+    return x <= y if equal else x < y
+
+
 def listed(values: Column) -> Column:
     return F.array_join(values, "; ")
 

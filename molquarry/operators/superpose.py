@@ -158,16 +158,25 @@ def plane_normals(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stacked(left, right, distance: tuple[float, float], projection: tuple[float, float], degrees: tuple[float, float]) -> DataFrame:
-    """Pairs of patterns of three atoms or more whose centre distance, plane angle and projected offsets are in range."""
-    from .core import range_pairs
+    """Pairs of patterns of three atoms or more whose centre distance, plane angle and projected offsets are in range:
+    scope_id, lids, rids, distance and degrees. With the same sequence on both sides each pair comes once.
 
-    def planes(seq, p):
-        return plane_normals(seq.placed, ["scope_id", "atom_ids"]).filter("n >= 3").select("scope_id", F.col("atom_ids").alias(f"{p}ids"), *[F.col(f"c{c}").alias(f"{'p' if p == 'l' else ''}{c}") for c in "xyz"], F.col("normal").alias(f"{p}n"))
+    Normals point up (their z is not negative), and the angle is that of the normals, from 0 to 180 degrees.
+    """
+    from .core import OTHER, PID, range_pairs
+
+    up = F.when(F.get("normal", F.lit(2)) < 0, F.transform("normal", lambda v: -v)).otherwise(F.col("normal"))
+
+    def planes(seq, key, p, n):
+        found = plane_normals(seq.located, PID).filter("n >= 3").withColumn("normal", up)
+        return found.select(*(F.col(a).alias(b) for a, b in zip(PID, key, strict=True)), *[F.col(f"c{c}").alias(f"{p}{c}") for c in "xyz"], F.col("normal").alias(n))
 
-    met = range_pairs(planes(left, "l"), planes(right, "r"), distance[1]).filter(F.col("lids") != F.col("rids"))
+    met = range_pairs(planes(left, PID, "p", "ln"), planes(right, OTHER, "", "rn"), distance[1]).filter("_pa <> _oa or _pb <> _ob")
     dot = lambda u, v: sum((F.get(u, F.lit(i)) * F.get(v, F.lit(i)) for i in range(3)), F.lit(0.0))
-    angle = F.degrees(F.acos(F.least(F.abs(dot(F.col("ln"), F.col("rn"))), F.lit(1.0))))
+    angle = F.degrees(F.acos(F.least(F.greatest(dot(F.col("ln"), F.col("rn")), F.lit(-1.0)), F.lit(1.0))))
     along = lambda v: sum((F.get(v, F.lit(i)) * (F.col(c) - F.col(f"p{c}")) for i, c in enumerate("xyz")), F.lit(0.0))
     side = lambda v: F.sqrt(F.greatest(F.col("_d2") - along(v) * along(v), F.lit(0.0)))
     ok = F.sqrt("_d2").between(*distance) & angle.between(*degrees) & side(F.col("ln")).between(*projection) & side(F.col("rn")).between(*projection)
-    return met.filter(ok).select("scope_id", "lids", "rids", F.sqrt("_d2").alias("distance"), angle.alias("degrees"))
+    pairs = right._with_other_ids(left._with_ids(met.filter(ok).withColumn("degrees", angle)))
+    pairs = pairs.filter(F.col("atom_ids") < F.col("other_ids")) if left is right else pairs
+    return pairs.select("scope_id", F.col("atom_ids").alias("lids"), F.col("other_ids").alias("rids"), F.sqrt("_d2").alias("distance"), "degrees")

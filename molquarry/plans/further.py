@@ -85,7 +85,7 @@ def versions(s, d):
 
 
 add("view1_versions", versions, "SELECT CAST(1 AS INT) AS of_version, count(*) AS n_entries, CAST(ceil(avg(p_size)) AS BIGINT) AS average_atoms FROM part WHERE p_type = 'ECONOMY' AND p_size < 30 UNION ALL SELECT 2, count(*), CAST(ceil(avg(p_size)) AS BIGINT) FROM part WHERE p_type = 'ECONOMY'")
-add("meta2_revisions", lambda s, d: table(s, d, "supplier").select(F.year(F.expr("date_add(date'2001-05-05', cast(s_suppkey * 41 as int))")).alias("latest_revision_year")).groupBy("latest_revision_year").agg(F.count("*").alias("n")), "SELECT CAST(year(DATE '2001-05-05' + CAST(s_suppkey * 41 AS INT)) AS INT) AS latest_revision_year, count(*) AS n FROM supplier GROUP BY 1")
+add("meta2_revisions", lambda s, d: table(s, d, "supplier").select(values.year_of(F.expr("date_add(date'2001-05-05', cast(s_suppkey * 41 as int))")).alias("latest_revision_year")).groupBy("latest_revision_year").agg(F.count("*").alias("n")), "SELECT CAST(year(DATE '2001-05-05' + CAST(s_suppkey * 41 AS INT)) AS INT) AS latest_revision_year, count(*) AS n FROM supplier GROUP BY 1")
 
 
 # the batch service
