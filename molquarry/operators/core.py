@@ -258,6 +258,22 @@ class Scope:
         return self.seq(every.join(found, "scope_id", "left").withColumn("atom_ids", F.coalesce("atom_ids", F.array().cast("array<int>"))))
 
 
+class SharedScope(Scope):
+    """A scope for several queries: residues and rings are written when the first of them asks, and read by all."""
+
+    @classmethod
+    def of(cls, scope: Scope) -> SharedScope:
+        return scope if isinstance(scope, cls) else cls(scope.atoms, scope.bonds, **scope.tables)
+
+    @cached_property
+    def residues(self) -> DataFrame:
+        return cut(Scope.residues.func(self))
+
+    @cached_property
+    def rings(self) -> DataFrame:
+        return cut(Scope.rings.func(self))
+
+
 def parse_residue_id(text: Column) -> Column:
     """`NUMBER [CHAIN] [i:CODE]` as a struct (chain, res_seq, ins_code); null when it is no such id."""
     pattern = r"^\s*(-?\d+)(?:\s+((?!i:)\S+))?(?:\s+i:(\S+))?\s*$"

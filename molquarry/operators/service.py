@@ -9,15 +9,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import KEY, PatternSeq, Scope
+from .core import KEY, PatternSeq, Scope, SharedScope
 from .tables import cut, prefix_sums, shared_dir
 
 
 def run(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -> DataFrame:
-    """Pattern rows of every query: query_id, scope_id, serial, pattern_id, atom and residue counts, signature, ids."""
+    """Pattern rows of every query: query_id, scope_id, serial, pattern_id, atom and residue counts, signature, ids.
+
+    Queries share the residues and rings of the structures, which are written once where any of them asks for these.
+    """
     bad = [q for q in queries if not q or "." in q]
     if bad or not queries:
         raise ValueError(f"query ids must not be empty or hold a dot: {bad}")
+    scope = SharedScope.of(scope) if len(queries) > 1 else scope
     return reduce(DataFrame.unionByName, [entries(make(scope)).withColumn("query_id", F.lit(q)) for q, make in queries.items()])
 
 
@@ -26,7 +30,7 @@ def run_apart(queries: dict[str, Callable[[Scope], PatternSeq]], scope: Scope) -
 
     Returns the pattern rows, and errors (query_id, error_type, message). The results are written to the shared folder.
     """
-    spark = scope.atoms.sparkSession
+    spark, scope = scope.atoms.sparkSession, SharedScope.of(scope)
     done, failed = [], []
     for q in queries:
         try:

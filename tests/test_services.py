@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from molquarry.operators import channels, index, service, superpose
+from molquarry.operators import channels, core, index, service, superpose
 from molquarry.operators import validation as V
+from molquarry.sources.fixtures import scope
 
 from .test_patterns import ATOM, atom
 
@@ -85,3 +86,15 @@ def test_pairing_stays_in_the_main_residue_and_settles(spark):
     chain = spark.createDataFrame([("M", i, i + 1) for i in range(n - 1)], "model string, a int, b int")
     got = {(r.motif_id, r.model_atom, r.motif_atom) for r in V.pair_neighbours(V.pair_by_name(motif, model), motif, model, bonds, chain).collect()}
     assert got == {("long", i, 100 + i) for i in range(n)} | {("short", i, 100 + i) for i in range(3)}
+
+
+def test_queries_of_a_batch_share_rings_and_residues(spark, sf_dir, monkeypatch):
+    built = []
+    monkeypatch.setattr(core, "rings", lambda scope, f=core.rings: built.append(1) or f(scope))
+    queries = {f"q{i}": (lambda c, i=i: c.rings_of() if i % 2 else c.residues_of("HIS").either(c.rings_of())) for i in range(10)}
+    whole = scope(spark, sf_dir)
+    rows = service.run(queries, core.Scope(whole.atoms, whole.bonds))
+    n = {r.query_id: r["count"] for r in rows.groupBy("query_id").count().collect()}
+    assert len(built) == 1 and len(n) == 10 and len({n[f"q{i}"] for i in (1, 3, 5, 7, 9)}) == 1
+    done, errors = service.run_apart(queries, core.Scope(whole.atoms, whole.bonds))
+    assert len(built) == 2 and errors.count() == 0 and done.count() == sum(n.values())
