@@ -504,7 +504,7 @@ def test_fold_is_the_crc(spark):
 
 
 def test_registered():
-    assert len(QUERIES) == 10 and {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert len(QUERIES) == 13 and {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_queries_give_the_asked_columns(spark, sf_dir):
