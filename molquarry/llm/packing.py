@@ -150,7 +150,9 @@ def _swept(rows: DataFrame, parts: int, capacity: int, made: int | None = None)
             found = sweep(part, capacity, None if made is not None else k * wide, made)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(zip(*found, strict=True))], NAMES)
 
-    return mapped(rows.select(*NAMES).repartition(parts, F.floor(F.col("size") / wide)), run, STATE)
+    # a few rows for each size at most: no more tasks than ranges, whatever the number of shuffle partitions
+    dealt = rows.select(*NAMES).repartition(parts, F.floor(F.col("size") / wide)).coalesce(parts)
+    return mapped(dealt, run, STATE)
 
 
 def places_of(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
