@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from molquarry.operators.core import Scope
+from molquarry.operators.structure import derived_metadata
 from molquarry.operators.tables import SURE_BYTES, cut
 
 
@@ -23,3 +24,10 @@ def test_joins_broadcast_by_measured_size(spark):
     assert session.conf.get("spark.sql.autoBroadcastJoinThreshold") == str(SURE_BYTES)
     few = session.range(100).withColumnRenamed("id", "scope_id")
     assert "BroadcastHashJoin" in plan(rows.join(few, "scope_id"))
+
+
+def test_letters_of_many_entities(spark):
+    """The 200th protein entity of a structure is named by the character 264, not by that of 264 - 256."""
+    rows = spark.range(1, 301).selectExpr("1 AS scope_id", "id AS entity_id", "'Protein' AS polymer_type", "1 AS n_chains", "1.5D AS weight", "false AS is_water")
+    (got,) = derived_metadata(rows).collect()
+    assert got.stoichiometry_string == "".join(f"{chr(64 + k)}1" for k in range(1, 301))
