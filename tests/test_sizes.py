@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from molquarry.operators.channels import copies, distance_classes, drop_duplicates
 from molquarry.operators.core import Scope
 from molquarry.operators.structure import derived_metadata
 from molquarry.operators.tables import SURE_BYTES, cut
@@ -31,3 +32,15 @@ def test_letters_of_many_entities(spark):
     rows = spark.range(1, 301).selectExpr("1 AS scope_id", "id AS entity_id", "'Protein' AS polymer_type", "1 AS n_chains", "1.5D AS weight", "false AS is_water")
     (got,) = derived_metadata(rows).collect()
     assert got.stoichiometry_string == "".join(f"{chr(64 + k)}1" for k in range(1, 301))
+
+
+def test_copies_of_channels_meet_once(spark):
+    """2,000 copies of two channels: classes of 2 instead of pairs of 2,000, and the same channels stay."""
+    nodes = spark.range(2000).selectExpr("1 AS structure_id", "id AS channel_id", "explode(sequence(0, 19 + cast(id % 2 AS int))) AS node")
+    profile = nodes.selectExpr("*", "cast(node AS double) AS distance", "1.0D AS radius", "cast(node AS double) AS x", "if(channel_id % 2 = 0, 0.0D, 0.5D) AS y", "0.0D AS z")
+    rows = distance_classes(profile, 6.0).collect()
+    assert sum(r.part == "pair" for r in rows) == 1
+    assert {r.channel_id: r.other for r in rows if r.part == "member"} == {i: i % 2 for i in range(2000)}
+    assert [r.channel_id for r in drop_duplicates(profile).collect()] == [0]
+    odd = profile.filter("channel_id < 4").withColumn("z", F.when(F.col("channel_id") < 2, F.lit(None)).otherwise(F.col("z")))
+    assert {r.channel_id: r["first"] for r in copies(odd).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}

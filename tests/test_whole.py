@@ -27,7 +27,12 @@ def test_distances_of_whole_channels(spark, sf_dir, nodes):
             p, q = nearest(nodes[a], nodes[b]), nearest(nodes[b], nodes[a])
             if a < b and max(p.max(), q.max()) <= 6.0:
                 want[a, b] = (np.sqrt((p**2).mean()) + np.sqrt((q**2).mean())) / 2
-    got = {(r.channel_id, r.other): r.distance for r in registry.QUERIES["chn4_distance"](spark, sf_dir).collect()}
+    rows = registry.QUERIES["chn4_distance"](spark, sf_dir).collect()
+    first = {r.channel_id: r.other for r in rows if r.part == "member"}
+    pairs = {(r.channel_id, r.other): r.distance for r in rows if r.part == "pair"}
+    assert set(first) == set(nodes) and {c for p in pairs for c in p} <= set(first.values())
+    of = lambda a, b: 0.0 if a == b else pairs.get((min(a, b), max(a, b)))
+    got = {(a, b): of(first[a], first[b]) for a in nodes for b in nodes if a < b and of(first[a], first[b]) is not None}
     assert max(map(len, nodes.values())) > 30 and got == pytest.approx(want, abs=1e-6)
 
 
