@@ -44,3 +44,15 @@ def test_copies_of_channels_meet_once(spark):
     assert [r.channel_id for r in drop_duplicates(profile).collect()] == [0]
     odd = profile.filter("channel_id < 4").withColumn("z", F.when(F.col("channel_id") < 2, F.lit(None)).otherwise(F.col("z")))
     assert {r.channel_id: r["first"] for r in copies(odd).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+
+
+def test_equal_compositions_meet_once(spark):
+    """Pairs of compositions, not of the structures that have them; the most similar as by brute force."""
+    rows = spark.range(600).selectExpr("id AS scope_id", "explode(sequence(0, 5)) AS atom_id").selectExpr("*", "element_at(array('C', 'N', 'O'), cast(least(scope_id % 3, atom_id) AS int) + 1) AS element")
+    scope = Scope(rows.selectExpr("*", "element AS name", "0.0D AS x"))
+    seq = scope.whole()
+    got = seq.similar_classes(seq, least=0.5).collect()
+    assert sum(r.part == "pair" for r in got) == len({(r.scope_id, r.other_scope) for r in got if r.part == "pair"}) <= 9
+    assert {r.scope_id: r.other_scope for r in got if r.part == "second"} == {i: i % 3 for i in range(600)}
+    top = {(r.scope_id, r["rank"]): (r.other_scope, r.value) for r in seq.most_similar(seq, 2).collect()}
+    assert top == {(i, n + 1): (i % 3 + 3 * n, 1.0) for i in range(600) for n in (0, 1)}
