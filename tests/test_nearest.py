@@ -67,3 +67,24 @@ def test_few_rows_meet(spark):
     assert sets.select("_set").distinct().count() > n / 64
     found = nearest.k_nearest(q, t, 2, ["g"], ["t"])
     assert found.filter("rank = 1 and t = q").count() == n and found.count() == 2 * n
+
+
+@pytest.mark.parametrize("kind", ["even", "one place", "lattice"])
+def test_small_groups_meet_in_one_shuffle(spark, kind, monkeypatch):
+    """Groups of few points come together once, without a table for each level; small and large groups give what descent
+    gives, also where a coordinate is infinite, with repeated queries and with a greatest distance."""
+    rng = np.random.default_rng(7)
+    t = spark.createDataFrame([(g, i, *map(float, p)) for g, n in enumerate([60, 5, 90, 1]) for i, p in enumerate(places(rng, kind, n))] + [(3, 7, float("inf"), 0.0, 0.0)], "g int, t int, x double, y double, z double")
+    q = spark.createDataFrame([(g, i, *map(float, p)) for g, n in enumerate([20, 30, 7, 3, 2]) for i, p in enumerate(places(rng, kind, n))], "g int, q int, px double, py double, pz double")
+    q = q.unionByName(q.filter("q = 1"))
+    rows = lambda df: sorted(df.select("g", "q", "rank", "t", "_d2").collect())
+    finite = t.filter("x < 1e300")
+    for most in (None, 20.0):
+        got = nearest.k_nearest(q, finite, 3, ["g"], ["t"], most)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+        assert rows(got) == rows(nearest._descended(nearest._usable(q, ["g"], "p"), finite, 3, ["g"], ["t"], most))
+    whole = rows(nearest.k_nearest(q, t, 3, ["g"], ["t"]).filter("g < 3"))
+    monkeypatch.setattr(nearest, "SMALL", 50)
+    assert rows(nearest.k_nearest(q, t, 3, ["g"], ["t"]).filter("g < 3")) == whole
+    monkeypatch.setattr(nearest, "AT_ONCE", 100)
+    assert rows(nearest.k_nearest(q, t, 3, ["g"], ["t"]).filter("g < 3")) == whole
