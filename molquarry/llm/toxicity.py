@@ -36,6 +36,7 @@ SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LONG = 32
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 CHUNK = 8192
+AT_ONCE = 1 << 18  # pairs of letters that a kernel holds at a time
 HARD = 300
 #: What a sentence of ordinary words may reach.
 FAINT = 0.3
@@ -47,7 +48,7 @@ START = "{"
 
 
 def clean(word: str) -> str:
-    w = EDGES.sub("", word)
+    w = word if word.isalpha() else EDGES.sub("", word)
     return START + w if w else ""
 
 
@@ -58,25 +59,30 @@ def coded(words: list[str], width: int) -> np.ndarray:
     return np.where(codes < 97, -1, codes)
 
 
+def _apart(n: int, decay: float) -> np.ndarray:
+    """decay ** (letters between) for each place and those before it, else 0."""
+    gap = np.arange(n)[:, None] - np.arange(n)[None, :] - 1
+    return np.where(gap >= 0, decay ** np.maximum(gap, 0), 0).astype(np.float32)
+
+
 def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of each row of s with t (one string, or a row for each row of s)."""
-    n, width = s.shape
-    m = t.shape[-1]
-    t2 = np.broadcast_to(t, (n, m))
-    reach = np.triu(decay ** np.maximum(0, np.arange(m)[None, :] - np.arange(m)[:, None])).astype(np.float32)  # [b', b]
-    square = np.float32(decay * decay)
-    same = [(s[:, a, None] == t2) & (t2 >= 0) for a in range(width)]
-    before = [np.ones((n, m + 1), np.float32)] * (width + 1)
-    for _ in range(order - 1):
-        now = [np.zeros((n, m + 1), np.float32)]
-        for a in range(width):
-            step = np.zeros((n, m + 1), np.float32)
-            np.matmul(np.where(same[a], square * before[a][:, :-1], np.float32(0)), reach, out=step[:, 1:])
-            now.append(np.float32(decay) * now[-1] + step)
-        before = now
-    out = np.zeros(n, np.float64)
-    for a in range(width):
-        out += np.where(same[a], square * before[a][:, :-1], 0).sum(1)
+    """Gap-weighted subsequence kernel of each row of s with t (one string, or a row for each row of s).
+
+    A step from common subsequences of one order to the next is two matrix products, over the places before in s and in t.
+    """
+    width, m = s.shape[1], t.shape[-1]
+    over_s, over_t, square = _apart(width, decay), _apart(m, decay).T, np.float32(decay * decay)
+    out = np.zeros(len(s), np.float64)
+    step = max(1, AT_ONCE // (width * m))
+    for lo in range(0, len(s), step):
+        rows = s[lo : lo + step].T[:, :, None]
+        t2 = t if t.ndim == 1 else t[lo : lo + step]
+        same = np.where((rows == t2) & (rows >= 0), square, np.float32(0))  # [place in s, row, place in t]
+        now = same
+        for _ in range(order - 1):
+            before = (over_s @ now.reshape(width, -1)).reshape(-1, m) @ over_t
+            now = same * before.reshape(same.shape)
+        out[lo : lo + step] = now.sum((0, 2), dtype=np.float64)
     return out
 
 
@@ -145,14 +151,14 @@ class Scorer:
     def word_scores(self, words: list[str], kept: dict[str, float] | None = None) -> np.ndarray:
         """kept: scores of this scorer from earlier batches."""
         v = (self.root @ self.weights).astype(np.float32)
-        if kept is None:
-            return self.similarity([clean(w) for w in words]) @ v
-        new = [w for w in words if w not in kept]
-        fresh = dict(zip(new, (self.similarity([clean(w) for w in new]) @ v).tolist(), strict=True))
+        cleaned = [clean(w) for w in words]  # a word and the same with marks around it are one
+        kept = {} if kept is None else kept
+        new = [w for w in dict.fromkeys(cleaned) if w not in kept]
+        fresh = dict(zip(new, (self.similarity(new) @ v).tolist(), strict=True))
         if len(kept) < KEPT_WORDS:
             kept.update(fresh)
             fresh = kept
-        return np.array([fresh[w] if w in fresh else kept[w] for w in words])
+        return np.array([fresh[w] if w in fresh else kept[w] for w in cleaned])
 
     def document(self, texts: pa.Array, kept: dict[str, float] | None = None) -> np.ndarray:
         """Two numbers for each text: the highest sentence score, and what all sentences have over FAINT together."""
@@ -161,7 +167,7 @@ class Scorer:
         score = self.word_scores(words, kept).astype(float)[codes]
         apart = spaced(words, codes, single, first)
         if apart:
-            extra = self.word_scores([w for w, _ in apart])
+            extra = self.word_scores([w for w, _ in apart], kept)
             np.add.at(score, [i for _, i in apart], extra)
         cut = np.zeros(len(codes), bool)
         cut[first[:-1]] = True
@@ -260,7 +266,10 @@ def fit(rows: list[tuple[str, bool]], seed: int = 5) -> Scorer | None:
         cut[first[:-1]] = True
         cut[1:] |= ends[codes[:-1]]
         starts = np.flatnonzero(cut)
-        x = np.add.reduceat((scorer.similarity([clean(w) for w in words]) @ scorer.root)[codes], starts, axis=0)
+        cleaned = {w: None for w in map(clean, words)}
+        found = dict(zip(cleaned, range(len(cleaned)), strict=True))
+        place = np.array([found[clean(w)] for w in words], np.int64)
+        x = np.add.reduceat((scorer.similarity(list(cleaned)) @ scorer.root)[place[codes]], starts, axis=0)
         return x, np.searchsorted(first[:-1], starts, "right") - 1
 
     xp, bag = sentences(toxic)
