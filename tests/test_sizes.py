@@ -1,7 +1,10 @@
 """Joins on more rows than the planner thinks, and pairs of many copies."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from molquarry.operators import charges
 from molquarry.operators.channels import copies, distance_classes, drop_duplicates
 from molquarry.operators.core import Scope
 from molquarry.operators.structure import derived_metadata
@@ -56,3 +59,16 @@ def test_equal_compositions_meet_once(spark):
     assert {r.scope_id: r.other_scope for r in got if r.part == "second"} == {i: i % 3 for i in range(600)}
     top = {(r.scope_id, r["rank"]): (r.other_scope, r.value) for r in seq.most_similar(seq, 2).collect()}
     assert top == {(i, n + 1): (i % 3 + 3 * n, 1.0) for i in range(600) for n in (0, 1)}
+
+
+def test_cutoff_charges_of_a_molecule_in_one_group(spark, monkeypatch):
+    """Neighbours within a radius are not rows of pairs that move; larger molecules get the same charges by pairs."""
+    draw = random.Random(3)
+    rows = [(m, i, draw.uniform(0, 9), draw.uniform(0, 9), draw.uniform(0, 9), 2.0 + i % 3, 1.0 if i % 11 else None) for m in (1, 2) for i in range(60)]
+    rows.append((2, 60, None, 0.0, 0.0, 2.0, 1.0))
+    atoms = spark.createDataFrame(rows, "scope_id int, atom_id int, x double, y double, z double, a double, b double")
+    pairs = {(r.scope_id, r.atom_id): r.charge for r in charges._cutoff_by_pairs(atoms.filter("b is not null").withColumn("_n", F.when(F.col("scope_id") == 1, 54).otherwise(55)), 0.4, 3.0, 1.0).collect()}
+    monkeypatch.setattr(charges, "range_pairs", None)
+    got = {(r.scope_id, r.atom_id): r.charge for r in charges.equalise_cutoff(atoms, 0.4, 3.0, 1.0, correct=False).collect()}
+    assert got.keys() == pairs.keys() and len(got) == 108
+    assert all(abs(got[k] - pairs[k]) < 1e-12 for k in got)
