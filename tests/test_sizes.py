@@ -1,10 +1,12 @@
 """Joins on more rows than the planner thinks, and pairs of many copies."""
 
+import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from molquarry.operators import charges
+from molquarry.operators import charges, core
 from molquarry.operators.channels import copies, distance_classes, drop_duplicates
 from molquarry.operators.core import Scope
 from molquarry.operators.structure import derived_metadata
@@ -61,6 +63,35 @@ def test_equal_compositions_meet_once(spark):
     assert top == {(i, n + 1): (i % 3 + 3 * n, 1.0) for i in range(600) for n in (0, 1)}
 
 
+@pytest.mark.parametrize("most", [0, 256])
+def test_rings_of_small_residues_do_not_move(spark, monkeypatch, most):
+    """Chordless cycles of random residues as by brute force; those of small residues are found without joins."""
+    monkeypatch.setattr(core, "SMALL_RESIDUE", most)
+    cuts, write = [], core.cut
+    monkeypatch.setattr(core, "cut", lambda df: cuts.append(1) or write(df))
+    draw = random.Random(5)
+    atoms, bonds, want = [], [], []
+    for scope in range(4):
+        ids = draw.sample(range(100), 9)
+        edges = {tuple(sorted(draw.sample(ids, 2))) for _ in range(14)}
+        atoms += [(scope, i, "CNO"[i % 3], "A", 1 if i != ids[0] else 2, "") for i in ids]
+        bonds += [(scope, a, b, 1) for a, b in edges]
+        for n in range(3, 9):
+            for ring in itertools.combinations(sorted(ids[1:]), n):
+                inner = [e for e in edges if set(e) <= set(ring)]
+                degrees = [sum(i in e for e in inner) for i in ring]
+                path = {ring[0]}
+                for _ in ring:
+                    path |= {i for e in inner if path & set(e) for i in e}
+                if len(inner) == n and set(degrees) == {2} and len(path) == n:
+                    want.append((scope, ring))
+    scope = core.Scope(spark.createDataFrame(atoms, "scope_id int, atom_id int, element string, chain string, res_seq int, ins_code string"), spark.createDataFrame(bonds, "scope_id int, a int, b int, bond_type int"))
+    got = scope.rings.collect()
+    assert sorted((r.scope_id, tuple(r.atom_ids)) for r in got) == sorted(want) and len(want) > 5
+    assert all(sorted(r.fingerprint.split("-")) == sorted("CNO"[i % 3] for i in r.atom_ids) for r in got)
+    assert (len(cuts) == 1) == (most > 0)
+
+
 def test_cutoff_charges_of_a_molecule_in_one_group(spark, monkeypatch):
     """Neighbours within a radius are not rows of pairs that move; larger molecules get the same charges by pairs."""
     draw = random.Random(3)
