@@ -63,6 +63,20 @@ def test_equal_compositions_meet_once(spark):
     assert top == {(i, n + 1): (i % 3 + 3 * n, 1.0) for i in range(600) for n in (0, 1)}
 
 
+def test_range_joins_send_a_row_to_few_cells(spark):
+    """A cube touches two cells of twice its radius along an axis, not three of the radius; what only rounding brings within the
+    radius is found too."""
+    rows = [(1, -5e-324, 0.0, 0.0), (1, 7.3, 2.0, 4.0), (1, 0.3, 0.3, 0.3), (1, -0.6, 0.9, 1.2)]
+    left = spark.createDataFrame(rows, "scope_id int, px double, py double, pz double")
+    right = spark.createDataFrame([(1, 0.3, 0.0, 0.0), (1, 0.3, 0.3, 0.0)], "scope_id int, x double, y double, z double")
+    assert {(r.px, r.y) for r in core.range_pairs(left, right, 0.3).collect()} == {(-5e-324, 0.0), (0.3, 0.3)}
+    each = core.range_pairs_each(left.withColumn("r", F.lit(0.3)), right, "r")
+    assert {(r.px, r.y) for r in each.collect()} == {(-5e-324, 0.0), (0.3, 0.3)}
+    r = F.lit(0.3 * core.WIDER)
+    per = left.select("px", *(F.size(core.cells_around(F.col(f"p{c}"), r, 2 * r)).alias(c) for c in "xyz")).collect()
+    assert all(1 <= row[c] <= 2 for row in per for c in "xyz")
+
+
 @pytest.mark.parametrize("most", [0, 256])
 def test_rings_of_small_residues_do_not_move(spark, monkeypatch, most):
     """Chordless cycles of random residues as by brute force; those of small residues are found without joins."""
