@@ -88,6 +88,16 @@ def test_pairing_stays_in_the_main_residue_and_settles(spark):
     assert got == {("long", i, 100 + i) for i in range(n)} | {("short", i, 100 + i) for i in range(3)}
 
 
+def test_a_neighbour_is_not_the_main_residue(spark):
+    """A residue of the model's name without any of the model's atom names pairs nothing, and its neighbour does not step in."""
+    columns = "motif_id string, model string, atom_id int, name string, element string, chain string, res_seq int, res_name string"
+    own = [("m", "HIS", 8, "ZN0", "ZN", "A", 2, "HIS")]
+    beside = [("m", "HIS", i, n, n[0], "A", 1, "GLY") for i, n in enumerate(("N0", "C1"))]
+    model = spark.createDataFrame([("HIS", 0, "N0", "N"), ("HIS", 1, "C1", "C")], "model string, atom_id int, name string, element string")
+    assert V.pair_by_name(spark.createDataFrame(own + beside, columns), model).collect() == []
+    assert sorted((r.model_atom, r.motif_atom) for r in V.pair_by_name(spark.createDataFrame(beside, columns), model).collect()) == [(0, 0), (1, 1)]
+
+
 def test_queries_of_a_batch_share_rings_and_residues(spark, sf_dir, monkeypatch):
     built = []
     monkeypatch.setattr(core, "rings", lambda scope, f=core.rings: built.append(1) or f(scope))
