@@ -1,16 +1,19 @@
 """Joins on more rows than the planner thinks, and pairs of many copies."""
 
+import collections
 import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from molquarry.operators import charges, core
+from molquarry.operators import charges, core, similarity
 from molquarry.operators.channels import copies, distance_classes, drop_duplicates
 from molquarry.operators.core import Scope
 from molquarry.operators.structure import derived_metadata
 from molquarry.operators.tables import SURE_BYTES, cut
+from molquarry.plans import registry
+from molquarry.sources.fixtures import scope
 
 
 def plan(df):
@@ -63,6 +66,21 @@ def test_equal_compositions_meet_once(spark):
     assert top == {(i, n + 1): (i % 3 + 3 * n, 1.0) for i in range(600) for n in (0, 1)}
 
 
+@pytest.mark.parametrize("deal", [1, 1024])
+def test_similarity_has_a_row_for_each_pair(spark, sf_dir, monkeypatch, deal):
+    """Every two structures, with equal compositions too, whether or not the members of a composition are dealt."""
+    monkeypatch.setattr(similarity, "DEAL", deal)
+    counts = {}
+    for r in scope(spark, sf_dir).residues.select("scope_id", "chain", "res_name").collect():
+        counts.setdefault((r.chain, r.scope_id), collections.Counter())[r.res_name] += 1
+    side = lambda chain: [(s, c) for (k, s), c in counts.items() if k == chain]
+    want = {(s, o): round((c & d).total() / (c | d).total(), 9) for s, c in side("A") for o, d in side("B") if (c & d).total()}
+    for name, least in (("agg6_similarity", 0),):
+        rows = registry.QUERIES[name](spark, sf_dir).collect()
+        got = {(r.scope_id, r.other_scope): r.value for r in rows}
+        assert len(got) == len(rows) > 0 and got == pytest.approx({k: v for k, v in want.items() if v >= least}, abs=1e-9)
+
+
 def test_range_joins_send_a_row_to_few_cells(spark):
     """A cube touches two cells of twice its radius along an axis, not three of the radius; what only rounding brings within the
     radius is found too."""
