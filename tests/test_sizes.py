@@ -75,7 +75,7 @@ def test_similarity_has_a_row_for_each_pair(spark, sf_dir, monkeypatch, deal):
         counts.setdefault((r.chain, r.scope_id), collections.Counter())[r.res_name] += 1
     side = lambda chain: [(s, c) for (k, s), c in counts.items() if k == chain]
     want = {(s, o): round((c & d).total() / (c | d).total(), 9) for s, c in side("A") for o, d in side("B") if (c & d).total()}
-    for name, least in (("agg6_similarity", 0),):
+    for name, least in (("agg6_similarity", 0), ("agg6_similar", 0.9)):
         rows = registry.QUERIES[name](spark, sf_dir).collect()
         got = {(r.scope_id, r.other_scope): r.value for r in rows}
         assert len(got) == len(rows) > 0 and got == pytest.approx({k: v for k, v in want.items() if v >= least}, abs=1e-9)
