@@ -135,3 +135,38 @@ def test_cutoff_charges_of_a_molecule_in_one_group(spark, monkeypatch):
     got = {(r.scope_id, r.atom_id): r.charge for r in charges.equalise_cutoff(atoms, 0.4, 3.0, 1.0, correct=False).collect()}
     assert got.keys() == pairs.keys() and len(got) == 108
     assert all(abs(got[k] - pairs[k]) < 1e-12 for k in got)
+
+
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_graph_of_groups_in_one_task(spark, monkeypatch, most):
+    """Groups that overlap, bonds of atoms that are not there, stretches with several groups: as by brute force, and without
+    rounds for small structures."""
+    monkeypatch.setattr(core, "SMALL_GRAPH", most)
+    monkeypatch.setattr(core, "GRAPH_PAIRS", 4)
+    rounds, by_rounds = [], core._graph_by_rounds
+    monkeypatch.setattr(core, "_graph_by_rounds", lambda *a: rounds.append(1) or by_rounds(*a))
+    draw = random.Random(9)
+    atoms, bonds, sets, want = [], [], [], set()
+    for scope_id in range(6):
+        ids = draw.sample(range(100), 40)
+        edges = {tuple(draw.sample(ids, 2)) for _ in range(38)} | {(ids[0], 777), (777, ids[1])}
+        groups = {tuple(sorted(draw.sample(ids[:20], draw.randint(1, 3)))) for _ in range(12)}
+        atoms += [(scope_id, i, "C") for i in ids]
+        bonds += [(scope_id, a, b, 1) for a, b in edges]
+        sets += [(scope_id, list(g)) for g in groups]
+        taken = {i for g in groups for i in g}
+        near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in ids}
+        pairs = {(g, h) for g in groups for h in groups if g < h and any(near[i] & set(h) for i in g)}
+        for start in set(ids) - taken:
+            stretch, todo = {start}, [start]
+            while todo:
+                new = (near[todo.pop()] & set(ids)) - taken - stretch
+                stretch |= new
+                todo += new
+            touched = sorted(g for g in groups if any(near[i] & stretch for i in g))
+            pairs |= {(touched[0], h) for h in touched[1:]}
+        want |= {(scope_id, *p) for p in pairs}
+    c = Scope(spark.createDataFrame(atoms, "scope_id int, atom_id int, element string"), spark.createDataFrame(bonds, "scope_id int, a int, b int, bond_type int"))
+    got = core.group_graph(c.seq(spark.createDataFrame(sets, "scope_id int, atom_ids array<int>"))).collect()
+    assert sorted((r.scope_id, tuple(r.first), tuple(r.second)) for r in got) == sorted(want) and len(want) > 30
+    assert bool(rounds) == (most == 0)
