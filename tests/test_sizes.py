@@ -170,3 +170,19 @@ def test_graph_of_groups_in_one_task(spark, monkeypatch, most):
     got = core.group_graph(c.seq(spark.createDataFrame(sets, "scope_id int, atom_ids array<int>"))).collect()
     assert sorted((r.scope_id, tuple(r.first), tuple(r.second)) for r in got) == sorted(want) and len(want) > 30
     assert bool(rounds) == (most == 0)
+
+
+def test_residuals_of_a_molecule_in_one_group(spark, monkeypatch):
+    """Pairs of a molecule's atoms are not rows of a join; larger molecules get the same residuals by pairs."""
+    draw = random.Random(4)
+    rows = [(m, i, draw.uniform(0, 9), draw.uniform(0, 9), draw.uniform(0, 9), 2.0 + i % 3, 1.0 if i % 11 else None) for m in (1, 2, 3) for i in range(300 if m == 1 else 20)]
+    rows += [(2, 60, None, 0.0, 0.0, 2.0, 1.0), (2, 61, *rows[301][2:5], 2.0, 1.0)]
+    atoms = spark.createDataFrame(rows, "scope_id int, atom_id int, x double, y double, z double, a double, b double")
+    given = [(m, i, None if i == 7 else draw.uniform(-1, 1), None) for m, i, *_ in rows if m < 3 and i != 8] + [(3, None, None, "too many atoms")]
+    q = spark.createDataFrame(given, "scope_id int, atom_id int, charge double, error string")
+    read = lambda df: {(r.scope_id, r.atom_id): r.residual for r in df.collect()}
+    mixed, pairs = read(charges.residuals(atoms, q, 0.4, most_dense=100)), read(charges.residuals(atoms, q, 0.4, most_dense=0))
+    monkeypatch.setattr(charges, "_residuals_by_pairs", None)
+    got = read(charges.residuals(atoms, q, 0.4))
+    assert got.keys() == pairs.keys() == mixed.keys() and {m for m, _ in got} == {1, 2} and got[1, 7] is got[2, 7] is None
+    assert all(abs(got[k] - pairs[k]) < 1e-9 and abs(mixed[k] - pairs[k]) < 1e-9 for k in got if k[1] != 7)
